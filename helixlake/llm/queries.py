@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontaminate, simhash
 
 QUERIES = {
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op8_simhash": simhash.op8_simhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_decontamination": decontaminate.OP3_SQL,
+}
