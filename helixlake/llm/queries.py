@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash
+from . import decontaminate, simhash, substrings
 
 QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op7_substrings": substrings.op7_substrings,
     "op8_simhash": simhash.op8_simhash,
 }
 
 ORACLE: dict[str, str] = {
     "op3_decontamination": decontaminate.OP3_SQL,
+    "op7_substrings": substrings.OP7_SQL,
 }
