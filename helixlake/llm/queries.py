@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, simhash, substrings
+from . import decontaminate, frames, packing, simhash, substrings
 
 QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op6_packing": packing.op6_packing,
     "op7_substrings": substrings.op7_substrings,
     "op8_simhash": simhash.op8_simhash,
+    "op10_frames": frames.op10_frames,
 }
 
 ORACLE: dict[str, str] = {

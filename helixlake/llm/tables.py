@@ -18,7 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/work-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(base, f"work-{uuid.uuid4().hex}")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
