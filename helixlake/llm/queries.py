@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, frames, packing, simhash, substrings
+from . import decontaminate, frames, lines, packing, quality, simhash, substrings
 
 QUERIES = {
+    "op2_lines": lines.op2_lines,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op5_quality": quality.op5_quality,
     "op6_packing": packing.op6_packing,
     "op7_substrings": substrings.op7_substrings,
     "op8_simhash": simhash.op8_simhash,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op2_lines": lines.OP2_SQL,
     "op3_decontamination": decontaminate.OP3_SQL,
     "op7_substrings": substrings.OP7_SQL,
 }
