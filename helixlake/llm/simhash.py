@@ -205,3 +205,105 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+#: Four segments of 23 bits, two in each of two columns, of a fingerprint over a text's distinct words.
+SEGMENTS_92 = {"f1": ((23, 0), (23, 23)), "f2": ((23, 0), (23, 23))}
+#: Differing bits of 92 up to which two texts are compared in full.
+CLOSE_92 = 18
+#: Texts of a cluster that one task compares in full at once, and their distinct shingles, in hashes.
+FULL_BLOCK = 256
+
+
+def _distinct_runs(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each run, in order, and where each run's begin."""
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((values, doc))
+    values, doc = values[order], doc[order]
+    new = np.ones(len(values), dtype=bool)
+    new[1:] = (values[1:] != values[:-1]) | (doc[1:] != doc[:-1])
+    return values[new], np.append(0, np.cumsum(np.bincount(doc[new], minlength=len(at) - 1)))
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, s1, s2, size, f1, f2): two hashes of the set of shingles, its size, and a 92-bit fingerprint of the set of words.
+
+    Few changed words change many shingles but few words, so the fingerprint is taken over words; what is close there
+    is compared by shingles."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            words = split_words(batch.column("text"), PLAIN_LOWER)
+            hashes, at = _distinct_runs(*shingle_hashes(words, shingle))
+            size = np.diff(at)
+            full = np.flatnonzero(size)
+            sums = np.zeros((2, batch.num_rows), dtype=np.uint64)
+            if len(full):
+                sums[0, full] = np.add.reduceat(hashes, at[full])
+                sums[1, full] = np.add.reduceat(hashes * (hashes | np.uint64(1)), at[full])
+            one, two = words.hashes()
+            prints = [majority(*_distinct_runs(h, words.first), bits=46) for h in (one, two)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(s.view(np.int64)) for s in sums), pa.array(size.astype(np.int64)), *(pa.array(p.view(np.int64)) for p in prints)], names=["id", "s1", "s2", "size", "f1", "f2"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(run, "id long, s1 long, s2 long, size long, f1 long, f2 long")
+
+
+def _similar(group: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sorted sets whose Jaccard similarity is at least `similarity`."""
+    size = np.array([len(g) for g in group])
+    owner = np.repeat(np.arange(len(group)), size)
+    values, column = np.unique(np.concatenate(group), return_inverse=True)
+    common = np.bincount(column, minlength=len(values)) > 1
+    place = np.cumsum(common) - 1
+    keep = common[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(group), len(group)), dtype=np.float64)
+    step = 16_384
+    for low in range(0, int(common.sum()), step):
+        a, b = np.searchsorted(column, [low, low + step])
+        has = np.zeros((len(group), step), dtype=np.float32)
+        has[owner[a:b], column[a:b] - low] = 1
+        both += has @ has.T
+    union = size[:, None] + size[None, :] - both
+    x, y = np.nonzero(np.triu(both >= similarity * union - 1e-9, 1))
+    return x, y
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id_col, least): for each distinct id the least id that is reachable over pairs of texts whose sets of shingles have a
+    Jaccard similarity of `similarity` or more.
+
+    Texts of equal sets are one class.  Classes with close fingerprints (found by Golay keys) form clusters; a cluster's texts
+    are compared in full, in pairs of blocks where it is large, and the links that hold are joined to groups.
+    Two texts at the similarity bound differ in about a tenth of the bits; the keys find such a pair with high
+    probability, not with certainty (README.md has the measured share).  Rows with a null id are left out."""
+    docs = docs.where(F.col(id_col).isNotNull())
+    marks = written(sketches(docs, id_col, text_col, shingle))
+    classes = written(marks.groupBy("s1", "s2", "size").agg(F.min("id").alias("id"), F.min("f1").alias("f1"), F.min("f2").alias("f2")))
+    clusters = written(components(close_links(classes.select("id", "f1", "f2", "size"), SEGMENTS_92, CLOSE_92, similarity)))
+    members = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            hashes, at = _distinct_runs(*shingle_hashes(split_words(batch.column("text"), PLAIN_LOWER), shingle))
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), lists], names=["id", "root", "shingles"])
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        ids = group.column("id").to_numpy()
+        a, b = _similar([x.values.to_numpy() for x in group.column("shingles").combine_chunks()], similarity)
+        root = forest(a, b, len(ids))
+        member = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.table({"a": ids[root[member]], "b": ids[member]})
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.join(members.withColumnRenamed("node", "id"), "id").dropDuplicates(["id"])
+    dealt = blocked(texts.mapInArrow(sets, "id long, root long, shingles array<long>"), "root", "id", FULL_BLOCK)
+    links = dealt.groupBy("root", "i", "j").applyInArrow(compare, "a long, b long")
+    groups = components(links)
+    rooted = classes.select("s1", "s2", "size", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
+    least = rooted.select("s1", "s2", "size", F.coalesce("root", "id").alias("least"))
+    return marks.join(least, ["s1", "s2", "size"]).select(F.col("id").alias(id_col), "least").distinct()
