@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, frames, lines, packing, quality, simhash, substrings
+from . import decontaminate, frames, lines, packing, pii, quality, simhash, substrings
 
 QUERIES = {
     "op2_lines": lines.op2_lines,
     "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_pii": pii.op4_pii,
     "op5_quality": quality.op5_quality,
     "op6_packing": packing.op6_packing,
     "op7_substrings": substrings.op7_substrings,
