@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, frames, lines, packing, pii, quality, simhash, substrings
+from . import decontaminate, frames, html_text, lines, packing, pii, quality, simhash, substrings, token_counts
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
     "op2_lines": lines.op2_lines,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_pii": pii.op4_pii,
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_substrings": substrings.op7_substrings,
     "op8_simhash": simhash.op8_simhash,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_frames": frames.op10_frames,
 }
 
