@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ def _windows(seqs: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _pieces(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        size = np.append(0, np.cumsum(pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy()))
+        size = np.append(0, np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy()))
         i = 0
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(size, size[i] + BATCH_BASES, side="right")) - 1)

@@ -1,4 +1,581 @@
-"""Queries over the driver's tables, and the same in SQL."""
+"""Queries over the driver's tables, by the operators' names, and the same in SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import dna, kmers
+from ..operators import alignment, assignment, batchqc, counts, graph, links, recovery, report
+from ..sources import sequences, sinks, tables
+from ..streaming import counts as streaming
+from .views import K, K_SHORT, READ_LENGTH, SQL_ALIGNMENTS, SQL_TARGETS, alignments, pool, reads, sql_counts, sql_kmers, sql_pool, sql_reads, sql_strands, strands, table, targets
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    at = spark._jvm.org.apache.hadoop.fs.Path(base, f"{name}-{uuid.uuid4().hex}")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def _text(df: DataFrame, k: int) -> DataFrame:
+    """Packed k-mers as text."""
+    return df.withColumn("kmer", dna.unpack(F.col("kmer"), k))
+
+
+# --- scalar functions and k-mers
+
+
+@query(f"WITH {sql_reads()} SELECT read_id, md5(seq) AS dna FROM reads")
+def f1_normalize_base(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_id", F.md5(dna.normalize_base(F.lower(F.translate("seq", "T", "U")))).alias("dna"))
+
+
+@query(f"WITH {sql_reads()} SELECT read_id, md5(translate(reverse(seq), 'ACGT', 'TGCA')) AS turned FROM reads")
+def f2_revcomp(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_id", F.md5(dna.revcomp(F.col("seq"))).alias("turned"))
+
+
+@query(f"WITH {sql_reads()} SELECT read_id, least(substr(seq, 1, 31), translate(reverse(substr(seq, 1, 31)), 'ACGT', 'TGCA')) AS kmer FROM reads WHERE length(seq) >= 31")
+def f3_canonical(spark, sf_dir):
+    own = reads(spark, sf_dir).where(F.length("seq") >= K)
+    return own.select("read_id", dna.canonical(F.substring("seq", 1, K)).alias("kmer"))
+
+
+@query(f"WITH {sql_reads()} SELECT read_id, CAST(list_sum([CAST(strpos('ACGT', substr(seq, i, 1)) - 1 AS BIGINT) << (62 - 2 * i) FOR i IN generate_series(1, 31)]) AS BIGINT) AS code, substr(seq, 1, 31) AS kmer FROM reads WHERE length(seq) >= 31")
+def f4_pack_unpack(spark, sf_dir):
+    own = reads(spark, sf_dir).where(F.length("seq") >= K).select("read_id", dna.pack(F.substring("seq", 1, K)).alias("code"))
+    return own.select("read_id", "code", dna.unpack(F.col("code"), K).alias("kmer"))
+
+
+@query(f"WITH {sql_strands('N')}, {sql_kmers('strands', 'strand_id', K_SHORT, 'k')} SELECT strand_id, CAST(pos AS INTEGER) AS pos, kmer FROM k")
+def f5_kmers_ordered(spark, sf_dir):
+    return _text(kmers.kmers_ordered(strands(spark, sf_dir, "N"), K_SHORT), K_SHORT).select("strand_id", "pos", "kmer")
+
+
+@query(f"WITH {sql_strands()}, {sql_kmers('strands', 'strand_id', K_SHORT, 'k')} SELECT strand_id, kmer, CAST(min(pos) AS INTEGER) AS pos FROM k GROUP BY ALL")
+def f6_kmers_distinct(spark, sf_dir):
+    return _text(kmers.kmers_distinct(strands(spark, sf_dir), K_SHORT, engine="sql"), K_SHORT).select("strand_id", "kmer", "pos")
+
+
+@query(f"WITH {sql_strands()}, cut AS (SELECT strand_id, substr(seq, 19, greatest(length(seq) - 36, 0)) AS seq FROM strands), {sql_kmers('cut', 'strand_id', K, 'k')} SELECT strand_id, kmer, CAST(min(pos) AS INTEGER) AS pos FROM k GROUP BY ALL")
+def f7_kmers_primer_trimmed(spark, sf_dir):
+    own = strands(spark, sf_dir).select("strand_id", dna.trim(F.col("seq"), 18, 18).alias("seq"))
+    return _text(kmers.kmers_distinct(own, K), K).select("strand_id", "kmer", "pos")
+
+
+@query(f"WITH {sql_strands()} SELECT strand_id, substr(seq, 11, greatest(length(seq) - 30, 0)) AS seq FROM strands")
+def f8_trim_primers(spark, sf_dir):
+    return strands(spark, sf_dir).select("strand_id", dna.trim(F.col("seq"), 10, 20).alias("seq"))
+
+
+@query(f"WITH {sql_reads()} SELECT read_id, substr(seq, 1, 200) AS seq FROM reads")
+def f9_truncate_read(spark, sf_dir):
+    return reads(spark, sf_dir).select("read_id", dna.truncate(F.col("seq"), READ_LENGTH, K).alias("seq"))
+
+
+@query(f"WITH {sql_reads()} SELECT count(*) AS reads, CAST(sum(length(seq)) AS BIGINT) AS bases FROM reads WHERE length(seq) >= 31")
+def f10_min_length_filter(spark, sf_dir):
+    return counts.countable(reads(spark, sf_dir), K).agg(F.count("*").alias("reads"), F.sum(F.length("seq")).alias("bases"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN a > 0 AND b > 0 THEN greatest(a, b) / least(a, b) WHEN greatest(a, b) = 0 THEN 1.0 ELSE 0.0 END AS ratio FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) % 5 AS a, CAST(l_linenumber AS INTEGER) % 3 AS b FROM lineitem)")
+def f11_coverage_ratio(spark, sf_dir):
+    a, b = F.col("l_quantity").cast("int") % 5, F.col("l_linenumber").cast("int") % 3
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", dna.coverage_ratio(a, b).alias("ratio"))
+
+
+@query("SELECT class, count(*) AS n FROM (SELECT CASE WHEN c <= 0 THEN 'zero' WHEN c < 3 THEN 'low' ELSE 'ok' END AS class FROM (SELECT CAST(l_quantity AS INTEGER) % 6 AS c FROM lineitem)) GROUP BY class")
+def f12_coverage_class(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(dna.coverage_class(F.col("l_quantity").cast("int") % 6).alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * 1000003 AS x FROM orders) SELECT o_orderkey, CASE WHEN x = 0 THEN 'A' ELSE ltrim(array_to_string([substr('ACGT', CAST((x >> (60 - 2 * i)) & 3 AS BIGINT) + 1, 1) FOR i IN generate_series(0, 30)], ''), 'A') END AS dna FROM o")
+def f13_index_to_dna(spark, sf_dir):
+    index = (F.col("o_orderkey").cast("long") * 1000003).cast("string")
+    return table(spark, sf_dir, "orders").select("o_orderkey", dna.index_to_dna(index).alias("dna"))
+
+
+@query("SELECT o_orderkey, CASE WHEN length(s) < 9 THEN lpad(s, 9, 'A') ELSE s END AS dna FROM (SELECT o_orderkey, translate(CAST(o_orderkey * 7 AS VARCHAR), '0123456789', 'ACGTACGTAC') AS s FROM orders)")
+def f14_left_pad_a(spark, sf_dir):
+    s = F.translate((F.col("o_orderkey") * 7).cast("string"), "0123456789", "ACGTACGTAC")
+    return table(spark, sf_dir, "orders").select("o_orderkey", dna.left_pad_a(s, 9).alias("dna"))
+
+
+@query(f"WITH {sql_strands('N')}, v AS (SELECT strand_id, length(seq) AS n, length(regexp_extract(seq, '^[ACGTUacgtu]*')) AS clean FROM strands) SELECT strand_id, CASE WHEN clean < n THEN clean + 1 END AS place FROM v")
+def f15_validate_sequence(spark, sf_dir):
+    return strands(spark, sf_dir, "N").select("strand_id", dna.first_invalid(F.col("seq")).cast("long").alias("place"))
+
+
+@query(f"WITH {sql_pool()} SELECT strand_id, length(seq) AS bases FROM strands WHERE strand_id % 10 = 0")
+def f16_subsample_1_in_n(spark, sf_dir):
+    return sequences.subsample(pool(spark, sf_dir), 10).select("strand_id", F.length("seq").cast("long").alias("bases"))
+
+
+_BUCKET = "CASE WHEN tp <> 'P' THEN 'secondary' WHEN mapq < 5 OR matches / block_length < 0.8 OR cs IS NULL THEN 'low_quality' WHEN target NOT IN (SELECT name FROM known) THEN 'unknown_target' ELSE 'used' END"
+_KNOWN = "known AS (SELECT 'part' || p_partkey AS name FROM part WHERE p_partkey % 10 <> 0)"
+
+
+def _known(spark, sf_dir):
+    return targets(spark, sf_dir).where(~F.endswith("name", F.lit("0")))
+
+
+@query(f"WITH {SQL_ALIGNMENTS}, {_KNOWN} SELECT row_id, {_BUCKET} AS bucket FROM alignments")
+def f17_paf_quality_filter(spark, sf_dir):
+    return alignment.quality_buckets(alignments(spark, sf_dir), _known(spark, sf_dir), 5, 0.8).select("row_id", "bucket")
+
+
+_TOKENS = f"""{SQL_ALIGNMENTS}, cs AS (SELECT row_id, target, target_start, regexp_extract_all(cs, ':[0-9]+|\\*[a-zA-Z]{{2}}|-[a-zA-Z]+|\\+[a-zA-Z]+') AS t FROM alignments WHERE cs IS NOT NULL),
+token AS (SELECT row_id, target, target_start, i - 1 AS n, t[i] AS token FROM (SELECT *, unnest(generate_series(1, len(t))) AS i FROM cs)),
+sized AS (SELECT *, substr(token, 1, 1) AS op, CASE substr(token, 1, 1) WHEN ':' THEN CAST(substr(token, 2) AS INTEGER) WHEN '*' THEN 1 WHEN '-' THEN length(token) - 1 ELSE 0 END AS size FROM token),
+parsed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY row_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sized)"""
+
+
+@query(f"WITH {_TOKENS} SELECT row_id, CAST(n AS INTEGER) AS n, op, CAST(size AS INTEGER) AS length, CAST(before AS INTEGER) AS offset FROM parsed")
+def f18_parse_cs(spark, sf_dir):
+    own = alignments(spark, sf_dir).select("row_id", "target_start", F.col("tags")["cs"].alias("cs"))
+    return alignment.parse_cs(own, ["row_id"]).select("row_id", "n", "op", "length", "offset")
+
+
+_PAIRED = f"{SQL_TARGETS}, pair AS (SELECT a.name AS name, a.seq AS a, b.seq AS b FROM targets a JOIN targets b ON CAST(substr(b.name, 5) AS BIGINT) = CAST(substr(a.name, 5) AS BIGINT) + 1)"
+
+
+def _paired(spark, sf_dir):
+    own = targets(spark, sf_dir).withColumn("n", F.substring("name", 5, 20).cast("long"))
+    return own.select("name", "n", F.col("seq").alias("a")).join(own.select((F.col("n") - 1).alias("n"), F.col("seq").alias("b")), "n")
+
+
+@query(f"WITH {_PAIRED} SELECT name, CAST(hamming(a, b) AS INTEGER) AS differing FROM pair")
+def f19_hamming(spark, sf_dir):
+    return _paired(spark, sf_dir).select("name", dna.hamming(F.col("a"), F.col("b")).alias("differing"))
+
+
+@query(f"WITH {_PAIRED} SELECT name, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM pair")
+def f20_levenshtein(spark, sf_dir):
+    return _paired(spark, sf_dir).select("name", F.levenshtein("a", "b").alias("distance"))
+
+
+@query(f"WITH {sql_counts(K_SHORT)} SELECT kmer, cov FROM counts WHERE starts_with(kmer, 'ACG') OR starts_with(translate(reverse(kmer), 'ACGT', 'TGCA'), 'ACG')")
+def f23_prefix_match(spark, sf_dir):
+    return graph.prefix_matches(counts.kmer_counts(reads(spark, sf_dir), K_SHORT), "ACG", K_SHORT)
+
+
+# --- counting
+
+
+@query(f"WITH {sql_counts(K, READ_LENGTH)} SELECT kmer, cov FROM counts")
+def a1_kmer_count(spark, sf_dir):
+    return _text(counts.kmer_counts(reads(spark, sf_dir), K, READ_LENGTH), K)
+
+
+@query(f"WITH {sql_counts(K_SHORT)} SELECT kmer, cov FROM counts")
+def a2_kmer_count_merge(spark, sf_dir):
+    own = reads(spark, sf_dir)
+    parts = [counts.raw_counts(own.where(F.col("read_id") % 3 == i), K_SHORT) for i in range(3)]
+    return _text(counts.capped(counts.merged_counts(parts)), K_SHORT)
+
+
+_MEMBERSHIP = f"{sql_pool()}, {sql_kmers('strands', 'strand_id', K, 'k')}, member AS (SELECT kmer, CAST(least(count(DISTINCT strand_id), 1023) AS INTEGER) AS n FROM k GROUP BY kmer)"
+
+
+@query(f"WITH {_MEMBERSHIP} SELECT n, count(*) AS kmers FROM member GROUP BY n")
+def a3_strand_membership_count(spark, sf_dir):
+    return counts.strand_membership(pool(spark, sf_dir), K).groupBy("n").agg(F.count("*").alias("kmers"))
+
+
+_COVERED = f"""{sql_counts(K)}, {sql_strands()}, {sql_kmers('strands', 'strand_id', K, 'strand_kmers')},
+covered AS (SELECT strand_id, kmer, pos, coalesce(cov, 0) AS cov FROM (SELECT strand_id, kmer, min(pos) AS pos FROM strand_kmers GROUP BY ALL) LEFT JOIN counts USING (kmer)),
+ratio AS (SELECT strand_id, row_number() OVER w - 1 AS i, cov, lag(cov) OVER w AS b FROM covered WINDOW w AS (PARTITION BY strand_id ORDER BY pos)),
+ratios AS (SELECT strand_id, i, cov, CASE WHEN b IS NULL THEN NULL WHEN least(b, cov) > 0 THEN greatest(b, cov) / least(b, cov) WHEN greatest(b, cov) = 0 THEN 1.0 ELSE 0.0 END AS ratio FROM ratio),
+stats AS (SELECT strand_id, min_cov, max_ratio FROM strands LEFT JOIN (SELECT strand_id, CAST(min(cov) AS INTEGER) AS min_cov, CASE WHEN min(cov) = 0 THEN 0.0 ELSE coalesce(max(ratio) FILTER (i > 2), 0.0) END AS max_ratio FROM ratios GROUP BY strand_id) USING (strand_id))"""
+
+
+def _covered(spark, sf_dir):
+    return recovery.covered_kmers(strands(spark, sf_dir), counts.kmer_counts(reads(spark, sf_dir), K), K)
+
+
+@query(f"WITH {_COVERED} SELECT * FROM stats")
+def a4_a5_strand_stats(spark, sf_dir):
+    return recovery.strand_stats(strands(spark, sf_dir), _covered(spark, sf_dir), 2)
+
+
+@query(f"WITH {_COVERED} SELECT CAST(i AS INTEGER) AS i, min(ratio) AS min_ratio, max(ratio) AS max_ratio FROM ratios WHERE ratio IS NOT NULL GROUP BY i")
+def a6_ratio_ranges(spark, sf_dir):
+    return recovery.ratio_ranges(_covered(spark, sf_dir))
+
+
+@query(f"WITH {_COVERED} SELECT cov, count(*) AS kmers FROM (SELECT DISTINCT kmer, cov FROM covered) GROUP BY cov")
+def a7_target_histogram(spark, sf_dir):
+    return recovery.target_histogram(_covered(spark, sf_dir))
+
+
+@query(f"WITH {sql_counts(K)} SELECT cov, count(*) AS kmers FROM counts GROUP BY cov")
+def a8_read_histogram(spark, sf_dir):
+    return counts.spectrum(counts.kmer_counts(reads(spark, sf_dir), K))
+
+
+@query(f"WITH {sql_counts(K)} SELECT cov, CAST(sum(n) OVER (ORDER BY cov DESC) AS BIGINT) AS at_least FROM (SELECT cov, count(*) AS n FROM counts GROUP BY cov)")
+def a9_suffix_sums(spark, sf_dir):
+    return counts.suffix_sums(counts.spectrum(counts.kmer_counts(reads(spark, sf_dir), K)))
+
+
+@query(f"WITH {sql_counts(K, READ_LENGTH)} SELECT count(*) AS distinct_kmers, CAST(sum(cov) AS BIGINT) AS total_coverage, 31 AS k, 200 AS read_length, 1 AS files FROM counts")
+def a10_summary(spark, sf_dir):
+    return counts.summary(counts.kmer_counts(reads(spark, sf_dir), K, READ_LENGTH), K, READ_LENGTH)
+
+
+_RATIOS = "[0.0, 0.5, 1.0, 1.5, 2.0]"
+_GRID = f"""WITH {_COVERED.replace("i > 2", "i > 0")},
+target AS (SELECT DISTINCT kmer, cov FROM covered),
+cell AS (SELECT ratio, coverage FROM (SELECT unnest({_RATIOS}) AS ratio), (SELECT unnest([0, 1, 2, 3]) AS coverage)),
+path AS (SELECT ratio, coverage, count(*) AS total, count(*) FILTER (min_cov > coverage AND (ratio <= 1.0 OR max_ratio <= ratio)) AS paths FROM cell, stats GROUP BY ALL),
+exist AS (SELECT coverage, count(*) FILTER (cov > coverage) AS exist, count(*) AS targets FROM (SELECT DISTINCT coverage FROM cell), target GROUP BY coverage),
+seen AS (SELECT coverage, count(*) FILTER (cov > coverage) AS seen FROM (SELECT DISTINCT coverage FROM cell), counts GROUP BY coverage)
+SELECT CAST(ratio AS DOUBLE) AS ratio, coverage, total, paths, seen - exist AS noise, exist, targets - exist AS lost, CASE WHEN total > 0 THEN paths / total ELSE 'NaN'::DOUBLE END AS sm,
+  CASE WHEN targets > 0 THEN (targets - exist) / targets ELSE 'NaN'::DOUBLE END AS kd, CASE WHEN exist > 0 THEN (seen - exist) / exist ELSE 'NaN'::DOUBLE END AS kn
+FROM path JOIN exist USING (coverage) JOIN seen USING (coverage)"""
+
+
+@query(_GRID)
+def p1_strand_recovery(spark, sf_dir):
+    return recovery.strand_recovery(strands(spark, sf_dir), reads(spark, sf_dir), K, range(4), (0.0, 2.0, 0.5))
+
+
+@query(f"WITH {sql_counts(K)}, {sql_strands()}, {sql_kmers('strands', 'strand_id', K, 't')} SELECT DISTINCT kmer FROM t WHERE kmer IN (SELECT kmer FROM counts)")
+def j2_target_in_reads(spark, sf_dir):
+    own = kmers.kmers_ordered(strands(spark, sf_dir), K)
+    return _text(recovery.targets_in_reads(own, counts.kmer_counts(reads(spark, sf_dir), K)), K)
+
+
+@query(f"WITH {sql_counts(K, READ_LENGTH)}, {sql_strands()}, {sql_kmers('strands', 'strand_id', K, 't')} SELECT kmer, cov FROM counts WHERE kmer NOT IN (SELECT kmer FROM t)")
+def j2_noise_kmers(spark, sf_dir):
+    own = kmers.kmers_ordered(strands(spark, sf_dir), K)
+    return _text(recovery.noise_kmers(own, counts.kmer_counts(reads(spark, sf_dir), K, READ_LENGTH)), K)
+
+
+@query(f"WITH {sql_counts(K)}, {sql_strands()}, {sql_kmers('strands', 'strand_id', K, 't')}, b AS (SELECT DISTINCT kmer FROM t), c AS (SELECT kmer FROM counts WHERE cov > 1) SELECT CASE WHEN b.kmer IS NULL THEN 'noise' WHEN c.kmer IS NULL THEN 'lost' ELSE 'shared' END AS \"set\", count(*) AS kmers FROM b FULL JOIN c ON b.kmer = c.kmer GROUP BY 1")
+def u3_target_sets(spark, sf_dir):
+    own = kmers.kmers_ordered(strands(spark, sf_dir), K)
+    return recovery.target_sets(own, counts.kmer_counts(reads(spark, sf_dir), K), 1).groupBy("set").agg(F.count("*").alias("kmers"))
+
+
+# --- shared k-mers
+
+
+@query(f"WITH {_MEMBERSHIP} SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS cross_links FROM member WHERE n > 1")
+def p2_cross_links(spark, sf_dir):
+    return links.cross_link_count(pool(spark, sf_dir), K, 1)
+
+
+_SCREEN = f"{_MEMBERSHIP}, most AS (SELECT strand_id, max(n) - 1 AS links FROM k JOIN member USING (kmer) GROUP BY strand_id), screen AS (SELECT strand_id, CAST(coalesce(links, 0) AS INTEGER) AS links, CASE WHEN length(seq) < 31 THEN 'skipped' WHEN coalesce(links, 0) <= 0 THEN 'passed' ELSE 'filtered' END AS status FROM strands LEFT JOIN most USING (strand_id))"
+
+
+@query(f"WITH {_SCREEN} SELECT * FROM screen")
+def p3_entanglement(spark, sf_dir):
+    return links.entanglement(pool(spark, sf_dir), K, 0, 0).select("strand_id", "links", "status")
+
+
+@query(f"WITH {_SCREEN} SELECT strand_id, (SELECT count(*) FROM screen WHERE status = 'filtered') > 1000 AS truncated FROM screen WHERE status = 'filtered' ORDER BY strand_id LIMIT 1000")
+def w6_entangled_topn(spark, sf_dir):
+    return links.entangled_names(links.entanglement(pool(spark, sf_dir), K, 0, 0))
+
+
+# --- paths and batches
+
+_PATHS = f"""{sql_counts(K, READ_LENGTH)}, {sql_strands()}, {sql_kmers('strands', 'strand_id', K, 'path')},
+along AS (SELECT strand_id, pos, kmer, coalesce(cov, 0) AS cov FROM path LEFT JOIN counts USING (kmer)),
+pairs AS (SELECT *, lead(cov) OVER (PARTITION BY strand_id ORDER BY pos) AS nxt FROM along),
+adjacent AS (SELECT strand_id, pos, kmer, cov, CASE WHEN nxt IS NULL THEN NULL WHEN least(nxt, cov) > 0 THEN greatest(nxt, cov) / least(nxt, cov) WHEN greatest(nxt, cov) = 0 THEN 1.0 ELSE 0.0 END AS ratio FROM pairs),
+summary AS (SELECT strand_id, count(*) AS kmer_count, count(*) FILTER (cov > 0) AS observed, count(*) FILTER (cov = 0) AS missing, min(cov) > 0 AS complete, min(cov) AS min_cov, max(cov) AS max_cov, sum(cov) / count(*) AS mean_cov, coalesce(max(ratio), 1.0) AS max_ratio FROM adjacent GROUP BY strand_id)"""
+
+
+def _counts200(spark, sf_dir):
+    return counts.kmer_counts(reads(spark, sf_dir), K, READ_LENGTH)
+
+
+@query(f"WITH {_PATHS} SELECT * FROM summary")
+def a13_g7_sequence_summary(spark, sf_dir):
+    return batchqc.sequence_summary(batchqc.path_coverage(strands(spark, sf_dir), _counts200(spark, sf_dir), K))
+
+
+@query(f"WITH {_PATHS} SELECT strand_id, CAST(pos AS INTEGER) AS pos, substr(seq, CAST(pos + 1 AS BIGINT), 31) AS kmer, kmer AS canonical, cov, ratio FROM adjacent JOIN strands USING (strand_id)")
+def g6_sequence_profile(spark, sf_dir):
+    return batchqc.sequence_profile(strands(spark, sf_dir), _counts200(spark, sf_dir), K)
+
+
+_QC = f"{_PATHS}, qc AS (SELECT strand_id, length(seq) AS raw_length, length(seq) AS analyzed_length, CASE WHEN length(seq) < 31 THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN length(seq) < 31 THEN 'shorter than k' END AS message, summary.* EXCLUDE (strand_id) FROM strands LEFT JOIN summary USING (strand_id))"
+
+
+@query(f"WITH {_QC} SELECT * FROM qc")
+def g8_batch_qc(spark, sf_dir):
+    out = batchqc.batch_qc(strands(spark, sf_dir), _counts200(spark, sf_dir), K)
+    return out.withColumns({c: F.col(c).cast("long") for c in ("raw_length", "analyzed_length")})
+
+
+@query(f"WITH {_QC} SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'ok' AND complete) AS complete, count(*) FILTER (status = 'ok' AND NOT complete) AS broken FROM qc")
+def a14_batch_totals(spark, sf_dir):
+    return batchqc.batch_totals(batchqc.batch_qc(strands(spark, sf_dir), _counts200(spark, sf_dir), K))
+
+
+@query(f"WITH {_QC} SELECT strand_id + 1 AS index, strand_id AS name, raw_length, analyzed_length, status, observed AS observed_kmers, kmer_count AS total_kmers, CASE WHEN complete THEN 'yes' WHEN NOT complete THEN 'no' END AS path_complete, min_cov, mean_cov, max_cov, max_ratio AS max_adjacent_ratio FROM qc")
+def snk7_write_batch_csv(spark, sf_dir):
+    qc = batchqc.batch_qc(strands(spark, sf_dir), _counts200(spark, sf_dir), K).withColumn("name", F.col("strand_id"))
+    path = _folder(spark, "batch")
+    sinks.write_batch_csv(qc, path)
+    schema = "index long, name long, raw_length long, analyzed_length long, status string, observed_kmers long, total_kmers long, path_complete string, min_cov int, mean_cov double, max_cov int, max_adjacent_ratio double"
+    return spark.read.csv(path, header=True, schema=schema)
+
+
+@query(f"WITH {sql_strands()} SELECT strand_id, substr(seq, 6, greatest(length(seq) - 10, 0)) AS seq FROM strands WHERE strand_id = 7")
+def w7_record_at_index(spark, sf_dir):
+    return strands(spark, sf_dir).where(F.col("strand_id") == 7).select("strand_id", dna.trim(F.col("seq"), 5, 5).alias("seq"))
+
+
+# --- the graph; queries are the first 40 bases of each strand
+
+_NODES = f"""{sql_counts(K)}, {sql_strands()},
+q AS (SELECT strand_id AS query_id, substr(seq, 1, 31) AS l, right(substr(seq, 1, 40), 31) AS r, length(substr(seq, 1, 40)) > 31 AS truncated FROM strands WHERE length(seq) >= 31),
+side AS (SELECT query_id, 'up' AS direction, l AS kmer FROM q UNION ALL SELECT query_id, 'down', r FROM q),
+near AS (SELECT query_id, direction, base, CASE direction WHEN 'up' THEN base || substr(kmer, 1, 30) ELSE substr(kmer, 2) || base END AS neighbor FROM side, (SELECT unnest(['A', 'C', 'G', 'T']) AS base)),
+found AS (SELECT near.*, coalesce(cov, 0) AS cov FROM near LEFT JOIN counts ON counts.kmer = least(neighbor, translate(reverse(neighbor), 'ACGT', 'TGCA')))"""
+
+
+def _graph(spark, sf_dir):
+    own = strands(spark, sf_dir).select(F.col("strand_id").alias("query_id"), F.substring("seq", 1, 40).alias("query"))
+    return own, counts.kmer_counts(reads(spark, sf_dir), K)
+
+
+@query(f"WITH {_NODES} SELECT * FROM found")
+def g2_j4_kmer_neighbors(spark, sf_dir):
+    return graph.kmer_neighbors(*_graph(spark, sf_dir), K)
+
+
+@query(f"""WITH {_NODES}, degree AS (SELECT query_id, count(*) FILTER (direction = 'up' AND cov > 0) AS in_degree, count(*) FILTER (direction = 'down' AND cov > 0) AS out_degree FROM found GROUP BY query_id),
+a AS (SELECT query_id, l, r, least(l, translate(reverse(l), 'ACGT', 'TGCA')) AS lc, least(r, translate(reverse(r), 'ACGT', 'TGCA')) AS rc, truncated FROM q)
+SELECT strand_id AS query_id, CASE WHEN length(seq) < 31 THEN 'shorter than k' END AS error, l AS "left", r AS "right", lc AS left_canonical, rc AS right_canonical,
+  CASE WHEN l IS NOT NULL THEN least(coalesce(c1.cov, 0), coalesce(c2.cov, 0)) END AS coverage, truncated, in_degree, out_degree
+FROM strands LEFT JOIN a ON a.query_id = strand_id LEFT JOIN degree ON degree.query_id = strand_id LEFT JOIN counts c1 ON c1.kmer = lc LEFT JOIN counts c2 ON c2.kmer = rc""")
+def g1_kmer_query(spark, sf_dir):
+    return graph.kmer_query(*_graph(spark, sf_dir), K)
+
+
+_TREE = f"""WITH RECURSIVE {_NODES}, tree AS (
+  SELECT query_id, direction, 0 AS step, '' AS path, '' AS base, kmer, 0 AS cov, CAST(0 AS BIGINT) AS rank FROM side
+  UNION ALL
+  SELECT query_id, direction, step, path, base, kmer, cov, row_number() OVER (PARTITION BY query_id, direction, parent ORDER BY cov DESC, base) AS rank
+  FROM (SELECT t.query_id, t.direction, t.step + 1 AS step, t.path || b.base AS path, t.path AS parent, b.base AS base, n.kmer AS kmer, c.cov AS cov
+    FROM tree t, (SELECT unnest(['A', 'C', 'G', 'T']) AS base) b, LATERAL (SELECT CASE t.direction WHEN 'up' THEN b.base || substr(t.kmer, 1, 30) ELSE substr(t.kmer, 2) || b.base END AS kmer) n
+    JOIN counts c ON c.kmer = least(n.kmer, translate(reverse(n.kmer), 'ACGT', 'TGCA')) WHERE t.step < 3))
+SELECT query_id, direction, step, path, base, kmer, cov, CAST(rank AS INTEGER) AS rank FROM tree WHERE step > 0"""
+
+
+@query(_TREE)
+def g3_branch_tree(spark, sf_dir):
+    return graph.branch_tree(*_graph(spark, sf_dir), K, 3)
+
+
+@query()
+def g4_greedy_path(spark, sf_dir):
+    return graph.greedy_path(*_graph(spark, sf_dir), K, 6)
+
+
+@query(_TREE.replace("t.step < 3", "t.step < 2").replace("WHERE step > 0", "WHERE step = 2"))
+def g9_expand_node(spark, sf_dir):
+    own, found = _graph(spark, sf_dir)
+    return graph.expand_nodes(graph.branch_tree(own, found, K, 1), found, K)
+
+
+def _indexes(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_partkey").cast("string").alias("index"))
+
+
+@query()
+def g5_index_query(spark, sf_dir):
+    return graph.index_query(_indexes(spark, sf_dir), counts.kmer_counts(reads(spark, sf_dir), K), K, 8, 1)
+
+
+@query(f"""WITH {sql_counts(12)}, side AS (SELECT kmer, cov FROM counts UNION ALL SELECT translate(reverse(kmer), 'ACGT', 'TGCA'), cov FROM counts WHERE translate(reverse(kmer), 'ACGT', 'TGCA') <> kmer),
+p AS (SELECT p_partkey AS query_id, lpad(CASE WHEN p_partkey = 0 THEN 'A' ELSE ltrim(array_to_string([substr('ACGT', CAST((p_partkey >> (30 - 2 * i)) & 3 AS BIGINT) + 1, 1) FOR i IN generate_series(0, 15)], ''), 'A') END, 8, 'A') AS prefix FROM part),
+r AS (SELECT query_id, kmer, cov, row_number() OVER (PARTITION BY query_id ORDER BY kmer) AS rank FROM p JOIN side ON starts_with(kmer, prefix))
+SELECT query_id, kmer, cov, CAST(rank AS INTEGER) AS rank, count(*) OVER (PARTITION BY query_id) >= 32 AS limit_reached FROM r WHERE rank <= 32""")
+def j5_w4_index_starts(spark, sf_dir):
+    own = graph.index_decoded(_indexes(spark, sf_dir), 12, 8).select("query_id", F.col("dna").alias("prefix"))
+    return graph.prefix_starts(own, counts.kmer_counts(reads(spark, sf_dir), 12), 12)
+
+
+# --- consensus
+
+_PILE = f"""{_TOKENS}, {SQL_TARGETS}, good AS (SELECT p.*, p.target_start + p.before - 3 AS start, t.seq AS seq, length(t.seq) - 5 AS room FROM parsed p JOIN alignments a USING (row_id) JOIN targets t ON t.name = p.target WHERE a.tp = 'P' AND a.mapq >= 5 AND a.matches / a.block_length >= 0.8),
+vote AS (
+  SELECT target AS name, start AS pos, upper(substr(token, 3, 1)) AS base FROM good WHERE op = '*' AND start >= 0 AND start < room
+  UNION ALL SELECT target, p, substr(seq, CAST(p + 4 AS BIGINT), 1) FROM (SELECT target, seq, unnest(generate_series(CAST(greatest(start, 0) AS BIGINT), CAST(least(start + size_, room) AS BIGINT) - 1)) AS p FROM (SELECT *, CAST(substr(token, 2) AS INTEGER) AS size_ FROM good WHERE op = ':'))),
+pile AS (SELECT name, pos, base, count(*) AS n FROM vote GROUP BY ALL),
+top AS (SELECT name, pos, base, n, sum(n) OVER (PARTITION BY name, pos) AS depth, row_number() OVER (PARTITION BY name, pos ORDER BY n DESC, base) AS r FROM pile),
+voted AS (SELECT name, pos, depth, CASE WHEN n / depth >= 0.6 THEN base ELSE 'N' END AS base FROM top WHERE r = 1),
+place AS (SELECT name, substr(seq, CAST(p + 4 AS BIGINT), 1) AS own, p FROM (SELECT name, seq, unnest(generate_series(0, length(seq) - 6)) AS p FROM targets)),
+called AS (SELECT place.name AS name, p, own, coalesce(base, 'N') AS base, coalesce(depth, 0) AS depth FROM place LEFT JOIN voted ON voted.name = place.name AND pos = p),
+cons AS (SELECT name, string_agg(base, '' ORDER BY p) AS consensus, string_agg(own, '' ORDER BY p) AS own, sum(depth) / count(*) AS mean_depth, count(*) FILTER (depth > 0) AS covered_bases, count(*) FILTER (base = 'N') AS n_count, count(*) FILTER (base <> own) AS distance FROM called GROUP BY name),
+n_reads AS (SELECT target AS name, count(DISTINCT row_id) AS read_count FROM good GROUP BY 1),
+consensus AS (SELECT name, coalesce(read_count, 0) AS read_count, mean_depth, covered_bases, n_count, distance, consensus = own AS exact_match, consensus FROM cons LEFT JOIN n_reads USING (name))"""
+
+
+def _paf(spark, sf_dir):
+    return alignment.paf_consensus(alignments(spark, sf_dir), targets(spark, sf_dir), 5, 0.8, 3, 2)
+
+
+@query(f"WITH {_PILE} SELECT name, CAST(pos AS INTEGER) AS pos, base, n FROM pile")
+def a15_pileup(spark, sf_dir):
+    own = targets(spark, sf_dir)
+    used = alignment.quality_buckets(alignments(spark, sf_dir), own, 5, 0.8).where("bucket = 'used'")
+    tokens = alignment.parse_cs(used.select("row_id", F.col("target").alias("name"), "target_start", F.col("tags")["cs"].alias("cs")), ["row_id", "name"])
+    return alignment.pileup(tokens, own, 3, 2)
+
+
+@query(f"WITH {_PILE} SELECT * FROM consensus")
+def a16_a17_paf_consensus(spark, sf_dir):
+    return _paf(spark, sf_dir).withColumns({c: F.col(c).cast("long") for c in ("n_count", "distance")})
+
+
+def _part_qc(spark, sf_dir):
+    """K-mer quality control of the parts' strands, over a part of them as reads."""
+    own = targets(spark, sf_dir).withColumn("strand_id", F.substring("name", 5, 20).cast("long"))
+    seen = own.where(F.col("strand_id") % 3 != 0).select(F.col("strand_id").alias("read_id"), "seq")
+    return batchqc.batch_qc(own, counts.kmer_counts(seen, K), K).withColumn("name", F.concat(F.lit("part"), F.col("strand_id").cast("string")))
+
+
+_COMPARED = f"""{_PILE}, seen AS (SELECT name, seq FROM targets WHERE CAST(substr(name, 5) AS BIGINT) % 3 <> 0), {sql_kmers('seen', 'name', K, 'seen_kmers')}, counts AS (SELECT kmer, count(*) AS cov FROM seen_kmers GROUP BY kmer),
+{sql_kmers('targets', 'name', K, 'target_kmers')}, qc AS (SELECT name, min(coalesce(cov, 0)) > 0 AS complete FROM target_kmers LEFT JOIN counts USING (kmer) GROUP BY name),
+compared AS (SELECT name, exact_match, coalesce(complete, false) AS complete, CASE WHEN exact_match AND coalesce(complete, false) THEN 'agreement_recovered' WHEN exact_match THEN 'consensus_only' WHEN coalesce(complete, false) THEN 'kmer_only' ELSE 'agreement_missing_or_broken' END AS classification FROM consensus LEFT JOIN qc USING (name))"""
+
+
+@query(f"WITH {_COMPARED} SELECT * FROM compared")
+def p5_j6_consensus_comparison(spark, sf_dir):
+    return alignment.consensus_join(_paf(spark, sf_dir), _part_qc(spark, sf_dir)).select("name", "exact_match", "complete", "classification")
+
+
+@query(f"WITH {_COMPARED}, one AS (SELECT count(*) AS strands, count(*) FILTER (exact_match) AS exact, count(*) FILTER (complete) AS complete, count(*) FILTER (classification = 'agreement_recovered') AS agreement_recovered, count(*) FILTER (classification = 'agreement_missing_or_broken') AS agreement_missing_or_broken, count(*) FILTER (classification = 'consensus_only') AS consensus_only, count(*) FILTER (classification = 'kmer_only') AS kmer_only FROM compared) UNPIVOT one ON COLUMNS(*) INTO NAME metric VALUE value")
+def a18_comparison_summary(spark, sf_dir):
+    return alignment.comparison_summary(alignment.consensus_join(_paf(spark, sf_dir), _part_qc(spark, sf_dir)))
+
+
+@query(f"WITH {_COMPARED} SELECT name, classification FROM compared WHERE classification IN ('consensus_only', 'kmer_only') ORDER BY name LIMIT 200")
+def w5_disagreements(spark, sf_dir):
+    return alignment.disagreements(alignment.consensus_join(_paf(spark, sf_dir), _part_qc(spark, sf_dir))).select("name", "classification")
+
+
+@query()
+def j8_p6_read_consensus(spark, sf_dir):
+    own = targets(spark, sf_dir).select(F.col("name").alias("strand_id"), "seq")
+    changed = own.select(F.col("strand_id").alias("read_id"), F.concat(F.substring("seq", 1, 20), F.translate(F.substring("seq", 21, 1), "ACGT", "CGTA"), F.substring("seq", 22, 18), F.substring("seq", 41, 20)).alias("seq"))
+    return assignment.read_consensus(changed, own, 12)
+
+
+# --- report, streams, sources and sinks
+
+
+@query(f"""WITH {_SCREEN}, totals AS (SELECT count(*) AS strands, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'filtered') AS entangled, count(*) FILTER (status = 'skipped') AS skipped FROM screen),
+cross_ AS (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS cross_links FROM member WHERE n > 1),
+{sql_counts(K, READ_LENGTH)}, t AS (SELECT strand_id, min(coalesce(cov, 0)) AS m FROM k LEFT JOIN counts USING (kmer) GROUP BY strand_id), d AS (SELECT DISTINCT kmer, coalesce(cov, 0) AS cov FROM k LEFT JOIN counts USING (kmer)),
+h AS (SELECT (SELECT count(*) FROM t WHERE m > 0) AS paths, (SELECT count(*) FROM d WHERE cov > 0) AS exist, (SELECT count(*) FROM d WHERE cov = 0) AS lost, (SELECT count(*) FROM counts) AS seen)
+SELECT cross_links, strands, passed, entangled, skipped, (SELECT count(*) FROM reads) AS reads, paths, exist, lost, seen - exist AS noise, paths / strands AS sm, lost / (lost + exist) AS kd, (seen - exist) / exist AS kn FROM cross_, totals, h""")
+def p4_qc_report(spark, sf_dir):
+    return report.qc_report(pool(spark, sf_dir), reads(spark, sf_dir), K, primer=0, length=READ_LENGTH)
+
+
+@query()
+def f24_verdicts(spark, sf_dir):
+    return report.verdicts(report.qc_report(pool(spark, sf_dir), reads(spark, sf_dir), K, primer=0, length=READ_LENGTH))
+
+
+@query(f"WITH {sql_counts(12, READ_LENGTH)} SELECT kmer, cov FROM counts")
+def s1_incremental_counts(spark, sf_dir):
+    """The documents arrive in four files; each batch's counts are added to a store."""
+    at = _folder(spark, "stream")
+    reads(spark, sf_dir).repartition(4, "read_id").write.parquet(f"{at}/reads")
+    streaming.merge_into_store(streaming.stream_reads(spark, f"{at}/reads"), 12, f"{at}/store", f"{at}/checkpoint", READ_LENGTH).awaitTermination()
+    return _text(counts.capped(streaming.read_store(spark, f"{at}/store")), 12)
+
+
+@query(f"WITH {sql_strands()} SELECT name, seq FROM strands")
+def src1_snk5_fasta(spark, sf_dir):
+    at = _folder(spark, "fasta")
+    sinks.write_fasta(strands(spark, sf_dir), at)
+    return sequences.scan_sequences(spark, at, 1000).select("name", "seq")
+
+
+@query(f"WITH {sql_reads()} SELECT 'r' || read_id AS name, md5(seq) AS bases, length(seq) AS n FROM reads WHERE length(seq) > 0")
+def src2_fastq(spark, sf_dir):
+    at = _folder(spark, "fastq")
+    own = reads(spark, sf_dir).where("seq <> ''").select(F.concat(F.lit("@r"), F.col("read_id").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), F.expr("repeat('@', length(seq))")).alias("value"))
+    own.write.text(at)
+    return sequences.scan_sequences(spark, at, 100_000).where("NOT corrupt").select("name", F.md5("seq").alias("bases"), F.length("seq").cast("long").alias("n"))
+
+
+@query(f"WITH {sql_reads()} SELECT 'r' || read_id AS name, md5(seq) AS bases FROM reads WHERE length(seq) > 0")
+def src3_gzip(spark, sf_dir):
+    at = _folder(spark, "gzip")
+    own = reads(spark, sf_dir).where("seq <> ''").select(F.concat(F.lit(">r"), F.col("read_id").cast("string"), F.lit("\n"), "seq").alias("value"))
+    own.write.text(at, compression="gzip")
+    return sequences.scan_sequences(spark, at).select("name", F.md5("seq").alias("bases"))
+
+
+@query(f"WITH {sql_strands()} SELECT name, seq FROM strands WHERE seq <> ''")
+def src4_src7_tab_strands(spark, sf_dir):
+    at = _folder(spark, "tab")
+    strands(spark, sf_dir).where("seq <> ''").select(F.concat_ws("\t", "name", F.lower("seq")).alias("value")).write.text(at)
+    return tables.scan_strands(spark, at).select("name", "seq")
+
+
+@query(f"WITH {SQL_ALIGNMENTS} SELECT row_id AS query, target, target_start, matches, block_length, mapq, tp, cs FROM alignments")
+def src8_scan_paf(spark, sf_dir):
+    at = _folder(spark, "paf")
+    cs = F.concat(F.lit("cs:Z:"), F.col("tags")["cs"])
+    fixed = ["row_id", F.lit("60"), F.lit("0"), F.lit("60"), F.lit("+"), "target", F.lit("60"), F.col("target_start").cast("string"), F.lit("60"), F.col("matches").cast("string"), F.col("block_length").cast("string"), F.col("mapq").cast("string")]
+    alignments(spark, sf_dir).select(F.concat_ws("\t", *fixed, F.concat(F.lit("tp:A:"), F.col("tags")["tp"]), cs).alias("value")).write.text(at)
+    got = tables.scan_paf(spark, at)
+    # a tag of one letter is six characters long
+    return got.select("query", "target", "target_start", "matches", "block_length", "mapq", F.col("tags")["tp"].alias("tp"), F.col("tags")["cs"].alias("cs"))
+
+
+@query(_GRID.replace("paths / total", "round(paths / total, 6)").replace("THEN (targets - exist) / targets", "THEN round((targets - exist) / targets, 6)").replace("THEN (seen - exist) / exist", "THEN round((seen - exist) / exist, 6)"))
+def src10_snk1_metric_grid(spark, sf_dir):
+    at = _folder(spark, "grid")
+    sinks.write_metric_grid(p1_strand_recovery(spark, sf_dir), at)
+    return tables.scan_metric_grid(spark, at)
+
+
+@query(f"WITH {_COVERED} SELECT name, string_agg(cov, ' ' ORDER BY pos) AS list FROM covered JOIN strands USING (strand_id) GROUP BY strand_id, name")
+def snk2_cov_details(spark, sf_dir):
+    at = _folder(spark, "details")
+    sinks.write_lines(sinks.coverage_lines(_covered(spark, sf_dir), strands(spark, sf_dir)), at)
+    f = F.split("value", "\t")
+    return spark.read.text(at).select(f[0].alias("name"), f[1].alias("list"))
+
+
+@query(f"WITH {_SCREEN} SELECT 'passed' AS status, 'doc' || strand_id AS name FROM screen WHERE status = 'passed' UNION ALL SELECT 'filtered', 'doc' || strand_id FROM screen WHERE status = 'filtered'")
+def snk5_snk6_screen(spark, sf_dir):
+    at = _folder(spark, "screen")
+    sinks.write_screen(links.entanglement(pool(spark, sf_dir), K, 0, 0), f"{at}/passed", f"{at}/filtered")
+    passed = sequences.scan_sequences(spark, f"{at}/passed").select(F.lit("passed").alias("status"), "name")
+    return passed.unionByName(spark.read.text(f"{at}/filtered").select(F.lit("filtered").alias("status"), F.col("value").alias("name")))

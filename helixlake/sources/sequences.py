@@ -121,11 +121,12 @@ class Reader(DataSourceReader):
             return
         system, path = pa.fs.FileSystem.from_uri(part.uri)
         with system.open_input_file(path) as raw:
-            stream = gzip.open(raw) if part.end is None else raw
+            stream = io.BufferedReader(raw, 1 << 20)
+            stream = gzip.open(stream) if part.end is None else stream
             back = max(part.start - 1, 0)
             if back:
                 stream.seek(back)
-            lines = Lines(stream if part.end is None else io.BufferedReader(raw) if not hasattr(raw, "readline") else raw, back)
+            lines = Lines(stream, back)
             _synced(lines, part.start)
             rows = []
             while (record := _record(lines)) is not None and (part.end is None or record[0] < part.end):
