@@ -5,7 +5,7 @@ word grams in it; equal windows have equal minimizers, so a minimizer's count is
 that it stands for, while neighbouring windows share one and only about one gram in eighteen is counted.  The tasks'
 sketches are merged segment by segment; what is kept is one bit for each cell, set where the count is two or more: a fixed
 size of 2 * 2**`sketch_bits` / 8 bytes (32 MB), which is broadcast.  Second pass: windows whose minimizer is counted twice in both
-rows of the sketch are grouped exactly by 128 bits of hash, with partial aggregation, to the least document id.  The
+rows of the sketch are grouped exactly by 96 bits of hash, with partial aggregation, to the least document id.  The
 sketch loses no repeated window; when it fills up, more windows are grouped in vain, and the result stays the same.
 
 Cases: null and empty texts have no words; texts of fewer words than a window lose none; rows that repeat a document id
@@ -169,11 +169,11 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int =
         for batch in chunks(batches):
             doc, at, one, two, least = windows(split_words(batch.column("text"), PLAIN), window, gram)
             k = np.flatnonzero(twice(least))
-            yield pa.RecordBatch.from_arrays([pa.array(one[k].view(np.int64)), pa.array(two[k].view(np.int64)), batch.column("id").take(pa.array(doc[k])), pa.array(at[k].astype(np.int32))], names=["h1", "h2", "id", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(one[k].view(np.int64)), pa.array(two[k].astype(np.uint32).view(np.int32)), batch.column("id").take(pa.array(doc[k])), pa.array(at[k].astype(np.int32))], names=["h1", "h2", "id", "at"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = texts.mapInArrow(candidates, f"h1 long, h2 long, id {kind}, at int")
-    least = found.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h1", "h2", "least")
+    found = texts.mapInArrow(candidates, f"h1 long, h2 int, id {kind}, at int")
+    least = found.groupBy("h1", "h2").agg(F.min("id").alias("least"))
     later = found.join(least, ["h1", "h2"]).where("id > least")
     return later.groupBy("id").agg(F.collect_list("at").alias("starts"))
 
