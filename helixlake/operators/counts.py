@@ -41,7 +41,11 @@ def merged_counts(tables: list[DataFrame]) -> DataFrame:
 
 def strand_membership(strands: DataFrame, k: int) -> DataFrame:
     """(kmer, n): in how many strands each k-mer is, up to STRAND_CAP."""
-    each = kmers_ordered(strands, k).select("strand_id", "kmer").distinct()
+    return membership_of(kmers_ordered(strands, k).select("strand_id", "kmer").distinct())
+
+
+def membership_of(each: DataFrame) -> DataFrame:
+    """The same from different pairs (strand_id, kmer)."""
     return each.groupBy("kmer").agg(F.least(F.count("*"), F.lit(STRAND_CAP)).cast("int").alias("n"))
 
 

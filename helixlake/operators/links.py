@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dna import checked_k, trim
 from ..functions.kmers import kmers_ordered
-from .counts import strand_membership
+from .counts import membership_of, strand_membership
 
 
 def cross_links(membership: DataFrame, m: int = 1) -> DataFrame:
@@ -23,8 +24,9 @@ def cross_link_count(strands: DataFrame, k: int = 31, m: int = 1, primer: int =
 
 def max_strand_links(strands: DataFrame, k: int) -> DataFrame:
     """(strand_id, links): the most other strands that one of the strand's k-mers is in."""
-    each = kmers_ordered(strands, k).select("strand_id", "kmer").distinct()
-    return each.join(strand_membership(strands, k), "kmer").groupBy("strand_id").agg((F.max("n") - 1).alias("links"))
+    # one table for both sides of the join, dealt out by k-mer once
+    each = kmers_ordered(strands, k).select("strand_id", "kmer").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    return each.join(membership_of(each), "kmer").groupBy("strand_id").agg((F.max("n") - 1).alias("links"))
 
 
 def entanglement(strands: DataFrame, k: int = 31, m: int = 0, primer: int = 18) -> DataFrame:

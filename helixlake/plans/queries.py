@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -363,7 +364,8 @@ found AS (SELECT near.*, coalesce(cov, 0) AS cov FROM near LEFT JOIN counts ON c
 
 def _graph(spark, sf_dir):
     own = strands(spark, sf_dir).select(F.col("strand_id").alias("query_id"), F.substring("seq", 1, 40).alias("query"))
-    return own, counts.kmer_counts(reads(spark, sf_dir), K)
+    # looked up at each level
+    return own, counts.kmer_counts(reads(spark, sf_dir), K).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @query(f"WITH {_NODES} SELECT * FROM found")

@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows, dealt out anew where the scan has fewer partitions than the cluster has cores (one small file, or a gzip one), before
+    sequences are cut into many more rows.  Large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def strands(spark: SparkSession, sf_dir: str, other: str = "") -> DataFrame:
     """(strand_id, name, seq) of the benchmark items."""
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("strand_id"), F.concat(F.lit("strand"), F.col("item_id").cast("string")).alias("name"), enc(F.col("text"), other).alias("seq"))
@@ -21,7 +28,7 @@ def strands(spark: SparkSession, sf_dir: str, other: str = "") -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str, other: str = "") -> DataFrame:
     """(read_id, seq) of the documents."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("read_id"), enc(F.col("text"), other).alias("seq"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("read_id"), enc(F.col("text"), other).alias("seq"))
 
 
 def pool(spark: SparkSession, sf_dir: str, other: str = "") -> DataFrame:
