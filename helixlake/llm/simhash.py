@@ -30,6 +30,8 @@ from .words import PLAIN_LOWER, Words, chunks, split_words
 
 #: Most rows of one key that one task compares at once.
 BLOCK = 2048
+#: Items whose keys are made by one task, and at once.
+ITEMS_A_TASK, KEYED_AT_ONCE = 8192, 2048
 #: Segments of a 64-bit fingerprint: (bits, lowest bit).
 SEGMENTS_64 = ((22, 0), (21, 22), (21, 43))
 
@@ -77,8 +79,8 @@ def fuzzy_keys(items: DataFrame, segments: dict[str, tuple[tuple[int, int], ...]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 20_000):
-                batch = big.slice(at, 20_000)
+            for at in range(0, big.num_rows, KEYED_AT_ONCE):
+                batch = big.slice(at, KEYED_AT_ONCE)
                 decoded = []
                 for name, parts in segments.items():
                     fp = batch.column(name).to_numpy().view(np.uint64)
@@ -97,8 +99,9 @@ def fuzzy_keys(items: DataFrame, segments: dict[str, tuple[tuple[int, int], ...]
 
 def blocked(rows: DataFrame, by: str, spread: str, most: int) -> DataFrame:
     """Adds columns i and j: rows of a value of `by` with more than `most` rows are dealt to all pairs of blocks of about half
-    as many rows, so that any two rows of the value meet in one pair (i, j) at least."""
-    hot = rows.groupBy(by).count().where(F.col("count") > most).select(by, F.ceil(F.col("count") * 2 / most).cast("int").alias("blocks"))
+    as many rows, so that any two rows of the value meet in one pair (i, j) at least.  Values with so many rows are written first:
+    Spark then knows their size, and broadcasts them if they are few, without a shuffle of the rows."""
+    hot = written(rows.groupBy(by).count().where(F.col("count") > most).select(by, F.ceil(F.col("count") * 2 / most).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64(spread, F.lit(by)), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = F.when(F.col("blocks").isNull(), 0).otherwise(own)
@@ -150,6 +153,7 @@ def close_links(items: DataFrame, segments: dict[str, tuple[tuple[int, int], ...
     """(a, b): links that span what is linked by `distance` differing bits or fewer (and, where `ratio` is given, by column
     `size` within that ratio).  items: id long, the fingerprint columns, and size if ratio is given; ids are distinct."""
     names = [*segments, *(["size"] if ratio else [])]
+    items = items.repartition(max(1, -(-items.count() // ITEMS_A_TASK)))
     keyed = blocked(fuzzy_keys(items, segments), "key", "id", BLOCK)
 
     def near(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
@@ -193,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 <= distance <= 5:
         raise ValueError("three segments find fingerprints that differ in 5 bits at most")
     prints = written(fingerprints(docs, id_col, text_col, shingle))
-    classes = prints.groupBy("fp").agg(F.min(id_col).alias("least"))
+    classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     items = classes.select(F.col("fp").alias("id"), "fp")
     found = components(close_links(items, {"fp": SEGMENTS_64}, distance))
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
