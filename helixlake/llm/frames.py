@@ -169,5 +169,6 @@ def op10_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_frames(table(spark, sf_dir, "documents"), shared_dir(spark))
     docs = read_documents(manifest).select("part", "frame", "place", "id", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
     earlier = F.sum("n_tokens").over(Window.partitionBy("part", "frame").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    placed = docs.withColumn("inside", F.coalesce(earlier, F.lit(0))).join(starts(manifest), ["part", "frame"])
+    # Spark takes what is read from the files to be as small as the manifest, and would broadcast it
+    placed = docs.withColumn("inside", F.coalesce(earlier, F.lit(0))).join(starts(manifest).hint("merge"), ["part", "frame"])
     return placed.select(F.col("id").alias("doc_id"), (F.col("before") + F.col("inside")).cast("long").alias("start"), "n_tokens", "ids_crc32")
