@@ -1,8 +1,9 @@
 """A training-data pipeline over `documents`: quality rules, line dedup, near-duplicate removal, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared folder and reads again
-for the next.  Every stage but the last returns the columns of its input.  Rows whose id is null pass the near-duplicate and
-decontamination stages untouched; repeated rows of an id share its fate; a null text fails the base quality rules.
+for the next.  Every stage but the last returns the columns of its input.  Rows whose id is null can't be named by a verdict, and pass the
+stages that drop by id (the first drops them only where the text is null too); repeated rows of an id share its fate; a null text
+fails the base quality rules; empty tables give empty results.
 """
 
 from __future__ import annotations

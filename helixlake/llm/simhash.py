@@ -122,9 +122,9 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _links(rows: dict[str, np.ndarray], start: np.ndarray, names: list[str], near) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links within each run of rows; start: of each run, and the end."""
+    """Spanning links within each run of rows, from the first row of each linked part; start: of each run, and the end."""
     size = np.diff(start)
-    left, right = [], []
+    left, right, a_small, b_small = [], [], [], []
     small = np.repeat(size <= 64, size)
     left_in_run = np.repeat(start[1:], size) - np.arange(start[-1]) - 1
     for step in range(1, 64):
@@ -132,8 +132,13 @@ def _links(rows: dict[str, np.ndarray], start: np.ndarray, names: list[str], nea
         if not len(i):
             break
         i = i[near({c: rows[c][i] for c in names}, {c: rows[c][i + step] for c in names})]
-        left.append(i)
-        right.append(i + step)
+        a_small.append(i)
+        b_small.append(i + step)
+    if a_small:
+        root = forest(np.concatenate(a_small), np.concatenate(b_small), start[-1])
+        member = np.flatnonzero(root != np.arange(start[-1]))
+        left.append(root[member])
+        right.append(member)
     for k in np.flatnonzero(size > 64):
         at = np.arange(start[k], start[k + 1])
         a, b = [], []
@@ -187,7 +192,8 @@ def close_links(items: DataFrame, segments: dict[str, tuple[tuple[int, int], ...
         if held is not None:
             yield links(held, np.array([0, len(held["key"])]))
 
-    dealt = keyed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    # by id within a key: parts that keys have in common then get the same links, from their least id
+    dealt = keyed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -213,6 +219,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Four segments of 23 bits, two in each of two columns, of a fingerprint over a text's distinct words.
 SEGMENTS_92 = {"f1": ((23, 0), (23, 23)), "f2": ((23, 0), (23, 23))}
+#: Bytes of the words that the fingerprint is taken over.
+LONG_WORD = 5
 #: Differing bits of 92 up to which two texts are compared in full.
 CLOSE_92 = 18
 #: Texts of a cluster that one task compares in full at once, and their distinct shingles, in hashes.
@@ -230,7 +238,7 @@ def _distinct_runs(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, s1, s2, size, f1, f2): two hashes of the set of shingles, its size, and a 92-bit fingerprint of the set of words.
+    """(id, s1, s2, size, f1, f2): two hashes of the set of shingles, its size, and a 92-bit fingerprint of the set of longer words.
 
     Few changed words change many shingles but few words, so the fingerprint is taken over words; what is close there
     is compared by shingles."""
@@ -245,8 +253,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
             if len(full):
                 sums[0, full] = np.add.reduceat(hashes, at[full])
                 sums[1, full] = np.add.reduceat(hashes * (hashes | np.uint64(1)), at[full])
-            one, two = words.hashes()
-            prints = [majority(*_distinct_runs(h, words.first), bits=46) for h in (one, two)]
+            # short words are mostly those that all texts of a language share; a text without longer ones keeps them
+            long = words.end - words.start >= LONG_WORD
+            doc = words.doc_of()
+            long |= (np.bincount(doc[long], minlength=batch.num_rows) == 0)[doc]
+            at = np.append(0, np.cumsum(np.bincount(doc[long], minlength=batch.num_rows)))
+            prints = [majority(*_distinct_runs(h[long], at), bits=46) for h in words.hashes()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(s.view(np.int64)) for s in sums), pa.array(size.astype(np.int64)), *(pa.array(p.view(np.int64)) for p in prints)], names=["id", "s1", "s2", "size", "f1", "f2"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
