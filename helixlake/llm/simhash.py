@@ -97,11 +97,12 @@ def fuzzy_keys(items: DataFrame, segments: dict[str, tuple[tuple[int, int], ...]
     return items.mapInArrow(run, f"key int, {fields.replace(':', ' ')}")
 
 
-def blocked(rows: DataFrame, by: str, spread: str, most: int) -> DataFrame:
+def blocked(rows: DataFrame, by: str, spread: str, most: int, counted: DataFrame | None = None) -> DataFrame:
     """Adds columns i and j: rows of a value of `by` with more than `most` rows are dealt to all pairs of blocks of about half
     as many rows, so that any two rows of the value meet in one pair (i, j) at least.  Values with so many rows are written first:
-    Spark then knows their size, and broadcasts them if they are few, without a shuffle of the rows."""
-    hot = written(rows.groupBy(by).count().where(F.col("count") > most).select(by, F.ceil(F.col("count") * 2 / most).cast("int").alias("blocks")))
+    Spark then knows their size, and broadcasts them if they are few, without a shuffle of the rows.  counted: the rows' values of `by` from
+    a cheaper source, where there is one."""
+    hot = written((rows if counted is None else counted).groupBy(by).count().where(F.col("count") > most).select(by, F.ceil(F.col("count") * 2 / most).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64(spread, F.lit(by)), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = F.when(F.col("blocks").isNull(), 0).otherwise(own)
@@ -317,7 +318,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(members.withColumnRenamed("node", "id"), "id").dropDuplicates(["id"])
-    dealt = blocked(texts.mapInArrow(sets, "id long, root long, shingles array<long>"), "root", "id", FULL_BLOCK)
+    dealt = blocked(texts.mapInArrow(sets, "id long, root long, shingles array<long>"), "root", "id", FULL_BLOCK, members)
     links = dealt.groupBy("root", "i", "j").applyInArrow(compare, "a long, b long")
     groups = components(links)
     rooted = classes.select("s1", "s2", "size", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
