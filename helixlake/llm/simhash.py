@@ -220,12 +220,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Four segments of 23 bits, two in each of two columns, of a fingerprint over a text's distinct words.
 SEGMENTS_92 = {"f1": ((23, 0), (23, 23)), "f2": ((23, 0), (23, 23))}
-#: Bytes of the words that the fingerprint is taken over.
-LONG_WORD = 5
 #: Differing bits of 92 up to which two texts are compared in full.
 CLOSE_92 = 18
 #: Texts of a cluster that one task compares in full at once, and their distinct shingles, in hashes.
 FULL_BLOCK = 256
+#: Cells of the table of shingle frequencies, as a power of two: of a segment, and at most (of two bits each: 128 MB).
+SEGMENT_BITS, MOST_BITS = 16, 29
+#: Counts from which a cell is of level 1, 2 and 3.
+LEVELS = (2, 8, 64)
+#: Bits of the parity map of a set of shingles, as words of 64.
+PARITY = ("p0", "p1", "p2", "p3")
 
 
 def _distinct_runs(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,7 +243,7 @@ def _distinct_runs(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, s1, s2, size, f1, f2): two hashes of the set of shingles, its size, and a 92-bit fingerprint of the set of longer words.
+    """(id, s1, s2, size, f1, f2): two hashes of the set of shingles, its size, and a 92-bit fingerprint of the set of words.
 
     Few changed words change many shingles but few words, so the fingerprint is taken over words; what is close there
     is compared by shingles."""
@@ -254,12 +258,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
             if len(full):
                 sums[0, full] = np.add.reduceat(hashes, at[full])
                 sums[1, full] = np.add.reduceat(hashes * (hashes | np.uint64(1)), at[full])
-            # short words are mostly those that all texts of a language share; a text without longer ones keeps them
-            long = words.end - words.start >= LONG_WORD
-            doc = words.doc_of()
-            long |= (np.bincount(doc[long], minlength=batch.num_rows) == 0)[doc]
-            at = np.append(0, np.cumsum(np.bincount(doc[long], minlength=batch.num_rows)))
-            prints = [majority(*_distinct_runs(h[long], at), bits=46) for h in words.hashes()]
+            prints = [majority(*_distinct_runs(h, words.first), bits=46) for h in words.hashes()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(s.view(np.int64)) for s in sums), pa.array(size.astype(np.int64)), *(pa.array(p.view(np.int64)) for p in prints)], names=["id", "s1", "s2", "size", "f1", "f2"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -289,14 +288,166 @@ def _similar(group: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np
     return x, y
 
 
+def frequency_levels(texts: DataFrame, shingle: int, bits: int) -> bytes:
+    """Two bits for each of 2 ** bits cells: the level of the number of texts with a shingle of that cell, by `LEVELS`; never too low."""
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(seen: list[np.ndarray]) -> pa.RecordBatch:
+            cells = np.sort(np.concatenate(seen))
+            segments = cells >> np.uint32(SEGMENT_BITS)
+            start = np.flatnonzero(np.append(True, segments[1:] != segments[:-1]))
+            at = np.append(start, len(cells)).astype(np.int32) * 2
+            inside = cells.astype(np.uint16).tobytes()
+            lists = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(inside)])
+            return pa.RecordBatch.from_arrays([pa.array(segments[start].astype(np.int32)), lists], names=["segment", "cells"])
+
+        seen, size = [], 0
+        for batch in chunks(batches):
+            hashes, _ = _distinct_runs(*shingle_hashes(split_words(batch.column("text"), PLAIN_LOWER), shingle))
+            if len(hashes):
+                seen.append((hashes & np.uint64((1 << bits) - 1)).astype(np.uint32))
+                size += len(hashes)
+            if size > 2_000_000:
+                yield out(seen)
+                seen, size = [], 0
+        if seen:
+            yield out(seen)
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, counts = None, None
+
+        def done() -> pa.RecordBatch:
+            level = np.searchsorted(LEVELS, counts, side="right").astype(np.uint8).reshape(-1, 4)
+            packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([packed.tobytes()], pa.binary())], names=["segment", "levels"])
+
+        for batch in batches:
+            for segment, cells in zip(batch.column("segment").to_pylist(), batch.column("cells")):
+                if segment != now:
+                    if now is not None:
+                        yield done()
+                    now, counts = segment, np.zeros(1 << SEGMENT_BITS, dtype=np.int64)
+                counts += np.bincount(np.frombuffer(cells.as_buffer(), np.uint16), minlength=1 << SEGMENT_BITS)
+        if now is not None:
+            yield done()
+
+    counted = texts.select("text").mapInArrow(count, "segment int, cells binary").repartition("segment").sortWithinPartitions("segment")
+    levels = np.zeros(1 << bits >> 2, dtype=np.uint8)
+    size = 1 << SEGMENT_BITS >> 2
+    # of fixed size, whatever the input: at most 2 ** (bits - SEGMENT_BITS) rows
+    for segment, found in counted.mapInArrow(merge, "segment int, levels binary").toLocalIterator():
+        levels[segment * size : (segment + 1) * size] = np.frombuffer(found, np.uint8)
+    return levels.tobytes()
+
+
+def _candidates(rows: dict[str, np.ndarray], start: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a run that are of different groups and can be similar by sizes, places and parities."""
+    share = similarity / (1 + similarity)
+
+    def able(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = rows["size"][i], rows["size"][j]
+        ok = (rows["root"][i] != rows["root"][j]) & (np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9)
+        # of what two sets share, nothing stands before the first shingle that they share
+        ok &= np.minimum(a - rows["place"][i], b - rows["place"][j]) >= share * (a + b) - 1e-9
+        # a bit of the parities differs only where a shingle is in one set alone
+        differ = sum(np.bitwise_count((rows[c][i] ^ rows[c][j]).view(np.uint64)).astype(np.int32) for c in PARITY)
+        return ok & (differ <= (1 - 2 * share) * (a + b) + 1e-9)
+
+    size = np.diff(start)
+    small = np.repeat(size <= 64, size)
+    left_in_run = np.repeat(start[1:], size) - np.arange(start[-1]) - 1
+    for step in range(1, 64):
+        i = np.flatnonzero(small & (left_in_run >= step))
+        if not len(i):
+            break
+        i = i[able(i, i + step)]
+        yield i, i + step
+    for k in np.flatnonzero(size > 64):
+        at = np.arange(start[k], start[k + 1])
+        for i in range(0, len(at), 256):
+            x, y = np.nonzero(able(at[i : i + 256][:, None], at[i:][None, :]))
+            yield at[x + i], at[y + i]
+
+
+def missed_links(texts: DataFrame, groups: DataFrame, shingles: int, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of texts of different groups whose sets of shingles have a Jaccard similarity of `similarity` or more.
+
+    In any order of all shingles two such sets share one of their first n - ceil(similarity * n) + 1.  The order is from rare to
+    frequent by `frequency_levels`; a shingle of one text alone is shared by none, so most texts have no rows.  Rows of a
+    shingle are paired where sizes, places and parities allow, and the pairs are compared in full.
+    texts: (id, text); groups: (node, root), nodes without a row being groups of their own; shingles: about how many there are."""
+    bits = min(max(int(shingles).bit_length(), SEGMENT_BITS), MOST_BITS)
+    shared = texts.sparkSession.sparkContext.broadcast(frequency_levels(texts, shingle, bits))
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            hashes, at = _distinct_runs(*shingle_hashes(split_words(batch.column("text"), PLAIN_LOWER), shingle))
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "shingles"])
+
+    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(shared.value, np.uint8)
+        for batch in chunks(batches):
+            hashes, at = _distinct_runs(*shingle_hashes(split_words(batch.column("text"), PLAIN_LOWER), shingle))
+            size = np.diff(at)
+            doc = np.repeat(np.arange(len(size)), size)
+            parity = np.bincount(doc * 256 + (hashes >> np.uint64(56)).astype(np.int64), minlength=len(size) * 256).reshape(-1, 256) & 1
+            parity = np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
+            cell = hashes & np.uint64((1 << bits) - 1)
+            level = levels[cell >> np.uint64(2)] >> (cell.astype(np.uint8) & 3) * 2 & 3
+            order = np.lexsort((hashes, level, doc))
+            place = np.arange(len(doc)) - np.repeat(at[:-1], size)
+            most = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+            k = np.flatnonzero((place < np.repeat(most, size)) & (level[order] > 0))
+            of = doc[k]
+            columns = [hashes[order[k]].view(np.int64), size[of].astype(np.int32), place[k].astype(np.int32), *(parity[of, c] for c in range(len(PARITY)))]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of)), *map(pa.array, columns)], names=["id", "key", "size", "place", *PARITY])
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
+
+        def found(rows: dict[str, np.ndarray], start: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i, j in _candidates(rows, start, similarity):
+                a, b = rows["id"][i], rows["id"][j]
+                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = {c: batch.column(c).to_numpy() for c in ("key", "i", "j", "id", "root", "size", "place", *PARITY)}
+            if held is not None:
+                rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
+            change = np.flatnonzero((np.diff(rows["key"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
+            if len(change):
+                yield from found({c: v[: change[-1]] for c, v in rows.items()}, np.append(0, change))
+                rows = {c: v[change[-1] :] for c, v in rows.items()}
+            held = rows
+        if held is not None:
+            yield from found(held, np.array([0, len(held["key"])]))
+
+    fields = ", ".join(f"{c} long" for c in PARITY)
+    rows = texts.mapInArrow(prefixes, f"id long, key long, size int, place int, {fields}")
+    rows = written(rows.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    # a shingle within one group has no pairs
+    several = written(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
+    dealt = blocked(rows.join(several, "key"), "key", "id", BLOCK).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    able = written(dealt.mapInArrow(pairs, "a long, b long").distinct())
+    named = able.select(F.col("a").alias("id")).unionByName(able.select(F.col("b").alias("id"))).distinct()
+    full = written(texts.join(named, "id", "left_semi").mapInArrow(sets, "id long, shingles array<long>"))
+    left, right = (full.select(F.col("id").alias(c), F.col("shingles").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    both = F.size(F.array_intersect("x", "y"))
+    return able.join(left, "a").join(right, "b").where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id_col, least): for each distinct id the least id that is reachable over pairs of texts whose sets of shingles have a
     Jaccard similarity of `similarity` or more.
 
     Texts of equal sets are one class.  Classes with close fingerprints (found by Golay keys) form clusters; a cluster's texts
     are compared in full, in pairs of blocks where it is large, and the links that hold are joined to groups.
-    Two texts at the similarity bound differ in about a tenth of the bits; the keys find such a pair with high
-    probability, not with certainty (README.md has the measured share).  Rows with a null id are left out."""
+    The keys find such a pair with high probability, not with certainty; what they miss between groups, `missed_links` finds,
+    so the result is exact.  Rows with a null id are left out."""
     docs = docs.where(F.col(id_col).isNotNull())
     marks = written(sketches(docs, id_col, text_col, shingle))
     classes = written(marks.groupBy("s1", "s2", "size").agg(F.min("id").alias("id"), F.min("f1").alias("f1"), F.min("f2").alias("f2")))
@@ -320,7 +471,12 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = texts.join(members.withColumnRenamed("node", "id"), "id").dropDuplicates(["id"])
     dealt = blocked(texts.mapInArrow(sets, "id long, root long, shingles array<long>"), "root", "id", FULL_BLOCK, members)
     links = dealt.groupBy("root", "i", "j").applyInArrow(compare, "a long, b long")
-    groups = components(links)
+    groups = written(components(links))
+    copies = written(marks.join(classes.select("s1", "s2", "size", F.col("id").alias("first")), ["s1", "s2", "size"]).where("id <> first").select("id").distinct())
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(copies, "id", "left_anti")
+    shingles = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    missed = missed_links(own, groups, shingles, shingle, similarity)
+    groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(missed))
     rooted = classes.select("s1", "s2", "size", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
     least = rooted.select("s1", "s2", "size", F.coalesce("root", "id").alias("least"))
     return marks.join(least, ["s1", "s2", "size"]).select(F.col("id").alias(id_col), "least").distinct()

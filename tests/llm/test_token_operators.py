@@ -157,6 +157,31 @@ def test_similar_texts_match_brute_force(spark):
     assert simhash.similar_texts(docs(spark, [])).count() == 0
 
 
+def test_similar_texts_with_added_passages_are_all_found(spark, monkeypatch):
+    rng = random.Random(9)
+    texts, shared = [], [f"s{i}" for i in range(60)]
+    for case in range(240):
+        n = rng.choice([12, 40, 80, 150, 300])
+        words = [f"v{rng.randint(0, 9000)}" for _ in range(n)]
+        if case % 4 == 0:
+            words[: n // 2] = shared[: n // 2]
+        more = [f"v{rng.randint(0, 9000)}" for _ in range(int((n - 4) * rng.choice([0.1, 0.2, 0.23, 0.25, 0.26])))]
+        at = rng.choice([0, n // 2, n])
+        texts += [" ".join(words), " ".join([*words[:at], *more, *words[at:]])]
+
+    def shingles(t):
+        w = t.encode().split()
+        return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, ids = [shingles(t) for t in texts], list(range(len(texts)))
+    want = linked(sets, ids, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    assert len(set(want)) < len(texts) - 100
+    for block in (2048, 4):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = {r.doc_id: r.least for r in simhash.similar_texts(docs(spark, texts)).collect()}
+        assert [got[i] for i in ids] == want
+
+
 def test_a_large_cluster_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "FULL_BLOCK", 8)
     words = [f"v{i}" for i in range(200)]
