@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "source_file string, offset long, name string, comment string, seq string, qual string, corrupt boolean"
 SPLIT_BYTES = 64 << 20
 ROWS = 4096
+#: A line of a sequence: letters, gaps and stops.
+BASES = re.compile(r"[A-Za-z.*-]*")
 
 
 class Range(InputPartition):
@@ -56,6 +59,10 @@ class Lines:
         self.at += len(raw)
         return out
 
+    def seek(self, at: int) -> None:
+        self.stream.seek(at)
+        self.at, self.held = at, None
+
 
 def _record(lines: Lines) -> tuple | None:
     """(offset, name, comment, seq, qual, corrupt) of the next record: from the next header line on."""
@@ -85,22 +92,50 @@ def _record(lines: Lines) -> tuple | None:
     return offset, name, comment.strip() or None, bases, qual, corrupt
 
 
-def _synced(lines: Lines, start: int) -> None:
-    """Moves to the first record at or after a byte that may be inside of one."""
+def _kind(stream: io.BufferedIOBase) -> bytes:
+    """The first byte of the file's first header: > or @."""
+    while (line := stream.readline()) and line[:1] not in (b">", b"@"):
+        pass
+    return line[:1]
+
+
+def _is_record(lines: Lines, strict: bool) -> bool:
+    """Whether a whole FASTQ record comes next: header, lines of bases, +, quality of the same length, and another header or the end.
+    strict: what stands behind + begins the header's text too."""
+    header = lines.next()[1]
+    size = 0
+    while (line := lines.next()) is not None and line[1][:1] != "+":
+        if not BASES.fullmatch(line[1].strip()):
+            return False
+        size += len(line[1].strip())
+    if line is None or strict and not header[1:].startswith(line[1][1:].strip()):
+        return False
+    have = 0
+    while have < size and (line := lines.next()) is not None:
+        have += len(line[1])
+    while (line := lines.next()) is not None and not line[1].strip():
+        pass
+    return have == size and (line is None or line[1][:1] == "@")
+
+
+def _synced(lines: Lines, start: int, end: int | None, kind: bytes) -> None:
+    """Moves to the first record at or after a byte that may be inside of one.  A quality line may begin with @, > or + as well."""
     if start == 0:
         return
     lines.next()  # what is left of the line before
-    held: list[tuple[int, str]] = []
-    while (line := lines.next()) is not None:
-        held = [*held[-3:], line]
-        if line[1][:1] == ">":
-            lines.held = line
-            return
-        # @, bases, +, quality of the same length: a quality line may begin with @ as well
-        if len(held) == 4 and held[0][1][:1] == "@" and held[2][1][:1] == "+" and len(held[1][1]) == len(held[3][1]):
-            lines.stream.seek(held[0][0])
-            lines.at = held[0][0]
-            return
+    first = lines.at
+    for strict in (True, False):
+        lines.seek(first)
+        while (line := lines.next()) is not None and line[0] < end:
+            if line[1][:1].encode() != kind:
+                continue
+            after = lines.at
+            lines.seek(line[0])
+            if kind == b">" or _is_record(lines, strict):
+                lines.seek(line[0])
+                return
+            lines.seek(after)
+    lines.seek(end)
 
 
 class Reader(DataSourceReader):
@@ -124,10 +159,11 @@ class Reader(DataSourceReader):
             stream = io.BufferedReader(raw, 1 << 20)
             stream = gzip.open(stream) if part.end is None else stream
             back = max(part.start - 1, 0)
-            if back:
+            kind = _kind(stream) if part.start else b""
+            if part.start:
                 stream.seek(back)
             lines = Lines(stream, back)
-            _synced(lines, part.start)
+            _synced(lines, part.start, part.end, kind)
             rows = []
             while (record := _record(lines)) is not None and (part.end is None or record[0] < part.end):
                 rows.append((part.uri, *record))

@@ -28,6 +28,23 @@ def test_fastq_splits_give_the_same_rows(spark, tmp_path):
         assert rows(scan(spark, path, split).select("name", "seq", "qual", "corrupt")) == want
 
 
+def test_multi_line_fastq_splits_give_the_same_rows(spark, tmp_path):
+    def wrapped(text, width):
+        return "\n".join(text[i : i + width] for i in range(0, len(text), width))
+
+    path = tmp_path / "a.fq"
+    for plus in ("", "r{i}", "other"):
+        with open(path, "w") as f:
+            for i in range(120):
+                n, first = 7 + i * 5 % 41, "@>+I"[i % 4]
+                qual = "".join(first if at % 10 == 0 else "I5@>+"[(i + at) % 5] for at in range(n))
+                f.write(f"@r{i} c\n{wrapped(('ACGTN' * 10)[:n], 10)}\n+{plus.format(i=i)}\n{wrapped(qual, 10)}\n" + "\n" * (i % 9 == 0))
+        want = rows(scan(spark, path).select("offset", "name", "seq", "qual", "corrupt"))
+        assert len(want) == 120 and not any(r[4] for r in want)
+        for split in (97, 250, 1001, 4000):
+            assert rows(scan(spark, path, split).select("offset", "name", "seq", "qual", "corrupt")) == want
+
+
 def test_broken_and_multi_line_fastq(spark, tmp_path):
     path = tmp_path / "a.fq"
     path.write_text("@a\nACGT\nAC\n+\nIIII\nII\n@b\nACGT\n+\nII")
