@@ -7,33 +7,21 @@ lost executor one level at most."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import canonical, checked_k, index_to_dna, left_pad_a, pack, starts_with_prefix, unpack
+from ..sources.scratch import unused, written
 
 MAX_DEPTH, MAX_STARTS, MAX_BASE_LENGTH = 6, 32, 300
 UP, DOWN = "up", "down"
 
 
-def _written(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _looked_up(nodes: DataFrame, counts: DataFrame, column: str, cov: str) -> DataFrame:
     """nodes with the coverage of a k-mer column, 0 where it is not counted."""
-    keyed = nodes.withColumn("__key", pack(canonical(F.col(column))))
-    return keyed.join(counts.select(F.col("kmer").alias("__key"), F.col("cov").alias(cov)), "__key", "left").drop("__key").withColumn(cov, F.coalesce(cov, F.lit(0)))
+    key = unused(nodes.columns, "key")
+    keyed = nodes.withColumn(key, pack(canonical(F.col(column))))
+    return keyed.join(counts.select(F.col("kmer").alias(key), F.col("cov").alias(cov)), key, "left").drop(key).withColumn(cov, F.coalesce(cov, F.lit(0)))
 
 
 def _moved(kmer: Column, base: Column, k: int, direction: Column) -> Column:
@@ -97,7 +85,7 @@ def _walk(start: DataFrame, counts: DataFrame, k: int, depths: dict[str, int], f
         if best_only:
             found = found.where("rank = 1")
         rows = found.select("query_id", "direction", F.lit(step + first_step).alias("step"), F.concat("path", "base").alias("path"), "base", F.col("neighbor").alias("kmer"), "cov", "rank")
-        rows = _written(rows)
+        rows = written(rows)
         out = rows if out is None else out.unionByName(rows)
         level = rows.select("query_id", "direction", "kmer", "path")
     if out is None:

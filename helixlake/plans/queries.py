@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import dna, kmers
 from ..operators import alignment, assignment, batchqc, counts, graph, links, recovery, report
 from ..sources import sequences, sinks, tables
+from ..sources.scratch import shared_dir
 from ..streaming import counts as streaming
 from .views import K, K_SHORT, READ_LENGTH, SQL_ALIGNMENTS, SQL_TARGETS, alignments, pool, reads, sql_counts, sql_kmers, sql_pool, sql_reads, sql_strands, strands, table, targets
 
@@ -30,16 +29,6 @@ def query(sql: str | None = None):
     return register
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    at = spark._jvm.org.apache.hadoop.fs.Path(base, f"{name}-{uuid.uuid4().hex}")
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
-
-
 def _text(df: DataFrame, k: int) -> DataFrame:
     """Packed k-mers as text."""
     return df.withColumn("kmer", dna.unpack(F.col("kmer"), k))
@@ -342,7 +331,7 @@ def a14_batch_totals(spark, sf_dir):
 @query(f"WITH {_QC} SELECT strand_id + 1 AS index, strand_id AS name, raw_length, analyzed_length, status, observed AS observed_kmers, kmer_count AS total_kmers, CASE WHEN complete THEN 'yes' WHEN NOT complete THEN 'no' END AS path_complete, min_cov, mean_cov, max_cov, max_ratio AS max_adjacent_ratio FROM qc")
 def snk7_write_batch_csv(spark, sf_dir):
     qc = batchqc.batch_qc(strands(spark, sf_dir), _counts200(spark, sf_dir), K).withColumn("name", F.col("strand_id"))
-    path = _folder(spark, "batch")
+    path = shared_dir(spark, "batch")
     sinks.write_batch_csv(qc, path)
     schema = "index long, name long, raw_length long, analyzed_length long, status string, observed_kmers long, total_kmers long, path_complete string, min_cov int, mean_cov double, max_cov int, max_adjacent_ratio double"
     return spark.read.csv(path, header=True, schema=schema)
@@ -513,7 +502,7 @@ def f24_verdicts(spark, sf_dir):
 @query(f"WITH {sql_counts(12, READ_LENGTH)} SELECT kmer, cov FROM counts")
 def s1_incremental_counts(spark, sf_dir):
     """The documents arrive in four files; each batch's counts are added to a store."""
-    at = _folder(spark, "stream")
+    at = shared_dir(spark, "stream")
     reads(spark, sf_dir).repartition(4, "read_id").write.parquet(f"{at}/reads")
     streaming.merge_into_store(streaming.stream_reads(spark, f"{at}/reads"), 12, f"{at}/store", f"{at}/checkpoint", READ_LENGTH).awaitTermination()
     return _text(counts.capped(streaming.read_store(spark, f"{at}/store")), 12)
@@ -521,14 +510,14 @@ def s1_incremental_counts(spark, sf_dir):
 
 @query(f"WITH {sql_strands()} SELECT name, seq FROM strands")
 def src1_snk5_fasta(spark, sf_dir):
-    at = _folder(spark, "fasta")
+    at = shared_dir(spark, "fasta")
     sinks.write_fasta(strands(spark, sf_dir), at)
     return sequences.scan_sequences(spark, at, 1000).select("name", "seq")
 
 
 @query(f"WITH {sql_reads()} SELECT 'r' || read_id AS name, md5(seq) AS bases, length(seq) AS n FROM reads WHERE length(seq) > 0")
 def src2_fastq(spark, sf_dir):
-    at = _folder(spark, "fastq")
+    at = shared_dir(spark, "fastq")
     own = reads(spark, sf_dir).where("seq <> ''").select(F.concat(F.lit("@r"), F.col("read_id").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), F.expr("repeat('@', length(seq))")).alias("value"))
     own.write.text(at)
     return sequences.scan_sequences(spark, at, 100_000).where("NOT corrupt").select("name", F.md5("seq").alias("bases"), F.length("seq").cast("long").alias("n"))
@@ -536,7 +525,7 @@ def src2_fastq(spark, sf_dir):
 
 @query(f"WITH {sql_reads()} SELECT 'r' || read_id AS name, md5(seq) AS bases FROM reads WHERE length(seq) > 0")
 def src3_gzip(spark, sf_dir):
-    at = _folder(spark, "gzip")
+    at = shared_dir(spark, "gzip")
     own = reads(spark, sf_dir).where("seq <> ''").select(F.concat(F.lit(">r"), F.col("read_id").cast("string"), F.lit("\n"), "seq").alias("value"))
     own.write.text(at, compression="gzip")
     return sequences.scan_sequences(spark, at).select("name", F.md5("seq").alias("bases"))
@@ -544,14 +533,14 @@ def src3_gzip(spark, sf_dir):
 
 @query(f"WITH {sql_strands()} SELECT name, seq FROM strands WHERE seq <> ''")
 def src4_src7_tab_strands(spark, sf_dir):
-    at = _folder(spark, "tab")
+    at = shared_dir(spark, "tab")
     strands(spark, sf_dir).where("seq <> ''").select(F.concat_ws("\t", "name", F.lower("seq")).alias("value")).write.text(at)
     return tables.scan_strands(spark, at).select("name", "seq")
 
 
 @query(f"WITH {SQL_ALIGNMENTS} SELECT row_id AS query, target, target_start, matches, block_length, mapq, tp, cs FROM alignments")
 def src8_scan_paf(spark, sf_dir):
-    at = _folder(spark, "paf")
+    at = shared_dir(spark, "paf")
     cs = F.concat(F.lit("cs:Z:"), F.col("tags")["cs"])
     fixed = ["row_id", F.lit("60"), F.lit("0"), F.lit("60"), F.lit("+"), "target", F.lit("60"), F.col("target_start").cast("string"), F.lit("60"), F.col("matches").cast("string"), F.col("block_length").cast("string"), F.col("mapq").cast("string")]
     alignments(spark, sf_dir).select(F.concat_ws("\t", *fixed, F.concat(F.lit("tp:A:"), F.col("tags")["tp"]), cs).alias("value")).write.text(at)
@@ -562,14 +551,14 @@ def src8_scan_paf(spark, sf_dir):
 
 @query(_GRID.replace("paths / total", "round(paths / total, 6)").replace("THEN (targets - exist) / targets", "THEN round((targets - exist) / targets, 6)").replace("THEN (seen - exist) / exist", "THEN round((seen - exist) / exist, 6)"))
 def src10_snk1_metric_grid(spark, sf_dir):
-    at = _folder(spark, "grid")
+    at = shared_dir(spark, "grid")
     sinks.write_metric_grid(p1_strand_recovery(spark, sf_dir), at)
     return tables.scan_metric_grid(spark, at)
 
 
 @query(f"WITH {_COVERED} SELECT name, string_agg(cov, ' ' ORDER BY pos) AS list FROM covered JOIN strands USING (strand_id) GROUP BY strand_id, name")
 def snk2_cov_details(spark, sf_dir):
-    at = _folder(spark, "details")
+    at = shared_dir(spark, "details")
     sinks.write_lines(sinks.coverage_lines(_covered(spark, sf_dir), strands(spark, sf_dir)), at)
     f = F.split("value", "\t")
     return spark.read.text(at).select(f[0].alias("name"), f[1].alias("list"))
@@ -577,7 +566,7 @@ def snk2_cov_details(spark, sf_dir):
 
 @query(f"WITH {_SCREEN} SELECT 'passed' AS status, 'doc' || strand_id AS name FROM screen WHERE status = 'passed' UNION ALL SELECT 'filtered', 'doc' || strand_id FROM screen WHERE status = 'filtered'")
 def snk5_snk6_screen(spark, sf_dir):
-    at = _folder(spark, "screen")
+    at = shared_dir(spark, "screen")
     sinks.write_screen(links.entanglement(pool(spark, sf_dir), K, 0, 0), f"{at}/passed", f"{at}/filtered")
     passed = sequences.scan_sequences(spark, f"{at}/passed").select(F.lit("passed").alias("status"), "name")
     return passed.unionByName(spark.read.text(f"{at}/filtered").select(F.lit("filtered").alias("status"), F.col("value").alias("name")))

@@ -17,16 +17,25 @@ def _number(value: Column, form: str = "%f") -> Column:
     return F.when(F.isnan(value), "nan").otherwise(F.format_string(form, value))
 
 
+GRID_HEADER = "Ratio\tCoverage\tTotal\tPaths\tNoise\tExist\tLost\tSm\tKd\tKn"
+
+
+def _grid_line() -> Column:
+    cells = [_number(F.col("ratio"), "%.2f"), *(F.col(c).cast("string") for c in ("coverage", "total", "paths", "noise", "exist", "lost")), *(_number(F.col(c)) for c in ("sm", "kd", "kn"))]
+    return F.concat_ws("\t", *cells)
+
+
 def grid_lines(grid: DataFrame) -> DataFrame:
     """(value): tab-separated lines of the metric grid, ratios and measures with fixed decimals."""
-    cells = [_number(F.col("ratio"), "%.2f"), *(F.col(c).cast("string") for c in ("coverage", "total", "paths", "noise", "exist", "lost")), *(_number(F.col(c)) for c in ("sm", "kd", "kn"))]
-    return grid.orderBy("ratio", "coverage").select(F.concat_ws("\t", *cells).alias("value"))
+    return grid.orderBy("ratio", "coverage").select(_grid_line().alias("value"))
 
 
 def write_metric_grid(grid: DataFrame, path: str) -> None:
     """One file: a header, and a line for each cell.  The grid has few rows."""
-    head = grid.sparkSession.createDataFrame([("Ratio\tCoverage\tTotal\tPaths\tNoise\tExist\tLost\tSm\tKd\tKn",)], "value string")
-    head.unionByName(grid_lines(grid)).coalesce(1).write.text(path)
+    head = grid.sparkSession.createDataFrame([(None, None, GRID_HEADER)], "ratio double, coverage int, value string")
+    cells = grid.select("ratio", "coverage", _grid_line().alias("value"))
+    # nulls, and so the header, come first
+    head.unionByName(cells).coalesce(1).sortWithinPartitions("ratio", "coverage").select("value").write.text(path)
 
 
 def _listed(rows: DataFrame, order: str, value: Column) -> Column:
@@ -81,7 +90,8 @@ def batch_rows(qc: DataFrame) -> DataFrame:
 
 
 def write_batch_csv(qc: DataFrame, path: str) -> None:
-    batch_rows(qc).write.csv(path, header=True)
+    """Files in the strands' order, each with a header."""
+    batch_rows(qc).repartitionByRange("index").sortWithinPartitions("index").write.csv(path, header=True)
 
 
 def write_consensus(consensus: DataFrame, table_path: str, fasta_path: str) -> None:
