@@ -1,14 +1,15 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 `build_index` cuts the corpus into shards of whole documents and stores, for each shard and term, the sorted positions of the
-term on the shard's axis of words (documents are one position apart, so no phrase crosses them).  Building needs no shuffle:
-a frequent term has one bounded list in each shard.  The test items get the same index; the two are joined by term, and
-each pair of a corpus shard and a block of items is searched in one task of bounded size: a window's lists are intersected
-from its rarest term on, each list moved by the term's offset.
+term on the shard's axis of words (documents are one position apart, so no phrase crosses them), as differences of one, two or four bytes.
+Building needs no shuffle: a frequent term has one bounded list in each shard.  The test items get the same index; the two are joined by
+term, with the term's frequency in the whole corpus, and each pair of a corpus shard and a block of items is searched in one task
+of bounded size: each window is looked up by its rarest term's list, whose positions are moved by the offsets of the other terms and
+held against their lists, from the rarest on, for all windows at once.  Windows with a term that the corpus lacks are not looked up.
 
 Cases: null and empty texts have no words and are never hit; an item of fewer words than a window is one window; items
 without words have none; rows that repeat an item id count as one item; a null item id counts as the empty string;
-repeated documents give a row each; empty tables give no hits; other columns of the inputs are not touched.
+repeated documents give a row each, and so do null ids; empty tables give no hits; other columns of the inputs are not touched.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import table, written
+from .tables import beside, dropped, settled, table, text_key, without, written
 from .words import ALNUM_LOWER, chunks, split_words
 
 WINDOW = 10
@@ -29,14 +30,50 @@ WINDOW = 10
 NEAR = 15
 #: The list of the documents' first positions is stored as if it were a term; words are never empty.
 STARTS = ""
+#: Pairs of a window and a position of its rarest term that a task holds at once.
+PAIRS_AT_ONCE = 1 << 20
+#: Lists of test items that are broadcast; more are joined by a shuffle.
+FEW_LISTS = 1 << 16
+
+
+def coded_lists(at: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Sorted lists of positions as bytes: the first in four, then differences in as few as the list's greatest needs.  ends: where each list
+    ends; none is empty."""
+    size = np.diff(ends, prepend=0)
+    starts = ends - size
+    step = np.diff(at, prepend=0).astype(np.int64)
+    step[starts] = 0
+    most = np.maximum.reduceat(step, starts) if len(starts) else step
+    width = np.where(most < 1 << 8, 1, np.where(most < 1 << 16, 2, 4))
+    offset = np.append(0, np.cumsum(4 + (size - 1) * width))
+    out = np.zeros(offset[-1], dtype=np.uint8)
+    out[offset[:-1, None] + np.arange(4)] = at[starts].astype("<i4").view(np.uint8).reshape(-1, 4)
+    owner = np.repeat(np.arange(len(size)), size)
+    inside = np.arange(len(at)) - starts[owner]
+    for w in (1, 2, 4):
+        k = np.flatnonzero((width[owner] == w) & (inside > 0))
+        place = offset[owner[k]] + 4 + (inside[k] - 1) * w
+        out[place[:, None] + np.arange(w)] = step[k].astype(f"<u{w}").view(np.uint8).reshape(-1, w)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(out)])
+
+
+def decoded_list(data: bytes, n: int) -> np.ndarray:
+    first = np.frombuffer(data, "<i4", 1)
+    if n == 1:
+        return first.astype(np.int64)
+    step = np.frombuffer(data, f"<u{(len(data) - 4) // (n - 1)}", n - 1, 4)
+    return np.cumsum(np.concatenate([first, step]), dtype=np.int64)
 
 
 def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (shard, term, at, id): positions of each term in each shard; and for each document a row without term, whose
-    at is [ordinal in the shard, position of the first word, number of words] and whose id is the document's, as a string."""
+    """Rows (shard, term, n, at): the number of positions of each term in each shard, and those; and for each document a row without term
+    (shard, ordinal, start, words, id): its number in the shard, the position of its first word, its number of words, and its id."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"shard long, term string, n int, at binary, ordinal int, start int, words int, id {kind}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
+        names = [f.split()[0] for f in schema.split(", ", 7)]
         for batch in chunks(batches):
             words = split_words(batch.column("text"), ALNUM_LOWER)
             ids, terms = words.ids()
@@ -44,28 +81,75 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             starts = (words.first[:-1] + np.arange(docs_n)).astype(np.int32)
             at = (np.arange(len(words)) + words.doc_of()).astype(np.int32)
             order = np.argsort(ids, kind="stable")
-            ends = np.cumsum(np.bincount(ids, minlength=len(terms))) if len(terms) else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends, [len(ids) + docs_n]]).astype(np.int32)), pa.array(np.concatenate([at[order], starts])))
-            names = pa.array(terms + [STARTS.encode()], pa.binary()).cast(pa.string())
-            n = len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), names, lists, pa.nulls(n, pa.string())], names=["shard", "term", "at", "id"])
-            own = np.stack([np.arange(docs_n), starts, words.per_doc], axis=1).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(docs_n + 1, dtype=np.int32) * 3), pa.array(own.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(docs_n, shard)), pa.nulls(docs_n, pa.string()), lists, batch.column("id")], names=["shard", "term", "at", "id"])
+            ends = np.append(np.cumsum(np.bincount(ids, minlength=len(terms))), len(ids) + docs_n).astype(np.int64)
+            lists = coded_lists(np.concatenate([at[order], starts]), ends)
+            n = len(lists)
+            none = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int32(), batch.column("id").type)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array([*terms, STARTS.encode()], pa.binary()).cast(pa.string()), pa.array(np.diff(ends, prepend=0).astype(np.int32)), lists, *none], names=names)
+            own = [pa.array(x.astype(np.int32)) for x in (np.arange(docs_n), starts, words.per_doc)]
+            none = [pa.nulls(docs_n, t) for t in (pa.string(), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(docs_n, shard)), *none, *own, batch.column("id")], names=names)
             shard += 1
 
-    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "shard long, term string, at array<int>, id string")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(run, schema)
+
+
+def _windows(starts: np.ndarray, words: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, first positions, items) of all windows, by size: a shorter item is one window."""
+    sizes = np.minimum(words, window)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        items = np.flatnonzero(sizes == size)
+        many = words[items] - size + 1
+        first = np.repeat(starts[items] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(many.sum())
+        yield size, first, np.repeat(items, many)
+
+
+class Shard:
+    """The lists of a shard's terms, for lookups of many positions at once."""
 
+    def __init__(self, lists: list[np.ndarray], starts: np.ndarray):
+        self.size = np.array([len(x) for x in lists])
+        self.first = np.append(0, np.cumsum(self.size))
+        self.at = np.concatenate(lists)
+        self.keys = np.repeat(np.arange(len(lists)), self.size) << 32 | self.at
+        self.term = np.full(int(self.at.max()) + 1, -1, dtype=np.int32)
+        self.term[self.at] = np.repeat(np.arange(len(lists)), self.size)
+        self.starts = starts
+        self.ends = np.append(starts[1:] - 1, np.iinfo(np.int32).max)
 
-def _members(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    k = np.searchsorted(sorted_values, wanted)
-    return (k < len(sorted_values)) & (sorted_values[np.minimum(k, len(sorted_values) - 1)] == wanted)
+    def positions(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All positions of each of the terms, one list after the other, and which of the terms each is of."""
+        many = self.size[terms]
+        of = np.repeat(np.arange(len(terms)), many)
+        return self.at[np.arange(len(of)) + np.repeat(self.first[terms] - np.append(0, np.cumsum(many)[:-1]), many)], of
 
+    def has(self, terms: np.ndarray, at: np.ndarray) -> np.ndarray:
+        ok = (at >= 0) & (at < len(self.term))
+        return ok & (self.term[np.where(ok, at, 0)] == terms)
 
-def _close(sorted_values: np.ndarray, wanted: np.ndarray, near: int) -> np.ndarray:
-    k = np.searchsorted(sorted_values, wanted - near)
-    return (k < len(sorted_values)) & (sorted_values[np.minimum(k, len(sorted_values) - 1)] <= wanted + near)
+    def has_between(self, terms: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.keys, terms.astype(np.int64) << 32 | low)
+        return (k < len(self.keys)) & (self.keys[np.minimum(k, len(self.keys) - 1)] <= (terms.astype(np.int64) << 32 | high))
+
+    def doc(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, at, side="right") - 1
+
+
+def _found(shard: Shard, terms: np.ndarray, rarity: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that occur, and where each begins; windows whose terms are close, and where the rarest is.  terms: of each window, a row;
+    rarity: of all terms in the corpus."""
+    order = np.argsort(rarity[terms], axis=1, kind="stable")
+    lead = order[:, 0]
+    at, of = shard.positions(terms[np.arange(len(terms)), lead])
+    begin, exact = at - lead[of], np.arange(len(at))
+    doc = shard.doc(at)
+    low, high, loose = np.maximum(at - near, shard.starts[doc]), np.minimum(at + near, shard.ends[doc] - 1), np.arange(len(at))
+    for k in range(1, terms.shape[1]):
+        for_exact, for_loose = of[exact], of[loose]
+        exact = exact[shard.has(terms[for_exact, order[for_exact, k]], begin[exact] + order[for_exact, k])]
+        loose = loose[shard.has_between(terms[for_loose, order[for_loose, k]], low[loose], high[loose])]
+    return of[exact], begin[exact], of[loose], at[loose]
 
 
 def search(index: DataFrame, items: DataFrame, window: int = WINDOW, near: int = NEAR) -> DataFrame:
@@ -73,85 +157,75 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, near: int =
     to end (exclusive, counted in the document) are covered by exact windows of the item; kind near: all terms of a window
     are within `near` words of its rarest one, which is at start.  items: an index too; item is an ordinal in its block."""
     lists = lambda side: side.where(F.col("term").isNotNull())
-    joined = lists(index).select("shard", "term", "at").join(lists(items).select("term", F.col("shard").alias("block"), F.col("at").alias("item_at")), "term")
+    asked = lists(items).select("term", F.col("shard").alias("block"), F.col("n").alias("item_n"), F.col("at").alias("item_at"))
+    terms = written(asked.select("term").distinct())
+    common = written(lists(index).select("term", "n").join(beside(terms), "term").groupBy("term").agg(F.sum("n").alias("frequency")))
+    asked = written(asked.join(common, "term"))
+    # an item's words as they follow from the next one's start, the last one's from its block's end
+    block_end = items.where(F.col("term").isNull()).groupBy(F.col("shard").alias("block")).agg(F.max(F.col("start") + F.col("words")).alias("item_end"))
+    asked = written(asked.join(block_end, "block"))
+    joined = lists(index).select("shard", "term", "n", "at").join(beside(asked, FEW_LISTS), "term")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        terms = group.column("term").to_pylist()
-        at = [x.values.to_numpy() for x in group.column("at").combine_chunks()]
-        item_at = [x.values.to_numpy() for x in group.column("item_at").combine_chunks()]
-        none = terms.index(STARTS)
-        starts, item_starts = at[none], item_at[none]
-        term_of = {p: k for k, ps in enumerate(item_at) if k != none for p in ps.tolist()}
-        out: dict[str, list] = {c: [] for c in ("doc", "item", "kind", "start", "end")}
-
-        def put(item: int, kind: str, start: np.ndarray, end: np.ndarray) -> None:
-            doc = np.searchsorted(starts, start, side="right") - 1
-            out["doc"] += doc.tolist()
-            out["item"] += [item] * len(doc)
-            out["kind"] += [kind] * len(doc)
-            out["start"] += (start - starts[doc]).tolist()
-            out["end"] += (end - starts[doc]).tolist()
-
-        # an item ends before the gap in front of the next one, the last where the block does
-        sizes = np.append(item_starts[1:] - 1, group.column("item_end")[0].as_py()) - item_starts
-        for item, first in enumerate(item_starts.tolist()):
-            n = int(sizes[item])
-            if n <= 0:
-                continue
-            size = min(window, n)
-            exact, loose = [], []
-            for s in range(first, first + n - size + 1):
-                found = [term_of.get(s + k) for k in range(size)]
-                if None in found:
-                    continue
-                by_rarity = sorted(range(size), key=lambda k: len(at[found[k]]))
-                lead = by_rarity[0]
-                middle = at[found[lead]]
-                seen = {found[lead]}
-                for k in by_rarity[1:]:
-                    if not len(middle):
-                        break
-                    if found[k] not in seen:
-                        seen.add(found[k])
-                        middle = middle[_close(at[found[k]], middle, near)]
-                if not len(middle):
+        names = group.column("term").to_pylist()
+        unpacked = lambda n, at: [decoded_list(x.as_buffer(), m) for x, m in zip(group.column(at).combine_chunks(), group.column(n).to_pylist())]
+        at, item_at = unpacked("n", "at"), unpacked("item_n", "item_at")
+        none = names.index(STARTS)
+        starts, item_starts = at.pop(none), item_at.pop(none)
+        rarity = np.delete(group.column("frequency").to_numpy(), none)
+        end = group.column("item_end")[0].as_py()
+        kinds: dict[str, list] = {c: [] for c in ("doc", "item", "kind", "start", "end")}
+
+        def put(item: np.ndarray, kind: str, start: np.ndarray, end: np.ndarray) -> None:
+            doc = shard.doc(start)
+            for c, v in (("doc", doc), ("item", item), ("start", start - starts[doc]), ("end", end - starts[doc])):
+                kinds[c].append(v)
+            kinds["kind"].append(np.full(len(doc), kind))
+
+        if at:
+            shard = Shard(at, starts)
+            term_of = np.full(end + 1, -1, dtype=np.int64)
+            for k, places in enumerate(item_at):
+                term_of[places] = k
+            for size, first, item in _windows(item_starts, np.append(item_starts[1:] - 1, end) - item_starts, window):
+                own = term_of[first[:, None] + np.arange(size)]
+                there = (own >= 0).all(axis=1)
+                own, item = own[there], item[there]
+                if not len(own):
                     continue
-                doc = np.searchsorted(starts, middle, side="right") - 1
-                begin = middle - lead
-                for k in by_rarity[1:]:
-                    begin = begin[_members(at[found[k]], begin + k)] if len(begin) else begin
-                if len(begin):
-                    exact.append(begin)
-                # proximity stays inside one document
-                last = np.append(starts[1:], np.iinfo(np.int32).max)[doc]
-                inside = np.ones(len(middle), dtype=bool)
-                for t in seen:
-                    k = np.searchsorted(at[t], np.maximum(middle - near, starts[doc]))
-                    inside &= (k < len(at[t])) & (at[t][np.minimum(k, len(at[t]) - 1)] <= np.minimum(middle + near, last - 1))
-                if inside.any():
-                    loose.append(middle[inside])
-            if exact:
-                begin = np.unique(np.concatenate(exact))
-                new = np.append(True, begin[1:] > begin[:-1] + size)
-                put(item, "phrase", begin[new], np.append(begin[np.flatnonzero(new)[1:] - 1], begin[-1]) + size)
-            if loose:
-                middle = np.unique(np.concatenate(loose))
-                put(item, "near", middle, middle + 1)
+                lead = np.take_along_axis(own, rarity[own].argmin(axis=1)[:, None], axis=1)[:, 0]
+                part = np.cumsum(shard.size[lead]) // PAIRS_AT_ONCE
+                exact, loose = [], []
+                for p in np.unique(part):
+                    k = np.flatnonzero(part == p)
+                    of, begin, close, middle = _found(shard, own[k], rarity, near)
+                    exact.append((item[k][of], begin))
+                    loose.append((item[k][close], middle))
+                which, begin = (np.concatenate(x) for x in zip(*exact))
+                if len(which):
+                    both = np.unique(np.stack([which, begin], axis=1), axis=0)
+                    new = np.append(True, (both[1:, 0] != both[:-1, 0]) | (both[1:, 1] > both[:-1, 1] + size))
+                    ends = both[np.append(np.flatnonzero(new)[1:] - 1, len(both) - 1), 1] + size
+                    put(both[new, 0], "phrase", both[new, 1], ends)
+                which, middle = (np.concatenate(x) for x in zip(*loose))
+                if len(which):
+                    both = np.unique(np.stack([which, middle], axis=1), axis=0)
+                    put(both[:, 0], "near", both[:, 1], both[:, 1] + 1)
+        out = {c: np.concatenate(v) if v else [] for c, v in kinds.items()}
         n = len(out["doc"])
-        return pa.table({"shard": pa.array([key[0].as_py()] * n, pa.int64()), "block": pa.array([key[1].as_py()] * n, pa.int64()), "doc": pa.array(out["doc"], pa.int32()), "item": pa.array(out["item"], pa.int32()), "kind": pa.array(out["kind"], pa.string()), "start": pa.array(out["start"], pa.int32()), "end": pa.array(out["end"], pa.int32())})
+        types = {"doc": pa.int32(), "item": pa.int32(), "kind": pa.string(), "start": pa.int32(), "end": pa.int32()}
+        return pa.table({"shard": pa.array([key[0].as_py()] * n, pa.int64()), "block": pa.array([key[1].as_py()] * n, pa.int64())} | {c: pa.array(out[c], t) for c, t in types.items()})
 
-    # where the last item of a block ends, as its last words may be missing from the corpus
-    block_end = items.where(F.col("term").isNull()).groupBy(F.col("shard").alias("block")).agg(F.max(F.col("at")[1] + F.col("at")[2]).alias("item_end"))
-    joined = joined.join(block_end, "block")
     return joined.groupBy("shard", "block").applyInArrow(run, "shard long, block long, doc int, item int, kind string, start int, end int")
 
 
+@settled
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, near: int = NEAR) -> DataFrame:
     """For each row of docs: (id_col, n_words, n_hit, item_ids, near_ids): words, words inside exact windows of items, ids of the
     items (strings) with exact windows, and of those with a proximity match."""
     index = written(build_index(docs, id_col, text_col))
-    tests = written(build_index(items, item_id, item_text))
-    own = lambda side: side.where(F.col("term").isNull()).select("shard", F.col("at")[0].alias("ordinal"), F.col("at")[2].alias("n"), "id")
+    tests = written(build_index(items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")), "id", "text"))
+    own = lambda side: side.where(F.col("term").isNull()).select("shard", "ordinal", "words", "id")
     names = own(tests).select(F.col("shard").alias("block"), F.col("ordinal").alias("item"), F.coalesce("id", F.lit("")).alias("item_id"))
     found = written(search(index, tests, window, near).join(names, ["block", "item"]))
     at_doc = Window.partitionBy("shard", "doc").orderBy("start", "end")
@@ -161,17 +235,27 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     covered = covered.groupBy("shard", "doc").agg(F.sum("new").alias("n_hit"))
     by_kind = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("item_id"))))
     sets = found.select("shard", "doc", "kind", "item_id").distinct().groupBy("shard", "doc").agg(by_kind("phrase").alias("item_ids"), by_kind("near").alias("near_ids"))
-    hits = sets.join(covered, ["shard", "doc"], "left").withColumnRenamed("doc", "ordinal")
+    hits = written(sets.join(covered, ["shard", "doc"], "left").withColumnRenamed("doc", "ordinal"))
     none = F.array().cast("array<string>")
-    return own(index).join(hits, ["shard", "ordinal"], "left").select(
-        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),
-        F.col("n").cast("long").alias("n_words"),
+    return own(index).join(beside(hits), ["shard", "ordinal"], "left").select(
+        F.col("id").alias(id_col),
+        F.col("words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("item_ids", none).alias("item_ids"),
         F.coalesce("near_ids", none).alias("near_ids"),
     )
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of docs that no window of an item occurs in, as they are.  They are told by their text, so ids may be null or repeated."""
+    key = text_key(F.col(text_col).cast("string"))
+    texts = docs.select(F.struct(key[0].alias("a"), key[1].alias("b")).alias("key"), F.col(text_col).alias("text"))
+    found = contamination(texts, items, "key", "text", item_id, item_text, window)
+    gone = written(found.where("n_hit > 0").select("key.a", "key.b").distinct())
+    dropped(found)
+    return without(docs, gone, key)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(

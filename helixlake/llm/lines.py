@@ -3,8 +3,8 @@
 Pages are grouped by host.  A line's ratio is the number of a host's pages that contain it, over the number of the host's
 pages; lines above the ratio that are on enough pages are boilerplate there, and dropped.  Pages with equal text count once, so that
 copies of one page don't make its lines boilerplate.  At most (mean distinct lines of a host's pages / ratio) lines of a host
-can be above the ratio, so each host has a short list; lists are joined to the pages by host, broadcast only where
-Spark finds them small, with pages of a large host split among tasks otherwise.
+can be above the ratio, so each host has a short list.  The lists are written, counted and joined to the pages by host: broadcast where
+all of them together have few lines, else by a merge of two plain exchanges, whose pages of a large host adaptive execution splits among tasks.
 
 Cases: a null text stays null, and is no page; an empty text is a page of one empty line; empty lines are never dropped; null hosts
 are one host, that of the empty name; repeated rows are one page, each row treated alike; a text may lose all its lines and is then
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import FEW_ROWS, table, unused, written
 
 RATIO, MIN_PAGES = 0.1, 5
 
@@ -43,18 +43,19 @@ def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float = RA
 def without_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with the boilerplate lines of each row's host dropped from its text, and one more column, an array of two counts (lines, dropped
     lines), named lines_dropped (with underscores in front where docs has that name)."""
-    added = "lines_dropped"
-    while added in docs.columns:
-        added = f"_{added}"
-    found = boilerplate(docs, host_col, text_col, ratio, min_pages).select(F.col("host").alias("__host"), F.col("drop").alias("__drop"))
-    joined = docs.join(found, F.coalesce(docs[host_col].cast("string"), F.lit("")) == F.col("__host"), "left")
-    lines = _lines(F.col(text_col).cast("string"))
-    kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (x == "") | ~F.array_contains(F.col("__drop"), _key(x))))
-    out = joined.withColumn("__kept", kept)
-    counts = F.array(F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)))
-    counts = F.when(F.col(text_col).isNull(), F.array(F.lit(0), F.lit(0))).otherwise(counts)
-    columns = [F.when(F.col(text_col).isNotNull(), F.array_join("__kept", "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*columns, counts.alias(added))
+    found = written(boilerplate(docs, host_col, text_col, ratio, min_pages))
+    host, drop, kept = (unused(docs.columns, n) for n in ("host", "drop", "kept"))
+    # a list is shorter than its host's mean page, divided by the ratio
+    few = found.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0] + found.count() <= FEW_ROWS
+    found = found.select(F.col("host").alias(host), F.col("drop").alias(drop))
+    joined = docs.join(F.broadcast(found) if few else found.hint("merge"), F.coalesce(docs[host_col].cast("string"), F.lit("")) == found[host], "left")
+    text, drop_, kept_ = (F.col(f"`{c}`") for c in (text_col, drop, kept))
+    lines = _lines(text.cast("string"))
+    out = joined.withColumn(kept, F.when(drop_.isNull(), lines).otherwise(F.filter(lines, lambda x: (x == "") | ~F.array_contains(drop_, _key(x)))))
+    counts = F.array(F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size(lines) - F.size(kept_), F.lit(0)))
+    counts = F.when(text.isNull(), F.array(F.lit(0), F.lit(0))).otherwise(counts)
+    columns = [F.when(text.isNotNull(), F.array_join(kept_, "\n")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*columns, counts.alias(unused(docs.columns, "lines_dropped")))
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

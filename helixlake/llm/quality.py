@@ -1,18 +1,18 @@
 """Quality rules: statistics of each text, and a learned decision list over them.
 
-Statistics are counted in Arrow tasks for every text.  A decision list is learned on the driver from a bounded sample of
-labelled rows (`SAMPLE` rows, those of least hash of the id) by sequential covering: a rule, a conjunction of thresholds, is
+Statistics are counted in Arrow batches for every text.  A decision list is learned on the driver from a bounded sample of
+labels (`SAMPLE` of them, those of least hash of the id) by sequential covering: a rule, a conjunction of thresholds, is
 grown on two thirds of the rows that no rule covers yet, pruned on the other third, and kept while it is precise there.
-The list becomes one ordered conditional expression of Spark columns, evaluated for every row.
+The list becomes one ordered conditional expression of Spark columns, evaluated for every row where the row lies: only the
+labelled rows are joined to anything.
 
-Cases: null and empty texts have no words and fail the base rules; ratios over nothing are zero; repeated rows count each; labels
-that are null or belong to no text are not used; without labels of both kinds there are no learned rules; empty
-tables give empty results; other columns of the input are not touched.
+Cases: null and empty texts have no words and fail the base rules; ratios over nothing are zero; repeated rows count each; a null
+id is judged by its text like any other; labels that are null or belong to no text are not used; without labels of both kinds there are no
+learned rules; empty tables give empty results; other columns of the input are not touched, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .substrings import BASES, Rolling, _mixed
-from .tables import table, written
+from .tables import table, unused, written
 from .words import PLAIN, chunks, split_words
 
 #: Labelled rows that rules are learned from, at most.
@@ -67,70 +67,81 @@ def repeated_words(doc: np.ndarray, hashes: np.ndarray, first: np.ndarray, windo
     return np.bincount(doc[covered], minlength=len(out))
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, *COUNTS): counts for each row's whole text.  Words are runs between blanks; word_chars, code points in words;
-    n_symbols, signs of #*$%&|<>; n_dup_lines, lines with a word that equal an earlier one; n_repeat_words, words in 8-word windows
-    found twice or more; n_marks, ASCII punctuation."""
+def _counted(texts: pa.Array) -> pa.StructArray:
+    """COUNTS of each text of a chunk."""
     classes = _classes()
-    blank = np.zeros(256, dtype=bool)
-    blank[[32, *range(9, 14)]] = True
     codepoint = (np.arange(256) & 0xC0) != 0x80
+    words = split_words(texts, PLAIN)
+    hashes, _ = words.hashes()
+    data, at = words.data, words.doc_at  # separators are zero there; a zero byte in a text is none of the classes
+
+    def total(flags: np.ndarray) -> np.ndarray:
+        sums = np.append(0, np.cumsum(flags, dtype=np.int64))
+        return sums[at[1:]] - sums[at[:-1]]
+
+    inside = np.zeros(len(data) + 1, dtype=np.int8)
+    inside[words.start] += 1
+    inside[words.end] -= 1
+    in_word = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+    out = {c: total(flags[data] & in_word) for c, flags in classes.items()}
+    out["n_words"] = words.per_doc.astype(np.int64)
+    out["word_chars"] = total(codepoint[data] & in_word)
+    out["n_repeat_words"] = repeated_words(words.doc_of(), hashes, words.first)
+    lines, dups = [], []
+    for text in texts.to_pylist():
+        own = (text or "").split("\n")
+        lines.append(len(own))
+        with_word = [x for x in own if x.strip(" \t\n\r\x0b\x0c")] if len(own) > 1 else []
+        dups.append(len(with_word) - len(set(with_word)))
+    out["n_lines"], out["n_dup_lines"] = np.array(lines, dtype=np.int64), np.array(dups, dtype=np.int64)
+    return pa.StructArray.from_arrays([pa.array(out[c]) for c in COUNTS], names=list(COUNTS))
+
+
+def counted(text: Column) -> Column:
+    """A struct of COUNTS for each text, counted in Arrow batches while the row's other columns stay where they are.  Words are runs between
+    blanks; word_chars, code points in words; n_symbols, signs of #*$%&|<>; n_dup_lines, lines with a word that equal an earlier one;
+    n_repeat_words, words in 8-word windows found twice or more; n_marks, ASCII punctuation."""
+
+    @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS))
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [_counted(b.column("text")) for b in chunks([pa.RecordBatch.from_arrays([texts], names=["text"])])]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(c, pa.int64()) for c in COUNTS]))
+
+    return run(text.cast("string"))
+
+
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, *COUNTS): counts for each row's whole text."""
+    return docs.select(F.col(id_col).alias("id"), counted(F.col(text_col)).alias("counts")).select(F.col("id").alias(id_col), "counts.*")
+
+
+def _columns() -> dict[str, Column]:
+    return {c: F.col(c) for c in COUNTS}
+
+
+def features(own: dict[str, Column] | None = None) -> dict[str, Column]:
+    """What rules put thresholds on, from the counts (own: where those are)."""
+    own = own or _columns()
+
+    def ratio(a: str, b: str) -> Column:
+        return F.when(own[b] > 0, own[a] / own[b]).otherwise(F.lit(0.0))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            words = split_words(batch.column("text"), PLAIN)
-            hashes, _ = words.hashes()
-            doc = words.doc_of()
-            data, at = words.data, words.doc_at
-            raw = data  # separators are zero there; a zero byte in a text is none of the classes
-
-            def total(flags: np.ndarray) -> np.ndarray:
-                sums = np.append(0, np.cumsum(flags, dtype=np.int64))
-                return sums[at[1:]] - sums[at[:-1]]
-
-            inside = np.zeros(len(data) + 1, dtype=np.int8)
-            inside[words.start] += 1
-            inside[words.end] -= 1
-            in_word = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
-            out = {c: total(flags[raw] & in_word) for c, flags in classes.items()}
-            out["n_words"] = words.per_doc.astype(np.int64)
-            out["word_chars"] = total(codepoint[raw] & in_word)
-            out["n_repeat_words"] = repeated_words(doc, hashes, words.first)
-            lines, dups = [], []
-            for text in batch.column("text").to_pylist():
-                own = (text or "").split("\n")
-                lines.append(len(own))
-                with_word = [x for x in own if x.strip(" \t\n\r\x0b\x0c")] if len(own) > 1 else []
-                dups.append(len(with_word) - len(set(with_word)))
-            out["n_lines"], out["n_dup_lines"] = np.array(lines, dtype=np.int64), np.array(dups, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(out[c]) for c in COUNTS)], names=["id", *COUNTS])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, f"id {kind}, " + ", ".join(f"{c} long" for c in COUNTS)).withColumnRenamed("id", id_col)
-
-
-def _ratio(a: str, b: str) -> Column:
-    return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-
-
-def features() -> dict[str, Column]:
-    """What rules put thresholds on, from the counts."""
     return {
-        "n_words": F.col("n_words").cast("double"),
-        "word_length": _ratio("word_chars", "n_words"),
-        "symbols_per_char": _ratio("n_symbols", "word_chars"),
-        "upper_per_char": _ratio("n_upper", "word_chars"),
-        "digits_per_char": _ratio("n_digits", "word_chars"),
-        "marks_per_char": _ratio("n_marks", "word_chars"),
-        "dup_lines": _ratio("n_dup_lines", "n_lines"),
-        "repeats": _ratio("n_repeat_words", "n_words"),
-        "words_per_line": _ratio("n_words", "n_lines"),
+        "words": own["n_words"].cast("double"),
+        "word_length": ratio("word_chars", "n_words"),
+        "symbols_per_char": ratio("n_symbols", "word_chars"),
+        "upper_per_char": ratio("n_upper", "word_chars"),
+        "digits_per_char": ratio("n_digits", "word_chars"),
+        "marks_per_char": ratio("n_marks", "word_chars"),
+        "dup_lines": ratio("n_dup_lines", "n_lines"),
+        "repeats": ratio("n_repeat_words", "n_words"),
+        "words_per_line": ratio("n_words", "n_lines"),
     }
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+def base_failed(own: dict[str, Column] | None = None) -> Column:
+    own = own or _columns()
+    return (own["n_words"] < MIN_WORDS) | (100 * own["n_repeat_words"] > MAX_REPEAT_PERCENT * own["n_words"])
 
 
 @dataclass
@@ -139,9 +150,9 @@ class DecisionList:
 
     rules: list[list[tuple[str, bool, float]]] = field(default_factory=list)
 
-    def column(self) -> Column:
+    def column(self, own: dict[str, Column] | None = None) -> Column:
         """The verdict, an ordered conditional expression: false where a rule rejects, else true."""
-        source, out = features(), None
+        source, out = features(own), None
         for rule in self.rules:
             holds = F.lit(True)
             for name, above, cut in rule:
@@ -195,8 +206,8 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> list[tuple[str, bool, fl
     return rule
 
 
-def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, ids: np.ndarray) -> DecisionList:
-    """Sequential covering of the bad rows.  Every third row by rank of id prunes."""
+def learn_list(x: dict[str, np.ndarray], bad: np.ndarray) -> DecisionList:
+    """Sequential covering of the bad rows.  Every third row prunes."""
     out = DecisionList()
     left = np.ones(len(bad), dtype=bool)
     prune_rows = np.arange(len(bad)) % 3 == 2
@@ -222,24 +233,41 @@ def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, ids: np.ndarray) -> De
     return out
 
 
-def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> DecisionList:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> DecisionList:
     """A decision list from the labelled rows (label 0: reject) that pass the base rules."""
-    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).distinct()
-    rows = stats.where(~base_failed()).select(F.col(id_col).alias("id"), *(c.alias(n) for n, c in features().items())).join(known, "id")
-    names = list(features())
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     # a bounded sample, of the documented size
-    pdf = rows.orderBy(F.xxhash64("id"), "id", "label").limit(sample).toPandas()
+    known = written(known.orderBy(F.xxhash64("id"), "id", "label").limit(sample))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    rows = rows.select("id", "label", counted(F.col("text")).alias("counts")).select("id", "label", "counts.*").where(~base_failed())
+    pdf = rows.select("id", "label", *(c.alias(n) for n, c in features().items())).orderBy(F.xxhash64("id"), "id", "label", *features()).limit(sample).toPandas()
     bad = (pdf["label"] == 0).to_numpy()
     if not bad.any() or bad.all():
         return DecisionList()
-    return learn_list({c: pdf[c].to_numpy(float) for c in names}, bad, pdf["id"].to_numpy())
+    return learn_list({c: pdf[c].to_numpy(float) for c in features()}, bad)
+
+
+def judged(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: a struct of COUNTS, base_failed and kept.  One narrow pass: no row moves."""
+    name = unused(docs.columns, "quality")
+    counts = docs.select("*", counted(F.col(text_col)).alias(name))
+    own = {c: F.col(f"`{name}`.{c}") for c in COUNTS}
+    source = F.struct(*(c.alias(n) for n, c in own.items()))
+    failed = base_failed(own)
+    return counts.withColumn(name, source.withField("base_failed", failed).withField("kept", ~failed & rules.column(own))), name
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, *COUNTS, base_failed, kept)."""
-    stats = written(statistics(docs, id_col, text_col))
-    rules = learn(stats, labels, id_col)
-    return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & rules.column())
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out, name = judged(texts, learn(docs, labels, id_col, text_col))
+    return out.select(F.col("id").alias(id_col), f"{name}.*")
+
+
+def of_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept, as they are."""
+    out, name = judged(docs, learn(docs, labels, id_col, text_col), text_col)
+    return out.where(F.col(f"`{name}`.kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,16 @@
 """SimHash near-duplicate detection with Golay-code fuzzy hashing.
 
 A fingerprint is cut into segments of at most 23 bits.  Each segment is decoded to the numbers of all Golay code words
-near it (`golay.keys`: one or six), so that segments with two differing bits or fewer share a number.  With m segments
-and at most 3 * (m - 1) - 1 differing bits no more than m - 2 segments can have three, so two segments at least have two or
-fewer: every pair of segments gives keys, the products of its numbers, and any two such fingerprints share a key.
+near it (`golay.keys`: one or six), so that segments with two differing bits or fewer share a number.  Of five differing bits or fewer no two
+segments can have three, so all segments but one have two or fewer: leaving out each segment in turn, the products of the others'
+numbers are the keys, and any two such fingerprints share one.  With three segments a key has 24 bits; large tables take four, and keys of 36
+bits, so that a key's rows stay few (`segments_for`); either finds all pairs.
 Rows that share a key are compared in the task that holds the key; a key with more than `BLOCK` rows is dealt out in pairs
-of blocks.  A task emits a spanning forest of the links that it finds, never all pairs, and `components` joins those.
+of blocks.  A task emits one spanning forest of all links that it finds, never all pairs, and `components` joins those.
 
 Cases: null and empty texts (or texts of blanks) have no shingles and fingerprint zero, and link to each other; a text of fewer
-words than a shingle has one shingle, the whole sequence; repeated rows give repeated results; empty tables give
-empty results; other columns of the input are not touched, whatever their names.
+words than a shingle has one shingle, the whole sequence; repeated rows give repeated results; ids are of any type that has an order, and null ids
+come last in it; empty tables give empty results; other columns of the input are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import golay
 from .components import components
-from .tables import table, written
+from .tables import FEW_ROWS, beside, dropped, settled, table, unused, without, written
 from .words import PLAIN_LOWER, Words, chunks, split_words
 
 #: Most rows of one key that one task compares at once.
@@ -33,7 +34,15 @@ BLOCK = 2048
 #: Items whose keys are made by one task, and at once.
 ITEMS_A_TASK, KEYED_AT_ONCE = 8192, 2048
 #: Segments of a 64-bit fingerprint: (bits, lowest bit).
-SEGMENTS_64 = ((22, 0), (21, 22), (21, 43))
+THREE, FOUR = ((22, 0), (21, 22), (21, 43)), ((16, 0), (16, 16), (16, 32), (16, 48))
+#: Different fingerprints from which four segments are taken: a key of 24 bits would have some hundred rows then.
+MANY = 50_000_000
+#: Links that a task holds before it reduces them to a forest.
+LINKS_AT_ONCE = 500_000
+
+
+def segments_for(n: int) -> tuple[tuple[int, int], ...]:
+    return THREE if n < MANY else FOUR
 
 
 def shingle_hashes(words: Words, size: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -73,28 +82,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
-def fuzzy_keys(items: DataFrame, segments: dict[str, tuple[tuple[int, int], ...]]) -> DataFrame:
-    """Rows (key, ...items' columns): one for each key of each item.  segments: (bits, lowest bit) by fingerprint column."""
-    fields, names = items.schema.simpleString()[7:-1], items.columns
+def fuzzy_keys(prints: DataFrame, segments: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(key, fp): one row for each key of each fingerprint."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for at in range(0, big.num_rows, KEYED_AT_ONCE):
-                batch = big.slice(at, KEYED_AT_ONCE)
-                decoded = []
-                for name, parts in segments.items():
-                    fp = batch.column(name).to_numpy().view(np.uint64)
-                    decoded += [golay.keys((fp >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64)) for bits, low in parts]
-                rows, keys = [], []
-                for k, (a, b) in enumerate(combinations(decoded, 2)):
-                    both = (a[:, :, None] << 12 | b[:, None, :]) + (k << 24)
-                    ok = (a >= 0)[:, :, None] & (b >= 0)[:, None, :]
-                    rows.append(np.nonzero(ok)[0])
-                    keys.append(both[ok])
-                taken = batch.take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int32)), *taken.columns], names=["key", *names])
-
-    return items.mapInArrow(run, f"key int, {fields.replace(':', ' ')}")
+        for batch in batches:
+            every = batch.column("fp").to_numpy()
+            for at in range(0, len(every), KEYED_AT_ONCE):
+                fp = every[at : at + KEYED_AT_ONCE].view(np.uint64)
+                decoded = [golay.keys((fp >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64)) for bits, low in segments]
+                for k, chosen in enumerate(combinations(decoded, len(segments) - 1)):
+                    key, ok = np.full((len(fp), 1), k, dtype=np.int64), np.ones((len(fp), 1), dtype=bool)
+                    for numbers in chosen:
+                        key = (key[:, :, None] << 12 | np.maximum(numbers, 0)[:, None, :]).reshape(len(fp), -1)
+                        ok = (ok[:, :, None] & (numbers >= 0)[:, None, :]).reshape(len(fp), -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[ok]), pa.array(fp[np.nonzero(ok)[0]].view(np.int64))], names=["key", "fp"])
+
+    return prints.select("fp").mapInArrow(run, "key long, fp long")
 
 
 def blocked(rows: DataFrame, by: str, spread: str, most: int, counted: DataFrame | None = None) -> DataFrame:
@@ -106,7 +110,7 @@ def blocked(rows: DataFrame, by: str, spread: str, most: int, counted: DataFrame
     own = F.pmod(F.xxhash64(spread, F.lit(by)), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = F.when(F.col("blocks").isNull(), 0).otherwise(own)
-    return rows.join(hot, by, "left").select(*rows.columns, own.alias("own"), other.alias("other")).select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return rows.join(beside(hot), by, "left").select(*rows.columns, own.alias("own"), other.alias("other")).select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -155,46 +159,70 @@ def _links(rows: dict[str, np.ndarray], start: np.ndarray, names: list[str], nea
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def close_links(items: DataFrame, segments: dict[str, tuple[tuple[int, int], ...]], distance: int, ratio: float = 0.0) -> DataFrame:
-    """(a, b): links that span what is linked by `distance` differing bits or fewer (and, where `ratio` is given, by column
-    `size` within that ratio).  items: id long, the fingerprint columns, and size if ratio is given; ids are distinct."""
-    names = [*segments, *(["size"] if ratio else [])]
-    items = items.repartition(max(1, -(-items.count() // ITEMS_A_TASK)))
-    keyed = blocked(fuzzy_keys(items, segments), "key", "id", BLOCK)
+class Forest:
+    """A spanning forest of links that come in parts."""
+
+    def __init__(self):
+        self.a, self.b, self.size = [], [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.size += len(a)
+        if self.size > LINKS_AT_ONCE:
+            a, b = self.links()
+            self.a, self.b, self.size = [a], [b], 0  # grows again by as many before the next reduction
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """(least node, node) of each node that is not the least of its part."""
+        if not self.a:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        nodes, at = np.unique(np.concatenate([*self.a, *self.b]), return_inverse=True)
+        root = forest(at[: len(at) // 2], at[len(at) // 2 :], len(nodes))
+        member = np.flatnonzero(root != np.arange(len(nodes)))
+        return nodes[root[member]], nodes[member]
+
+
+def runs(batches: Iterable[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Columns and the starts of runs of equal values of `by`, and the end, of rows that are sorted by them; runs stay whole."""
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+        if held is not None:
+            rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
+        new = np.zeros(len(rows[by[0]]) - 1, dtype=bool)
+        for c in by:
+            new |= rows[c][1:] != rows[c][:-1]
+        change = np.flatnonzero(new) + 1
+        if len(change):
+            yield {c: v[: change[-1]] for c, v in rows.items()}, np.append(0, change)
+            rows = {c: v[change[-1] :] for c, v in rows.items()}
+        held = rows
+    if held is not None:
+        yield held, np.array([0, len(held[by[0]])])
+
+
+def close_links(prints: DataFrame, distance: int, segments: tuple[tuple[int, int], ...] | None = None) -> DataFrame:
+    """(a, b): links that span what is linked by `distance` differing bits or fewer, as far as keys meet: with certainty up to five.
+    prints: fp, a signed long, each once."""
+    n = prints.count()
+    prints = prints.repartition(max(1, -(-n // ITEMS_A_TASK)))
+    keyed = blocked(fuzzy_keys(prints, segments or segments_for(n)), "key", "fp", BLOCK)
 
     def near(x: dict[str, np.ndarray], y: dict[str, np.ndarray]) -> np.ndarray:
-        ok = sum(np.bitwise_count((x[c] ^ y[c]).view(np.uint64)).astype(np.int16) for c in segments) <= distance
-        return ok & (np.minimum(x["size"], y["size"]) >= ratio * np.maximum(x["size"], y["size"])) if ratio else ok
+        return np.bitwise_count((x["fp"] ^ y["fp"]).view(np.uint64)) <= distance
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-
-        def links(rows: dict[str, np.ndarray], start: np.ndarray) -> pa.RecordBatch:
-            a, b = _links(rows, start, names, near)
-            a, b = rows["id"][a], rows["id"][b]
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            order = np.lexsort((high, low))
-            low, high = low[order], high[order]
-            new = np.ones(len(low), dtype=bool)
-            new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            return pa.RecordBatch.from_arrays([pa.array(low[new]), pa.array(high[new])], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = {c: batch.column(c).to_numpy() for c in ("key", "i", "j", "id", *names)}
-            if held is not None:
-                rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
-            change = np.flatnonzero((np.diff(rows["key"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
-            if len(change):
-                yield links({c: v[: change[-1]] for c, v in rows.items()}, np.append(0, change))
-                rows = {c: v[change[-1] :] for c, v in rows.items()}
-            held = rows
-        if held is not None:
-            yield links(held, np.array([0, len(held["key"])]))
-
-    # by id within a key: parts that keys have in common then get the same links, from their least id
-    dealt = keyed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+        found = Forest()
+        for rows, start in runs(batches, ("key", "i", "j")):
+            a, b = _links(rows, start, ["fp"], near)
+            found.add(rows["fp"][a], rows["fp"][b])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.links()], names=["a", "b"])
+
+    # by fingerprint within a key: parts that tasks have in common then get the same links, from their least one
+    dealt = keyed.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -204,13 +232,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 <= distance <= 5:
         raise ValueError("three segments find fingerprints that differ in 5 bits at most")
     prints = written(fingerprints(docs, id_col, text_col, shingle))
-    classes = written(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    items = classes.select(F.col("fp").alias("id"), "fp")
-    found = components(close_links(items, {"fp": SEGMENTS_64}, distance))
+    least = F.min(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id")))
+    classes = written(prints.groupBy("fp").agg(least.alias("least")))
+    found = components(close_links(classes.select("fp"), distance))
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    by_print = rooted.join(least, "root").select("fp", "component")
-    return prints.join(by_print, "fp", "left").select(id_col, "fp", "component")
+    by_print = written(rooted.join(least, "root").select("fp", "component.id"))
+    return prints.select(F.col(id_col).alias("own"), "fp").join(beside(by_print), "fp", "left").select(F.col("own").alias(id_col), "fp", F.col("id").alias("component"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,12 +246,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-#: Four segments of 23 bits, two in each of two columns, of a fingerprint over a text's distinct words.
-SEGMENTS_92 = {"f1": ((23, 0), (23, 23)), "f2": ((23, 0), (23, 23))}
-#: Differing bits of 92 up to which two texts are compared in full.
-CLOSE_92 = 18
-#: Texts of a cluster that one task compares in full at once, and their distinct shingles, in hashes.
-FULL_BLOCK = 256
+#: Differing bits up to which fingerprints of sets of words put two texts into one cluster.
+CLOSE = 12
+#: Texts of a cluster that one task compares in full at once, and those of a cluster that are in each of its blocks.
+FULL_BLOCK, ANCHORS = 256, 8
 #: Cells of the table of shingle frequencies, as a power of two: of a segment, and at most (of two bits each: 128 MB).
 SEGMENT_BITS, MOST_BITS = 16, 29
 #: Counts from which a cell is of level 1, 2 and 3.
@@ -243,7 +269,7 @@ def _distinct_runs(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, s1, s2, size, f1, f2): two hashes of the set of shingles, its size, and a 92-bit fingerprint of the set of words.
+    """(id, page, s1, s2, size, fp): a hash of the text, two hashes of its set of shingles, the set's size, and a fingerprint of its set of words.
 
     Few changed words change many shingles but few words, so the fingerprint is taken over words; what is close there
     is compared by shingles."""
@@ -258,11 +284,30 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
             if len(full):
                 sums[0, full] = np.add.reduceat(hashes, at[full])
                 sums[1, full] = np.add.reduceat(hashes * (hashes | np.uint64(1)), at[full])
-            prints = [majority(*_distinct_runs(h, words.first), bits=46) for h in words.hashes()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(s.view(np.int64)) for s in sums), pa.array(size.astype(np.int64)), *(pa.array(p.view(np.int64)) for p in prints)], names=["id", "s1", "s2", "size", "f1", "f2"])
+            prints = majority(*_distinct_runs(words.hashes()[0], words.first))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("page"), *(pa.array(s.view(np.int64)) for s in sums), pa.array(size.astype(np.int64)), pa.array(prints.view(np.int64))], names=["id", "page", "s1", "s2", "size", "fp"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"id {kind}, page long, s1 long, s2 long, size long, fp long")
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "id long, s1 long, s2 long, size long, f1 long, f2 long")
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("page"), text.alias("text"))
+
+
+def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """texts with the column text replaced by the sorted hashes of its different shingles."""
+    kept = [c for c in texts.columns if c != "text"]
+    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            hashes, at = _distinct_runs(*shingle_hashes(split_words(batch.column("text"), PLAIN_LOWER), shingle))
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], names=[*kept, "shingles"])
+
+    return texts.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", shingles array<long>")
 
 
 def _similar(group: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -375,16 +420,10 @@ def missed_links(texts: DataFrame, groups: DataFrame, shingles: int, shingle: in
     In any order of all shingles two such sets share one of their first n - ceil(similarity * n) + 1.  The order is from rare to
     frequent by `frequency_levels`; a shingle of one text alone is shared by none, so most texts have no rows.  Rows of a
     shingle are paired where sizes, places and parities allow, and the pairs are compared in full.
-    texts: (id, text); groups: (node, root), nodes without a row being groups of their own; shingles: about how many there are."""
+    texts: (node, text); groups: (node, root), nodes without a row being groups of their own; shingles: about how many there are."""
     bits = min(max(int(shingles).bit_length(), SEGMENT_BITS), MOST_BITS)
     shared = texts.sparkSession.sparkContext.broadcast(frequency_levels(texts, shingle, bits))
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            hashes, at = _distinct_runs(*shingle_hashes(split_words(batch.column("text"), PLAIN_LOWER), shingle))
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "shingles"])
-
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(shared.value, np.uint8)
         for batch in chunks(batches):
@@ -401,82 +440,108 @@ def missed_links(texts: DataFrame, groups: DataFrame, shingles: int, shingle: in
             k = np.flatnonzero((place < np.repeat(most, size)) & (level[order] > 0))
             of = doc[k]
             columns = [hashes[order[k]].view(np.int64), size[of].astype(np.int32), place[k].astype(np.int32), *(parity[of, c] for c in range(len(PARITY)))]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of)), *map(pa.array, columns)], names=["id", "key", "size", "place", *PARITY])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(of)), *map(pa.array, columns)], names=["node", "key", "size", "place", *PARITY])
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-
-        def found(rows: dict[str, np.ndarray], start: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for rows, start in runs(batches, ("key", "i", "j")):
             for i, j in _candidates(rows, start, similarity):
-                a, b = rows["id"][i], rows["id"][j]
+                a, b = rows["node"][i], rows["node"][j]
                 both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = {c: batch.column(c).to_numpy() for c in ("key", "i", "j", "id", "root", "size", "place", *PARITY)}
-            if held is not None:
-                rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
-            change = np.flatnonzero((np.diff(rows["key"]) != 0) | (np.diff(rows["i"]) != 0) | (np.diff(rows["j"]) != 0)) + 1
-            if len(change):
-                yield from found({c: v[: change[-1]] for c, v in rows.items()}, np.append(0, change))
-                rows = {c: v[change[-1] :] for c, v in rows.items()}
-            held = rows
-        if held is not None:
-            yield from found(held, np.array([0, len(held["key"])]))
-
     fields = ", ".join(f"{c} long" for c in PARITY)
-    rows = texts.mapInArrow(prefixes, f"id long, key long, size int, place int, {fields}")
-    rows = written(rows.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")))
+    rows = texts.mapInArrow(prefixes, f"node long, key long, size int, place int, {fields}")
+    rows = written(rows.join(beside(groups), "node", "left").withColumn("root", F.coalesce("root", "node")))
     # a shingle within one group has no pairs
     several = written(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
-    dealt = blocked(rows.join(several, "key"), "key", "id", BLOCK).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    dealt = blocked(rows.join(beside(several), "key"), "key", "node", BLOCK).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     able = written(dealt.mapInArrow(pairs, "a long, b long").distinct())
-    named = able.select(F.col("a").alias("id")).unionByName(able.select(F.col("b").alias("id"))).distinct()
-    full = written(texts.join(named, "id", "left_semi").mapInArrow(sets, "id long, shingles array<long>"))
-    left, right = (full.select(F.col("id").alias(c), F.col("shingles").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+    named = written(able.select(F.col("a").alias("node")).unionByName(able.select(F.col("b").alias("node"))).distinct())
+    full = written(shingle_sets(texts.join(beside(named), "node", "left_semi"), shingle))
+    left, right = (full.select(F.col("node").alias(c), F.col("shingles").alias(v)) for c, v in (("a", "x"), ("b", "y")))
     both = F.size(F.array_intersect("x", "y"))
     return able.join(left, "a").join(right, "b").where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
 
 
+def cluster_links(texts: DataFrame, clusters: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): spanning links between texts of a cluster that are similar in full.  A large cluster is dealt out in blocks, which its first
+    `ANCHORS` texts are all in, so that blocks of similar texts are linked; similar texts that are not linked here are left to missed_links.
+    texts: (node, text); clusters: (node, root)."""
+    sizes = written(clusters.groupBy("root").count().where(F.col("count") > FULL_BLOCK).select("root", F.ceil(F.col("count") / FULL_BLOCK).cast("int").alias("blocks")))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    anchor = F.pmod(F.xxhash64("node", F.lit("anchor")), F.ceil(F.col("blocks") * FULL_BLOCK / ANCHORS)) == 0
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    block = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(anchor, every).otherwise(F.array(own)))
+    named = texts.join(beside(clusters), "node").join(beside(sizes), "root", "left")
+    dealt = shingle_sets(named.select("root", "node", "blocks", "text"), shingle)
+
+    def compare(key: tuple, group: pa.Table) -> pa.Table:
+        nodes = group.column("node").to_numpy()
+        a, b = _similar([x.values.to_numpy() for x in group.column("shingles").combine_chunks()], similarity)
+        root = forest(a, b, len(nodes))
+        member = np.flatnonzero(root != np.arange(len(nodes)))
+        return pa.table({"a": nodes[root[member]], "b": nodes[member]})
+
+    return dealt.select("root", "node", "shingles", block.alias("block")).groupBy("root", "block").applyInArrow(compare, "a long, b long")
+
+
+def _class_texts(docs: DataFrame, id_col: str, text_col: str, marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, text): the text of each class, which is that of its first row, once."""
+    keys = written(classes.select("node", F.col("first.id").alias("i"), F.col("first.page").alias("p")))
+    same = lambda x: x["id"].eqNullSafe(keys["i"]) & (x["page"] == keys["p"])
+    rows = _texts(docs, id_col, text_col)
+    texts = rows.join(beside(keys), same(rows)).select("node", "text")
+    again = marks.groupBy("id", "page").agg(F.count("*").alias("rows")).where("rows > 1")
+    again = written(again.join(keys, same(again)).select("node"))
+    if not again.isEmpty():
+        texts = texts.join(beside(again), "node", "left_anti").unionByName(texts.join(beside(again), "node", "left_semi").dropDuplicates(["node"]))
+    # what was joined by a shuffle is used more than once
+    return texts if keys.count() <= FEW_ROWS and again.isEmpty() else written(texts)
+
+
+@settled
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id_col, least): for each distinct id the least id that is reachable over pairs of texts whose sets of shingles have a
-    Jaccard similarity of `similarity` or more.
+    """(id_col, page, least, least_page, rows): for each distinct id and text (page: its xxhash64) the least id, and that one's text, that is reachable
+    over pairs of texts whose sets of shingles have a Jaccard similarity of `similarity` or more; and how many rows have that id and text.
 
     Texts of equal sets are one class.  Classes with close fingerprints (found by Golay keys) form clusters; a cluster's texts
-    are compared in full, in pairs of blocks where it is large, and the links that hold are joined to groups.
+    are compared in full, and the links that hold are joined to groups.
     The keys find such a pair with high probability, not with certainty; what they miss between groups, `missed_links` finds,
-    so the result is exact.  Rows with a null id are left out."""
-    docs = docs.where(F.col(id_col).isNotNull())
+    so the result is exact."""
     marks = written(sketches(docs, id_col, text_col, shingle))
-    classes = written(marks.groupBy("s1", "s2", "size").agg(F.min("id").alias("id"), F.min("f1").alias("f1"), F.min("f2").alias("f2")))
-    clusters = written(components(close_links(classes.select("id", "f1", "f2", "size"), SEGMENTS_92, CLOSE_92, similarity)))
-    members = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
-
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            hashes, at = _distinct_runs(*shingle_hashes(split_words(batch.column("text"), PLAIN_LOWER), shingle))
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("root"), lists], names=["id", "root", "shingles"])
-
-    def compare(key: tuple, group: pa.Table) -> pa.Table:
-        ids = group.column("id").to_numpy()
-        a, b = _similar([x.values.to_numpy() for x in group.column("shingles").combine_chunks()], similarity)
-        root = forest(a, b, len(ids))
-        member = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.table({"a": ids[root[member]], "b": ids[member]})
-
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(members.withColumnRenamed("node", "id"), "id").dropDuplicates(["id"])
-    dealt = blocked(texts.mapInArrow(sets, "id long, root long, shingles array<long>"), "root", "id", FULL_BLOCK, members)
-    links = dealt.groupBy("root", "i", "j").applyInArrow(compare, "a long, b long")
-    groups = written(components(links))
-    copies = written(marks.join(classes.select("s1", "s2", "size", F.col("id").alias("first")), ["s1", "s2", "size"]).where("id <> first").select("id").distinct())
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(copies, "id", "left_anti")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "page"))
+    classes = written(marks.groupBy("s1", "s2", "size").agg(first.alias("first"), F.min("fp").alias("fp")).withColumn("node", F.monotonically_increasing_id()))
+    close = components(close_links(classes.select("fp").distinct(), CLOSE))
+    close = close.unionByName(close.select(F.col("root").alias("node"), "root").distinct())
+    own = classes.select("node", "fp")
+    many = own.groupBy("fp").count().where("count > 1").select("fp", F.col("fp").alias("root"))
+    roots = written(close.withColumnRenamed("node", "fp").unionByName(many).groupBy("fp").agg(F.min("root").alias("root")))
+    clusters = written(own.join(beside(roots), "fp").select("node", "root"))
+    texts = _class_texts(docs, id_col, text_col, marks, classes)
+    groups = components(cluster_links(texts, clusters, shingle, similarity))
     shingles = classes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    missed = missed_links(own, groups, shingles, shingle, similarity)
+    missed = missed_links(texts, groups, shingles, shingle, similarity)
     groups = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(missed))
-    rooted = classes.select("s1", "s2", "size", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    least = rooted.select("s1", "s2", "size", F.coalesce("root", "id").alias("least"))
-    return marks.join(least, ["s1", "s2", "size"]).select(F.col("id").alias(id_col), "least").distinct()
+    rooted = written(classes.select("s1", "s2", "size", "first", "node").join(beside(groups), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = written(rooted.groupBy("root").agg(F.min("first").alias("least")))
+    by_class = written(rooted.join(beside(least), "root").select("s1", "s2", "size", "least"))
+    found = marks.join(beside(by_class), ["s1", "s2", "size"]).groupBy("id", "page", "least").agg(F.count("*").alias("rows"))
+    return found.select(F.col("id").alias(id_col), "page", F.col("least.id").alias("least"), F.col("least.page").alias("least_page"), "rows")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs that have the least id of their group of similar texts, as they are; one of those with one id and one text."""
+    found = similar_texts(docs, id_col, text_col, shingle, similarity)
+    first = F.col(id_col).eqNullSafe(F.col("least")) & (F.col("page") == F.col("least_page"))
+    gone = written(found.where(~first).select(id_col, "page"))
+    again = written(found.where(first & (F.col("rows") > 1)).select(id_col, "page"))
+    dropped(found)
+    keys = [F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))]
+    kept = without(docs, gone, keys)
+    if again.isEmpty():
+        return kept
+    page = unused(docs.columns, "page")
+    once = again.toDF(unused(docs.columns, "again_id"), unused(docs.columns, "again_page"))
+    same = keys[0].eqNullSafe(once[once.columns[0]]) & (keys[1] == once[once.columns[1]])
+    copies = kept.join(beside(once), same, "left_semi").withColumn(page, keys[1]).dropDuplicates([id_col, page]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return without(kept, again, keys).unionByName(copies)

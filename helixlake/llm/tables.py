@@ -1,41 +1,34 @@
-"""Reading the given tables, and writing intermediate ones where every executor can read them."""
+"""Reading the given tables, and joins whose small side is broadcast where its rows are few."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.scratch import dropped, settled, shared_dir, unused, written
+
+__all__ = ["beside", "dropped", "settled", "shared_dir", "table", "text_key", "unused", "without", "written"]
+
+#: Rows of a written table up to which it is broadcast; larger ones are joined by a shuffle.
+FEW_ROWS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir.  Where that is unset (one machine, tests) it is set to a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    at = spark._jvm.org.apache.hadoop.fs.Path(base, f"work-{uuid.uuid4().hex}")
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
-
-
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
-    """The same rows, read back from a Parquet table in the shared folder: computed once, and no lineage behind it."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._helix_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the table behind a result of written()."""
-    path = getattr(df, "_helix_path", None)
-    if path:
-        spark = df.sparkSession
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def beside(small: DataFrame, most: int = FEW_ROWS) -> DataFrame:
+    """A written table of short rows, with the hint that suits its size: rows are counted before they are broadcast."""
+    return F.broadcast(small) if small.count() <= most else small.hint("merge")
+
+
+def text_key(text: Column) -> list[Column]:
+    """128 bits that stand for a text, as two longs; a null text has a key of its own."""
+    return [F.xxhash64(text), F.xxhash64(text, F.lit("2"))]
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: list[Column]) -> DataFrame:
+    """The rows of docs whose keys are not among the rows of `gone`, a written table.  Nulls are equal."""
+    found = gone.toDF(*(unused(docs.columns, f"gone_{i}") for i in range(len(gone.columns))))
+    on = [k.eqNullSafe(found[c]) for k, c in zip(keys, found.columns)]
+    return docs.join(beside(found), on, "left_anti")

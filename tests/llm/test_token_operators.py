@@ -11,10 +11,11 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from conftest import rows
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from helixlake.llm import components, frames, golay, packing, simhash, token_counts, tokens
+from helixlake.llm import components, frames, golay, packing, simhash, tables, token_counts, tokens
 from helixlake.llm.tables import shared_dir, table
 
 ODD = ["", None, " \n\t", "one", "a\x00b c", "ünï côdé 😀 mark", "x" * 20_000, "<|endoftext|> a<|startoftext|>b"]
@@ -114,10 +115,11 @@ def test_near_duplicates_match_brute_force(spark):
     assert [got[i] for i in ids] == list(zip(prints, want))
 
 
-@pytest.mark.parametrize("block", [8, 2048])
-def test_links_of_many_close_fingerprints(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "segments", "held"), [(8, "THREE", 50), (2048, "THREE", 500_000), (64, "FOUR", 500_000)])
+def test_links_of_many_close_fingerprints(spark, monkeypatch, block, segments, held):
     """Hot keys are dealt out in blocks without losing links."""
     monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "LINKS_AT_ONCE", held)
     rng = np.random.default_rng(7)
     base = int(rng.integers(0, 1 << 62))
     prints = {base}
@@ -129,8 +131,8 @@ def test_links_of_many_close_fingerprints(spark, monkeypatch, block):
     prints |= {int(x) for x in rng.integers(0, 1 << 62, 200)}
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    items = spark.createDataFrame([(s, s) for s in signed], "id long, fp long")
-    got = {tuple(r) for r in components.components(simhash.close_links(items, {"fp": simhash.SEGMENTS_64}, 4)).collect()}
+    items = spark.createDataFrame([(s,) for s in signed], "fp long")
+    got = {tuple(r) for r in components.components(simhash.close_links(items, 4, getattr(simhash, segments))).collect()}
     label = linked(prints, signed, lambda a, b: bin(a ^ b).count("1") <= 4)
     assert got == {(s, r) for s, r in zip(signed, label) if s != r}
 
@@ -182,6 +184,34 @@ def test_similar_texts_with_added_passages_are_all_found(spark, monkeypatch):
         assert [got[i] for i in ids] == want
 
 
+def test_repeated_rows_and_ids_of_any_type(spark):
+    words = [f"v{i}" for i in range(100)]
+    near = " ".join([*words[:50], "other", *words[51:]])
+    a, far = " ".join(words), " ".join(reversed(words))
+    data = [("b", a, 1), ("a", near, 2), (None, a, 3), ("a", far, 4), ("a", far, 4), (None, None, 5), ("z", "", 6), ("a", near, 2)]
+    df = spark.createDataFrame(data, "doc_id string, text string, page int")
+    kept = simhash.without_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == [("a", near, 2), ("a", far, 4), ("z", "", 6)]
+    assert simhash.near_duplicates(df).where("doc_id = 'b'").first().component == "a"
+    assert simhash.near_duplicates(df.limit(0)).count() == simhash.without_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_tables_of_any_size_give_the_same_groups(spark, monkeypatch):
+    rng, texts = random.Random(11), []
+    for _ in range(20):
+        words = [f"v{rng.randint(0, 4000)}" for _ in range(120)]
+        texts.append(" ".join(words))
+        words[rng.randrange(120)] = "edit"
+        texts += [" ".join(words)] * 2
+    df = docs(spark, texts)
+    want = rows(simhash.similar_texts(df).select("doc_id", "least"))
+    monkeypatch.setattr(tables, "FEW_ROWS", 0)
+    monkeypatch.setattr(tables.beside, "__defaults__", (0,))
+    monkeypatch.setattr(simhash, "FEW_ROWS", 0)
+    assert rows(simhash.similar_texts(df).select("doc_id", "least")) == want
+
+
 def test_a_large_cluster_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "FULL_BLOCK", 8)
     words = [f"v{i}" for i in range(200)]
