@@ -1,8 +1,9 @@
 """A training-data pipeline over `documents`: quality rules, line dedup, near-duplicate removal, benchmark decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared folder and reads again
-for the next.  Every stage but the last returns the columns of its input.  Rows whose id is null can't be named by a verdict, and pass the
-stages that drop by id (the first drops them only where the text is null too); repeated rows of an id share its fate; a null text
+for the next.  Every stage but the last returns the columns of its input.  A stage writes short tables of keys first and drops rows by these:
+texts stay where they lie while the keys are few, and what a stage wrote besides is deleted before it returns.  Rows are judged by their
+text, so a null id is treated like any other; of rows with one id and one text, one stays; a null text
 fails the base quality rules; empty tables give empty results.
 """
 
@@ -15,15 +16,9 @@ from helixlake.llm import decontaminate, lines, packing, quality, simhash
 from helixlake.llm.tables import table, written
 
 
-def _only(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """The rows of docs whose id is not among the verdict's."""
-    return docs.join(verdict.select(F.col("doc_id").alias("__gone")).distinct(), F.col("doc_id") == F.col("__gone"), "left_anti")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or the learned decision list."""
-    verdict = quality.verdicts(docs, table(spark, sf_dir, "labels"))
-    return _only(docs.where(F.col("doc_id").isNotNull() | F.col("text").isNotNull()), verdict.where(~F.col("kept")))
+    return quality.of_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +29,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least id of each group of texts with 0.8 or more of five-word shingles in common."""
-    groups = simhash.similar_texts(docs)
-    return _only(docs, groups.where("doc_id <> least"))
+    return simhash.without_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten words in a row of a benchmark item (or all of a shorter one)."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return _only(docs, found.where("n_hit > 0"))
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
