@@ -1,45 +1,64 @@
-"""Main text of web pages: structure first, and differences from the page of the nearest URL where structure is silent.
+"""Main text of web pages: differences from the page of the nearest URL, ranked by what containers say.
 
-A page is cut into blocks, each with what its containers say: inside an article or main element, inside something that is
-no article (menus, headers, footers, sidebars, notices, adverts, forms, comments), inside something named like content, or nothing.  Pages are sorted by host and URL path,
-so that the nearest path of the same host is a neighbour; the two pages' blocks are aligned by a longest common
-subsequence.  Blocks that both share are template and deleted, unless containers say that they are the article's: pages that
-quote or copy each other keep their articles.  On pages that mark an article, or else name their content, nothing outside of it stays.
+A page is cut into blocks, the lines of its text.  Pages are sorted by host and URL path; a page's neighbours are the nearest one before and
+the nearest one behind of the same host whose html is another, and the one with the longer common path comes first.  The blocks of both pages
+are aligned by a longest common subsequence, and those that both have are template and deleted.  A neighbour that has half of a page's
+article or more (`COPY`) is a copy of it, whose shared blocks tell nothing of what is template; then the other neighbour decides, and where that is one too, nothing
+is deleted.  Paragraphs, headings, entries and quotations of an element that is marked as the article are the author's, and stay where neighbours have them too:
+articles of one host share whole sentences.  Of what is left, blocks stay by what their containers say: menus, headers, footers, sidebars, notices, adverts, forms and comments
+go, as they may differ from page to page; on pages that mark an article or main element, so does all outside of it.  Names of
+content (as in `class="post"`) count only where no neighbour tells anything.
 
-The pages are dealt out by ranges of (host, path, page id), so a large host is spread over tasks and none is gathered in one; a page at the edge of a
-range has its neighbour on its own side.
+Pages are dealt out to ranges of (host, path, id), so that a large host is spread over tasks and none is gathered in one.  Each range also gets the
+pages of other ranges that are neighbours of its first and last ones, so that the result doesn't depend on the ranges.
 
 Cases: a null or empty page has an empty text; a null URL is a host and path of empty names; repeated rows are rows of their own (a copy is no
-neighbour: where all blocks are shared nothing is told apart, and none is deleted); unclosed elements end with the element around them; pages of more than
-`SEGMENT` blocks are aligned by segments of as many; empty tables give empty results; other columns of the input are not touched.
+neighbour); an element without an end ends with the element around it, a head with the first block, and inline ones such as buttons and frames
+with the next block; empty tables give empty results; other columns of the input are not touched.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import table, written
 from .words import chunks
 
-ARTICLE, LIKELY, UNKNOWN, OTHER = 2, 1, 0, -1
-SEGMENT = 8192
+#: PART: in an article, but in no paragraph, heading, entry or quotation of it.
+ARTICLE, PART, LIKELY, UNKNOWN, OTHER = 3, 2, 1, 0, -1
+#: Cells of a table of common subsequences that is held as a whole; larger ones are divided.
+CELLS = 1 << 26
+#: Share of a page's characters from which a neighbour that has them is a copy: of those in its article, or, where none is marked, of all, as template may
+#: be most of a page then; the second share holds if both neighbours have the first.
+COPY, COPY_OF_ALL = (0.5,), (0.9, 1.0)
+#: Ranges for each of Spark's shuffle partitions, which evens out how many a partition gets.
+RANGES = 4
+#: Keys for each range that are drawn to place the ranges' borders, by least hash: they balance tasks, and don't change results.
+BORDER_SAMPLE = 32
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|object|select|textarea|button|head)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[/!?a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
+#: What stands in these is no text of the page; those of the first line can't hold blocks, and a block ends them.
+INLINE_HIDDEN = frozenset("button select textarea iframe svg object head".split())
+HIDDEN = INLINE_HIDDEN | frozenset("noscript template".split())
 NO_ARTICLE = frozenset("nav footer aside form menu dialog head title".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -88,48 +107,62 @@ def blocks(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []  # open elements, and what holds in them
     parts: list[str] = []
-    here = UNKNOWN
+    here, hidden, prose = UNKNOWN, 0, False  # hidden: open elements up to the outermost hidden one, or none
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, here))
+                out.append((text, PART if here == ARTICLE and not prose else here))
+
+    def close(k: int) -> None:
+        nonlocal here, hidden
+        del stack[k:]
+        here = stack[-1][1] if stack else UNKNOWN
+        hidden = hidden if hidden <= k else 0
 
     at = 0
     for m in MARKUP.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not hidden:
             parts.append(page[at : m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
             continue
         tag = tag.lower()
-        if tag == "br":
+        if tag == "br" and not hidden:
             parts.append(" ")
         if tag in BLOCKS:
+            if not m[2] and tag not in ("title", "head", "html"):
+                while hidden and stack[-1][0] in INLINE_HIDDEN:
+                    close(len(stack) - 1)
             flush()
+            prose = tag in PROSE and not m[2]
         if tag in VOID or m[4].endswith("/"):
             continue
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    flush()
-                    del stack[k:]
-                    here = stack[-1][1] if stack else UNKNOWN
+                    if tag not in INLINE_HIDDEN:
+                        flush()
+                    close(k)
                     break
             continue
+        if tag in HIDDEN:
+            if not (stack and stack[-1][0] == tag):
+                stack.append((tag, here))
+                hidden = hidden or len(stack)
+            continue
         if tag == "p" or tag == "li":
             # the next paragraph or entry ends one that wasn't closed
             if stack and stack[-1][0] == tag:
-                stack.pop()
-                here = stack[-1][1] if stack else UNKNOWN
+                close(len(stack) - 1)
         says = _says(tag, m[4], here)
         if tag == "header":
             says = OTHER
         if tag in HEADINGS and here == OTHER and len(stack) > 1 and stack[-1][0] == "header" and stack[-2][1] == ARTICLE:
-            says = ARTICLE  # an article's own title
+            # an article's own title
             stack.append((tag, ARTICLE))
             here = ARTICLE
             continue
@@ -139,28 +172,52 @@ def blocks(page: str) -> list[tuple[str, int]]:
                 flush()
             stack.append((tag, now))
             here = now
-    if at < len(page):
+    if at < len(page) and not hidden:
         parts.append(page[at:])
     flush()
     return out
 
 
+def _rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """The rows of the table of lengths of common subsequences of the beginnings of a and b: one big integer each, whose zero
+    bits mark where the length grows along b."""
+    places: dict[str, int] = {}
+    for j, line in enumerate(b):
+        places[line] = places.get(line, 0) | 1 << j
+    full = now = (1 << len(b)) - 1
+    for line in a:
+        hit = now & places.get(line, 0)
+        now = ((now + hit) | (now - hit)) & full
+        yield now
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """The length of a longest common subsequence of a and each beginning of b."""
+    last = (1 << len(b)) - 1
+    for last in _rows(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(last.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
 def common(a: list[str], b: list[str]) -> list[bool]:
-    """For each of a whether it is in a longest common subsequence of a and b.  One big integer for each row of the
-    table of lengths, whose zero bits mark where the length grows."""
-    out = [False] * len(a)
-    for low in range(0, len(a), SEGMENT):
-        rows, columns = a[low : low + SEGMENT], b[low : low + SEGMENT]
-        places: dict[str, int] = {}
-        for j, line in enumerate(columns):
-            places[line] = places.get(line, 0) | 1 << j
-        full = (1 << len(columns)) - 1
-        table, now = [], full
-        for line in rows:
-            hit = now & places.get(line, 0)
-            now = ((now + hit) | (now - hit)) & full
-            table.append(now)
-        i, j = len(rows), len(columns)
+    """For each of a whether it is in a longest common subsequence of a and b.  Tables beyond `CELLS` are divided at the middle of a and where b fits
+    that best, so memory grows with the lengths, not with their product."""
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if len(a) > 1 and len(a) * len(b) > CELLS:
+        middle = len(a) // 2
+        cut = int(np.argmax(_lengths(a[:middle], b) + _lengths(a[:middle - 1 if middle else None : -1], b[::-1])[::-1]))
+        inner = common(a[:middle], b[:cut]) + common(a[middle:], b[cut:])
+    else:
+        inner = [False] * len(a)
+        table = list(_rows(a, b))
+        i, j = len(a), len(b)
         while i and j:
             if table[i - 1] >> (j - 1) & 1:
                 j -= 1
@@ -168,17 +225,25 @@ def common(a: list[str], b: list[str]) -> list[bool]:
                 i -= 1
                 if not i or table[i - 1] >> (j - 1) & 1:
                     j -= 1
-                    out[low + i] = True
-    return out
+                    inner[i] = True
+    return [True] * start + inner + [True] * end
 
 
-def main_text(own: list[tuple[str, int]], other: list[tuple[str, int]] | None) -> tuple[str, int]:
-    """The text that stays of a page, and how many blocks it shares with its neighbour."""
-    shared = common([t for t, _ in own], [t for t, _ in other]) if other else [False] * len(own)
+def main_text(own: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -> tuple[str, int]:
+    """The text that stays of a page, and how many blocks are shared with the neighbour that told.  others: blocks of the neighbours, the
+    nearest first."""
     best = max((says for _, says in own), default=UNKNOWN)
-    told = not all(shared)  # copies tell nothing
-    keep = [t for (t, says), s in zip(own, shared) if says == best != OTHER and (best == ARTICLE or not (s and told))]
-    return "\n\n".join(keep), sum(shared)
+    marked = best >= PART
+    able = [says >= PART if marked else says != OTHER for _, says in own]
+    lines = [t for t, _ in own]
+    size = sum(len(t) for t, ok in zip(lines, able) if ok)
+    found = [common(lines, [t for t, _ in other]) for other in others]
+    sizes = [sum(len(t) for t, s, ok in zip(lines, shared, able) if s and ok) for shared in found]
+    for most in COPY if marked else COPY_OF_ALL:
+        for shared, n in zip(found, sizes):
+            if n < most * size:
+                return "\n\n".join(t for (t, says), s, ok in zip(own, shared, able) if ok and (says == ARTICLE or not s)), sum(shared)
+    return "\n\n".join(t for (t, says), ok in zip(own, able) if ok and (marked or says == best)), 0
 
 
 def _prefix(a: str, b: str) -> int:
@@ -186,51 +251,107 @@ def _prefix(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
-def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id_col, url_col, text, n_blocks, n_shared): each page's main text, its blocks, and those shared with its neighbour."""
+def _bordering(marks: DataFrame) -> list[tuple[str, int]]:
+    """(key, range): the pages of other ranges that a range needs, two at most.  marks: key, host, page, range.
+
+    The neighbour of a range's first page is the last one before it with another html.  Among the ends of the ranges before, a few rows for
+    each, that one is found: the last page of a range, or the last one there that differs from it."""
+    row = F.struct("key", "host", "page")
+    ends = written(marks.groupBy("range").agg(F.min(row).alias("first"), F.max(row).alias("last")))
+    unlike = lambda end: F.when(F.col("page") != F.col(f"{end}.page"), row)
+    inner = marks.join(F.broadcast(ends), "range").groupBy("range").agg(F.min(unlike("first")).alias("second"), F.max(unlike("last")).alias("forelast"))
+    found = ends.join(inner, "range").orderBy("range").collect()
+    out = []
+    for step, end in ((1, "first"), (-1, "last")):
+        passed: list = []  # the nearest is the last
+        for r in found[::step]:
+            for x in reversed(passed):
+                if x["host"] != r[end]["host"]:
+                    break
+                if x["page"] != r[end]["page"]:
+                    out.append((x["key"], r["range"]))
+                    break
+            if r["second"] is not None:
+                passed = []  # there are two different pages here, so nothing before them is reached
+            passed += sorted({r[c] for c in ("first", "second", "forelast", "last") if r[c] is not None}, key=lambda x: x["key"], reverse=step == -1)
+    return out
+
+
+def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ranges: int | None = None) -> DataFrame:
+    """(id_col, url_col, text, n_blocks, n_shared): each page's main text, its blocks, and those shared with the neighbour that told.  ranges: how many pages
+    are dealt out to."""
+    spark = pages.sparkSession
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
-    rows = pages.select(
-        F.col(id_col).alias("id"),
-        F.col(url_col).alias("url"),
-        F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
-        F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
-        F.col(html_col).cast("string").alias("html"),
-    )
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    text = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    page = F.xxhash64(text)
+    key = F.concat_ws("\x00", host, path, F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.hex(page))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), key.alias("key"), page.alias("page"), text.alias("html"))
+    ranges = ranges or RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = rows.select("key").orderBy(F.xxhash64("key"), "key").limit(BORDER_SAMPLE * ranges).toPandas()["key"].tolist()
+    drawn.sort(key=str.encode)
+    cuts = [x.encode() for x in dict.fromkeys(drawn[BORDER_SAMPLE - 1 :: BORDER_SAMPLE])]
+
+    @F.arrow_udf("int")
+    def range_of(keys: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(cuts, k.encode()) for k in keys.to_pylist()], pa.int32())
+
+    marks = written(rows.select("key", "host", "page", range_of("key").alias("range")))
+    context = _bordering(marks)
+    context = spark.createDataFrame(context, "key string, range int").groupBy("key").agg(F.collect_set("range").alias("elsewhere"))
+    # at most two rows for each range
+    dealt = rows.withColumn("own", range_of("key")).join(F.broadcast(context), "key", "left")
+    dealt = dealt.withColumn("range", F.explode(F.array_union(F.array("own"), F.coalesce("elsewhere", F.array().cast("array<int>")))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parsed() -> Iterator[tuple]:
+        out: list[tuple] = []
+        size = 0
+
+        def different() -> Iterator[tuple]:
+            """(host, page, blocks, members) of runs of pages with the same html; members: (id, url, path, is it this range's)."""
+            now = None
             for batch in chunks(batches, "html"):
                 for row in batch.to_pylist():
-                    yield row["id"], row["url"], row["host"], row["path"], blocks(row["html"] or "")
+                    if now is None or (row["range"], row["host"], row["page"]) != now[:3]:
+                        if now is not None:
+                            yield now
+                        now = (row["range"], row["host"], row["page"], blocks(row["html"]), [])
+                    now[4].append((row["id"], row["url"], row["key"].split("\x00")[1], row["own"] == row["range"]))
+            if now is not None:
+                yield now
 
-        def result(before: tuple | None, row: tuple, after: tuple | None) -> tuple:
-            near = [x for x in (before, after) if x is not None and x[2] == row[2]]
-            other = max(near, key=lambda x: _prefix(x[3], row[3]), default=None)
-            text, shared = main_text(row[4], other and other[4])
-            return row[0], row[1], text, len(row[4]), shared
+        def results(before: tuple | None, run: tuple, after: tuple | None) -> Iterator[tuple]:
+            near = [(x, x[4][k][2]) for x, k in ((before, -1), (after, 0)) if x is not None and x[:2] == run[:2]]
+            told: dict[int, tuple] = {}
+            for id_, url, path, own in run[4]:
+                if own:
+                    first = int(len(near) == 2 and _prefix(near[1][1], path) > _prefix(near[0][1], path))
+                    if first not in told:
+                        told[first] = main_text(run[3], [x[3] for x, _ in (near[::-1] if first else near)])
+                    yield id_, url, told[first][0], len(run[3]), told[first][1]
 
         def packed(rows: list[tuple]) -> pa.RecordBatch:
             kinds = [id_type, pa.string(), pa.string(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["id", "url", "text", "n_blocks", "n_shared"])
 
-        before, row, out, size = None, None, [], 0
-        for after in parsed():
-            if row is not None:
-                out.append(result(before, row, after))
-                size += len(out[-1][2])
-                if size > 4 << 20:
-                    yield packed(out)
-                    out, size = [], 0
-            before, row = row, after
-        if row is not None:
-            out.append(result(before, row, None))
+        before = now = None
+        for after in chain(different(), [None]):
+            if now is not None:
+                for row in results(before, now, after):
+                    out.append(row)
+                    size += len(row[2])
+                    if size > 4 << 20:
+                        yield packed(out)
+                        out, size = [], 0
+            before, now = now, after
         if out:
             yield packed(out)
 
-    kind = pages.schema[id_col].dataType
-    id_type = pa.string() if kind.simpleString() == "string" else pa.int64() if kind.simpleString() == "bigint" else pa.int32()
-    ordered = rows.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id")
-    out = ordered.mapInArrow(run, f"id {kind.simpleString()}, url string, text string, n_blocks long, n_shared long")
+    kind = pages.schema[id_col].dataType.simpleString()
+    id_type = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
+    ordered = dealt.select("id", "url", "host", "key", "page", "html", "own", "range").repartition("range").sortWithinPartitions("range", "key")
+    out = ordered.mapInArrow(run, f"id {kind}, url string, text string, n_blocks long, n_shared long")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})
 
 
