@@ -13,12 +13,14 @@ learned rules; empty tables give empty results; other columns of the input are n
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .substrings import BASES, Rolling, _mixed
 from .tables import table, unused, written
@@ -97,22 +99,23 @@ def _counted(texts: pa.Array) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array(out[c]) for c in COUNTS], names=list(COUNTS))
 
 
-def counted(text: Column) -> Column:
-    """A struct of COUNTS for each text, counted in Arrow batches while the row's other columns stay where they are.  Words are runs between
+def counted(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """docs with one more column, a struct of COUNTS for each text, counted in Arrow batches.  Words are runs between
     blanks; word_chars, code points in words; n_symbols, signs of #*$%&|<>; n_dup_lines, lines with a word that equal an earlier one;
     n_repeat_words, words in 8-word windows found twice or more; n_marks, ASCII punctuation."""
 
-    @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS))
-    def run(texts: pa.Array) -> pa.Array:
-        parts = [_counted(b.column("text")) for b in chunks([pa.RecordBatch.from_arrays([texts], names=["text"])])]
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([(c, pa.int64()) for c in COUNTS]))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, text_col):
+            counts = _counted(batch.column(text_col).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=[*batch.schema.names, name])
 
-    return run(text.cast("string"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StructType([StructField(c, LongType()) for c in COUNTS]))]))
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, *COUNTS): counts for each row's whole text."""
-    return docs.select(F.col(id_col).alias("id"), counted(F.col(text_col)).alias("counts")).select(F.col("id").alias(id_col), "counts.*")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return counted(texts, "text", "counts").select(F.col("id").alias(id_col), "counts.*")
 
 
 def _columns() -> dict[str, Column]:
@@ -238,8 +241,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     # a bounded sample, of the documented size
     known = written(known.orderBy(F.xxhash64("id"), "id", "label").limit(sample))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
-    rows = rows.select("id", "label", counted(F.col("text")).alias("counts")).select("id", "label", "counts.*").where(~base_failed())
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(known), "id")
+    rows = counted(rows, "text", "counts").select("id", "label", "counts.*").where(~base_failed())
     pdf = rows.select("id", "label", *(c.alias(n) for n, c in features().items())).orderBy(F.xxhash64("id"), "id", "label", *features()).limit(sample).toPandas()
     bad = (pdf["label"] == 0).to_numpy()
     if not bad.any() or bad.all():
@@ -250,7 +253,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def judged(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> tuple[DataFrame, str]:
     """docs with one more column, and its name: a struct of COUNTS, base_failed and kept.  One narrow pass: no row moves."""
     name = unused(docs.columns, "quality")
-    counts = docs.select("*", counted(F.col(text_col)).alias(name))
+    counts = counted(docs, text_col, name)
     own = {c: F.col(f"`{name}`.{c}") for c in COUNTS}
     source = F.struct(*(c.alias(n) for n, c in own.items()))
     failed = base_failed(own)
@@ -259,7 +262,7 @@ def judged(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> tupl
 
 def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, *COUNTS, base_failed, kept)."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out, name = judged(texts, learn(docs, labels, id_col, text_col))
     return out.select(F.col("id").alias(id_col), f"{name}.*")
 
