@@ -278,9 +278,88 @@ def test_page_text(spark):
     assert html_text.page_texts(df.limit(0)).count() == 0
 
 
-def test_longest_common_subsequence():
+def lcs(a, b):
+    """Which of a are in a longest common subsequence, by the whole table of lengths."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    out, i, j = set(), len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            out.add(i)
+        elif table[i - 1][j] >= table[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_differencing_matches_brute_force(spark, ranges):
+    """Hosts whose pages have a template of lines of their own and no telling tags; copies and equal pages among them."""
+    rng = random.Random(12)
+    pages = []
+    for host in ("a.org", "b.org", "c.org"):
+        template = [f"{host} part {i}" for i in range(6)]
+        for n in range(14):
+            body = [f"{host} text {n} {i} " + "word " * 20 for i in range(rng.randint(1, 4))]
+            lines = template[:3] + body + template[3 if n % 3 else 4 :]
+            pages.append((f"http://{host}/d{n % 4}/p{n}", lines))
+            if n % 5 == 0:
+                pages += [(f"http://{host}/d{n % 4}/p{n}x{i}", lines) for i in range(rng.randint(1, 6))]
+    pages += [("http://alone.org/x", ["one", "two"]), (None, ["no url"]), (None, ["no url", "more"])]
+    rng.shuffle(pages)
+    rows_ = [(i, u, "".join(f"<div>{x}</div>" for x in lines)) for i, (u, lines) in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_text.page_texts(spark.createDataFrame(rows_, "page_id long, url string, html string"), ranges=ranges).collect()}
+    split = lambda u: (u.split("/")[2], "/" + "/".join(u.split("/")[3:])) if u else ("", "")
+    order = sorted(range(len(pages)), key=lambda i: (*split(pages[i][0]), str(i)))
+    lines = [[x.strip() for x in pages[i][1]] for i in range(len(pages))]
+    changed = 0
+    for at, i in enumerate(order):
+        near = []
+        for side in (order[:at][::-1], order[at + 1 :]):
+            near += [next((j for j in side if lines[j] != lines[i] or split(pages[j][0])[0] != split(pages[i][0])[0]), None)]
+        near = [j for j in near if j is not None and split(pages[j][0])[0] == split(pages[i][0])[0]]
+        prefix = lambda j: len([1 for k in range(len(split(pages[i][0])[1])) if split(pages[j][0])[1][: k + 1] == split(pages[i][0])[1][: k + 1]])
+        near.sort(key=lambda j: -prefix(j))
+        want = lines[i]
+        for most in (0.9, 1.0):
+            told = [s for j in near for s in [lcs(lines[i], lines[j])] if sum(len(lines[i][k]) for k in s) < most * sum(map(len, lines[i]))]
+            if told:
+                want = [x for k, x in enumerate(lines[i]) if k not in told[0]]
+                break
+        assert got[i] == "\n\n".join(want), (i, pages[i][0])
+        changed += want != lines[i]
+    assert changed > 0.9 * len(pages)
+
+
+def test_template_in_an_article_and_copies():
+    page = lambda *parts: html_text.blocks("<article>" + "".join(parts) + "</article>")
+    own = page("<h1>Mine</h1><p>A sentence that both have.</p><p>Own words, and a lot of them, as they should be.</p>", "<div>Subscribe now</div>")
+    other = page("<h1>Theirs</h1><p>A sentence that both have.</p><p>Others.</p>", "<div>Subscribe now</div>")
+    assert html_text.main_text(own, [other])[0] == "Mine\n\nA sentence that both have.\n\nOwn words, and a lot of them, as they should be."
+    copy = page("<h1>Mine</h1><p>A sentence that both have.</p><p>Own words, and a lot of them, as they should be.</p>", "<div>Subscribe now</div><div>x</div>")
+    assert html_text.main_text(own, [copy])[0].endswith("Subscribe now")
+    assert not html_text.main_text(own, [copy, other])[0].endswith("Subscribe now")
+
+
+@pytest.mark.parametrize("broken", ["<head><title>t</title>", "<iframe src=x />", "<iframe src=x>", "<svg/>", "<button>Go", "<select><option>1", "<object data=x>", "<noscript/>"])
+def test_unclosed_elements_keep_the_article(broken):
+    own = html_text.blocks(f"<html>{broken}<body><article><p>One</p><div>{broken}</div><p>Two {broken}</p><p>Three</p></article><footer>f</footer>")
+    assert html_text.main_text(own, [])[0] == "One\n\nTwo\n\nThree"
+
+
+def test_hidden_elements_end():
+    own = html_text.blocks("<p>a <button>x</button>b<svg><title>t</title><text>y</text></svg> c<noscript><p>no</p></noscript>d</p><textarea>z</textarea><p>e")
+    assert [t for t, _ in own] == ["a b c", "d", "e"]
+
+
+def test_longest_common_subsequence(monkeypatch):
     rng = random.Random(3)
-    for _ in range(300):
+    for case in range(600):
+        monkeypatch.setattr(html_text, "CELLS", 1 << 26 if case % 2 else 3)
         a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 9))] for _ in range(2))
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
@@ -295,7 +374,11 @@ def test_hostile_markup_is_linear():
     html_text.blocks('<a href="' * 20_000)
     html_text.blocks("<div>" * 5000 + "x")
     html_text.blocks("<script>" * 20_000)
+    html_text.blocks("<button>" * 20_000)
     assert sum(html_text.common(["x"] * 8000, ["x"] * 9000)) == 8000
+    shared = [f"s{i}" for i in range(10_000)]
+    flags = html_text.common(["own", *shared], [f"other {i}" for i in range(9000)] + shared + ["end"])
+    assert flags == [False] + [True] * 10_000
 
 
 def test_hashes_of_queries_are_hex(spark):
