@@ -1,10 +1,13 @@
 """Personal data: fixed patterns, and more identifiers by bootstrapped contexts.  DataFrame functions only.
 
-Base spans are matches of four patterns.  They are seeds: the word in front of a seed is a lexical pattern, and an
-identifier-like token (seven digits or more) that follows such a word is a candidate.  Patterns and values form a graph,
-scored in rounds: a pattern's score is the sum of its values' scores over all occurrences of its word in the corpus, a
-value's is 1 for seeds and else the best score of its patterns.  Patterns of `CONFIDENCE` or more, with at least
-`SUPPORT` different values that are seeds, add the candidates that follow them, under the kind of most of their seeds.
+Base spans are matches of four patterns.  They are the seeds of a bootstrapping over all texts.  Whatever looks like an identifier (five digits or
+more, in groups or within a token) is an instance, and its surroundings are lexical patterns: the word in front, the two words in front,
+the words in front and behind, and the word in front with the instance's make (digits, letters and digits, or an address).  In each round, instances that are known induce patterns,
+and patterns score instances on the graph between both:
+a pattern's score is the sum of its known instances' scores over all occurrences of its words in the corpus (for two words, of the rarer one), and it is
+trusted from `CONFIDENCE` on with `SUPPORT` different known instances; an instance's score is the chance that one of its trusted patterns is
+right, taken as independent, and it is known from `CONFIDENCE` on, under the kind of its best pattern.  What a round adds induces more patterns in the next, until a round
+adds nothing.  All occurrences of known instances are spans.
 
 The patterns start at the first character of a run only and never step back in it, which gives the same leftmost matches in linear time and
 without deep recursion on long runs.
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import dropped, table, written
+from .tables import beside, dropped, settled, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
@@ -31,30 +34,60 @@ PATTERNS = {
 #: What a text must hold for the pattern to be tried.
 SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 _TOKEN = "A-Za-z0-9._%+@-"
-CANDIDATE = rf"(?<![{_TOKEN}])(?=[{_TOKEN}]*?[0-9])[{_TOKEN}]++"
-CANDIDATE_DIGITS = 7
-CANDIDATE_SIGN = rf"[0-9](?:[{_TOKEN}]*?[0-9]){{{CANDIDATE_DIGITS - 1}}}"
-CONTEXT = r"(\p{L}+)\P{L}*$"
-SUPPORT, CONFIDENCE, ROUNDS = 3, 0.5, 3
+#: Groups of digits with blanks, brackets and signs between, or a token with a digit.
+CANDIDATE = rf"(?<![{_TOKEN}])(?:[+(]?+[0-9]++(?:[\x20().\-/]{{1,2}}[0-9]++)++(?![{_TOKEN}])|(?=[{_TOKEN}]*?[0-9])[{_TOKEN}]++)"
+CANDIDATE_DIGITS = 5
+CANDIDATE_SIGN = rf"[0-9](?:[\x20()/{_TOKEN}]*?[0-9]){{{CANDIDATE_DIGITS - 1}}}"
+#: The last two words of what stands in front, and the first word behind.
+CONTEXT, BEHIND = r"(?:(\p{L}++)\P{L}++)?(\p{L}++)\P{L}*+$", r"^\P{L}*+(\p{L}++)"
+SUPPORT, CONFIDENCE = 3, 0.5
+#: Lengths that are summed at once: sums of longer runs are built of those of blocks.
+SUM_BLOCK = 64
 
-_SPAN = "struct<start:int,end:int,value:string,word:string>"
+_SPAN = "struct<start:int,end:int,value:string,left:string,right:string>"
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), where the value is computed once, even if a lambda function in it names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def prefix_sums(values: Column) -> Column:
+    """For each of an array of ints the sum of those before it."""
+
+    def of(x: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(x), F.lit(SUM_BLOCK))
+        blocks = F.transform(starts, lambda s: _sum(F.slice(x, s, F.lit(SUM_BLOCK))))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        before = F.aggregate(blocks, none, lambda done, n: F.struct((done["at"] + n).alias("at"), F.concat(done["out"], F.array(done["at"])).alias("out")), lambda done: done["out"])
+        return _let(before, lambda b: F.transform(x, lambda _, i: b[F.floor(i / SUM_BLOCK).cast("int")] + _sum(F.slice(x, i - i % SUM_BLOCK + 1, i % SUM_BLOCK))))
+
+    return _let(values, lambda x: F.when(F.size(x) > 0, of(x)).otherwise(F.array().cast("array<int>")))
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern, as an array of spans; word is the last word in front, in lower case."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
+    """All matches of a pattern, as an array of spans with what stands in front of and behind each."""
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+
+    def spans(m: Column) -> Column:
+        n = F.size(m["hits"])
+        pairs = F.arrays_zip(m["hits"].alias("hit"), F.slice(m["gaps"], 1, n).alias("gap"), F.slice(m["gaps"], 2, n).alias("next"))
+        starts = prefix_sums(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["hit"])))
+        earlier = F.concat(F.array(F.lit("")), m["gaps"])
 
-    def step(done: Column, pair: Column) -> Column:
-        start = done["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        word = F.lower(F.regexp_extract(F.substring(pair["gap"], -64, 64), CONTEXT, 1))
-        span = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("value"), word.alias("word"))
-        return F.struct(end.alias("at"), F.concat(done["out"], F.array(span)).alias("out"))
+        def span(p: Column) -> Column:
+            start = p["at"] + F.length(p["gap"])
+            left = F.concat(F.substring(p["earlier"], -64, 64), F.lit(" "), F.substring(p["gap"], -64, 64))
+            return F.struct(start.alias("start"), (start + F.length(p["hit"])).alias("end"), p["hit"].alias("value"), left.alias("left"), F.substring(p["next"], 1, 64).alias("right"))
 
-    empty = F.array().cast(f"array<{_SPAN}>")
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda done: done["out"])
+        whole = F.zip_with(F.zip_with(pairs, starts, lambda p, at: F.struct(p["hit"], p["gap"], p["next"], at.alias("at"))), F.slice(earlier, 1, n), lambda p, e: F.struct(p["hit"], p["gap"], p["next"], p["at"], e.alias("earlier")))
+        return F.transform(whole, span)
+
+    return _let(found, spans)
 
 
 def _digits(value: Column) -> Column:
@@ -92,54 +125,81 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = rows.select("id", "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
     none = F.array().cast(f"array<{_SPAN}>")
     filled = {k: F.coalesce(k, none) for k in KINDS}
-    taken = F.concat(*filled.values())
     found = F.when(F.rlike("text", F.lit(CANDIDATE_SIGN)), _matches(F.col("text"), CANDIDATE))
     shorter = lambda s: F.regexp_replace(s["value"], "[._%+-]+$", "")  # noqa: E731  a full stop ends a sentence
-    found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(shorter(s))).alias("end"), shorter(s).alias("value"), s["word"].alias("word")))
-    free = F.filter(found, lambda s: (F.length(_digits(s["value"])) >= CANDIDATE_DIGITS) & ~F.exists(taken, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(shorter(s))).alias("end"), shorter(s).alias("value"), s["left"].alias("left"), s["right"].alias("right")))
+    enough = F.filter(found, lambda s: F.length(_digits(s["value"])) >= CANDIDATE_DIGITS)
+    taken = F.transform(F.concat(*filled.values()), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
+    free = _let(taken, lambda t: F.filter(enough, lambda s: ~F.exists(t, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
+    free = F.when(F.size(enough) > 0, free)
     return rows.select("id", F.xxhash64("text").alias("page"), *(c.alias(k) for k, c in filled.items()), F.coalesce(free, none).alias("other"))
 
 
-def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, total): occurrences of each lower-cased word in all texts."""
+def contexts(found: DataFrame) -> DataFrame:
+    """(value, seed, pattern, words, n): the graph, an edge for each instance and lexical pattern, with the times that they meet; seed: the kind, if it is a
+    base span; words: the pattern's.  found: what mentions() returns."""
+
+    def under(seed: Column, column: str) -> Column:
+        return F.transform(column, lambda s: F.struct(seed.alias("seed"), s["value"].alias("value"), s["left"].alias("left"), s["right"].alias("right")))
+
+    spans = F.concat(*(under(F.lit(k), k) for k in KINDS), under(F.lit(None).cast("string"), "other"))
+    rows = found.select(F.explode(spans).alias("s")).select("s.seed", F.lower("s.value").alias("value"), F.lower(F.regexp_extract("s.left", CONTEXT, 1)).alias("two"), F.lower(F.regexp_extract("s.left", CONTEXT, 2)).alias("one"), F.lower(F.regexp_extract("s.right", BEHIND, 1)).alias("behind")).where("one <> ''")
+    make = F.when(F.contains("value", F.lit("@")), "address").when(F.rlike("value", F.lit("[a-z]")), "mixed").otherwise("digits")
+    of = lambda name, pattern, *words: F.struct(F.concat_ws(" ", F.lit(name), *pattern).alias("pattern"), F.array(*words).alias("words"))
+    one, two, behind = F.col("one"), F.col("two"), F.col("behind")
+    patterns = F.array(of("front", [one], one), F.when(two != "", of("two", [two, one], two, one)), F.when(behind != "", of("around", [one, behind], one, behind)), of("make", [one, make], one))
+    edges = rows.select("seed", "value", F.explode(F.array_compact(patterns)).alias("p"))
+    return edges.groupBy("value", "seed", "p.pattern", "p.words").agg(F.count("*").alias("n"))
+
+
+def word_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(word, total): occurrences in all texts of each of the lower-cased words that are wanted (word), a written table."""
     words = F.explode(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"\p{L}+"), F.lit(0)))
-    return docs.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("total"))
-
-
-def learned_patterns(found: DataFrame, totals: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(word, kind, score): the lexical patterns that are trusted.  found: what mentions() returns."""
-    sides = [found.select(F.lit(k).alias("kind"), F.explode(k).alias("s")) for k in KINDS] + [found.select(F.lit(None).cast("string").alias("kind"), F.explode("other").alias("s"))]
-    rows = sides[0]
-    for side in sides[1:]:
-        rows = rows.unionByName(side)
-    # the graph: a row for each word and value, with the times that the value follows the word
-    edges = rows.select("kind", F.col("s.value").alias("value"), F.col("s.word").alias("word")).where("word <> ''").groupBy("word", "kind", "value").agg(F.count("*").alias("n"))
-    edges = written(edges.join(totals, "word"))
-    seeds = edges.where("kind IS NOT NULL").groupBy("word", "kind").agg(F.count("*").alias("values"))
-    known = seeds.groupBy("word").agg(F.sum("values").alias("support"), F.max_by("kind", F.struct("values", F.col("kind"))).alias("kind")).where(F.col("support") >= support)
-    graph = edges.withColumnRenamed("kind", "seed").join(known, "word")
-    values = graph.select("value", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("score")).groupBy("value").agg(F.max("score").alias("score"))
-    last = None
-    for _ in range(rounds):
-        patterns = written(graph.join(values, "value").groupBy("word", "kind").agg((F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("score")))
-        if last is not None:
-            dropped(last)
-        last = patterns
-        values = graph.join(patterns.select("word", F.col("score").alias("by")), "word").groupBy("value").agg(F.max(F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.least(F.lit(1.0), "by"))).alias("score"))
-    return last.where(F.col("score") >= confidence)
-
-
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: (id_col, email, ip, card, phone, added): arrays of spans (start, end, value, word); added ones have a kind too."""
+    return docs.select(words.alias("word")).join(beside(wanted), "word", "left_semi").groupBy("word").agg(F.count("*").alias("total"))
+
+
+def bootstrapped(graph: DataFrame, totals: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, list[int]]:
+    """(value, kind, score) of the instances that are known besides the seeds, and how many there were after each round.  graph: contexts(); totals: (pattern, total).
+
+    Each round is three aggregations with partial sums: of patterns, and of instances, which are joined to the graph from written tables."""
+    edges = written(graph.join(totals, "pattern").select("value", "seed", "pattern", "n", "total"))
+    seeds = edges.where("seed IS NOT NULL").groupBy("value").agg(F.min("seed").alias("kind")).withColumn("score", F.lit(1.0))
+    seeds = written(seeds)
+    open_ = written(edges.where("seed IS NULL").join(beside(seeds), "value", "left_anti"))
+    known, sizes = written(seeds.limit(0)), []
+    while True:
+        both = seeds.unionByName(known)
+        by_kind = edges.select("value", "pattern", "n", "total").join(beside(written(both)), "value").groupBy("pattern", "kind").agg(F.count_distinct("value").alias("values"), F.sum(F.col("n") * F.col("score")).alias("weight"), F.max("total").alias("total"))
+        trusted = by_kind.groupBy("pattern").agg(F.sum("values").alias("values"), F.least(F.lit(1.0), F.sum("weight") / F.max("total")).alias("score"), F.max_by("kind", F.struct("values", "kind")).alias("kind"))
+        trusted = written(trusted.where((F.col("values") >= support) & (F.col("score") >= confidence)).select("pattern", "kind", F.col("score").alias("by")))
+        wrong = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("by")))))
+        scored = open_.select("value", "pattern").distinct().join(beside(trusted), "pattern").groupBy("value").agg(F.max_by("kind", F.struct("by", "kind")).alias("kind"), (1 - wrong).alias("score"))
+        now = written(scored.where(F.col("score") >= confidence))
+        sizes.append(now.count())
+        grown = len(sizes) < 2 or sizes[-1] > sizes[-2]
+        dropped(known, trusted)
+        known = now
+        if not grown or not sizes[-1]:
+            return known, sizes
+
+
+@settled
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+    """For each row: (id_col, email, ip, card, phone, added): arrays of spans (start, end, value); added ones have a kind too."""
     found = written(mentions(docs, id_col, text_col))
-    patterns = learned_patterns(found, word_counts(docs, text_col))
+    graph = written(contexts(found))
+    words = written(graph.select(F.explode("words").alias("word")).distinct())
+    totals = written(word_counts(docs, text_col, words))
+    own = graph.select("pattern", F.explode("words").alias("word")).distinct().join(beside(totals), "word")
+    known, _ = bootstrapped(graph, written(own.groupBy("pattern").agg(F.min("total").alias("total"))), support, confidence)
     candidates = found.where(F.size("other") > 0).select("id", "page", F.explode("other").alias("s"))
-    new = candidates.join(patterns.select(F.col("word").alias("w"), "kind"), F.col("s.word") == F.col("w"))
+    new = candidates.join(beside(known.select(F.col("value").alias("v"), "kind")), F.lower("s.value") == F.col("v"))
     new = new.select("id", "page", F.struct("kind", "s.start", "s.end", "s.value").alias("s")).distinct()
-    new = new.groupBy("id", "page").agg(F.array_sort(F.collect_list("s")).alias("added")).select(F.col("id").alias("i"), F.col("page").alias("p"), "added")
-    out = found.join(new, found["id"].eqNullSafe(F.col("i")) & (found["page"] == F.col("p")), "left")
+    new = written(new.groupBy("id", "page").agg(F.array_sort(F.collect_list("s")).alias("added")).select(F.col("id").alias("i"), F.col("page").alias("p"), "added"))
+    out = found.join(beside(new), found["id"].eqNullSafe(F.col("i")) & (found["page"] == F.col("p")), "left")
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    return out.select(F.col("id").alias(id_col), *KINDS, F.coalesce("added", empty).alias("added"))
+    plain = lambda k: F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    return out.select(F.col("id").alias(id_col), *(plain(k).alias(k) for k in KINDS), F.coalesce("added", empty).alias("added"))
 
 
 def _place(span: Column) -> Column:
