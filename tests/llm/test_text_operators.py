@@ -252,8 +252,66 @@ def test_contexts_discover_more(spark):
     assert all(texts[r.doc_id][s.start : s.end] == s.value and s.kind == "phone" for r in got for s in r.added)
 
 
+ROUNDS = (
+    # seeds and (017) 555 numbers behind "dial"; the latter behind "reach" too, where no seed is; behind that, others
+    [f"please dial +49 30 {1000000 + i * 7919} now" for i in range(12)]
+    + [f"please dial (017) 555-{7000 + i} now" for i in range(5)]
+    + [f"you can reach (017) 555-{7000 + i} there" for i in range(5)]
+    + [f"you can reach 020 7946 0{100 + i} there" for i in range(3)]
+    + [f"order 020-{31000 + i} was sent" for i in range(9)]
+    + ["the sum of 100000 and 200000 is 300000"]
+)
+
+
+def test_a_second_round_finds_what_the_first_cannot(spark):
+    df = docs(spark, ROUNDS)
+    found = pii.personal_data(df).where("size(added) > 0").collect()
+    assert {s.value for r in found for s in r.added} == {f"(017) 555-{7000 + i}" for i in range(5)} | {f"020 7946 0{100 + i}" for i in range(3)}
+    graph = pii.contexts(pii.mentions(df, "doc_id", "text")).cache()
+    words = Counter(w for t in ROUNDS for w in re.findall(r"[^\W\d_]+", t.lower()))
+    rows_ = graph.collect()
+    totals = {r.pattern: min(words[w] for w in r.words) for r in rows_}
+    known, sizes = pii.bootstrapped(graph, spark.createDataFrame(list(totals.items()), "pattern string, total long"))
+    assert sizes == [5, 8, 8]
+    # by hand
+    values = {r.value: 1.0 for r in rows_ if r.seed}
+    kinds = {r.value: r.seed for r in rows_ if r.seed}
+    while True:
+        trusted = {}
+        for p in totals:
+            own = [r for r in rows_ if r.pattern == p and r.value in values]
+            score = min(1.0, sum(r.n * values[r.value] for r in own) / totals[p])
+            if len({r.value for r in own}) >= pii.SUPPORT and score >= pii.CONFIDENCE:
+                trusted[p] = score
+        new = dict(values)
+        for v in {r.value for r in rows_} - set(kinds):
+            wrong = 1.0
+            for p in {r.pattern for r in rows_ if r.value == v} & set(trusted):
+                wrong *= max(1e-9, 1 - trusted[p])
+            if 1 - wrong >= pii.CONFIDENCE:
+                new[v] = 1 - wrong
+        if new.keys() == values.keys():
+            break
+        values = new
+    assert {r.value: pytest.approx(r.score) for r in known.collect()} == {v: s for v, s in new.items() if v not in kinds}
+
+
+def test_prefix_sums(spark):
+    rng = random.Random(13)
+    lists = [[], [5], [rng.randint(0, 9) for _ in range(63)], [rng.randint(0, 9) for _ in range(64)], [rng.randint(0, 9) for _ in range(1000)]]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<int>").select("i", pii.prefix_sums(F.col("x")).alias("s")).collect()
+    for r in got:
+        assert r.s == [sum(lists[r.i][:k]) for k in range(len(lists[r.i]))]
+
+
+def test_many_matches_of_one_text(spark):
+    text = " ".join(f"a{i}@b.co" for i in range(20_000))
+    got = pii.personal_data(docs(spark, [text])).first()
+    assert len(got.email) == 20_000 and all(text[s.start : s.end] == s.value for s in got.email)
+
+
 def test_native_plan(spark):
-    plan = pii.mentions(docs(spark, ["a"]), "doc_id", "text")._jdf.queryExecution().toString()
+    plan = pii.contexts(pii.mentions(docs(spark, ["a"]), "doc_id", "text"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
