@@ -26,6 +26,8 @@ from .tables import beside, dropped, settled, table, text_key, without, written
 from .words import ALNUM_LOWER, chunks, split_words
 
 WINDOW = 10
+#: Text bytes of a shard: terms that are in many documents have one list for all of them.
+SHARD_BYTES = 4 << 20
 #: A proximity match has every term of a window within this many words of an occurrence of its rarest term.
 NEAR = 15
 #: The list of the documents' first positions is stored as if it were a term; words are never empty.
@@ -74,7 +76,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() << 32
         names = [f.split()[0] for f in schema.split(", ", 7)]
-        for batch in chunks(batches):
+        for batch in chunks(batches, most=SHARD_BYTES):
             words = split_words(batch.column("text"), ALNUM_LOWER)
             ids, terms = words.ids()
             docs_n = batch.num_rows

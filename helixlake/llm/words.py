@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 
 #: Text bytes handled at once; a longer single text makes a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def _table(separators: Iterable[int], lower: bool) -> np.ndarray:
