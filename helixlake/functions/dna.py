@@ -71,8 +71,9 @@ def first_invalid(seq: Column, valid: str = "ACGTUacgtu") -> Column:
 
 
 def index_to_dna(index: Column) -> Column:
-    """A decimal index in base four, as bases.  Up to 18 digits in Spark's own arithmetic, beyond by long division of the digits:
+    """A decimal index in base four, as bases; white space in it is skipped.  Up to 18 digits in Spark's own arithmetic, beyond by long division of the digits:
     a fold over them that keeps the number in base four as an array of digits."""
+    index = F.regexp_replace(index, r"\s", "")
     digits = F.regexp_replace(index, "^0+(?=.)", "")
     short = F.translate(F.conv(digits, 10, 4), "0123", "ACGT")
 

@@ -7,12 +7,14 @@ its reverse complement, which is the same in packed and in text order.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .dna import canonical, checked_k, normalize_base, pack
 
@@ -91,18 +93,218 @@ def kmers_ordered(seqs: DataFrame, k: int, id_col: str = "strand_id", engine: st
     return seqs.select(id_col, "seq").mapInArrow(run, f"{id_col} {kind}, pos int, kmer long")
 
 
-def kmers_distinct(seqs: DataFrame, k: int, id_col: str = "strand_id", engine: str = "arrow") -> DataFrame:
-    """(id_col, kmer, pos): each sequence's different k-mers with the first position of each."""
-    return kmers_ordered(seqs, k, id_col, engine).groupBy(id_col, "kmer").agg(F.min("pos").alias("pos"))
+def _first_in_each(owner: np.ndarray, kmer: np.ndarray) -> np.ndarray:
+    """Where each sequence's different k-mers come first."""
+    order = np.lexsort((kmer, owner))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (kmer[order[1:]] != kmer[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
+    return order[new]
 
 
-def kmer_occurrences(seqs: DataFrame, k: int) -> DataFrame:
-    """(kmer, n): how often each k-mer occurs, summed within batches already, so that a k-mer comes more than once.  seqs: seq."""
+def kmers_distinct(seqs: DataFrame, k: int, id_col: str = "strand_id", engine: str = "arrow") -> DataFrame:
+    """(id_col, kmer, pos): each row's different k-mers with the first position of each.  A sequence is a row, so nothing is shuffled; the engine of
+    built-in expressions groups by id, which then must be different for each row."""
     checked_k(k)
+    if engine == "sql":
+        return kmers_ordered(seqs, k, id_col, engine).groupBy(id_col, "kmer").agg(F.min("pos").alias("pos"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, "seq"):
-            kmer, n = np.unique(_windows(batch.column("seq"), k)[2], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kmer), pa.array(n.astype(np.int64))], names=["kmer", "n"])
+            owner, pos, kmer = _windows(batch.column("seq"), k)
+            first = _first_in_each(owner, kmer)
+            yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(owner[first])), pa.array(kmer[first]), pa.array(pos[first].astype(np.int32))], names=[id_col, "kmer", "pos"])
+
+    kind = seqs.schema[id_col].dataType.simpleString()
+    return seqs.select(id_col, "seq").mapInArrow(run, f"{id_col} {kind}, kmer long, pos int")
+
+
+#: K-mers are dealt out by an odd multiple of themselves: its upper bits are even for any input, and it can be undone.
+ODD = 0x9E3779B97F4A7C15
+_ODD, _UNDO = np.uint64(ODD), np.uint64(pow(ODD, -1, 1 << 64))
+#: Buckets for each of Spark's shuffle partitions, and k-mers that a task holds before it adds up equal ones.
+BUCKETS, HELD = 4, 4 << 20
+_LISTS = "bucket int, asks int, keys binary, counts binary"
+
+
+class Deal:
+    """Lists of scattered k-mers, cut into buckets."""
+
+    def __init__(self, seqs: DataFrame):
+        self.bits = max(1, (BUCKETS * int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+    def cuts(self, keys: np.ndarray) -> np.ndarray:
+        """Where each bucket begins in sorted keys, and the end."""
+        inner = np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
+        return np.concatenate([[0], np.searchsorted(keys, inner), [len(keys)]])
+
+    def counted(self, seqs: DataFrame, k: int, once: bool = False) -> DataFrame:
+        """_LISTS: different k-mers with their occurrences, or with the number of sequences that have them.  seqs: seq."""
+
+        def lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            keys, n = added(parts)
+            at = self.cuts(keys)
+            full = np.flatnonzero(np.diff(at))
+            starts = np.append(at[full], at[-1])
+            binary = lambda values, size: pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((starts * size).astype(np.int32)), pa.py_buffer(values)])
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.zeros(len(full), np.int32)), binary(keys, 8), binary(n.astype(np.int64), 8)], names=["bucket", "asks", "keys", "counts"])
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, size = [], 0
+            for batch in _pieces(batches, "seq"):
+                owner, _, kmer = _windows(batch.column("seq"), k)
+                kmer = kmer[_first_in_each(owner, kmer)] if once else kmer
+                parts.append(np.unique(kmer.view(np.uint64) * _ODD, return_counts=True))
+                size += len(parts[-1][0])
+                if size > HELD:
+                    yield lists(parts)
+                    parts, size = [], 0
+            if size:
+                yield lists(parts)
+
+        return seqs.select("seq").mapInArrow(run, _LISTS)
+
+    def asking(self, seqs: DataFrame, k: int, id_col: str) -> DataFrame:
+        """_LISTS, ids, pos: the different k-mers of each sequence, where each comes first, and the sequence."""
+        kind = seqs.schema[id_col].dataType.simpleString()
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _pieces(batches, "seq"):
+                owner, pos, kmer = _windows(batch.column("seq"), k)
+                first = _first_in_each(owner, kmer)
+                keys = kmer[first].view(np.uint64) * _ODD
+                order = np.argsort(keys, kind="stable")
+                keys, first = keys[order], first[order]
+                at = self.cuts(keys)
+                full = np.flatnonzero(np.diff(at))
+                starts = np.append(at[full], at[-1]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(starts), batch.column(id_col).take(pa.array(owner[first])))
+                places = pa.ListArray.from_arrays(pa.array(starts), pa.array(pos[first].astype(np.int32)))
+                asked = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(starts * 8), pa.py_buffer(keys)])
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.ones(len(full), np.int32)), asked, pa.nulls(len(full), pa.binary()), ids, places], names=["bucket", "asks", "keys", "counts", "ids", "pos"])
+
+        return seqs.select(id_col, "seq").mapInArrow(run, f"{_LISTS}, ids array<{kind}>, pos array<int>")
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different keys and their sums, of several such lists."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")  # runs are sorted already
+    keys = keys[order]
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[start], np.add.reduceat(n[order], start)
+
+
+def undone(keys: np.ndarray) -> np.ndarray:
+    return (keys * _UNDO).view(np.int64)
+
+
+def buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, pa.Array | None, np.ndarray]]]]:
+    """(keys, counts, questions) of each bucket, of rows of _LISTS that are sorted by bucket and asks.  Questions (keys, ids, pos) come one
+    list at a time, and are to be read before the next bucket."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            if batch.num_rows:
+                asks = "ids" in batch.schema.names
+                for i, (bucket, kind) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("asks").to_pylist())):
+                    yield bucket, kind, batch, i, asks
+
+    for _, own in groupby(rows(), key=lambda r: r[0]):
+        parts, size, held = [], 0, None
+        for row in own:
+            if row[1]:
+                held = row
+                break
+            one = tuple(np.frombuffer(row[2].column(c)[row[3]].as_buffer(), t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
+            parts.append(one)
+            size += len(one[0])
+            if size > 2 * HELD and len(parts) > 1:
+                parts = [added(parts)]
+                size = len(parts[0][0]) // 2  # of what is different, at least as much again comes before it is added up
+        keys, n = added(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+        def questions(first: tuple | None, rest: Iterator[tuple]) -> Iterator[tuple]:
+            for _, _, batch, i, _ in chain([first] if first else [], rest):
+                yield np.frombuffer(batch.column("keys")[i].as_buffer(), np.uint64), batch.column("ids")[i].values, batch.column("pos")[i].values.to_numpy()
+
+        yield keys, n, questions(held, own)
+
+
+def found(keys: np.ndarray, n: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The count of each key that is asked for, 0 where there is none."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64)
+    k = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[k] == asked, n[k], 0)
+
+
+def dealt(lists: DataFrame) -> DataFrame:
+    """Lists by bucket, counts before questions."""
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lists.repartition(n, "bucket").sortWithinPartitions("bucket", "asks")
+
+
+def kmer_occurrences(seqs: DataFrame, k: int, once: bool = False) -> DataFrame:
+    """(kmer, n): how often each k-mer occurs, or in how many sequences.  seqs: seq.  Tasks exchange lists of k-mers and counts, not a row
+    for each k-mer; a frequent k-mer is one entry of a list."""
+    checked_k(k)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n, _ in buckets(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(undone(keys)), pa.array(n)], names=["kmer", "n"])
+
+    return dealt(Deal(seqs).counted(seqs, k, once)).mapInArrow(run, "kmer long, n long")
+
+
+def count_histogram(seqs: DataFrame, k: int, cap: int, once: bool = False) -> DataFrame:
+    """(n, kmers): how many k-mers have each count, capped; a few rows for each bucket, so that a count comes more than once."""
+    checked_k(k)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, n, _ in buckets(batches):
+            count, kmers = np.unique(np.minimum(n, cap), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(count), pa.array(kmers.astype(np.int64))], names=["n", "kmers"])
+
+    return dealt(Deal(seqs).counted(seqs, k, once)).mapInArrow(run, "n long, kmers long")
+
+
+def covered_kmers(strands: DataFrame, reads: DataFrame, k: int, cap: int, id_col: str = "strand_id") -> DataFrame:
+    """(id_col, kmer, pos, cov, kmers): the different k-mers of each strand with their capped counts over the reads; and rows without id, the
+    number of read k-mers of each count.  strands: id_col, seq; reads: seq."""
+    checked_k(k)
+    kind = strands.schema[id_col].dataType.simpleString()
+    deal, names = Deal(reads), [id_col, "kmer", "pos", "cov", "kmers"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n, questions in buckets(batches):
+            n = np.minimum(n, cap)
+            for asked, ids, pos in questions:
+                yield pa.RecordBatch.from_arrays([ids, pa.array(undone(asked)), pa.array(pos), pa.array(found(keys, n, asked).astype(np.int32)), pa.nulls(len(asked), pa.int64())], names=names)
+            count, kmers = np.unique(n, return_counts=True)
+            none = [pa.nulls(len(count), t) for t in (id_type, pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(count.astype(np.int32)), pa.array(kmers.astype(np.int64))], names=names)
+
+    id_type = to_arrow_type(strands.schema[id_col].dataType)
+    lists = deal.counted(reads, k).unionByName(deal.asking(strands, k, id_col), allowMissingColumns=True)
+    return dealt(lists).mapInArrow(run, f"{id_col} {kind}, kmer long, pos int, cov int, kmers long")
+
+
+def most_shared(strands: DataFrame, k: int, cap: int, id_col: str = "strand_id") -> DataFrame:
+    """(id_col, n): for each strand and bucket the greatest number of strands, capped, that one of its k-mers there is in."""
+    checked_k(k)
+    kind = strands.schema[id_col].dataType.simpleString()
+    deal = Deal(strands)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n, questions in buckets(batches):
+            n = np.minimum(n, cap)
+            for asked, ids, _ in questions:
+                coded = ids.dictionary_encode()
+                most = np.zeros(len(coded.dictionary), np.int64)
+                np.maximum.at(most, coded.indices.to_numpy(), found(keys, n, asked))
+                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(most)], names=[id_col, "n"])
 
-    return seqs.select("seq").mapInArrow(run, "kmer long, n long")
+    lists = deal.counted(strands, k, True).unionByName(deal.asking(strands, k, id_col), allowMissingColumns=True)
+    return dealt(lists).mapInArrow(run, f"{id_col} {kind}, n long")

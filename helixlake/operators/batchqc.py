@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dna import coverage_ratio, first_invalid, trim, unpack
 from ..functions.kmers import kmers_ordered
+from .graph import clean_query, query_status
 from .recovery import coverage_lookup
 
 
@@ -66,7 +67,10 @@ def batch_totals(qc: DataFrame) -> DataFrame:
 
 
 def sequence_profile(strands: DataFrame, counts: DataFrame, k: int) -> DataFrame:
-    """(strand_id, pos, kmer, canonical, cov, ratio): every position with its k-mer as read."""
-    own = adjacent_ratios(path_coverage(strands, counts, k))
-    seqs = strands.select("strand_id", F.translate(F.upper("seq"), "U", "T").alias("seq"))
-    return own.join(seqs, "strand_id").select("strand_id", "pos", F.substring(F.col("seq"), F.col("pos") + 1, F.lit(k)).alias("kmer"), unpack(F.col("kmer"), k).alias("canonical"), "cov", "ratio")
+    """(strand_id, pos, kmer, canonical, cov, ratio, error): every position with its k-mer as read.  A strand that is shorter than k or has a
+    letter that is no base has one row, with the error."""
+    seqs = strands.select("strand_id", clean_query(F.col("seq")).alias("seq")).withColumn("error", query_status(F.col("seq"), k))
+    valid = seqs.where("error IS NULL").select("strand_id", "seq")
+    own = adjacent_ratios(path_coverage(valid, counts, k)).join(valid, "strand_id")
+    rows = own.select("strand_id", "pos", F.substring(F.col("seq"), F.col("pos") + 1, F.lit(k)).alias("kmer"), unpack(F.col("kmer"), k).alias("canonical"), "cov", "ratio", F.lit(None).cast("string").alias("error"))
+    return rows.unionByName(seqs.where("error IS NOT NULL").select("strand_id", "error"), allowMissingColumns=True)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import truncate
-from ..functions.kmers import kmer_occurrences, kmers_ordered
+from ..functions.kmers import count_histogram, kmer_occurrences
 
 #: The largest count of a k-mer over reads, and over strands.
 READ_CAP, STRAND_CAP = 2**14 - 1, 2**10 - 1
@@ -21,7 +21,7 @@ def countable(reads: DataFrame, k: int, length: int = 0) -> DataFrame:
 
 def raw_counts(reads: DataFrame, k: int, length: int = 0) -> DataFrame:
     """(kmer, n): occurrences over all reads, without a cap, so that tables of several inputs can be added."""
-    return kmer_occurrences(countable(reads, k, length), k).groupBy("kmer").agg(F.sum("n").alias("n"))
+    return kmer_occurrences(countable(reads, k, length), k)
 
 
 def capped(raw: DataFrame, cap: int = READ_CAP) -> DataFrame:
@@ -41,12 +41,12 @@ def merged_counts(tables: list[DataFrame]) -> DataFrame:
 
 def strand_membership(strands: DataFrame, k: int) -> DataFrame:
     """(kmer, n): in how many strands each k-mer is, up to STRAND_CAP."""
-    return membership_of(kmers_ordered(strands, k).select("strand_id", "kmer").distinct())
+    return kmer_occurrences(strands, k, once=True).select("kmer", F.least("n", F.lit(STRAND_CAP)).cast("int").alias("n"))
 
 
-def membership_of(each: DataFrame) -> DataFrame:
-    """The same from different pairs (strand_id, kmer)."""
-    return each.groupBy("kmer").agg(F.least(F.count("*"), F.lit(STRAND_CAP)).cast("int").alias("n"))
+def membership_histogram(strands: DataFrame, k: int) -> DataFrame:
+    """(n, kmers): how many k-mers are in so many strands, up to STRAND_CAP; no row for each k-mer is made on the way."""
+    return count_histogram(strands, k, STRAND_CAP, once=True).groupBy(F.col("n").cast("int").alias("n")).agg(F.sum("kmers").alias("kmers"))
 
 
 def spectrum(counts: DataFrame) -> DataFrame:

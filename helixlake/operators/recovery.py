@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import coverage_ratio
+from ..functions import kmers
 from ..functions.kmers import kmers_distinct
-from .counts import kmer_counts, spectrum
+from ..sources.scratch import settled, written
+from .counts import READ_CAP, countable
 
 
 def coverage_lookup(keys: DataFrame, counts: DataFrame) -> DataFrame:
@@ -117,9 +118,11 @@ def metric_grid(stats: DataFrame, targets: DataFrame, reads: DataFrame, ratios:
     )
 
 
+@settled
 def strand_recovery(strands: DataFrame, reads: DataFrame, k: int, cutoffs: range | list[int] = (0,), ratios: tuple[float, float, float] = (0.0, 0.0, 0.2), skip: int = 0, length: int = 0) -> DataFrame:
-    """The whole job: count the reads' k-mers, look up the strands', and evaluate the grid.  cutoffs: of coverage; ratios: low, high, step."""
-    cutoffs = list(cutoffs)
-    counts = kmer_counts(reads, k, length).persist(StorageLevel.MEMORY_AND_DISK)
-    covered = covered_kmers(strands, counts, k).persist(StorageLevel.MEMORY_AND_DISK)
-    return metric_grid(strand_stats(strands, covered, skip), target_histogram(covered), spectrum(counts), grid_ratios(*ratios), cutoffs)
+    """The whole job: count the reads' k-mers, look up the strands' where they are counted, and evaluate the grid.  cutoffs: of coverage; ratios: low, high,
+    step.  Of the reads' k-mers only the numbers by coverage leave the tasks that count them."""
+    found = written(kmers.covered_kmers(strands, countable(reads, k, length), k, READ_CAP))
+    covered = found.where("strand_id IS NOT NULL").select("strand_id", "kmer", "pos", "cov")
+    seen = found.where("kmers IS NOT NULL").groupBy("cov").agg(F.sum("kmers").alias("kmers"))
+    return metric_grid(strand_stats(strands, covered, skip), target_histogram(covered), seen, grid_ratios(*ratios), list(cutoffs))

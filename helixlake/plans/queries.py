@@ -13,7 +13,7 @@ from ..operators import alignment, assignment, batchqc, counts, graph, links, re
 from ..sources import sequences, sinks, tables
 from ..sources.scratch import shared_dir
 from ..streaming import counts as streaming
-from .views import K, K_SHORT, READ_LENGTH, SQL_ALIGNMENTS, SQL_TARGETS, alignments, pool, reads, sql_counts, sql_kmers, sql_pool, sql_reads, sql_strands, strands, table, targets
+from .views import K, K_SHORT, READ_LENGTH, SQL_ALIGNMENTS, SQL_SIMULATED, SQL_TARGETS, alignments, pool, reads, sql_counts, sql_kmers, sql_pool, sql_reads, sql_strands, simulated_reads, strands, table, targets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,16 +47,17 @@ def f2_revcomp(spark, sf_dir):
     return reads(spark, sf_dir).select("read_id", F.md5(dna.revcomp(F.col("seq"))).alias("turned"))
 
 
-@query(f"WITH {sql_reads()} SELECT read_id, least(substr(seq, 1, 31), translate(reverse(substr(seq, 1, 31)), 'ACGT', 'TGCA')) AS kmer FROM reads WHERE length(seq) >= 31")
+@query(f"WITH {sql_reads()} SELECT read_id, md5(least(seq, translate(reverse(seq), 'ACGT', 'TGCA'))) AS canonical FROM reads")
 def f3_canonical(spark, sf_dir):
-    own = reads(spark, sf_dir).where(F.length("seq") >= K)
-    return own.select("read_id", dna.canonical(F.substring("seq", 1, K)).alias("kmer"))
+    """The canonical form of whole reads."""
+    return reads(spark, sf_dir).select("read_id", F.md5(dna.canonical(F.col("seq"))).alias("canonical"))
 
 
-@query(f"WITH {sql_reads()} SELECT read_id, CAST(list_sum([CAST(strpos('ACGT', substr(seq, i, 1)) - 1 AS BIGINT) << (62 - 2 * i) FOR i IN generate_series(1, 31)]) AS BIGINT) AS code, substr(seq, 1, 31) AS kmer FROM reads WHERE length(seq) >= 31")
+@query(f"WITH {sql_strands()}, {sql_kmers('strands', 'strand_id', K, 'k')} SELECT strand_id, CAST(pos AS INTEGER) AS pos, CAST(list_sum([CAST(strpos('ACGT', substr(kmer, i, 1)) - 1 AS BIGINT) << (62 - 2 * i) FOR i IN generate_series(1, 31)]) AS BIGINT) AS code, kmer FROM k")
 def f4_pack_unpack(spark, sf_dir):
-    own = reads(spark, sf_dir).where(F.length("seq") >= K).select("read_id", dna.pack(F.substring("seq", 1, K)).alias("code"))
-    return own.select("read_id", "code", dna.unpack(F.col("code"), K).alias("kmer"))
+    """Every k-mer of the strands, packed and unpacked again."""
+    own = kmers.kmers_ordered(strands(spark, sf_dir), K, engine="sql").select("strand_id", "pos", dna.pack(dna.unpack(F.col("kmer"), K)).alias("code"))
+    return own.select("strand_id", "pos", "code", dna.unpack(F.col("code"), K).alias("kmer"))
 
 
 @query(f"WITH {sql_strands('N')}, {sql_kmers('strands', 'strand_id', K_SHORT, 'k')} SELECT strand_id, CAST(pos AS INTEGER) AS pos, kmer FROM k")
@@ -101,10 +102,19 @@ def f12_coverage_class(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(dna.coverage_class(F.col("l_quantity").cast("int") % 6).alias("class")).agg(F.count("*").alias("n"))
 
 
-@query("WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) * 1000003 AS x FROM orders) SELECT o_orderkey, CASE WHEN x = 0 THEN 'A' ELSE ltrim(array_to_string([substr('ACGT', CAST((x >> (60 - 2 * i)) & 3 AS BIGINT) + 1, 1) FOR i IN generate_series(0, 30)], ''), 'A') END AS dna FROM o")
+#: Powers of four, for indexes of up to 30 digits.
+_POWERS = ", ".join(f"CAST('{4**i}' AS HUGEINT)" for i in range(49, -1, -1))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS HUGEINT) * 1000003 AS x, CAST(o_orderkey AS HUGEINT) * CAST('100000000000000000007' AS HUGEINT) AS y FROM orders),
+d AS (SELECT o_orderkey, [CAST(x // p % 4 AS INTEGER) FOR p IN [{_POWERS}]] AS a, [CAST(y // p % 4 AS INTEGER) FOR p IN [{_POWERS}]] AS b FROM o),
+t AS (SELECT o_orderkey, ltrim(translate(array_to_string(a, ''), '0123', 'ACGT'), 'A') AS a, ltrim(translate(array_to_string(b, ''), '0123', 'ACGT'), 'A') AS b FROM d)
+SELECT o_orderkey, CASE WHEN a = '' THEN 'A' ELSE a END AS dna, CASE WHEN b = '' THEN 'A' ELSE b END AS long_dna FROM t""")
 def f13_index_to_dna(spark, sf_dir):
-    index = (F.col("o_orderkey").cast("long") * 1000003).cast("string")
-    return table(spark, sf_dir, "orders").select("o_orderkey", dna.index_to_dna(index).alias("dna"))
+    key = F.col("o_orderkey").cast("long")
+    index = F.concat(F.lit(" "), (key * 1000003).cast("string"))
+    long_index = (key.cast("decimal(38,0)") * F.expr("100000000000000000007BD").cast("decimal(21,0)")).cast("decimal(38,0)").cast("string")
+    return table(spark, sf_dir, "orders").select("o_orderkey", dna.index_to_dna(index).alias("dna"), dna.index_to_dna(long_index).alias("long_dna"))
 
 
 @query("SELECT o_orderkey, CASE WHEN length(s) < 9 THEN lpad(s, 9, 'A') ELSE s END AS dna FROM (SELECT o_orderkey, translate(CAST(o_orderkey * 7 AS VARCHAR), '0123456789', 'ACGTACGTAC') AS s FROM orders)")
@@ -124,11 +134,13 @@ def f16_subsample_1_in_n(spark, sf_dir):
 
 
 _BUCKET = "CASE WHEN tp <> 'P' THEN 'secondary' WHEN mapq < 5 OR matches / block_length < 0.8 OR cs IS NULL THEN 'low_quality' WHEN target NOT IN (SELECT name FROM known) THEN 'unknown_target' ELSE 'used' END"
-_KNOWN = "known AS (SELECT 'part' || p_partkey AS name FROM part WHERE p_partkey % 10 <> 0)"
+_KNOWN = "known AS (SELECT 'part' || p_partkey AS name FROM part WHERE p_type <> 'STANDARD')"
 
 
 def _known(spark, sf_dir):
-    return targets(spark, sf_dir).where(~F.endswith("name", F.lit("0")))
+    """The strands of a run that made no standard parts."""
+    made = table(spark, sf_dir, "part").where("p_type <> 'STANDARD'")
+    return targets(spark, sf_dir).join(made.select(F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("name")), "name", "left_semi")
 
 
 @query(f"WITH {SQL_ALIGNMENTS}, {_KNOWN} SELECT row_id, {_BUCKET} AS bucket FROM alignments")
@@ -174,15 +186,15 @@ def f23_prefix_match(spark, sf_dir):
 # --- counting
 
 
-@query(f"WITH {sql_counts(K, READ_LENGTH)} SELECT kmer, cov FROM counts")
+@query(f"WITH {sql_counts(K)} SELECT kmer, cov FROM counts")
 def a1_kmer_count(spark, sf_dir):
-    return _text(counts.kmer_counts(reads(spark, sf_dir), K, READ_LENGTH), K)
+    return _text(counts.kmer_counts(reads(spark, sf_dir), K), K)
 
 
 @query(f"WITH {sql_counts(K_SHORT)} SELECT kmer, cov FROM counts")
 def a2_kmer_count_merge(spark, sf_dir):
     own = reads(spark, sf_dir)
-    parts = [counts.raw_counts(own.where(F.col("read_id") % 3 == i), K_SHORT) for i in range(3)]
+    parts = [counts.raw_counts(own.where(F.pmod(F.xxhash64("read_id"), F.lit(3)) == i), K_SHORT) for i in range(3)]
     return _text(counts.capped(counts.merged_counts(parts)), K_SHORT)
 
 
@@ -191,7 +203,7 @@ _MEMBERSHIP = f"{sql_pool()}, {sql_kmers('strands', 'strand_id', K, 'k')}, membe
 
 @query(f"WITH {_MEMBERSHIP} SELECT n, count(*) AS kmers FROM member GROUP BY n")
 def a3_strand_membership_count(spark, sf_dir):
-    return counts.strand_membership(pool(spark, sf_dir), K).groupBy("n").agg(F.count("*").alias("kmers"))
+    return counts.membership_histogram(pool(spark, sf_dir), K)
 
 
 _COVERED = f"""{sql_counts(K)}, {sql_strands()}, {sql_kmers('strands', 'strand_id', K, 'strand_kmers')},
@@ -230,9 +242,9 @@ def a9_suffix_sums(spark, sf_dir):
     return counts.suffix_sums(counts.spectrum(counts.kmer_counts(reads(spark, sf_dir), K)))
 
 
-@query(f"WITH {sql_counts(K, READ_LENGTH)} SELECT count(*) AS distinct_kmers, CAST(sum(cov) AS BIGINT) AS total_coverage, 31 AS k, 200 AS read_length, 1 AS files FROM counts")
+@query(f"WITH {sql_counts(K)} SELECT count(*) AS distinct_kmers, CAST(sum(cov) AS BIGINT) AS total_coverage, 31 AS k, 0 AS read_length, 1 AS files FROM counts")
 def a10_summary(spark, sf_dir):
-    return counts.summary(counts.kmer_counts(reads(spark, sf_dir), K, READ_LENGTH), K, READ_LENGTH)
+    return counts.summary(counts.kmer_counts(reads(spark, sf_dir), K), K)
 
 
 _RATIOS = "[0.0, 0.5, 1.0, 1.5, 2.0]"
@@ -258,10 +270,10 @@ def j2_target_in_reads(spark, sf_dir):
     return _text(recovery.targets_in_reads(own, counts.kmer_counts(reads(spark, sf_dir), K)), K)
 
 
-@query(f"WITH {sql_counts(K, READ_LENGTH)}, {sql_strands()}, {sql_kmers('strands', 'strand_id', K, 't')} SELECT kmer, cov FROM counts WHERE kmer NOT IN (SELECT kmer FROM t)")
+@query(f"WITH {sql_counts(K)}, {sql_strands()}, {sql_kmers('strands', 'strand_id', K, 't')} SELECT kmer, cov FROM counts WHERE kmer NOT IN (SELECT kmer FROM t)")
 def j2_noise_kmers(spark, sf_dir):
     own = kmers.kmers_ordered(strands(spark, sf_dir), K)
-    return _text(recovery.noise_kmers(own, counts.kmer_counts(reads(spark, sf_dir), K, READ_LENGTH)), K)
+    return _text(recovery.noise_kmers(own, counts.kmer_counts(reads(spark, sf_dir), K)), K)
 
 
 @query(f"WITH {sql_counts(K)}, {sql_strands()}, {sql_kmers('strands', 'strand_id', K, 't')}, b AS (SELECT DISTINCT kmer FROM t), c AS (SELECT kmer FROM counts WHERE cov > 1) SELECT CASE WHEN b.kmer IS NULL THEN 'noise' WHEN c.kmer IS NULL THEN 'lost' ELSE 'shared' END AS \"set\", count(*) AS kmers FROM b FULL JOIN c ON b.kmer = c.kmer GROUP BY 1")
@@ -293,25 +305,30 @@ def w6_entangled_topn(spark, sf_dir):
 
 # --- paths and batches
 
-_PATHS = f"""{sql_counts(K, READ_LENGTH)}, {sql_strands()}, {sql_kmers('strands', 'strand_id', K, 'path')},
+_PATHS = f"""{sql_counts(K)}, {sql_strands()}, {sql_kmers('strands', 'strand_id', K, 'path')},
 along AS (SELECT strand_id, pos, kmer, coalesce(cov, 0) AS cov FROM path LEFT JOIN counts USING (kmer)),
 pairs AS (SELECT *, lead(cov) OVER (PARTITION BY strand_id ORDER BY pos) AS nxt FROM along),
 adjacent AS (SELECT strand_id, pos, kmer, cov, CASE WHEN nxt IS NULL THEN NULL WHEN least(nxt, cov) > 0 THEN greatest(nxt, cov) / least(nxt, cov) WHEN greatest(nxt, cov) = 0 THEN 1.0 ELSE 0.0 END AS ratio FROM pairs),
 summary AS (SELECT strand_id, count(*) AS kmer_count, count(*) FILTER (cov > 0) AS observed, count(*) FILTER (cov = 0) AS missing, min(cov) > 0 AS complete, min(cov) AS min_cov, max(cov) AS max_cov, sum(cov) / count(*) AS mean_cov, coalesce(max(ratio), 1.0) AS max_ratio FROM adjacent GROUP BY strand_id)"""
 
 
-def _counts200(spark, sf_dir):
-    return counts.kmer_counts(reads(spark, sf_dir), K, READ_LENGTH)
+def _counts(spark, sf_dir):
+    return counts.kmer_counts(reads(spark, sf_dir), K)
 
 
 @query(f"WITH {_PATHS} SELECT * FROM summary")
 def a13_g7_sequence_summary(spark, sf_dir):
-    return batchqc.sequence_summary(batchqc.path_coverage(strands(spark, sf_dir), _counts200(spark, sf_dir), K))
+    return batchqc.sequence_summary(batchqc.path_coverage(strands(spark, sf_dir), _counts(spark, sf_dir), K))
+
+
+_BROKEN = "broken AS (SELECT 1000000 + item_id AS strand_id, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', 'N', 'g') AS seq FROM benchmark)"
 
 
-@query(f"WITH {_PATHS} SELECT strand_id, CAST(pos AS INTEGER) AS pos, substr(seq, CAST(pos + 1 AS BIGINT), 31) AS kmer, kmer AS canonical, cov, ratio FROM adjacent JOIN strands USING (strand_id)")
+@query(f"WITH {_PATHS}, {_BROKEN} SELECT strand_id, CAST(pos AS INTEGER) AS pos, substr(seq, CAST(pos + 1 AS BIGINT), 31) AS kmer, kmer AS canonical, cov, ratio, CAST(NULL AS VARCHAR) AS error FROM adjacent JOIN strands USING (strand_id) UNION ALL SELECT strand_id, NULL, NULL, NULL, NULL, NULL, CASE WHEN length(seq) < 31 THEN 'shorter than k' ELSE 'invalid base' END FROM (SELECT strand_id, seq FROM strands UNION ALL SELECT * FROM broken) WHERE length(seq) < 31 OR contains(seq, 'N')")
 def g6_sequence_profile(spark, sf_dir):
-    return batchqc.sequence_profile(strands(spark, sf_dir), _counts200(spark, sf_dir), K)
+    """Profiles of the strands, and errors of the same with breaks."""
+    broken = strands(spark, sf_dir, "N").withColumn("strand_id", F.col("strand_id") + 1_000_000)
+    return batchqc.sequence_profile(strands(spark, sf_dir).unionByName(broken), _counts(spark, sf_dir), K)
 
 
 _QC = f"{_PATHS}, qc AS (SELECT strand_id, length(seq) AS raw_length, length(seq) AS analyzed_length, CASE WHEN length(seq) < 31 THEN 'skipped' ELSE 'ok' END AS status, CASE WHEN length(seq) < 31 THEN 'shorter than k' END AS message, summary.* EXCLUDE (strand_id) FROM strands LEFT JOIN summary USING (strand_id))"
@@ -319,18 +336,18 @@ _QC = f"{_PATHS}, qc AS (SELECT strand_id, length(seq) AS raw_length, length(seq
 
 @query(f"WITH {_QC} SELECT * FROM qc")
 def g8_batch_qc(spark, sf_dir):
-    out = batchqc.batch_qc(strands(spark, sf_dir), _counts200(spark, sf_dir), K)
+    out = batchqc.batch_qc(strands(spark, sf_dir), _counts(spark, sf_dir), K)
     return out.withColumns({c: F.col(c).cast("long") for c in ("raw_length", "analyzed_length")})
 
 
 @query(f"WITH {_QC} SELECT count(*) AS total, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'ok' AND complete) AS complete, count(*) FILTER (status = 'ok' AND NOT complete) AS broken FROM qc")
 def a14_batch_totals(spark, sf_dir):
-    return batchqc.batch_totals(batchqc.batch_qc(strands(spark, sf_dir), _counts200(spark, sf_dir), K))
+    return batchqc.batch_totals(batchqc.batch_qc(strands(spark, sf_dir), _counts(spark, sf_dir), K))
 
 
 @query(f"WITH {_QC} SELECT strand_id + 1 AS index, strand_id AS name, raw_length, analyzed_length, status, observed AS observed_kmers, kmer_count AS total_kmers, CASE WHEN complete THEN 'yes' WHEN NOT complete THEN 'no' END AS path_complete, min_cov, mean_cov, max_cov, max_ratio AS max_adjacent_ratio FROM qc")
 def snk7_write_batch_csv(spark, sf_dir):
-    qc = batchqc.batch_qc(strands(spark, sf_dir), _counts200(spark, sf_dir), K).withColumn("name", F.col("strand_id"))
+    qc = batchqc.batch_qc(strands(spark, sf_dir), _counts(spark, sf_dir), K).withColumn("name", F.col("strand_id"))
     path = shared_dir(spark, "batch")
     sinks.write_batch_csv(qc, path)
     schema = "index long, name long, raw_length long, analyzed_length long, status string, observed_kmers long, total_kmers long, path_complete string, min_cov int, mean_cov double, max_cov int, max_adjacent_ratio double"
@@ -342,17 +359,17 @@ def w7_record_at_index(spark, sf_dir):
     return strands(spark, sf_dir).where(F.col("strand_id") == 7).select("strand_id", dna.trim(F.col("seq"), 5, 5).alias("seq"))
 
 
-# --- the graph; queries are the first 40 bases of each strand
+# --- the graph; queries are the strands
 
 _NODES = f"""{sql_counts(K)}, {sql_strands()},
-q AS (SELECT strand_id AS query_id, substr(seq, 1, 31) AS l, right(substr(seq, 1, 40), 31) AS r, length(substr(seq, 1, 40)) > 31 AS truncated FROM strands WHERE length(seq) >= 31),
+q AS (SELECT strand_id AS query_id, substr(seq, 1, 31) AS l, right(seq, 31) AS r, length(seq) > 31 AS truncated FROM strands WHERE length(seq) >= 31),
 side AS (SELECT query_id, 'up' AS direction, l AS kmer FROM q UNION ALL SELECT query_id, 'down', r FROM q),
 near AS (SELECT query_id, direction, base, CASE direction WHEN 'up' THEN base || substr(kmer, 1, 30) ELSE substr(kmer, 2) || base END AS neighbor FROM side, (SELECT unnest(['A', 'C', 'G', 'T']) AS base)),
 found AS (SELECT near.*, coalesce(cov, 0) AS cov FROM near LEFT JOIN counts ON counts.kmer = least(neighbor, translate(reverse(neighbor), 'ACGT', 'TGCA')))"""
 
 
 def _graph(spark, sf_dir):
-    own = strands(spark, sf_dir).select(F.col("strand_id").alias("query_id"), F.substring("seq", 1, 40).alias("query"))
+    own = strands(spark, sf_dir).select(F.col("strand_id").alias("query_id"), F.col("seq").alias("query"))
     # looked up at each level
     return own, counts.kmer_counts(reads(spark, sf_dir), K).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -386,7 +403,7 @@ def g3_branch_tree(spark, sf_dir):
     return graph.branch_tree(*_graph(spark, sf_dir), K, 3)
 
 
-@query()
+@query(_TREE.replace("t.step < 3", "t.step < 6 AND t.rank <= 1").replace("WHERE step > 0", "WHERE step > 0 AND rank = 1"))
 def g4_greedy_path(spark, sf_dir):
     return graph.greedy_path(*_graph(spark, sf_dir), K, 6)
 
@@ -401,20 +418,27 @@ def _indexes(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_partkey").cast("string").alias("index"))
 
 
-@query()
-def g5_index_query(spark, sf_dir):
-    return graph.index_query(_indexes(spark, sf_dir), counts.kmer_counts(reads(spark, sf_dir), K), K, 8, 1)
+def _starts_sql(k: int) -> str:
+    """Common tables up to r: (query_id, kmer, cov, rank), the covered k-mers behind each index."""
+    return f"""{sql_counts(k)}, side AS (SELECT kmer, cov FROM counts UNION ALL SELECT translate(reverse(kmer), 'ACGT', 'TGCA'), cov FROM counts WHERE translate(reverse(kmer), 'ACGT', 'TGCA') <> kmer),
+p AS (SELECT p_partkey AS query_id, lpad(CASE WHEN p_partkey = 0 THEN 'A' ELSE ltrim(array_to_string([substr('ACGT', CAST((p_partkey >> (30 - 2 * i)) & 3 AS BIGINT) + 1, 1) FOR i IN generate_series(0, 15)], ''), 'A') END, 8, 'A') AS prefix FROM part),
+r AS (SELECT query_id, kmer, cov, row_number() OVER (PARTITION BY query_id ORDER BY kmer) AS rank FROM p JOIN side ON substr(kmer, 1, 8) = prefix)"""
 
 
-@query(f"""WITH {sql_counts(12)}, side AS (SELECT kmer, cov FROM counts UNION ALL SELECT translate(reverse(kmer), 'ACGT', 'TGCA'), cov FROM counts WHERE translate(reverse(kmer), 'ACGT', 'TGCA') <> kmer),
-p AS (SELECT p_partkey AS query_id, lpad(CASE WHEN p_partkey = 0 THEN 'A' ELSE ltrim(array_to_string([substr('ACGT', CAST((p_partkey >> (30 - 2 * i)) & 3 AS BIGINT) + 1, 1) FOR i IN generate_series(0, 15)], ''), 'A') END, 8, 'A') AS prefix FROM part),
-r AS (SELECT query_id, kmer, cov, row_number() OVER (PARTITION BY query_id ORDER BY kmer) AS rank FROM p JOIN side ON starts_with(kmer, prefix))
-SELECT query_id, kmer, cov, CAST(rank AS INTEGER) AS rank, count(*) OVER (PARTITION BY query_id) >= 32 AS limit_reached FROM r WHERE rank <= 32""")
+@query(f"WITH {_starts_sql(12)} SELECT query_id, kmer, cov, CAST(rank AS INTEGER) AS rank, count(*) OVER (PARTITION BY query_id) >= 32 AS limit_reached FROM r WHERE rank <= 32")
 def j5_w4_index_starts(spark, sf_dir):
     own = graph.index_decoded(_indexes(spark, sf_dir), 12, 8).select("query_id", F.col("dna").alias("prefix"))
     return graph.prefix_starts(own, counts.kmer_counts(reads(spark, sf_dir), 12), 12)
 
 
+@query(f"""WITH {_starts_sql(K)}, sided AS (SELECT query_id, rank AS start, kmer, unnest(['up', 'down']) AS direction FROM r WHERE rank <= 32),
+next AS (SELECT query_id, start, direction, base, CASE direction WHEN 'up' THEN base || substr(kmer, 1, 30) ELSE substr(kmer, 2) || base END AS kmer FROM sided, (SELECT unnest(['A', 'C', 'G', 'T']) AS base)),
+best AS (SELECT next.*, cov, row_number() OVER (PARTITION BY query_id, start, direction ORDER BY cov DESC, base) AS b FROM next JOIN counts ON counts.kmer = least(next.kmer, translate(reverse(next.kmer), 'ACGT', 'TGCA')))
+SELECT query_id, CAST(start AS INTEGER) AS start, direction, 1 AS step, base AS path, base, kmer, cov FROM best WHERE b = 1""")
+def g5_index_query(spark, sf_dir):
+    return graph.index_query(_indexes(spark, sf_dir), counts.kmer_counts(reads(spark, sf_dir), K), K, 8, 1)
+
+
 # --- consensus
 
 _PILE = f"""{_TOKENS}, {SQL_TARGETS}, good AS (SELECT p.*, p.target_start + p.before - 3 AS start, t.seq AS seq, length(t.seq) - 5 AS room FROM parsed p JOIN alignments a USING (row_id) JOIN targets t ON t.name = p.target WHERE a.tp = 'P' AND a.mapq >= 5 AND a.matches / a.block_length >= 0.8),
@@ -439,8 +463,7 @@ def _paf(spark, sf_dir):
 def a15_pileup(spark, sf_dir):
     own = targets(spark, sf_dir)
     used = alignment.quality_buckets(alignments(spark, sf_dir), own, 5, 0.8).where("bucket = 'used'")
-    tokens = alignment.parse_cs(used.select("row_id", F.col("target").alias("name"), "target_start", F.col("tags")["cs"].alias("cs")), ["row_id", "name"])
-    return alignment.pileup(tokens, own, 3, 2)
+    return alignment.pileup(used, own, 3, 2)
 
 
 @query(f"WITH {_PILE} SELECT * FROM consensus")
@@ -449,13 +472,12 @@ def a16_a17_paf_consensus(spark, sf_dir):
 
 
 def _part_qc(spark, sf_dir):
-    """K-mer quality control of the parts' strands, over a part of them as reads."""
+    """K-mer quality control of the parts' strands, over the reads that the line items stand for."""
     own = targets(spark, sf_dir).withColumn("strand_id", F.substring("name", 5, 20).cast("long"))
-    seen = own.where(F.col("strand_id") % 3 != 0).select(F.col("strand_id").alias("read_id"), "seq")
-    return batchqc.batch_qc(own, counts.kmer_counts(seen, K), K).withColumn("name", F.concat(F.lit("part"), F.col("strand_id").cast("string")))
+    return batchqc.batch_qc(own, counts.kmer_counts(simulated_reads(spark, sf_dir), K), K).withColumn("name", F.concat(F.lit("part"), F.col("strand_id").cast("string")))
 
 
-_COMPARED = f"""{_PILE}, seen AS (SELECT name, seq FROM targets WHERE CAST(substr(name, 5) AS BIGINT) % 3 <> 0), {sql_kmers('seen', 'name', K, 'seen_kmers')}, counts AS (SELECT kmer, count(*) AS cov FROM seen_kmers GROUP BY kmer),
+_COMPARED = f"""{_PILE}, {SQL_SIMULATED}, {sql_kmers('simulated', 'name', K, 'seen_kmers')}, counts AS (SELECT kmer, count(*) AS cov FROM seen_kmers GROUP BY kmer),
 {sql_kmers('targets', 'name', K, 'target_kmers')}, qc AS (SELECT name, min(coalesce(cov, 0)) > 0 AS complete FROM target_kmers LEFT JOIN counts USING (kmer) GROUP BY name),
 compared AS (SELECT name, exact_match, coalesce(complete, false) AS complete, CASE WHEN exact_match AND coalesce(complete, false) THEN 'agreement_recovered' WHEN exact_match THEN 'consensus_only' WHEN coalesce(complete, false) THEN 'kmer_only' ELSE 'agreement_missing_or_broken' END AS classification FROM consensus LEFT JOIN qc USING (name))"""
 
@@ -475,36 +497,55 @@ def w5_disagreements(spark, sf_dir):
     return alignment.disagreements(alignment.consensus_join(_paf(spark, sf_dir), _part_qc(spark, sf_dir))).select("name", "classification")
 
 
-@query()
+_CHANGED = "changed AS (SELECT name AS read_id, substr(seq, 1, 20) || translate(substr(seq, 21, 1), 'ACGT', 'CGTA') || substr(seq, 22) AS seq FROM targets)"
+
+
+@query(f"""WITH {SQL_TARGETS}, {_CHANGED}, {sql_kmers("changed", "read_id", 12, "rk")}, {sql_kmers("targets", "name", 12, "tk")},
+pair AS (SELECT DISTINCT read_id, name FROM rk JOIN tk USING (kmer)),
+scored AS (SELECT read_id, pair.name AS name, 120 - 3 * hamming(changed.seq, targets.seq) AS score, (60 - hamming(changed.seq, targets.seq)) / 60 AS identity, changed.seq AS read, targets.seq AS own FROM pair JOIN changed USING (read_id) JOIN targets ON targets.name = pair.name),
+best AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY score DESC, identity DESC, name) AS r FROM scored)
+SELECT targets.name AS name, CAST(count(read_id) AS BIGINT) AS read_count, CASE WHEN count(read_id) > 0 THEN 1.0 ELSE 0.0 END AS mean_depth, CAST(max(CASE WHEN read_id IS NULL THEN 0 ELSE 60 END) AS BIGINT) AS covered_bases,
+  CAST(max(CASE WHEN read_id IS NULL THEN 60 ELSE 0 END) AS INTEGER) AS n_count, CAST(max(levenshtein(coalesce(read, repeat('N', 60)), seq)) AS INTEGER) AS distance, bool_and(coalesce(read = seq, false)) AS exact_match, max(coalesce(read, repeat('N', 60))) AS consensus,
+  false AS ambiguous, coalesce(max(identity), 0.0) AS best_identity
+FROM targets LEFT JOIN (SELECT * FROM best WHERE r = 1 AND identity >= 0.75) b USING (name) GROUP BY targets.name""")
 def j8_p6_read_consensus(spark, sf_dir):
+    """Each part's strand with one changed base as its read; the SQL relies on that alignments with no gap are best here, and no other strand is close."""
     own = targets(spark, sf_dir).select(F.col("name").alias("strand_id"), "seq")
-    changed = own.select(F.col("strand_id").alias("read_id"), F.concat(F.substring("seq", 1, 20), F.translate(F.substring("seq", 21, 1), "ACGT", "CGTA"), F.substring("seq", 22, 18), F.substring("seq", 41, 20)).alias("seq"))
+    changed = own.select(F.col("strand_id").alias("read_id"), F.concat(F.substring("seq", 1, 20), F.translate(F.substring("seq", 21, 1), "ACGT", "CGTA"), F.substring("seq", 22, 39)).alias("seq"))
     return assignment.read_consensus(changed, own, 12)
 
 
 # --- report, streams, sources and sinks
 
 
-@query(f"""WITH {_SCREEN}, totals AS (SELECT count(*) AS strands, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'filtered') AS entangled, count(*) FILTER (status = 'skipped') AS skipped FROM screen),
+_REPORT = f"""{_SCREEN}, totals AS (SELECT count(*) AS strands, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'filtered') AS entangled, count(*) FILTER (status = 'skipped') AS skipped FROM screen),
 cross_ AS (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS cross_links FROM member WHERE n > 1),
-{sql_counts(K, READ_LENGTH)}, t AS (SELECT strand_id, min(coalesce(cov, 0)) AS m FROM k LEFT JOIN counts USING (kmer) GROUP BY strand_id), d AS (SELECT DISTINCT kmer, coalesce(cov, 0) AS cov FROM k LEFT JOIN counts USING (kmer)),
+{sql_counts(K)}, t AS (SELECT strand_id, min(coalesce(cov, 0)) AS m FROM k LEFT JOIN counts USING (kmer) GROUP BY strand_id), d AS (SELECT DISTINCT kmer, coalesce(cov, 0) AS cov FROM k LEFT JOIN counts USING (kmer)),
 h AS (SELECT (SELECT count(*) FROM t WHERE m > 0) AS paths, (SELECT count(*) FROM d WHERE cov > 0) AS exist, (SELECT count(*) FROM d WHERE cov = 0) AS lost, (SELECT count(*) FROM counts) AS seen)
-SELECT cross_links, strands, passed, entangled, skipped, (SELECT count(*) FROM reads) AS reads, paths, exist, lost, seen - exist AS noise, paths / strands AS sm, lost / (lost + exist) AS kd, (seen - exist) / exist AS kn FROM cross_, totals, h""")
+, report AS (SELECT cross_links, strands, passed, entangled, skipped, (SELECT count(*) FROM reads) AS reads, paths, exist, lost, seen - exist AS noise, paths / strands AS sm, lost / (lost + exist) AS kd, (seen - exist) / exist AS kn FROM cross_, totals, h)"""
+
+
+@query(f"WITH {_REPORT} SELECT * FROM report")
 def p4_qc_report(spark, sf_dir):
-    return report.qc_report(pool(spark, sf_dir), reads(spark, sf_dir), K, primer=0, length=READ_LENGTH)
+    return report.qc_report(pool(spark, sf_dir), reads(spark, sf_dir), K, primer=0)
 
 
-@query()
+@query(f"""WITH {_REPORT} SELECT metric, CAST(value AS DOUBLE) AS value, verdict FROM report, LATERAL (VALUES
+  ('entangled', entangled, CASE WHEN entangled = 0 THEN 'ok' WHEN entangled / strands > 0.1 THEN 'bad' ELSE 'warn' END),
+  ('cross_links', cross_links, CASE WHEN cross_links = 0 THEN 'ok' ELSE 'warn' END),
+  ('sm', sm, CASE WHEN reads = 0 THEN 'warn' WHEN sm >= 0.95 THEN 'ok' WHEN sm >= 0.8 THEN 'warn' ELSE 'bad' END),
+  ('kd', kd, CASE WHEN reads = 0 THEN 'warn' WHEN kd <= 0.05 THEN 'ok' WHEN kd <= 0.2 THEN 'warn' ELSE 'bad' END),
+  ('kn', kn, CASE WHEN reads = 0 THEN 'warn' WHEN kn <= 0.5 THEN 'ok' WHEN kn <= 2 THEN 'warn' ELSE 'bad' END)) v(metric, value, verdict)""")
 def f24_verdicts(spark, sf_dir):
-    return report.verdicts(report.qc_report(pool(spark, sf_dir), reads(spark, sf_dir), K, primer=0, length=READ_LENGTH))
+    return report.verdicts(report.qc_report(pool(spark, sf_dir), reads(spark, sf_dir), K, primer=0))
 
 
-@query(f"WITH {sql_counts(12, READ_LENGTH)} SELECT kmer, cov FROM counts")
+@query(f"WITH {sql_counts(12)} SELECT kmer, cov FROM counts")
 def s1_incremental_counts(spark, sf_dir):
     """The documents arrive in four files; each batch's counts are added to a store."""
     at = shared_dir(spark, "stream")
     reads(spark, sf_dir).repartition(4, "read_id").write.parquet(f"{at}/reads")
-    streaming.merge_into_store(streaming.stream_reads(spark, f"{at}/reads"), 12, f"{at}/store", f"{at}/checkpoint", READ_LENGTH).awaitTermination()
+    streaming.merge_into_store(streaming.stream_reads(spark, f"{at}/reads"), 12, f"{at}/store", f"{at}/checkpoint").awaitTermination()
     return _text(counts.capped(streaming.read_store(spark, f"{at}/store")), 12)
 
 
@@ -518,7 +559,7 @@ def src1_snk5_fasta(spark, sf_dir):
 @query(f"WITH {sql_reads()} SELECT 'r' || read_id AS name, md5(seq) AS bases, length(seq) AS n FROM reads WHERE length(seq) > 0")
 def src2_fastq(spark, sf_dir):
     at = shared_dir(spark, "fastq")
-    own = reads(spark, sf_dir).where("seq <> ''").select(F.concat(F.lit("@r"), F.col("read_id").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), F.expr("repeat('@', length(seq))")).alias("value"))
+    own = reads(spark, sf_dir).where("seq <> ''").select(F.concat(F.lit("@r"), F.col("read_id").cast("string"), F.lit("\n"), "seq", F.lit("\n+\n"), F.expr("substr(repeat('>@+I5', 1 + length(seq) div 5), 1, length(seq))")).alias("value"))
     own.write.text(at)
     return sequences.scan_sequences(spark, at, 100_000).where("NOT corrupt").select("name", F.md5("seq").alias("bases"), F.length("seq").cast("long").alias("n"))
 
@@ -570,3 +611,67 @@ def snk5_snk6_screen(spark, sf_dir):
     sinks.write_screen(links.entanglement(pool(spark, sf_dir), K, 0, 0), f"{at}/passed", f"{at}/filtered")
     passed = sequences.scan_sequences(spark, f"{at}/passed").select(F.lit("passed").alias("status"), "name")
     return passed.unionByName(spark.read.text(f"{at}/filtered").select(F.lit("filtered").alias("status"), F.col("value").alias("name")))
+
+
+@query(f"WITH {_COVERED} SELECT name, CAST(i AS INTEGER) AS i, round(ratio, 3) AS ratio FROM ratios JOIN strands USING (strand_id) WHERE ratio IS NOT NULL")
+def snk3_cov_ratios(spark, sf_dir):
+    at = shared_dir(spark, "ratios")
+    sinks.write_lines(sinks.ratio_lines(_covered(spark, sf_dir), strands(spark, sf_dir)), at)
+    f = F.split("value", "\t")
+    back = spark.read.text(at).select(f[0].alias("name"), F.posexplode(F.split(f[1], " ")).alias("i", "ratio"))
+    return back.select("name", (F.col("i") + 1).alias("i"), F.col("ratio").cast("double").alias("ratio"))
+
+
+@query(f"WITH {_COVERED}, range_ AS (SELECT i, min(ratio) AS low, max(ratio) AS high FROM ratios WHERE ratio IS NOT NULL GROUP BY i) SELECT CAST(i AS INTEGER) AS i, round(low, 3) AS low, round(high, 3) AS high FROM range_")
+def snk4_ratio_ranges(spark, sf_dir):
+    at = shared_dir(spark, "ranges")
+    sinks.write_ranges(recovery.ratio_ranges(_covered(spark, sf_dir)), at)
+    lines = spark.read.text(at).select(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.split("value", " ").alias("v"))
+    both = lines.agg(F.min_by("v", "line").alias("low"), F.max_by("v", "line").alias("high"))
+    pairs = both.select(F.posexplode(F.arrays_zip("low", "high")).alias("i", "p"))
+    return pairs.select((F.col("i") + 1).alias("i"), F.col("p.low").cast("double").alias("low"), F.col("p.high").cast("double").alias("high"))
+
+
+@query(f"WITH {_PILE} SELECT name, read_count, covered_bases, n_count, distance, exact_match, consensus FROM consensus")
+def snk8_write_consensus(spark, sf_dir):
+    at = shared_dir(spark, "consensus")
+    sinks.write_consensus(_paf(spark, sf_dir), f"{at}/table", f"{at}/fasta")
+    schema = "name string, read_count long, mean_depth double, covered_bases long, n_count long, distance long, exact_match boolean"
+    own = spark.read.csv(f"{at}/table", header=True, schema=schema).drop("mean_depth")
+    return own.join(sequences.scan_sequences(spark, f"{at}/fasta").select("name", F.col("seq").alias("consensus")), "name")
+
+
+@query(f"WITH {_QC} SELECT * FROM qc")
+def snk9_write_json(spark, sf_dir):
+    at = shared_dir(spark, "json")
+    qc = g8_batch_qc(spark, sf_dir)
+    sinks.write_json(qc, at)
+    return spark.read.schema(qc.schema).json(at)
+
+
+@query(f"WITH {sql_strands()} SELECT name, seq FROM strands WHERE seq <> ''")
+def src5_tab_simple(spark, sf_dir):
+    at = shared_dir(spark, "simple")
+    own = strands(spark, sf_dir).where("seq <> ''").select("name", F.lower("seq").alias("seq"))
+    own.unionByName(spark.createDataFrame([("Head-Index", "DNA")], "name string, seq string")).write.csv(at, sep="\t")
+    return tables.scan_tab_simple(spark, at)
+
+
+@query(f"WITH {sql_strands()} SELECT name, seq FROM strands WHERE seq <> ''")
+def src6_normalize_reference(spark, sf_dir):
+    at = shared_dir(spark, "reference")
+    dirty = F.concat(F.lit("-"), F.lower(F.substring("seq", 1, 9)), F.lit(" *"), F.substring("seq", 10, 1 << 30))
+    strands(spark, sf_dir).select("name", dirty.alias("DNA")).write.csv(at, sep="\t", header=True)
+    return tables.normalize_reference(spark, at)
+
+
+@query(f"WITH {_QC} SELECT CAST(strand_id AS INTEGER) AS index, 'strand' || strand_id AS name, status, CAST(observed AS INTEGER) AS observed, complete, mean_cov FROM qc")
+def src9_qc_jsonl(spark, sf_dir):
+    """The messages of a session: a line that is none, an empty batch, and the batch of all strands, which counts."""
+    at = shared_dir(spark, "messages")
+    summary = F.struct(F.col("observed").cast("int").alias("observed"), "complete", F.col("mean_cov").alias("meanCoverage"))
+    row = F.struct(F.col("strand_id").cast("int").alias("index"), F.concat(F.lit("strand"), F.col("strand_id").cast("string")).alias("name"), "status", summary.alias("summary"))
+    batch = g8_batch_qc(spark, sf_dir).agg(F.to_json(F.struct(F.lit("batch").alias("type"), F.collect_list(row).alias("rows"))).alias("value"))
+    first = spark.createDataFrame([(0, "noise"), (1, '{"type": "ready"}'), (2, '{"type": "batch", "rows": []}')], "n int, value string")
+    first.unionByName(batch.select(F.lit(3).alias("n"), "value")).coalesce(1).sortWithinPartitions("n").select("value").write.text(at)
+    return tables.scan_qc_jsonl(spark, at).select("index", "name", "status", "summary.observed", "summary.complete", F.col("summary.meanCoverage").alias("mean_cov"))

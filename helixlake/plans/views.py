@@ -59,6 +59,17 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).dropDuplicates(["row_id"])
 
 
+def simulated_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(read_id, name, seq): a read for each line item, a piece of its part's strand whose place and length follow from the quantity."""
+    q = F.col("l_quantity").cast("int")
+    lines = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), q.cast("string")).alias("read_id"), F.concat(F.lit("part"), F.col("l_partkey").cast("string")).alias("name"), q.alias("q"))
+    return lines.join(targets(spark, sf_dir), "name").select("read_id", "name", F.substring(F.col("seq"), 1 + F.col("q") % 5 * 6, 31 + F.col("q") % 30).alias("seq"))
+
+
+SQL_SIMULATED = """simulated AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || q AS read_id, name, substr(seq, 1 + q % 5 * 6, 31 + q % 30) AS seq
+  FROM (SELECT *, 'part' || l_partkey AS name, CAST(l_quantity AS INTEGER) AS q FROM lineitem) JOIN targets USING (name))"""
+
+
 _ENC = "regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), '[^ACGT]', '{}', 'g')"
 
 
@@ -95,4 +106,4 @@ def sql_counts(k: int, length: int = 0, other: str = "") -> str:
     cut = f"substr(seq, 1, {max(length, k)})" if length else "seq"
     return f"""{sql_reads(other)}, cut AS (SELECT read_id, {cut} AS seq FROM reads WHERE length(seq) >= {k}),
 {sql_kmers("cut", "read_id", k, "read_kmers")},
-counts AS (SELECT kmer, CAST(least(count(*), 16383) AS INTEGER) AS cov FROM read_kmers GROUP BY kmer)"""
+counts AS MATERIALIZED (SELECT kmer, CAST(least(count(*), 16383) AS INTEGER) AS cov FROM read_kmers GROUP BY kmer)"""

@@ -61,6 +61,12 @@ def range_lines(ranges: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array("low", "high")).alias("value"))
 
 
+def write_ranges(ranges: DataFrame, path: str) -> None:
+    """One file of two lines: the least ratios, then the greatest."""
+    rows = range_lines(ranges).select("value", F.monotonically_increasing_id().alias("line"))
+    rows.coalesce(1).sortWithinPartitions("line").select("value").write.text(path)
+
+
 def fasta_lines(strands: DataFrame) -> DataFrame:
     return strands.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.kmers import kmer_occurrences
+from ..functions.kmers import kmer_occurrences, kmers_ordered
 from ..operators.counts import READ_CAP, countable
 
 
@@ -18,8 +18,8 @@ def stream_reads(spark: SparkSession, path: str, seq: str = "seq", files_at_once
 
 def incremental_counts(reads: DataFrame, k: int, length: int = 0, cap: int = READ_CAP) -> DataFrame:
     """A streaming table (kmer, cov): state is one row for each k-mer seen; the cap comes after the sum."""
-    found = kmer_occurrences(countable(reads, k, length), k)
-    return found.groupBy("kmer").agg(F.least(F.sum("n"), F.lit(cap)).cast("int").alias("cov"))
+    found = kmers_ordered(countable(reads, k, length).withColumn("strand_id", F.lit(0)), k)
+    return found.groupBy("kmer").agg(F.least(F.count("*"), F.lit(cap)).cast("int").alias("cov"))
 
 
 def merge_into_store(reads: DataFrame, k: int, store: str, checkpoint: str, length: int = 0) -> StreamingQuery:
@@ -27,7 +27,7 @@ def merge_into_store(reads: DataFrame, k: int, store: str, checkpoint: str, leng
     replaces its own.  read_store() sums them."""
 
     def add(batch: DataFrame, number: int) -> None:
-        kmer_occurrences(countable(batch, k, length), k).groupBy("kmer").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        kmer_occurrences(countable(batch, k, length), k).write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return reads.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

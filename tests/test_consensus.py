@@ -1,3 +1,6 @@
+import random
+import re
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -44,6 +47,70 @@ def test_cs_tokens(spark):
     data = spark.createDataFrame([("r", 2, ":3*ac-gg+tt~gt12ag:1")], "row_id string, target_start int, cs string")
     got = alignment.parse_cs(data, ["row_id"]).orderBy("n").collect()
     assert [(r.op, r.length, r.offset) for r in got] == [(":", 3, 0), ("*", 1, 3), ("-", 2, 4), ("+", 0, 6), ("~", 12, 6), (":", 1, 18)]
+    assert [r.text for r in got] == ["3", "ac", "gg", "tt", "gt12ag", "1"]
+
+
+CS_TOKEN = r":[0-9]+|\*[a-zA-Z]{2}|-[a-zA-Z]+|\+[a-zA-Z]+|~[a-zA-Z]{2}[0-9]+[a-zA-Z]{2}"
+
+
+def test_cs_tokens_match_a_pattern(spark):
+    rng = random.Random(1)
+    tags = ["".join(rng.choice([":", ":12", "*ac", "*", "-g", "+ttT", "~gt3ag", "~g", "7", "x", "-"]) for _ in range(rng.randint(0, 9))) for _ in range(300)] + [None, "", ":0"]
+    got = {}
+    for r in alignment.parse_cs(spark.createDataFrame([(i, 0, t) for i, t in enumerate(tags)], "row_id int, target_start int, cs string"), ["row_id"]).collect():
+        got.setdefault(r.row_id, []).append((r.n, r.op + r.text))
+    for i, t in enumerate(tags):
+        # a sign begins a token, so one that is cut short by the next ends there
+        assert [x for _, x in sorted(got.get(i, []))] == re.findall(CS_TOKEN, t or ""), t
+
+
+def test_consensus_matches_a_list_of_bases(spark):
+    rng = random.Random(2)
+    own = [(f"s{i}", "".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 40)))) for i in range(12)]
+    data, seen = [], {}
+    for i in range(400):
+        name, seq = rng.choice(own)
+        start = rng.randint(0, max(0, len(seq) - 1))
+        at, cs = start, ""
+        while at < len(seq) + 2 and rng.random() < 0.9:
+            op = rng.choice(":*-+")
+            n = rng.randint(1, 9)
+            if op == ":":
+                cs += f":{n}"
+                for p in range(at, at + n):
+                    seen.setdefault((name, p), []).append(None)
+                at += n
+            elif op == "*":
+                b = rng.choice("acgtn")
+                cs += f"*x{b}"
+                if b != "n":
+                    seen.setdefault((name, at), []).append(b.upper())
+                at += 1
+            elif op == "-":
+                cs += "-" + "a" * n
+                at += n
+            else:
+                cs += "+" + "c" * n
+        data.append((name, start, "P", cs))
+    df = spark.createDataFrame(own, "name string, seq string")
+    for front, back in ((0, 0), (3, 2)):
+        piled = {}
+        for r in alignment.pileup(paf(spark, data), df, front, back).collect():
+            piled[r.name, r.pos, r.base] = r.n
+        want = {}
+        for name, seq in own:
+            for p in range(front, len(seq) - back):
+                for b in seen.get((name, p), []):
+                    k = (name, p - front, b or seq[p])
+                    want[k] = want.get(k, 0) + 1
+        assert piled == want
+        called = {r.name: r for r in alignment.paf_consensus(paf(spark, data), df, front=front, back=back).collect()}
+        votes = {(r.name, r.pos): r for r in alignment.majority_vote(alignment.pileup(paf(spark, data), df, front, back)).collect()}
+        for name, seq in own:
+            size = max(0, len(seq) - front - back)
+            assert called[name].consensus == "".join(votes[name, p].base if (name, p) in votes else "N" for p in range(size))
+            assert called[name].mean_depth == pytest.approx(sum(votes[name, p].depth for p in range(size) if (name, p) in votes) / size if size else 0)
+            assert called[name].read_count == sum(d[0] == name and d[3] != "" for d in data)
 
 
 def test_paf_consensus(spark):
