@@ -3,32 +3,44 @@
 First pass: each task sketches the windows of its documents.  A window is counted by its minimizer, the least hash among the
 word grams in it; equal windows have equal minimizers, so a minimizer's count is never less than the count of a window
 that it stands for, while neighbouring windows share one and only about one gram in eighteen is counted.  The tasks'
-sketches are merged segment by segment; what is kept is one bit for each cell, set where the count is two or more: a fixed
-size of 2 * 2**`sketch_bits` / 8 bytes (32 MB), which is broadcast.  Second pass: windows whose minimizer is counted twice in both
-rows of the sketch are grouped exactly by 96 bits of hash, with partial aggregation, to the least document id.  The
-sketch loses no repeated window; when it fills up, more windows are grouped in vain, and the result stays the same.
+sketches are merged segment by segment; what is kept is one bit for each cell, set where the count is two or more.  Its size follows the size of the texts.  Up to
+`BROADCAST_BITS` (32 MB) it is broadcast; a larger one stays where it was merged, and the minimizers are sent to its segments instead.
+Second pass: windows whose minimizer is counted twice in both
+rows of the sketch are grouped exactly by 96 bits of hash, in buckets of even size: tasks exchange lists of different hashes with the least id of each, which buckets
+add up to the least ids of what is in more than one document; then lists of hashes, ids and places are held against those, one after the other,
+so that a passage that is everywhere takes no more memory than another.  The sketch loses no repeated window; where it is too full, more windows are grouped in vain, and the result
+stays the same.
 
 Cases: null and empty texts have no words; texts of fewer words than a window lose none; rows that repeat a document id
 don't remove each other's words, but get those of smaller ids removed alike; a row with a null id neither loses words nor makes others lose
-them; empty tables give empty results; other columns of the input are not touched.
+them; ids are of any type that has an order; empty tables give empty results; other columns of the input are not touched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import table, written
 from .words import PLAIN, Words, chunks, split_words
 
 WINDOW = 50
 #: Words of the grams that stand for windows.
 GRAM = 16
-SKETCH_BITS = 27
+#: Cells of a row of the sketch that is broadcast, at most, and of any, as powers of two.
+BROADCAST_BITS, MOST_BITS = 27, 40
+#: Cells for each minimizer that texts of so many bytes have, about.
+ROOM, BYTES_A_MINIMIZER = 4, 100
+#: Buckets for each of Spark's shuffle partitions, and starts of repeated windows up to which they are broadcast.
+BUCKETS, FEW_STARTS = 4, 1 << 22
+#: Windows of a bucket that are held before equal ones are added up.
+HELD = 1 << 21
 #: Cells of a segment of the sketch, as a power of two.
 SEGMENT_BITS = 17
 #: Odd multipliers of the rolling hashes.
@@ -84,12 +96,28 @@ def windows(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nd
 
 
 def _cells(minimizers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each minimizer in both rows of the sketch."""
     mask = np.uint64((1 << bits) - 1)
-    return (minimizers & mask).astype(np.uint32), ((minimizers >> np.uint64(32)) & mask).astype(np.uint32)
+    return minimizers & mask, _mixed(minimizers) & mask
 
 
-def sketch(texts: DataFrame, window: int, gram: int, bits: int) -> bytes:
-    """The merged sketch of all texts: for both rows a bit for each cell, set where its count is two or more."""
+def sketch_bits(texts: DataFrame) -> int:
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return min(max((ROOM * size // BYTES_A_MINIMIZER).bit_length(), SEGMENT_BITS), MOST_BITS)
+
+
+def _of_documents(texts: pa.Array, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, minimizer): the different minimizers of each text of a chunk."""
+    doc, _, _, _, least = windows(split_words(texts, PLAIN), window, gram)
+    order = np.lexsort((least, doc))
+    doc, least = doc[order], least[order]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])
+    return doc[new], least[new]
+
+
+def sketch(texts: DataFrame, window: int, gram: int, bits: int) -> DataFrame:
+    """(segment, bits): the merged sketch of all texts, a bit for each cell, set where its count is two or more; segments of the second row are negative."""
     segment_bits = min(SEGMENT_BITS, bits)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,25 +129,18 @@ def sketch(texts: DataFrame, window: int, gram: int, bits: int) -> bytes:
                 keep = np.ones(len(cells), dtype=bool)
                 keep[2:] = cells[2:] != cells[:-2]
                 cells = cells[keep]
-                segments = cells >> np.uint32(segment_bits)
+                segments = (cells >> np.uint64(segment_bits)).astype(np.int64)
                 start = np.flatnonzero(np.append(True, segments[1:] != segments[:-1])) if len(cells) else np.zeros(0, np.int64)
                 ends = np.append(start, len(cells)).astype(np.int32) * 4
-                inside = (cells & np.uint32((1 << segment_bits) - 1)).tobytes()
+                inside = (cells & np.uint64((1 << segment_bits) - 1)).astype(np.uint32).tobytes()
                 lists = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(inside)])
-                yield pa.RecordBatch.from_arrays([pa.array((segments[start].astype(np.int64) + (row << 32))), lists], names=["segment", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array(_segment(segments[start], row)), lists], names=["segment", "cells"])
 
         seen, size = [], 0
         for batch in chunks(batches):
-            doc, _, _, _, least = windows(split_words(batch.column("text"), PLAIN), window, gram)
-            if len(doc):
-                # a minimizer counts once for each document
-                new = np.append(True, (doc[1:] != doc[:-1]) | (least[1:] != least[:-1]))
-                doc, least = doc[new], least[new]
-                order = np.lexsort((least, doc))
-                doc, least = doc[order], least[order]
-                new = np.append(True, (doc[1:] != doc[:-1]) | (least[1:] != least[:-1]))
-                seen.append(least[new])
-                size += len(seen[-1])
+            # a minimizer counts once for each document
+            seen.append(_of_documents(batch.column("text"), window, gram)[1])
+            size += len(seen[-1])
             if size > 2_000_000:
                 yield from out(seen)
                 seen, size = [], 0
@@ -133,55 +154,217 @@ def sketch(texts: DataFrame, window: int, gram: int, bits: int) -> bytes:
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(counts >= 2, bitorder="little").tobytes()], pa.binary())], names=["segment", "bits"])
 
         for batch in batches:
-            for segment, cells in zip(batch.column("segment").to_pylist(), batch.column("cells").to_pylist()):
+            for segment, cells in zip(batch.column("segment").to_pylist(), batch.column("cells")):
                 if segment != now:
                     if now is not None:
                         yield done()
                     now, counts = segment, np.zeros(1 << segment_bits, dtype=np.uint8)
-                found = np.bincount(np.frombuffer(cells, np.uint32), minlength=1 << segment_bits)
+                found = np.bincount(np.frombuffer(cells.as_buffer(), np.uint32), minlength=1 << segment_bits)
                 counts = np.minimum(counts + np.minimum(found, 2), 2).astype(np.uint8)
         if now is not None:
             yield done()
 
     counted = texts.select("text").mapInArrow(count, "segment long, cells binary").repartition("segment").sortWithinPartitions("segment")
-    merged = np.zeros(2 << bits >> 3, dtype=np.uint8)
-    size = (1 << segment_bits) >> 3
-    # of fixed size, whatever the input: at most 2 ** (bits + 1 - segment_bits) rows
-    for segment, found in counted.mapInArrow(merge, "segment long, bits binary").collect():
-        at = (segment >> 32) * (1 << bits >> 3) + (segment & 0xFFFFFFFF) * size
-        merged[at : at + size] = np.frombuffer(found, np.uint8)
-    return merged.tobytes()
+    return counted.mapInArrow(merge, "segment long, bits binary")
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM, sketch_bits: int = SKETCH_BITS) -> DataFrame:
-    """(id, starts): for each document the words at which windows start that start in a document with a smaller id too."""
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(sketch(texts, window, gram, sketch_bits))
+def _segment(number: np.ndarray, row: int) -> np.ndarray:
+    return -1 - number if row else number
 
-    def twice(minimizers: np.ndarray) -> np.ndarray:
-        bits = np.frombuffer(shared.value, np.uint8)
-        ok = np.ones(len(minimizers), dtype=bool)
-        for row, cells in enumerate(_cells(minimizers, sketch_bits)):
-            ok &= (bits[row * (1 << sketch_bits >> 3) + (cells >> np.uint32(3))] >> (cells & np.uint32(7)).astype(np.uint8) & 1).astype(bool)
-        return ok
 
-    def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            doc, at, one, two, least = windows(split_words(batch.column("text"), PLAIN), window, gram)
-            k = np.flatnonzero(twice(least))
-            yield pa.RecordBatch.from_arrays([pa.array(one[k].view(np.int64)), pa.array(two[k].astype(np.uint32).view(np.int32)), batch.column("id").take(pa.array(doc[k])), pa.array(at[k].astype(np.int32))], names=["h1", "h2", "id", "at"])
+def _set(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (bits[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = texts.mapInArrow(candidates, f"h1 long, h2 int, id {kind}, at int")
-    least = found.groupBy("h1", "h2").agg(F.min("id").alias("least"))
-    later = found.join(least, ["h1", "h2"]).where("id > least")
-    return later.groupBy("id").agg(F.collect_list("at").alias("starts"))
+
+def gathered(merged: DataFrame, bits: int) -> list[np.ndarray]:
+    """Both rows of a sketch of at most BROADCAST_BITS, a fixed size whatever the input."""
+    rows = [np.zeros(max(1 << bits >> 3, 1), dtype=np.uint8) for _ in range(2)]
+    size = (1 << min(SEGMENT_BITS, bits)) >> 3
+    for segment, found in merged.toLocalIterator():
+        at = (segment if segment >= 0 else -1 - segment) * size
+        rows[segment < 0][at : at + size] = np.frombuffer(found, np.uint8)
+    return rows
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, sketch_bits: int = SKETCH_BITS) -> DataFrame:
+def repeated_minimizers(texts: DataFrame, merged: DataFrame, window: int, gram: int, bits: int) -> DataFrame:
+    """(id, minimizers): for each row of texts that has any, those that are set in both rows of a sketch, in lists of longs.  Minimizers go to their segment
+    of the first row, and what is set there to that of the second: lists for each document and segment, no text."""
+    kind = texts.schema["id"].dataType.simpleString()
+    segment_bits = min(SEGMENT_BITS, bits)
+    low = np.uint64((1 << segment_bits) - 1)
+
+    def by_segment(ids: pa.Array, owner: np.ndarray, least: np.ndarray, row: int) -> pa.RecordBatch:
+        segment = _segment((_cells(least, bits)[row] >> np.uint64(segment_bits)).astype(np.int64), row)
+        order = np.lexsort((owner, segment))
+        owner, least, segment = owner[order], least[order], segment[order]
+        start = np.flatnonzero(np.append(True, (segment[1:] != segment[:-1]) | (owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(owner)).astype(np.int32)), pa.array(least.view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(segment[start]), ids.take(pa.array(owner[start])), lists], names=["segment", "id", "minimizers"])
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            yield by_segment(batch.column("id"), *_of_documents(batch.column("text"), window, gram), 0)
+
+    def held(row: int):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells = None
+            for batch in batches:
+                out_owner, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                for i, kind_ in enumerate(batch.column("asks").to_pylist()):
+                    if not kind_:
+                        cells = np.frombuffer(batch.column("bits")[i].as_buffer(), np.uint8)
+                        continue
+                    least = batch.column("minimizers")[i].values.to_numpy().view(np.uint64)
+                    least = least[_set(cells, _cells(least, bits)[row] & low)]
+                    out_owner.append(np.full(len(least), i))
+                    out.append(least)
+                yield by_segment(batch.column("id"), np.concatenate(out_owner), np.concatenate(out), 1)
+
+        return run
+
+    schema = f"segment long, id {kind}, minimizers array<bigint>"
+    rows = texts.mapInArrow(ask, schema)
+    for row in (0, 1):
+        # a segment of the sketch comes before what is asked of it; where it has none, nothing is repeated
+        both = merged.select("segment", F.lit(0).alias("asks"), "bits").unionByName(rows.join(merged.select("segment"), "segment", "left_semi").withColumn("asks", F.lit(1)), allowMissingColumns=True)
+        rows = both.repartition("segment").sortWithinPartitions("segment", "asks").mapInArrow(held(row), schema)
+    return rows.groupBy("id").agg(F.flatten(F.collect_list("minimizers")).alias("minimizers"))
+
+
+def _ranks(ids: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different ids, which of them each is, and the place of each of them in their order."""
+    coded = ids.dictionary_encode()
+    rank = np.empty(len(coded.dictionary), np.int64)
+    rank[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(rank))
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), rank
+
+
+def _least(one: np.ndarray, two: np.ndarray, ids: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Sorted different hashes with the least id of each, and the sum of n."""
+    if not len(one):
+        return one, two, ids, n
+    _, code, rank = _ranks(ids)
+    order = np.lexsort((rank[code], two, one))
+    one, two = one[order], two[order]
+    start = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+    return one[start], two[start], ids.take(pa.array(order[start])), np.add.reduceat(n[order], start)
+
+
+def _binaries(starts: np.ndarray, values: np.ndarray) -> pa.Array:
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _listed(row: tuple, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(row[2].column(column)[row[3]].as_buffer(), kind)
+
+
+def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """(bucket, rows): rows are (bucket, asks, batch, place in the batch)."""
+    rows = ((bucket, asks, batch, i) for batch in batches for i, (bucket, asks) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("asks").to_pylist())))
+    return groupby(rows, key=lambda r: r[0])
+
+
+def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM, bits: int | None = None) -> DataFrame:
+    """(id, starts): for each document the words at which windows start that start in a document with a smaller id too, as lists of four-byte ints."""
+    spark = docs.sparkSession
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    bits = bits or sketch_bits(texts)
+    kind = docs.schema[id_col].dataType.simpleString()
+    bucket_bits = max(1, (BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    inner = np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits)
+    merged = sketch(texts, window, gram, bits)
+    if bits <= BROADCAST_BITS:
+        shared = spark.sparkContext.broadcast(gathered(merged, bits))
+        twice = lambda batch, doc, least: _set(shared.value[0], _cells(least, bits)[0]) & _set(shared.value[1], _cells(least, bits)[1])
+    else:
+        named = repeated_minimizers(texts, written(merged), window, gram, bits)
+        texts = texts.join(named, "id").select("id", "text", "minimizers")
+
+        def twice(batch: pa.RecordBatch, doc: np.ndarray, least: np.ndarray) -> np.ndarray:
+            known = batch.column("minimizers")
+            owner = np.repeat(np.arange(len(known)), np.diff(known.offsets.to_numpy()))
+            pairs = np.unique(np.rec.fromarrays([owner.astype(np.int64), known.flatten().to_numpy()]))
+            return np.isin(np.rec.fromarrays([doc.astype(np.int64), least.view(np.int64)]), pairs)
+
+    def lists(batches: Iterable[pa.RecordBatch], asks: int) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            doc, at, one, two, least = windows(split_words(batch.column("text"), PLAIN), window, gram)
+            k = np.flatnonzero(twice(batch, doc, least))
+            one, two, at, ids = one[k], two[k].astype(np.uint32), at[k].astype(np.int32), batch.column("id").take(pa.array(doc[k]))
+            if asks:
+                order = np.argsort(one, kind="stable")
+                one, two, at, ids = one[order], two[order], at[order], ids.take(pa.array(order))
+            else:
+                # a window counts once for each document
+                order = np.lexsort((doc[k], two, one))
+                new = np.ones(len(k), dtype=bool)
+                new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]) | (doc[k[order[1:]]] != doc[k[order[:-1]]])
+                order = order[new]
+                one, two, ids, at = _least(one[order], two[order], ids.take(pa.array(order)), np.ones(len(order), np.int32))
+            cut = np.concatenate([[0], np.searchsorted(one, inner), [len(one)]])
+            full = np.flatnonzero(np.diff(cut))
+            starts = np.append(cut[full], len(one))
+            own = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), ids)
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), asks, np.int32)), _binaries(starts, one), _binaries(starts, two), own, _binaries(starts, at.astype(np.int32))], names=["bucket", "asks", "h1", "h2", "ids", "at"])
+
+    def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The least ids of windows in two documents or more, of each bucket."""
+        for bucket, rows in _by_bucket(batches):
+            parts, size, sums = [], 0, None
+            for row in chain(rows, [None]):
+                if row is not None:
+                    parts.append((_listed(row, "h1", np.uint64), _listed(row, "h2", np.uint32), row[2].column("ids")[row[3]].values, _listed(row, "at", np.int32)))
+                    size += len(parts[-1][0])
+                if row is None or size > HELD:
+                    one, two, ids, n = zip(*parts)
+                    sums = _least(np.concatenate(one), np.concatenate(two), pa.concat_arrays(ids), np.concatenate(n))
+                    parts, size = [sums], 0
+            k = np.flatnonzero(sums[3] > 1)
+            if len(k):
+                ends = np.array([0, len(k)])
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), _binaries(ends, sums[0][k]), _binaries(ends, sums[1][k]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), sums[2].take(pa.array(k))), pa.nulls(1, pa.binary())], names=["bucket", "asks", "h1", "h2", "ids", "at"])
+
+    def later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each list, the places of windows whose least id is another document's, by document."""
+        for _, rows in _by_bucket(batches):
+            known = None
+            for row in rows:
+                one, two, ids = _listed(row, "h1", np.uint64), _listed(row, "h2", np.uint32), row[2].column("ids")[row[3]].values
+                if not row[1]:
+                    known = one, two, ids
+                    continue
+                if known is None:
+                    continue
+                place = np.searchsorted(known[0], one)
+                while True:
+                    # equal first hashes with other second ones stand side by side
+                    at = np.minimum(place, len(known[0]) - 1)
+                    other = (known[0][at] == one) & (known[1][at] < two) & (place < len(known[0]))
+                    if not other.any():
+                        break
+                    place = place + other
+                k = np.flatnonzero((known[0][at] == one) & (known[1][at] == two))
+                k = k[pc.greater(ids.take(pa.array(k)), known[2].take(pa.array(at[k]))).to_numpy(zero_copy_only=False)]
+                different, code, _ = _ranks(ids.take(pa.array(k)))
+                order = np.argsort(code, kind="stable")
+                ends = np.append(0, np.cumsum(np.bincount(code, minlength=len(different))))
+                yield pa.RecordBatch.from_arrays([different, _binaries(ends, _listed(row, "at", np.int32)[k][order])], names=["id", "at"])
+
+    schema = f"bucket int, asks int, h1 binary, h2 binary, ids array<{kind}>, at binary"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda rows: rows.repartition(n, "bucket").sortWithinPartitions("bucket", "asks")
+    least = written(dealt(texts.mapInArrow(lambda batches: lists(batches, 0), schema)).mapInArrow(added, schema))
+    asked = texts.mapInArrow(lambda batches: lists(batches, 1), schema)
+    return dealt(least.unionByName(asked)).mapInArrow(later, f"id {kind}, at binary").groupBy("id").agg(F.collect_list("at").alias("starts"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, bits: int | None = None) -> DataFrame:
     """For each row of docs: (id_col, text, n_words, n_removed): the words that stay, joined by one space, and how many there were
-    and how many went."""
-    marks = repeated_windows(docs, id_col, text_col, window, gram, sketch_bits)
+    and how many went.  bits: of the sketch, where its size should not follow the texts."""
+    marks = written(repeated_windows(docs, id_col, text_col, window, gram, bits))
+    few = marks.agg(F.coalesce(F.sum(F.aggregate("starts", F.lit(0), lambda a, x: a + F.octet_length(x))), F.lit(0))).first()[0] <= 4 * FEW_STARTS
+    marks = F.broadcast(marks) if few else marks.hint("merge")
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -192,7 +375,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             gone = np.zeros(len(words) + 1, dtype=np.int32)
             for doc, starts in enumerate(batch.column("starts")):
                 if starts.is_valid:
-                    at = np.unique(starts.values.to_numpy()) + words.first[doc]
+                    at = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in starts.values])) + words.first[doc]
                     gone[at] += 1
                     gone[at + window] -= 1
             kept = np.cumsum(gone[:-1]) == 0

@@ -130,3 +130,4 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = CH
             j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    pa.default_memory_pool().release_unused()  # workers are kept for other tasks
