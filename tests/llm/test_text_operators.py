@@ -104,14 +104,19 @@ def without(texts, ids, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("window", "gram", "bits"), [(4, 2, 20), (6, 6, 8), (5, 3, 10)])
-def test_substrings_match_brute_force(spark, window, gram, bits):
+@pytest.mark.parametrize(("window", "gram", "bits", "broadcast"), [(4, 2, 20, True), (6, 6, 8, True), (5, 3, None, True), (4, 2, 20, False), (6, 6, 8, False)])
+def test_substrings_match_brute_force(spark, monkeypatch, window, gram, bits, broadcast):
+    """With a sketch that is broadcast, or probed where it is; large, or so small that it is full."""
+    if not broadcast:
+        monkeypatch.setattr(substrings, "BROADCAST_BITS", 0)
+        monkeypatch.setattr(substrings, "FEW_STARTS", 0)
+        monkeypatch.setattr(substrings, "HELD", 5)
     rng = random.Random(window)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(40)] + ODD + [LONG, LONG, LONG[5000:9000]]
     ids = [*range(len(texts) - 3), 500, 400, None]
     texts += ["a b c a b c a b", "a b c a b c a b"]
     ids += [700, 700]
-    got = substrings.without_repeats(docs(spark, texts, ids), window=window, gram=gram, sketch_bits=bits)
+    got = substrings.without_repeats(docs(spark, texts, ids), window=window, gram=gram, bits=bits)
     want = without(texts, ids, window)
     assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "text").collect()), key=repr) == want
 
