@@ -4,11 +4,12 @@ A file is a row of zstandard frames, each of whole documents, and a skippable fr
 seekable format, with compressed and decompressed size and a checksum (low 32 bits of XXH64) for each frame.  A frame's
 content is: number of documents (u64), then for each its id (i64), whether it has one (u8) and its number of tokens (u32), then
 all ids (u32); all little-endian.  The files' names and frames are listed in a manifest, a Parquet table with a row for each frame
-and its first and last document, so a reader fetches the bytes of the frames it needs only.
+and its first and last document.  Readers take the places and checksums of frames from the seek table at a file's end, and fetch and decompress
+the frames that they need only: `read_documents` those of all rows of a manifest, `read_wanted` those that hold the documents asked for.
 
 Tasks write under names of their own attempt, and the manifest is committed by Spark: what a lost or repeated attempt leaves is never read.
 
-Cases: null and empty texts have the end id alone; null document ids come first; repeated ids keep a row each, ordered by
+Cases: ids are integers (others are refused); null and empty texts have the end id alone; null document ids come first; repeated ids keep a row each, ordered by
 text; a text longer than a frame makes one frame; empty tables give an empty manifest; other columns of the input are not touched.
 """
 
@@ -25,6 +26,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .tables import shared_dir, table, written
 from .tokens import TOKENIZER, encoder
@@ -86,6 +88,8 @@ def read_frame(file, offset: int, size: int, checksum: int) -> bytes:
 
 def write_frames(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end: int = END, tokenizer: str = TOKENIZER, frame_tokens: int = FRAME_TOKENS) -> DataFrame:
     """Writes all documents in ascending id order to files below `folder`, a URI, and returns the manifest, which is a table there."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} is no integer")
     last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,30 +135,73 @@ def write_frames(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     return written(ordered.mapInArrow(run, MANIFEST), f"{folder}/manifest")
 
 
+class Files:
+    """Opens one file after the other, and reads its seek table once."""
+
+    def __init__(self):
+        self.path, self.file, self.table = None, None, []
+
+    def frame(self, path: str, number: int) -> bytes:
+        if path != self.path:
+            if self.file is not None:
+                self.file.close()
+            system, inner = pa.fs.FileSystem.from_uri(path)
+            self.path, self.file = path, system.open_input_file(inner)
+            self.table = read_seek_table(self.file)
+        offset, size, _, checksum = self.table[number]
+        return read_frame(self.file, offset, size, checksum)
+
+
 def read_documents(manifest: DataFrame) -> DataFrame:
     """(part, frame, place, id, n_tokens, tokens): each document of the frames listed, tokens as bytes (u32); `manifest` may be filtered
     to the frames that are wanted."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files: dict = {}
+        files = Files()
         for batch in batches:
             for row in batch.to_pylist():
-                if row["path"] not in files:
-                    for file in files.values():
-                        file.close()
-                    system, path = pa.fs.FileSystem.from_uri(row["path"])
-                    files = {row["path"]: system.open_input_file(path)}
-                ids, lengths, tokens = unpacked_frame(read_frame(files[row["path"]], row["offset"], row["size"], row["checksum"]))
+                ids, lengths, tokens = unpacked_frame(files.frame(row["path"], row["frame"]))
                 n = len(ids)
                 at = np.append(0, np.cumsum(lengths.astype(np.int64) * 4)).astype(np.int32)
                 texts = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at), pa.py_buffer(tokens)])
                 yield pa.RecordBatch.from_arrays([pa.array([row["part"]] * n, pa.int64()), pa.array([row["frame"]] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array(ids, pa.int64()), pa.array(lengths.astype(np.int64)), texts], names=["part", "frame", "place", "id", "n_tokens", "tokens"])
 
     tasks = -(-manifest.count() // FRAMES_A_TASK)
-    dealt = manifest.repartitionByRange(max(tasks, 1), "part", "frame").sortWithinPartitions("part", "frame")
+    dealt = manifest.select("part", "frame", "path").repartitionByRange(max(tasks, 1), "part", "frame").sortWithinPartitions("part", "frame")
     return dealt.mapInArrow(run, "part long, frame int, place int, id long, n_tokens long, tokens binary")
 
 
+def read_wanted(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_tokens, tokens) of the documents whose ids are wanted; of each file only the seek table and the frames that may hold one are read.
+    Files follow one another by id, so an id's file is found among their first ids (a row for each task that wrote)."""
+    files = manifest.groupBy("part", "path").agg(F.min("first_id").alias("first"), F.max("last_id").alias("last"), F.array_sort(F.collect_list(F.struct("frame", "first_id", "last_id"))).alias("frames"))
+    ends = sorted((r["last"], r["part"]) for r in files.where("last IS NOT NULL").select("last", "part").collect())
+    last = [e[0] for e in ends]
+
+    @F.arrow_udf("long")
+    def part_of(ids: pa.Array) -> pa.Array:
+        place = np.searchsorted(last, ids.to_numpy())
+        return pa.array([ends[p][1] if p < len(ends) else None for p in place.tolist()], pa.int64())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = Files()
+        for batch in batches:
+            for row in batch.to_pylist():
+                asked = np.unique(row["ids"])
+                for frame in row["frames"]:
+                    if frame["last_id"] is None or np.searchsorted(asked, frame["last_id"], "right") == np.searchsorted(asked, frame["first_id"] if frame["first_id"] is not None else asked[0]):
+                        continue
+                    ids, lengths, tokens = unpacked_frame(opened.frame(row["path"], frame["frame"]))
+                    at = np.append(0, np.cumsum(lengths.astype(np.int64) * 4))
+                    own = [k for k, i in enumerate(ids) if i is not None and asked[min(np.searchsorted(asked, i), len(asked) - 1)] == i]
+                    if own:
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in own], pa.int64()), pa.array([int(lengths[k]) for k in own], pa.int64()), pa.array([tokens[at[k] : at[k + 1]] for k in own], pa.binary())], names=["id", "n_tokens", "tokens"])
+
+    own = wanted.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
+    asked = own.select("id", part_of("id").alias("part")).groupBy("part").agg(F.collect_list("id").alias("ids"))
+    return asked.join(files.select("part", "path", "frames"), "part").select("path", "frames", "ids").mapInArrow(run, "id long, n_tokens long, tokens binary")
+
+
 def starts(manifest: DataFrame) -> DataFrame:
     """(part, frame, before): the ids in all frames before.  Sums of files (one for each task that wrote) are added up in one
     place, frames within their file."""

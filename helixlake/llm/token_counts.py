@@ -1,7 +1,7 @@
 """Token counts that follow edits: trees of counts over segments of each text, re-encoded only where an edit touches them.
 
-A text is cut after blanks into segments of about `SEGMENT` characters; tokens never span blanks, so a text's count is the sum of its
-segments'.  The counts are the leaves of a binary tree of sums.  Edits replace ranges of the old text: the segments they touch,
+A text is cut after blanks into segments of about `SEGMENT` characters; where tokens never span blanks, a text's count is the sum of its
+segments'.  With a tokenizer of which that is not known, a text is one segment, which any edit has encoded again.  The counts are the leaves of a binary tree of sums.  Edits replace ranges of the old text: the segments they touch,
 with the following one where the blank between them goes, are put into the first one's place and encoded again, and the sums
 on the way to the root are changed; all other segments are neither read nor encoded.
 
@@ -29,10 +29,10 @@ BLANK = re.compile("[ \n]")
 TREE = "ends array<int>, sums array<int>"
 
 
-def cut(text: str, segment: int = SEGMENT) -> list[int]:
-    """Where segments end."""
+def cut(text: str, segment: int | None = SEGMENT) -> list[int]:
+    """Where segments end; without a size of segments, at the text's end alone."""
     ends, at = [], 0
-    while len(text) - at > segment:
+    while segment and len(text) - at > segment:
         m = BLANK.search(text, at + segment - 1)
         if m is None:
             break
@@ -102,7 +102,7 @@ def count_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in chunks(batches):
             ends, sums = [], []
             for text in batch.column("text").to_pylist():
-                at = cut(text)
+                at = cut(text, SEGMENT if encode.safe else None)
                 ends.append(at)
                 sums.append(tree([len(encode.ids(text[a:b].encode())) // 4 for a, b in zip([0, *at], at)]))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("page"), pa.array(ends, pa.list_(pa.int32())), pa.array(sums, pa.list_(pa.int32()))], names=["id", "page", "ends", "sums"])
