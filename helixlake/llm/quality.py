@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .substrings import BASES, Rolling, _mixed
+from .substrings import BASES, Rolling
 from .tables import table, unused, written
-from .words import PLAIN, chunks, split_words
+from .words import PLAIN, chunks, mixed, split_words
 
 #: Labelled rows that rules are learned from, at most.
 SAMPLE = 20_000
@@ -55,7 +55,7 @@ def repeated_words(doc: np.ndarray, hashes: np.ndarray, first: np.ndarray, windo
         return out
     runs = Rolling(hashes, BASES[0]).runs(window)
     at = np.flatnonzero(np.arange(len(runs)) + window <= first[doc[: len(runs)] + 1])
-    keys = _mixed(runs[at] + doc[at].astype(np.uint64) * np.uint64(BASES[1]))
+    keys = mixed(runs[at] + doc[at].astype(np.uint64) * np.uint64(BASES[1]))
     order = np.argsort(keys)
     ordered = keys[order]
     same = (ordered[1:] == ordered[:-1]) & (doc[at[order[1:]]] == doc[at[order[:-1]]])

@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from . import golay
 from .components import components
+from .substrings import BASES, Rolling
 from .tables import FEW_ROWS, beside, dropped, settled, table, unused, without, written
-from .words import PLAIN_LOWER, Words, chunks, split_words
+from .words import PLAIN_LOWER, Words, chunks, mixed, split_words
 
 #: Most rows of one key that one task compares at once.
 BLOCK = 2048
@@ -58,6 +59,17 @@ def shingle_hashes(words: Words, size: int, seed: int = 42) -> tuple[np.ndarray,
     return hashes, at
 
 
+def shingle_keys(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each shingle as above, by rolling sums of word hashes: for sets of shingles, where any hash will do."""
+    n = words.per_doc
+    count = np.where(n == 0, 0, np.maximum(n - size + 1, 1))
+    at = np.append(0, np.cumsum(count))
+    left = np.arange(at[-1]) - np.repeat(at[:-1] - words.first[:-1], count)
+    right = np.minimum(left + size, np.repeat(words.first[1:], count))
+    rolling = Rolling(words.hashes()[0], BASES[0])
+    return mixed((rolling.sums[right] - rolling.sums[left]) * rolling.inverse[left] ^ (right - left).astype(np.uint64)), at
+
+
 def majority(hashes: np.ndarray, at: np.ndarray, bits: int = 64) -> np.ndarray:
     """For each run of hashes the number whose bit is set where over half of them have it."""
     out = np.zeros(len(at) - 1, dtype=np.uint64)
@@ -277,7 +289,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             words = split_words(batch.column("text"), PLAIN_LOWER)
-            hashes, at = _distinct_runs(*shingle_hashes(words, shingle))
+            hashes, at = _distinct_runs(*shingle_keys(words, shingle))
             size = np.diff(at)
             full = np.flatnonzero(size)
             sums = np.zeros((2, batch.num_rows), dtype=np.uint64)
@@ -303,7 +315,7 @@ def shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            hashes, at = _distinct_runs(*shingle_hashes(split_words(batch.column("text"), PLAIN_LOWER), shingle))
+            hashes, at = _distinct_runs(*shingle_keys(split_words(batch.column("text"), PLAIN_LOWER), shingle))
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists], names=[*kept, "shingles"])
 
@@ -348,7 +360,7 @@ def frequency_levels(texts: DataFrame, shingle: int, bits: int) -> bytes:
 
         seen, size = [], 0
         for batch in chunks(batches):
-            hashes, _ = _distinct_runs(*shingle_hashes(split_words(batch.column("text"), PLAIN_LOWER), shingle))
+            hashes, _ = _distinct_runs(*shingle_keys(split_words(batch.column("text"), PLAIN_LOWER), shingle))
             if len(hashes):
                 seen.append((hashes & np.uint64((1 << bits) - 1)).astype(np.uint32))
                 size += len(hashes)
@@ -427,7 +439,7 @@ def missed_links(texts: DataFrame, groups: DataFrame, shingles: int, shingle: in
     def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(shared.value, np.uint8)
         for batch in chunks(batches):
-            hashes, at = _distinct_runs(*shingle_hashes(split_words(batch.column("text"), PLAIN_LOWER), shingle))
+            hashes, at = _distinct_runs(*shingle_keys(split_words(batch.column("text"), PLAIN_LOWER), shingle))
             size = np.diff(at)
             doc = np.repeat(np.arange(len(size)), size)
             parity = np.bincount(doc * 256 + (hashes >> np.uint64(56)).astype(np.int64), minlength=len(size) * 256).reshape(-1, 256) & 1

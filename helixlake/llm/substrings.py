@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import table, written
-from .words import PLAIN, Words, chunks, split_words
+from .words import PLAIN, Words, chunks, mixed, split_words
 
 WINDOW = 50
 #: Words of the grams that stand for windows.
@@ -37,8 +37,8 @@ GRAM = 16
 BROADCAST_BITS, MOST_BITS = 27, 40
 #: Cells for each minimizer that texts of so many bytes have, about.
 ROOM, BYTES_A_MINIMIZER = 4, 100
-#: Buckets for each of Spark's shuffle partitions, and starts of repeated windows up to which they are broadcast.
-BUCKETS, FEW_STARTS = 4, 1 << 22
+#: Buckets for each of Spark's shuffle partitions, and stretches of repeated windows up to which they are broadcast.
+BUCKETS, FEW_STRETCHES = 4, 1 << 21
 #: Windows of a bucket that are held before equal ones are added up.
 HELD = 1 << 21
 #: Cells of a segment of the sketch, as a power of two.
@@ -65,12 +65,6 @@ class Rolling:
         return (self.sums[size:] - self.sums[:-size]) * self.inverse[: len(self.sums) - size]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _sliding_min(values: np.ndarray, size: int) -> np.ndarray:
     """The least of each `size` values in a row."""
     out, have = values, 1
@@ -88,17 +82,17 @@ def windows(words: Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.nd
     one, two = words.hashes()
     first, second = Rolling(one, BASES[0]), Rolling(two, BASES[1])
     gram = min(gram, window)
-    least = _sliding_min(_mixed(first.runs(gram)), window - gram + 1)
+    least = _sliding_min(mixed(first.runs(gram)), window - gram + 1)
     doc = words.doc_of()[: len(least)]
     at = np.flatnonzero(np.arange(len(least)) + window <= words.first[doc + 1])
     doc = doc[at]
-    return doc, at - words.first[doc], _mixed(first.runs(window)[at]), _mixed(second.runs(window)[at]), least[at]
+    return doc, at - words.first[doc], mixed(first.runs(window)[at]), mixed(second.runs(window)[at]), least[at]
 
 
 def _cells(minimizers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The cell of each minimizer in both rows of the sketch."""
     mask = np.uint64((1 << bits) - 1)
-    return minimizers & mask, _mixed(minimizers) & mask
+    return minimizers & mask, mixed(minimizers) & mask
 
 
 def sketch_bits(texts: DataFrame) -> int:
@@ -266,7 +260,7 @@ def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterato
 
 
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM, bits: int | None = None) -> DataFrame:
-    """(id, starts): for each document the words at which windows start that start in a document with a smaller id too, as lists of four-byte ints."""
+    """(id, starts, ends): for each document that has any, the stretches of words in windows that start in a document with a smaller id too."""
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     bits = bits or sketch_bits(texts)
@@ -326,7 +320,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int =
                 yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([0], pa.int32()), _binaries(ends, sums[0][k]), _binaries(ends, sums[1][k]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), sums[2].take(pa.array(k))), pa.nulls(1, pa.binary())], names=["bucket", "asks", "h1", "h2", "ids", "at"])
 
     def later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each list, the places of windows whose least id is another document's, by document."""
+        """The places of windows whose least id is a smaller one."""
         for _, rows in _by_bucket(batches):
             known = None
             for row in rows:
@@ -346,24 +340,36 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int =
                     place = place + other
                 k = np.flatnonzero((known[0][at] == one) & (known[1][at] == two))
                 k = k[pc.greater(ids.take(pa.array(k)), known[2].take(pa.array(at[k]))).to_numpy(zero_copy_only=False)]
-                different, code, _ = _ranks(ids.take(pa.array(k)))
-                order = np.argsort(code, kind="stable")
-                ends = np.append(0, np.cumsum(np.bincount(code, minlength=len(different))))
-                yield pa.RecordBatch.from_arrays([different, _binaries(ends, _listed(row, "at", np.int32)[k][order])], names=["id", "at"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(k)), pa.array(_listed(row, "at", np.int32)[k])], names=["id", "at"])
+
+    def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches of words that the windows cover."""
+        for batch in batches:
+            lists = batch.column("at")
+            owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            at = lists.flatten().to_numpy()
+            order = np.lexsort((at, owner))
+            owner, at = owner[order], at[order]
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (at[1:] > at[:-1] + window)
+            last = np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1) if len(at) else np.zeros(0, np.int64)
+            offsets = pa.array(np.searchsorted(owner[new], np.arange(len(lists) + 1)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (at[new], at[last] + window))], names=["id", "starts", "ends"])
 
     schema = f"bucket int, asks int, h1 binary, h2 binary, ids array<{kind}>, at binary"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = lambda rows: rows.repartition(n, "bucket").sortWithinPartitions("bucket", "asks")
     least = written(dealt(texts.mapInArrow(lambda batches: lists(batches, 0), schema)).mapInArrow(added, schema))
     asked = texts.mapInArrow(lambda batches: lists(batches, 1), schema)
-    return dealt(least.unionByName(asked)).mapInArrow(later, f"id {kind}, at binary").groupBy("id").agg(F.collect_list("at").alias("starts"))
+    found = dealt(least.unionByName(asked)).mapInArrow(later, f"id {kind}, at int").groupBy("id").agg(F.collect_list("at").alias("at"))
+    return found.mapInArrow(joined, f"id {kind}, starts array<int>, ends array<int>")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, bits: int | None = None) -> DataFrame:
     """For each row of docs: (id_col, text, n_words, n_removed): the words that stay, joined by one space, and how many there were
     and how many went.  bits: of the sketch, where its size should not follow the texts."""
     marks = written(repeated_windows(docs, id_col, text_col, window, gram, bits))
-    few = marks.agg(F.coalesce(F.sum(F.aggregate("starts", F.lit(0), lambda a, x: a + F.octet_length(x))), F.lit(0))).first()[0] <= 4 * FEW_STARTS
+    few = marks.agg(F.coalesce(F.sum(F.size("starts")), F.lit(0))).first()[0] <= FEW_STRETCHES
     marks = F.broadcast(marks) if few else marks.hint("merge")
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -373,11 +379,10 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             words = split_words(batch.column("text"), PLAIN)
             joined, start, end = words.joined()
             gone = np.zeros(len(words) + 1, dtype=np.int32)
-            for doc, starts in enumerate(batch.column("starts")):
+            for doc, (starts, ends) in enumerate(zip(batch.column("starts"), batch.column("ends"))):
                 if starts.is_valid:
-                    at = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in starts.values])) + words.first[doc]
-                    gone[at] += 1
-                    gone[at + window] -= 1
+                    gone[starts.values.to_numpy() + words.first[doc]] += 1
+                    gone[ends.values.to_numpy() + words.first[doc]] -= 1
             kept = np.cumsum(gone[:-1]) == 0
             removed = np.add.reduceat(np.append(~kept, False).astype(np.int64), words.first[:-1]) * (words.per_doc > 0)
             texts = []
