@@ -6,10 +6,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from helixlake.llm import decontaminate, html_text, lines, pii, quality, substrings
+from helixlake.llm import words as words_
 
 LONG = " ".join(f"w{i % 997}x{i % 13}" for i in range(30_000))
 ODD = ["", None, " \n\t", "one", "a\x00b c", "ünï côdé 😀 mark", "x" * 50_000]
@@ -83,6 +85,19 @@ def test_contamination_of_nothing(spark):
     assert decontaminate.contamination(docs(spark, []), item).count() == 0
 
 
+# --- words
+
+
+def test_hashes_tell_words_apart():
+    rng = random.Random(15)
+    texts = ["".join(rng.choice("ab\x00é") for _ in range(n)) for n in (*range(1, 40), 1024, 1025, 5000, 5001)] + ["a" * n for n in range(1, 60)] + ["a\x00", "a\x00\x00"]
+    texts = [t for t in dict.fromkeys(texts)]
+    w = words_.split_words(pa.array([" ".join(texts), "ab", None, " ".join(reversed(texts))]), words_.PLAIN)
+    for h in w.hashes():
+        assert len(set(h[: len(texts)].tolist())) == len(texts)
+        assert h[len(texts) + 1 :].tolist() == h[: len(texts)].tolist()[::-1]
+
+
 # --- substring dedup
 
 
@@ -109,7 +124,7 @@ def test_substrings_match_brute_force(spark, monkeypatch, window, gram, bits, br
     """With a sketch that is broadcast, or probed where it is; large, or so small that it is full."""
     if not broadcast:
         monkeypatch.setattr(substrings, "BROADCAST_BITS", 0)
-        monkeypatch.setattr(substrings, "FEW_STARTS", 0)
+        monkeypatch.setattr(substrings, "FEW_STRETCHES", 0)
         monkeypatch.setattr(substrings, "HELD", 5)
     rng = random.Random(window)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(40)] + ODD + [LONG, LONG, LONG[5000:9000]]
