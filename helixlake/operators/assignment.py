@@ -9,61 +9,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kmers import kmers_ordered
+from ..functions.kmers import kmers_distinct
 from .alignment import majority_vote
 
 MATCH, MISMATCH, GAP = 2, -1, -2
 MIN_IDENTITY, AMBIGUITY = 0.75, 2
 
 
+#: The k-mers that reads and strands must share to be aligned, and pairs up to which all may be aligned instead.
+CANDIDATE_K, ALL_PAIRS = 12, 1 << 22
+#: Cells of the tables that are filled in at once.
+CELLS = 1 << 23
+
+
+def align_all(strands: list[str], reads: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Score, identity over aligned pairs, and what the read has at each base of the strand (- for a gap), of a global alignment of each pair.  A step on
+    the diagonal is preferred to one in the strand, and that to one in the read.  Pairs of the same lengths are aligned together."""
+    score, identity, bases = np.zeros(len(reads), np.int64), np.zeros(len(reads)), [""] * len(reads)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, (s, r) in enumerate(zip(strands, reads)):
+        groups.setdefault((len(s), len(r)), []).append(k)
+    for (n, m), members in groups.items():
+        step = max(1, CELLS // ((n + 1) * (m + 1)))
+        for low in range(0, len(members), step):
+            own = members[low : low + step]
+            letters = lambda texts, size: np.frombuffer("".join(texts[k] for k in own).encode(), np.uint8).reshape(len(own), size)
+            score[own], identity[own], found = _aligned(letters(strands, n), letters(reads, m))
+            for k, row in zip(own, found):
+                bases[k] = row.tobytes().decode()
+    return score, identity, bases
+
+
+def _aligned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the tables of all pairs are computed at once: within a row, gaps in the read are a running maximum once their cost is taken out."""
+    (pairs, n), m = a.shape, b.shape[1]
+    ramp = GAP * np.arange(m + 1)
+    row = np.tile(ramp, (pairs, 1))
+    diagonal, up = np.zeros((n, pairs, m + 1), bool), np.zeros((n, pairs, m + 1), bool)
+    for i in range(n):
+        straight = row[:, :-1] + np.where(b == a[:, i : i + 1], MATCH, MISMATCH)
+        down = row + GAP
+        best = down.copy()
+        best[:, 0] = GAP * (i + 1)
+        np.maximum(best[:, 1:], straight, out=best[:, 1:])
+        row = np.maximum.accumulate(best - ramp, axis=1) + ramp
+        diagonal[i, :, 1:], up[i] = row[:, 1:] == straight, row == down
+    out = np.full((pairs, n), ord("-"), np.uint8)
+    i, j, p = np.full(pairs, n), np.full(pairs, m), np.arange(pairs)
+    met, same = np.zeros(pairs, np.int64), np.zeros(pairs, np.int64)
+    while len(p := np.flatnonzero((i > 0) | (j > 0))):
+        at = np.maximum(i[p] - 1, 0)
+        straight = (i[p] > 0) & (j[p] > 0) & diagonal[at, p, j[p]] if n else np.zeros(len(p), bool)
+        down = ~straight & (i[p] > 0) & ((j[p] == 0) | up[at, p, j[p]]) if n else np.zeros(len(p), bool)
+        q = p[straight]
+        i[q], j[q] = i[q] - 1, j[q] - 1
+        out[q, i[q]] = b[q, j[q]]
+        met[q], same[q] = met[q] + 1, same[q] + (a[q, i[q]] == b[q, j[q]])
+        i[p[down]] -= 1
+        j[p[~straight & ~down]] -= 1
+    return row[:, -1], np.where(met > 0, same / np.maximum(met, 1), 0.0), out
+
+
 def align(strand: str, read: str) -> tuple[int, float, str]:
-    """Score, identity over aligned pairs, and what the read has at each base of the strand (- for a gap), of a global alignment.  A step on the diagonal is
-    preferred to one in the strand, and that to one in the read.
-
-    Rows of the table are computed at once: within a row, gaps in the read are a running maximum once their cost is taken out."""
-    a, b = np.frombuffer(strand.encode(), np.uint8), np.frombuffer(read.encode(), np.uint8)
-    ramp = GAP * np.arange(len(b) + 1)
-    row, moves = ramp.copy(), []
-    for i, letter in enumerate(a, 1):
-        diagonal = row[:-1] + np.where(b == letter, MATCH, MISMATCH)
-        up = row + GAP
-        best = up.copy()
-        best[0] = GAP * i
-        np.maximum(best[1:], diagonal, out=best[1:])
-        new = np.maximum.accumulate(best - ramp) + ramp
-        moves.append((np.append(False, new[1:] == diagonal), new == up))
-        row = new
-    i, j, out, pairs, same = len(a), len(b), [], 0, 0
-    while i or j:
-        if i and j and moves[i - 1][0][j]:
-            i, j = i - 1, j - 1
-            out.append(read[j])
-            pairs, same = pairs + 1, same + (strand[i] == read[j])
-        elif i and (j == 0 or moves[i - 1][1][j]):
-            i -= 1
-            out.append("-")
-        else:
-            j -= 1
-    return int(row[-1]), same / pairs if pairs else 0.0, "".join(reversed(out))
+    score, identity, bases = align_all([strand], [read])
+    return int(score[0]), float(identity[0]), bases[0]
 
 
 def candidates(reads: DataFrame, strands: DataFrame, k: int | None) -> DataFrame:
-    """(read_id, strand_id): pairs to align.  With k, those that share a k-mer, found by a join; without, all pairs, for a
-    small set of strands only."""
+    """(read_id, strand_id): pairs to align.  With k, those that share a k-mer, found by a join; without, all pairs, for small sets only: more than
+    `ALL_PAIRS` are refused."""
     if k is None:
+        if reads.count() * strands.count() > ALL_PAIRS:
+            raise ValueError(f"more than {ALL_PAIRS} pairs: give a k")
         return reads.select("read_id").join(strands.select("strand_id"), how="cross")
-    own = kmers_ordered(reads, k, "read_id").select("read_id", "kmer").distinct()
-    return own.join(kmers_ordered(strands, k).select("strand_id", "kmer").distinct(), "kmer").select("read_id", "strand_id").distinct()
+    return kmers_distinct(reads, k, "read_id").select("read_id", "kmer").join(kmers_distinct(strands, k).select("strand_id", "kmer"), "kmer").select("read_id", "strand_id").distinct()
 
 
-def assigned(reads: DataFrame, strands: DataFrame, k: int | None = None, min_identity: float = MIN_IDENTITY, ambiguity: int = AMBIGUITY) -> DataFrame:
+def assigned(reads: DataFrame, strands: DataFrame, k: int | None = CANDIDATE_K, min_identity: float = MIN_IDENTITY, ambiguity: int = AMBIGUITY) -> DataFrame:
     """(read_id, strand_id, score, identity, bases, ambiguous): each read's best strand by score, then identity, then strand_id; without reads whose best identity
     is too low.  ambiguous: the second best score is within `ambiguity`."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [align(s, r) for s, r in zip(batch.column("strand").to_pylist(), batch.column("read").to_pylist())]
-            score, identity, bases = zip(*found) if found else ((), (), ())
+            score, identity, bases = align_all(batch.column("strand").to_pylist(), batch.column("read").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("read_id"), batch.column("strand_id"), pa.array(score, pa.int32()), pa.array(identity, pa.float64()), pa.array(bases, pa.string())], names=["read_id", "strand_id", "score", "identity", "bases"])
 
     kinds = {c: d.schema[c].dataType.simpleString() for c, d in (("read_id", reads), ("strand_id", strands))}
@@ -75,7 +103,7 @@ def assigned(reads: DataFrame, strands: DataFrame, k: int | None = None, min_ide
     return ranked.where((F.col("rank") == 1) & (F.col("identity") >= min_identity)).select("read_id", "strand_id", "score", "identity", "bases", close.alias("ambiguous"))
 
 
-def read_consensus(reads: DataFrame, strands: DataFrame, k: int | None = None, min_identity: float = MIN_IDENTITY, ambiguity: int = AMBIGUITY, min_depth: int = 1, min_majority: float = 0.6) -> DataFrame:
+def read_consensus(reads: DataFrame, strands: DataFrame, k: int | None = CANDIDATE_K, min_identity: float = MIN_IDENTITY, ambiguity: int = AMBIGUITY, min_depth: int = 1, min_majority: float = 0.6) -> DataFrame:
     """(name, read_count, mean_depth, covered_bases, n_count, distance, exact_match, consensus, ambiguous, best_identity) of every strand; name is its strand_id.
     distance: edit distance."""
     best = assigned(reads, strands, k, min_identity, ambiguity)

@@ -118,10 +118,11 @@ def prefix_starts(prefixes: DataFrame, counts: DataFrame, k: int) -> DataFrame:
     sides = both.unionByName(turned.where("other <> kmer").select(F.col("other").alias("kmer"), "cov"))
     lengths = F.broadcast(prefixes.select(F.length("prefix").alias("n")).distinct().where(F.col("n") < k))  # at most k rows
     keyed = sides.join(lengths).withColumn("prefix", F.substring(F.col("kmer"), F.lit(1), F.col("n"))).drop("n")
-    found = prefixes.select("query_id", "prefix").join(keyed, "prefix")
-    order = Window.partitionBy("query_id").orderBy("kmer")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_STARTS)
-    return ranked.select("query_id", "kmer", "cov", "rank", (F.count("*").over(Window.partitionBy("query_id")) >= MAX_STARTS).alias("limit_reached"))
+    # the first of each prefix are picked before they are exchanged, and before queries of the same prefix get them
+    asked = keyed.join(prefixes.select("prefix").distinct(), "prefix", "left_semi")
+    ranked = asked.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy("kmer"))).where(F.col("rank") <= MAX_STARTS)
+    ranked = ranked.withColumn("limit_reached", F.count("*").over(Window.partitionBy("prefix")) >= MAX_STARTS)
+    return prefixes.select("query_id", "prefix").join(ranked, "prefix").select("query_id", "kmer", "cov", "rank", "limit_reached")
 
 
 def prefix_matches(counts: DataFrame, prefix: str, k: int) -> DataFrame:

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dna, kmers
 from ..operators import alignment, assignment, batchqc, counts, graph, links, recovery, report
 from ..sources import sequences, sinks, tables
-from ..sources.scratch import shared_dir
+from ..sources.scratch import settled, shared_dir, written
 from ..streaming import counts as streaming
 from .views import K, K_SHORT, READ_LENGTH, SQL_ALIGNMENTS, SQL_SIMULATED, SQL_TARGETS, alignments, pool, reads, sql_counts, sql_kmers, sql_pool, sql_reads, sql_strands, simulated_reads, strands, table, targets
 
@@ -371,10 +370,11 @@ found AS (SELECT near.*, coalesce(cov, 0) AS cov FROM near LEFT JOIN counts ON c
 def _graph(spark, sf_dir):
     own = strands(spark, sf_dir).select(F.col("strand_id").alias("query_id"), F.col("seq").alias("query"))
     # looked up at each level
-    return own, counts.kmer_counts(reads(spark, sf_dir), K).persist(StorageLevel.MEMORY_AND_DISK)
+    return own, written(counts.kmer_counts(reads(spark, sf_dir), K))
 
 
 @query(f"WITH {_NODES} SELECT * FROM found")
+@settled
 def g2_j4_kmer_neighbors(spark, sf_dir):
     return graph.kmer_neighbors(*_graph(spark, sf_dir), K)
 
@@ -384,6 +384,7 @@ a AS (SELECT query_id, l, r, least(l, translate(reverse(l), 'ACGT', 'TGCA')) AS
 SELECT strand_id AS query_id, CASE WHEN length(seq) < 31 THEN 'shorter than k' END AS error, l AS "left", r AS "right", lc AS left_canonical, rc AS right_canonical,
   CASE WHEN l IS NOT NULL THEN least(coalesce(c1.cov, 0), coalesce(c2.cov, 0)) END AS coverage, truncated, in_degree, out_degree
 FROM strands LEFT JOIN a ON a.query_id = strand_id LEFT JOIN degree ON degree.query_id = strand_id LEFT JOIN counts c1 ON c1.kmer = lc LEFT JOIN counts c2 ON c2.kmer = rc""")
+@settled
 def g1_kmer_query(spark, sf_dir):
     return graph.kmer_query(*_graph(spark, sf_dir), K)
 
@@ -399,16 +400,19 @@ SELECT query_id, direction, step, path, base, kmer, cov, CAST(rank AS INTEGER) A
 
 
 @query(_TREE)
+@settled
 def g3_branch_tree(spark, sf_dir):
     return graph.branch_tree(*_graph(spark, sf_dir), K, 3)
 
 
 @query(_TREE.replace("t.step < 3", "t.step < 6 AND t.rank <= 1").replace("WHERE step > 0", "WHERE step > 0 AND rank = 1"))
+@settled
 def g4_greedy_path(spark, sf_dir):
     return graph.greedy_path(*_graph(spark, sf_dir), K, 6)
 
 
 @query(_TREE.replace("t.step < 3", "t.step < 2").replace("WHERE step > 0", "WHERE step = 2"))
+@settled
 def g9_expand_node(spark, sf_dir):
     own, found = _graph(spark, sf_dir)
     return graph.expand_nodes(graph.branch_tree(own, found, K, 1), found, K)

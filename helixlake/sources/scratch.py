@@ -8,7 +8,8 @@ from collections.abc import Callable
 from contextvars import ContextVar
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _open: ContextVar[list[DataFrame] | None] = ContextVar("tables of the innermost settled() function", default=None)
 
@@ -71,3 +72,14 @@ def unused(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def numbered(rows: DataFrame, block: list[str], place: str, name: str) -> DataFrame:
+    """rows with one more column, their number from 0 in the order of block and place.  Blocks, such as a file's splits, are counted, and rows numbered
+    within their block: only a row for each block is brought into one order."""
+    before, n = unused(rows.columns, "before"), unused(rows.columns, "n")
+    sizes = rows.groupBy(*block).agg(F.count("*").alias(n))
+    earlier = F.sum(n).over(Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*block, F.coalesce(earlier, F.lit(0)).alias(before))
+    inside = F.row_number().over(Window.partitionBy(*block).orderBy(place))
+    return rows.join(sizes, block).withColumn(name, (F.col(before) + inside - 1).cast("long")).drop(before)

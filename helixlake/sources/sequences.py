@@ -14,10 +14,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .scratch import numbered
+
 SCHEMA = "source_file string, offset long, name string, comment string, seq string, qual string, corrupt boolean"
 SPLIT_BYTES = 64 << 20
 ROWS = 4096
@@ -200,8 +202,8 @@ def scan_sequences(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTE
 
 def as_strands(records: DataFrame) -> DataFrame:
     """(strand_id, name, seq): numbered from 0 by file and place.  For designed strands; reads need no numbers."""
-    order = F.row_number().over(Window.orderBy("source_file", "offset"))
-    return records.select((order - 1).cast("long").alias("strand_id"), "name", F.col("seq"))
+    rows = records.select("source_file", "offset", F.floor(F.col("offset") / SPLIT_BYTES).alias("block"), "name", "seq")
+    return numbered(rows, ["source_file", "block"], "offset", "strand_id").select("strand_id", "name", "seq")
 
 
 def as_reads(records: DataFrame) -> DataFrame:

@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scratch import numbered
 from .sequences import as_strands, scan_sequences
 
 QC_ROW = "index int, name string, rawLength int, analyzedLength int, status string, message string, summary struct<length:int,k:int,kmerCount:int,observed:int,missing:int,complete:boolean,minCoverage:int,maxCoverage:int,meanCoverage:double,maxAdjacentRatio:double>"
 GRID = "ratio double, coverage int, total long, paths long, noise long, exist long, lost long, sm double, kd double, kn double"
 
 
-def _numbered(lines: DataFrame) -> DataFrame:
-    """Lines with a number that grows along the file; a place, not a count."""
-    return lines.withColumn("line", F.monotonically_increasing_id())
-
-
-def _ids(rows: DataFrame) -> DataFrame:
-    return rows.select((F.row_number().over(Window.orderBy("line")) - 1).cast("long").alias("strand_id"), "name", "seq")
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, line, value): line grows along a block, which is a split of a file."""
+    lines = spark.read.text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
 
 
 def tab_strand(line: Column) -> tuple[Column, Column]:
@@ -34,8 +32,8 @@ def tab_strand(line: Column) -> tuple[Column, Column]:
 def scan_tab_strands(spark: SparkSession, path: str) -> DataFrame:
     """(strand_id, name, seq); lines without a sequence are left out, and a strand without a name is seqN, N its number from 1."""
     name, seq = tab_strand(F.col("value"))
-    rows = _numbered(spark.read.text(path)).select("line", name.alias("name"), seq.alias("seq")).where("seq IS NOT NULL")
-    own = _ids(rows)
+    rows = _lines(spark, path).select("file", "block", "line", name.alias("name"), seq.alias("seq")).where("seq IS NOT NULL")
+    own = numbered(rows, ["file", "block"], "line", "strand_id").select("strand_id", "name", "seq")
     return own.withColumn("name", F.coalesce("name", F.concat(F.lit("seq"), (F.col("strand_id") + 1).cast("string"))))
 
 
@@ -78,13 +76,13 @@ def parse_paf(lines: DataFrame) -> DataFrame:
 
 
 def scan_paf(spark: SparkSession, path: str) -> DataFrame:
-    return parse_paf(_numbered(spark.read.text(path)))
+    return parse_paf(_lines(spark, path))
 
 
 def scan_qc_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the last batch message among lines of JSON."""
-    lines = _numbered(spark.read.text(path)).where(F.startswith(F.ltrim("value"), F.lit("{")))
-    parsed = lines.select("line", F.from_json("value", f"type string, rows array<struct<{', '.join(c.replace(' ', ':', 1) for c in QC_ROW.split(', ', 6))}>>").alias("m"))
+    lines = _lines(spark, path).where(F.startswith(F.ltrim("value"), F.lit("{")))
+    parsed = lines.select(F.struct("file", "block", "line").alias("line"), F.from_json("value", f"type string, rows array<struct<{', '.join(c.replace(' ', ':', 1) for c in QC_ROW.split(', ', 6))}>>").alias("m"))
     last = parsed.where("m.type = 'batch'").agg(F.max_by("m", "line").alias("m"))
     return last.select(F.explode("m.rows").alias("r")).select("r.*")
 

@@ -14,7 +14,7 @@ READS = [("rd1", "ACGT" * 4), ("rd2", "TTTTGGGGCCCCAAAA"), ("rd3", "GATTACA" * 2
 def test_read_consensus_golden(spark):
     own = spark.createDataFrame(STRANDS, "strand_id string, seq string")
     reads = spark.createDataFrame(READS, "read_id string, seq string")
-    got = {r.name: r for r in assignment.read_consensus(reads, own).collect()}
+    got = {r.name: r for r in assignment.read_consensus(reads, own, None).collect()}
     one, two = got["strand1"], got["strand2"]
     assert one.exact_match and one.mean_depth == 1.0
     assert (two.consensus, two.mean_depth, two.covered_bases, two.n_count, two.distance) == ("TTTTGGGGCCCCNAAANNNA", 0.8, 16, 4, 4)
@@ -146,4 +146,33 @@ def test_alignment_prefers_the_diagonal():
     score, identity, bases = assignment.align("ACGT", "ACGT")
     assert (score, identity, bases) == (8, 1.0, "ACGT")
     assert assignment.align("ACGT", "AGT") == (4, 1.0, "A-GT")
-    assert assignment.align("", "AC") == (-4, 0.0, "")
+    assert assignment.align("", "AC") == (-4, 0.0, "") and assignment.align("AC", "") == (-4, 0.0, "--")
+
+
+def test_alignments_match_the_whole_table(monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(assignment, "CELLS", 500)
+    pairs = [("".join(rng.choice("ACGT") for _ in range(rng.randint(0, 7))), "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 7)))) for _ in range(400)]
+    score, identity, bases = assignment.align_all([a for a, _ in pairs], [b for _, b in pairs])
+    for k, (a, b) in enumerate(pairs):
+        t = [[-2 * (i + j) for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                t[i][j] = max(t[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1), t[i - 1][j] - 2, t[i][j - 1] - 2)
+        i, j, out, met, same = len(a), len(b), "", 0, 0
+        while i or j:
+            if i and j and t[i][j] == t[i - 1][j - 1] + (2 if a[i - 1] == b[j - 1] else -1):
+                i, j, out, met = i - 1, j - 1, b[j - 1] + out, met + 1
+                same += a[i] == b[j]
+            elif i and t[i][j] == t[i - 1][j] - 2:
+                i, out = i - 1, "-" + out
+            else:
+                j -= 1
+        assert (score[k], identity[k], bases[k]) == (t[-1][-1], pytest.approx(same / met if met else 0), out)
+
+
+def test_many_pairs_need_a_k(spark, monkeypatch):
+    monkeypatch.setattr(assignment, "ALL_PAIRS", 5)
+    own = spark.createDataFrame(STRANDS, "strand_id string, seq string")
+    with pytest.raises(ValueError, match="give a k"):
+        assignment.candidates(spark.createDataFrame(READS, "read_id string, seq string"), own, None)

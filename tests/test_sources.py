@@ -1,10 +1,11 @@
 import gzip
 import json
 
+import pytest
 from conftest import rows
 
 from helixlake.operators import counts, links, recovery
-from helixlake.sources import sequences, sinks, tables
+from helixlake.sources import scratch, sequences, sinks, tables
 
 
 def scan(spark, path, split=64 << 20):
@@ -93,12 +94,16 @@ def test_text_sinks(spark, tmp_path):
     own = spark.createDataFrame([(0, "a", "ACGTAC"), (1, "b", "AC"), (2, "c", "ACGT")], "strand_id long, name string, seq string")
     found = counts.kmer_counts(spark.createDataFrame([("r", "ACGTAC")], "read_id string, seq string"), 4)
     covered = recovery.covered_kmers(own, found, 4)
-    assert rows(sinks.coverage_lines(covered, own)) == [("a\t1 1 1",), ("c\t1",)] or rows(sinks.coverage_lines(covered, own))[0][0].startswith("a\t")
-    assert [r[0].split("\t")[0] for r in rows(sinks.ratio_lines(covered, own))] == ["a"]
+    # ACGT and GTAC are their own reverse complements; CGTA is that of TACG
+    assert rows(sinks.coverage_lines(covered, own)) == [("a\t1 1 1",), ("c\t1",)]
+    assert rows(sinks.ratio_lines(covered, own)) == [("a\t1.000 1.000",)]
     assert sinks.range_lines(recovery.ratio_ranges(covered)).count() == 2
     grid = recovery.strand_recovery(own, spark.createDataFrame([("r", "ACGTAC")], "read_id string, seq string"), 4, range(2))
     sinks.write_metric_grid(grid, str(tmp_path / "grid"))
-    assert spark.read.text(str(tmp_path / "grid")).first()[0].startswith("Ratio\tCoverage")
+    sinks.write_metric_grid(grid.repartition(7), str(tmp_path / "dealt"))
+    for at in ("grid", "dealt"):
+        lines = [r[0].split("\t") for r in spark.read.text(str(tmp_path / at)).collect()]
+        assert lines[0][:2] == ["Ratio", "Coverage"] and [x[:2] for x in lines[1:]] == [["0.00", "0"], ["0.00", "1"]]
     back = tables.scan_metric_grid(spark, str(tmp_path / "grid")).orderBy("coverage").collect()
     assert len(back) == 2 and back[0].total == 3
     sinks.write_screen(links.entanglement(own, 4, 0, 0), str(tmp_path / "passed"), str(tmp_path / "filtered"))
@@ -107,6 +112,38 @@ def test_text_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == 3
 
 
+def test_strands_are_numbered_along_many_splits(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    for f in "ab":
+        (tmp_path / f"in/{f}.txt").write_text("".join(f"{f}{i}\tACGT\n" if i % 3 else f"head {i}\n" for i in range(400)))
+        (tmp_path / f"{f}.fa").write_text("".join(f">{f}{i}\nACGT\n" for i in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = tables.scan_tab_strands(spark, str(tmp_path / "in"))
+        assert spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() > 3
+        want = [f"{f}{i}" for f in "ab" for i in range(400) if i % 3]
+        assert [(r.strand_id, r.name) for r in got.orderBy("strand_id").collect()] == list(enumerate(want))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    monkeypatch.setattr(sequences, "SPLIT_BYTES", 300)
+    found = sequences.as_strands(scan(spark, tmp_path / "a.fa", 300)).orderBy("strand_id").collect()
+    assert [(r.strand_id, r.name) for r in found] == [(i, f"a{i}") for i in range(400)]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.shared_dir(Session)
+
+
 def test_subsample(spark):
     own = spark.range(25).withColumnRenamed("id", "strand_id")
     assert [r[0] for r in sequences.subsample(own, 10).collect()] == [0, 10, 20]
