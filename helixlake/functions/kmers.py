@@ -94,10 +94,11 @@ def kmers_ordered(seqs: DataFrame, k: int, id_col: str = "strand_id", engine: st
 
 
 def _first_in_each(owner: np.ndarray, kmer: np.ndarray) -> np.ndarray:
-    """Where each sequence's different k-mers come first."""
-    order = np.lexsort((kmer, owner))
+    """Where each sequence's different k-mers come first.  Sequences stand one after the other, so a stable order of k-mers keeps theirs."""
+    order = np.argsort(kmer, kind="stable")
+    kmer, owner = kmer[order], owner[order]
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (kmer[order[1:]] != kmer[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
+    new[1:] = (kmer[1:] != kmer[:-1]) | (owner[1:] != owner[:-1])
     return order[new]
 
 
