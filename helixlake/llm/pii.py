@@ -228,4 +228,5 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(_listed({k: F.col(k) for k in KINDS}), 256).alias("base_sha256"),
         _listed(everything).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        sum((F.size(c) for c in everything.values()), F.lit(0)).cast("long").alias("n_spans"),
     )
