@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import coverage_ratio
@@ -78,19 +78,24 @@ def grid_ratios(low: float, high: float, step: float) -> list[float]:
     return out
 
 
+def _literal(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """A few rows given in the plan, which need no Python process."""
+    return spark.range(1).select(F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in row.items())) for row in rows))).alias("row")).select("row.*")
+
+
 def metric_grid(stats: DataFrame, targets: DataFrame, reads: DataFrame, ratios: list[float], cutoffs: list[int]) -> DataFrame:
     """The ten-column grid.  stats: strand_stats(); targets and reads: histograms (cov, kmers).
 
     Strands and k-mers are counted by cell before the grid is crossed with them: (cutoffs + 2) x (ratios + 1) rows at most."""
     spark = stats.sparkSession
     most = max(cutoffs) + 1
-    cells = spark.createDataFrame([(float(r), int(c)) for r in ratios for c in cutoffs], "ratio double, coverage int")
+    cells = _literal(spark, [{"ratio": float(r), "coverage": int(c)} for r in ratios for c in cutoffs])
     bucket = F.lit(len(ratios))
     for place, cut in reversed(sorted(enumerate(ratios), key=lambda x: x[1])):
         bucket = F.when(F.col("max_ratio") <= cut, place).otherwise(bucket)
     # the least cut that a strand's ratio is not above
     strands = stats.select(F.least(F.coalesce("min_cov", F.lit(-1)), F.lit(most)).alias("cov"), bucket.alias("bucket")).groupBy("cov", "bucket").agg(F.count("*").alias("n"))
-    cut_of = spark.createDataFrame([*((k, float(r)) for k, r in enumerate(ratios)), (len(ratios), float("inf"))], "bucket int, least_cut double")
+    cut_of = _literal(spark, [{"bucket": k, "least_cut": float(r)} for k, r in enumerate([*ratios, float("inf")])])
     strands = strands.join(F.broadcast(cut_of), "bucket")
     fits = (F.col("cov") > F.col("coverage")) & ((F.col("ratio") <= 1.0) | (F.col("least_cut") <= F.col("ratio")))
     paths = cells.join(strands, how="cross").groupBy("ratio", "coverage").agg(F.sum("n").alias("total"), F.sum(F.when(fits, F.col("n")).otherwise(0)).alias("paths"))
