@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dna import coverage_ratio
@@ -78,49 +78,48 @@ def grid_ratios(low: float, high: float, step: float) -> list[float]:
     return out
 
 
-def _literal(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """A few rows given in the plan, which need no Python process."""
-    return spark.range(1).select(F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in row.items())) for row in rows))).alias("row")).select("row.*")
+def _sum_of(rows: Column, value: str, fits=None) -> Column:
+    """The sum of a field over an array of structs, where fits(struct)."""
+    rows = rows if fits is None else F.filter(rows, fits)
+    return F.aggregate(rows, F.lit(0).cast("long"), lambda total, x: total + x[value])
 
 
 def metric_grid(stats: DataFrame, targets: DataFrame, reads: DataFrame, ratios: list[float], cutoffs: list[int]) -> DataFrame:
     """The ten-column grid.  stats: strand_stats(); targets and reads: histograms (cov, kmers).
 
-    Strands and k-mers are counted by cell before the grid is crossed with them: (cutoffs + 2) x (ratios + 1) rows at most."""
-    spark = stats.sparkSession
+    Strands and k-mers are counted by cell first, which leaves three short arrays, (cutoffs + 2) x (ratios + 1) long at most, in one row; the grid's cells are
+    evaluated on those."""
     most = max(cutoffs) + 1
-    cells = _literal(spark, [{"ratio": float(r), "coverage": int(c)} for r in ratios for c in cutoffs])
     bucket = F.lit(len(ratios))
     for place, cut in reversed(sorted(enumerate(ratios), key=lambda x: x[1])):
         bucket = F.when(F.col("max_ratio") <= cut, place).otherwise(bucket)
     # the least cut that a strand's ratio is not above
     strands = stats.select(F.least(F.coalesce("min_cov", F.lit(-1)), F.lit(most)).alias("cov"), bucket.alias("bucket")).groupBy("cov", "bucket").agg(F.count("*").alias("n"))
-    cut_of = _literal(spark, [{"bucket": k, "least_cut": float(r)} for k, r in enumerate([*ratios, float("inf")])])
-    strands = strands.join(F.broadcast(cut_of), "bucket")
-    fits = (F.col("cov") > F.col("coverage")) & ((F.col("ratio") <= 1.0) | (F.col("least_cut") <= F.col("ratio")))
-    paths = cells.join(strands, how="cross").groupBy("ratio", "coverage").agg(F.sum("n").alias("total"), F.sum(F.when(fits, F.col("n")).otherwise(0)).alias("paths"))
+    strands = strands.agg(F.collect_list(F.struct("cov", "bucket", "n")).alias("strands"))
 
-    def above(histogram: DataFrame, name: str) -> DataFrame:
+    def counted(histogram: DataFrame, name: str) -> DataFrame:
         small = histogram.groupBy(F.least("cov", F.lit(most)).alias("cov")).agg(F.sum("kmers").alias("kmers"))
-        counted = cells.select("coverage").distinct().join(small, how="cross").groupBy("coverage")
-        return counted.agg(F.sum(F.when(F.col("cov") > F.col("coverage"), F.col("kmers")).otherwise(0)).alias(name), F.sum("kmers").alias(f"{name}_all"))
-
-    out = cells.join(paths, ["ratio", "coverage"], "left").join(above(targets, "exist"), "coverage", "left").join(above(reads, "seen"), "coverage", "left")
-    out = out.na.fill(0, ["total", "paths", "exist", "exist_all", "seen"])
-    lost, noise = F.col("exist_all") - F.col("exist"), F.col("seen") - F.col("exist")
-    part = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(float("nan")))
-    return out.select(
+        return small.agg(F.collect_list(F.struct("cov", "kmers")).alias(name))
+
+    one = strands.join(counted(targets, "targets"), how="cross").join(counted(reads, "reads"), how="cross")
+    cells = F.array(*(F.struct(F.lit(float(r)).alias("ratio"), F.lit(int(c)).alias("coverage")) for r in ratios for c in cutoffs))
+    cells = one.select("*", F.explode(cells).alias("cell")).select("*", "cell.ratio", "cell.coverage")
+    least_cut = F.array(*(F.lit(float(r)) for r in [*ratios, float("inf")]))
+    fits = lambda x: (x["cov"] > F.col("coverage")) & ((F.col("ratio") <= 1.0) | (least_cut[x["bucket"]] <= F.col("ratio")))
+    above = lambda x: x["cov"] > F.col("coverage")
+    out = cells.select(
         "ratio",
         "coverage",
-        F.col("total").cast("long").alias("total"),
-        F.col("paths").cast("long").alias("paths"),
-        noise.cast("long").alias("noise"),
-        F.col("exist").cast("long").alias("exist"),
-        lost.cast("long").alias("lost"),
-        part(F.col("paths"), F.col("total")).alias("sm"),
-        part(lost, F.col("exist_all")).alias("kd"),
-        part(noise, F.col("exist")).alias("kn"),
+        _sum_of(F.col("strands"), "n").alias("total"),
+        _sum_of(F.col("strands"), "n", fits).alias("paths"),
+        _sum_of(F.col("targets"), "kmers", above).alias("exist"),
+        _sum_of(F.col("targets"), "kmers").alias("all"),
+        _sum_of(F.col("reads"), "kmers", above).alias("seen"),
     )
+    lost, noise = F.col("all") - F.col("exist"), F.col("seen") - F.col("exist")
+    part = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(float("nan")))
+    measures = part(F.col("paths"), F.col("total")).alias("sm"), part(lost, F.col("all")).alias("kd"), part(noise, F.col("exist")).alias("kn")
+    return out.select("ratio", "coverage", "total", "paths", noise.alias("noise"), "exist", lost.alias("lost"), *measures)
 
 
 @settled
