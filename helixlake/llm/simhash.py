@@ -266,6 +266,8 @@ FULL_BLOCK, ANCHORS = 256, 8
 SEGMENT_BITS, MOST_BITS = 16, 29
 #: Counts from which a cell is of level 1, 2 and 3.
 LEVELS = (2, 8, 64)
+#: Pairs of two groups that one shingle names in a first round.
+FEW_PAIRS = 4
 #: Bits of the parity map of a set of shingles, as words of 64.
 PARITY = ("p0", "p1", "p2", "p3")
 
@@ -431,8 +433,8 @@ def missed_links(texts: DataFrame, groups: DataFrame, shingles: int, shingle: in
 
     In any order of all shingles two such sets share one of their first n - ceil(similarity * n) + 1.  The order is from rare to
     frequent by `frequency_levels`; a shingle of one text alone is shared by none, so most texts have no rows.  Rows of a
-    shingle are paired where sizes, places and parities allow, and the pairs are compared in full.
-    texts: (node, text); groups: (node, root), nodes without a row being groups of their own; shingles: about how many there are."""
+    shingle are paired where sizes, places and parities allow, and the pairs are compared in full: in a first round a few of each two groups, in a second
+    all of groups that are still apart.  texts: (node, text); groups: (node, root), nodes without a row being groups of their own; shingles: about how many there are."""
     bits = min(max(int(shingles).bit_length(), SEGMENT_BITS), MOST_BITS)
     shared = texts.sparkSession.sparkContext.broadcast(frequency_levels(texts, shingle, bits))
 
@@ -454,25 +456,52 @@ def missed_links(texts: DataFrame, groups: DataFrame, shingles: int, shingle: in
             columns = [hashes[order[k]].view(np.int64), size[of].astype(np.int32), place[k].astype(np.int32), *(parity[of, c] for c in range(len(PARITY)))]
             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(of)), *map(pa.array, columns)], names=["node", "key", "size", "place", *PARITY])
 
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, start in runs(batches, ("key", "i", "j")):
-            for i, j in _candidates(rows, start, similarity):
-                a, b = rows["node"][i], rows["node"][j]
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+    def pairs(most: int | None):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, start in runs(batches, ("key", "i", "j")):
+                for i, j in _candidates(rows, start, similarity):
+                    if most is not None:
+                        k = _few_of_each(rows["root"][i], rows["root"][j], rows["node"][i] ^ rows["node"][j], most)
+                        i, j = i[k], j[k]
+                    a, b = rows["node"][i], rows["node"][j]
+                    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        return run
 
     fields = ", ".join(f"{c} long" for c in PARITY)
-    rows = texts.mapInArrow(prefixes, f"node long, key long, size int, place int, {fields}")
-    rows = written(rows.join(beside(groups), "node", "left").withColumn("root", F.coalesce("root", "node")))
-    # a shingle within one group has no pairs
-    several = written(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
-    dealt = blocked(rows.join(beside(several), "key"), "key", "node", BLOCK).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    able = written(dealt.mapInArrow(pairs, "a long, b long").distinct())
-    named = written(able.select(F.col("a").alias("node")).unionByName(able.select(F.col("b").alias("node"))).distinct())
-    full = written(shingle_sets(texts.join(beside(named), "node", "left_semi"), shingle))
-    left, right = (full.select(F.col("node").alias(c), F.col("shingles").alias(v)) for c, v in (("a", "x"), ("b", "y")))
-    both = F.size(F.array_intersect("x", "y"))
-    return able.join(left, "a").join(right, "b").where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
+    prefix_rows = written(texts.mapInArrow(prefixes, f"node long, key long, size int, place int, {fields}"))
+    shared.destroy()
+
+    def between(groups: DataFrame, most: int | None) -> DataFrame:
+        rows = written(prefix_rows.join(beside(groups), "node", "left").withColumn("root", F.coalesce("root", "node")))
+        # a shingle within one group has no pairs
+        several = written(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
+        dealt = blocked(rows.join(beside(several), "key"), "key", "node", BLOCK).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+        able = written(dealt.mapInArrow(pairs(most), "a long, b long").distinct())
+        named = written(able.select(F.col("a").alias("node")).unionByName(able.select(F.col("b").alias("node"))).distinct())
+        full = written(shingle_sets(texts.join(beside(named), "node", "left_semi"), shingle))
+        left, right = (full.select(F.col("node").alias(c), F.col("shingles").alias(v)) for c, v in (("a", "x"), ("b", "y")))
+        both = F.size(F.array_intersect("x", "y"))
+        links = able.join(left, "a").join(right, "b").where(both >= similarity * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
+        links = written(links)
+        dropped(rows, several, able, named, full)
+        return links
+
+    # large groups are joined by a few of their pairs first; of what is then still apart, all pairs are compared
+    first = between(groups, FEW_PAIRS)
+    joined = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(first))
+    return first.unionByName(between(joined, None))
+
+
+def _few_of_each(one: np.ndarray, other: np.ndarray, mark: np.ndarray, most: int) -> np.ndarray:
+    """Some of the pairs of each two groups, up to `most`, of different members."""
+    low, high = np.minimum(one, other), np.maximum(one, other)
+    order = np.lexsort((mixed(mark.view(np.uint64)), high, low))
+    low, high = low[order], high[order]
+    start = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))) if len(order) else np.zeros(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order))))
+    return np.sort(order[rank < most])
 
 
 def cluster_links(texts: DataFrame, clusters: DataFrame, shingle: int, similarity: float) -> DataFrame:

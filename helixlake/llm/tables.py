@@ -13,7 +13,17 @@ __all__ = ["beside", "dropped", "settled", "shared_dir", "table", "text_key", "u
 FEW_ROWS = 1 << 20
 
 
+#: Rows of an Arrow batch where the session names no other number than Spark's own, 10,000: texts are long, and the JVM and its workers hold whole batches.
+BATCH_ROWS, _ROWS_KEY = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_ROWS_KEY) == "10000":
+        spark.conf.set(_ROWS_KEY, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces kept by each Python worker; beyond, the cache starts anew.
-CACHE = 250_000
+CACHE = 150_000
 #: Longer pieces (in bytes) are not kept.
 LONG_PIECE = 64
 #: The pre-tokenizer's pattern that is known here: a fixed value.
