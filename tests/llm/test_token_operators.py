@@ -212,6 +212,26 @@ def test_tables_of_any_size_give_the_same_groups(spark, monkeypatch):
     assert rows(simhash.similar_texts(df).select("doc_id", "least")) == want
 
 
+def test_a_few_pairs_of_each_two_groups():
+    rng = np.random.default_rng(16)
+    one, other, mark = (rng.integers(0, n, 500) for n in (4, 4, 1 << 40))
+    k = simhash._few_of_each(one, other, mark, 3)
+    pairs = [tuple(sorted(p)) for p in zip(one.tolist(), other.tolist())]
+    for p in set(pairs):
+        assert sum(pairs[i] == p for i in k) == min(3, pairs.count(p))
+    assert len(simhash._few_of_each(one[:0], other[:0], mark[:0], 3)) == 0
+
+
+def test_groups_that_keys_keep_apart_are_joined(spark, monkeypatch):
+    """Without any close fingerprints all is left to the second search, whose first round sees one pair of each two groups only."""
+    monkeypatch.setattr(simhash, "CLOSE", 0)
+    monkeypatch.setattr(simhash, "FEW_PAIRS", 1)
+    words = [f"v{i}" for i in range(200)]
+    texts = [" ".join([*words[: 5 * i], f"x{i}", *words[5 * i + 1 :]]) for i in range(40)] + ["apart " * 9, " ".join(reversed(words))]
+    got = {r.doc_id: r.least for r in simhash.similar_texts(docs(spark, texts)).collect()}
+    assert got == {i: 0 for i in range(40)} | {40: 40, 41: 41}
+
+
 def test_a_large_cluster_is_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "FULL_BLOCK", 8)
     words = [f"v{i}" for i in range(200)]
