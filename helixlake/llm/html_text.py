@@ -135,16 +135,19 @@ def blocks(page: str) -> list[tuple[str, int]]:
             parts.append(" ")
         if tag in BLOCKS:
             if not m[2] and tag not in ("title", "head", "html"):
-                while hidden and stack[-1][0] in INLINE_HIDDEN:
-                    close(len(stack) - 1)
-            flush()
-            prose = tag in PROSE and not m[2]
+                while hidden and stack[hidden - 1][0] in INLINE_HIDDEN:
+                    close(hidden - 1)
+            if not hidden:
+                flush()
+                prose = tag in PROSE and not m[2]
         if tag in VOID or m[4].endswith("/"):
             continue
         if m[2]:
+            if hidden and tag in ("p", "li"):
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if tag not in INLINE_HIDDEN:
+                    if tag not in HIDDEN and (not hidden or k < hidden - 1):
                         flush()
                     close(k)
                     break
@@ -154,6 +157,10 @@ def blocks(page: str) -> list[tuple[str, int]]:
                 stack.append((tag, here))
                 hidden = hidden or len(stack)
             continue
+        if hidden:
+            if tag in BLOCKS and tag not in HEADINGS and tag not in ("p", "li"):
+                stack.append((tag, here))
+            continue
         if tag == "p" or tag == "li":
             # the next paragraph or entry ends one that wasn't closed
             if stack and stack[-1][0] == tag:
