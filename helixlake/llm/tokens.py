@@ -56,6 +56,23 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
+class Words(dict):
+    """The ids of words that pieces of plain letters are made of."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model, self.letters = model, byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        own = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = np.array([t.id for t in self.model.tokenize(own)], dtype="<u4").tobytes()
+        if len(self) >= CACHE:
+            self.clear()
+        if len(word) <= LONG_PIECE:
+            self[word] = ids
+        return ids
+
+
 class Encoder(dict):
     """Encodes UTF-8 texts to little-endian unsigned 32-bit ids; the dictionary holds the ids of pieces."""
 
@@ -63,9 +80,8 @@ class Encoder(dict):
         super().__init__()
         path = name if os.path.sep in name else public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.words = Words(self.tokenizer.model)
         self.safe = pieces_are_safe(path)
-        self.letters = byte_letters()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -75,12 +91,7 @@ class Encoder(dict):
         if not PLAIN_PIECE.fullmatch(text) or "<|" in text:
             ids = self.whole(text)
         else:
-            found = []
-            for word in PLAIN_SPLIT.findall(text.lower()):
-                if not word.isascii():
-                    word = word.encode().decode("latin-1").translate(self.letters)
-                found += [t.id for t in self.model.tokenize(word)]
-            ids = np.array(found, dtype="<u4").tobytes()
+            ids = b"".join(map(self.words.__getitem__, PLAIN_SPLIT.findall(text.lower())))
         if len(piece) <= LONG_PIECE:
             self[piece] = ids
         return ids
