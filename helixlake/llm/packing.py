@@ -22,21 +22,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import table, written
-from .tokens import TOKENIZER, encoder
+from .tokens import CACHE, TOKENIZER, encoder
 from .words import buffers, chunks
 
 SIZE = 4096
 END = 1
 
 
-def token_pieces(docs: DataFrame, id_col: str, text_col: str, size: int = SIZE, end: int = END, tokenizer: str = TOKENIZER) -> DataFrame:
+def token_pieces(docs: DataFrame, id_col: str, text_col: str, size: int = SIZE, end: int = END, tokenizer: str = TOKENIZER, cache: int = CACHE) -> DataFrame:
     """(id, piece, start, length, crc, part, local): the pieces of each text, and each one's number among those of its length in
     its task."""
     last = np.array([end], dtype="<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
-        encode = encoder(tokenizer).ids
+        encode = encoder(tokenizer, cache).ids
         for batch in chunks(batches):
             data, at = buffers(batch.column("text"))
             data, rows = data.tobytes(), []
@@ -91,10 +91,10 @@ def best_fit(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, i
     return plan
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, tokenizer: str = TOKENIZER) -> DataFrame:
-    """A row for each piece: (id_col, piece, start, length, ids_crc32, sequence_id, offset)."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, tokenizer: str = TOKENIZER, cache: int = CACHE) -> DataFrame:
+    """A row for each piece: (id_col, piece, start, length, ids_crc32, sequence_id, offset).  cache: pieces of text that a worker keeps the ids of."""
     spark = docs.sparkSession
-    pieces = written(token_pieces(docs, id_col, text_col, size, end, tokenizer))
+    pieces = written(token_pieces(docs, id_col, text_col, size, end, tokenizer, cache))
     by_task = pieces.groupBy("length", "part").count()
     earlier = F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = by_task.select("length", "part", F.coalesce(earlier, F.lit(0)).alias("before"))

@@ -19,8 +19,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces kept by each Python worker; beyond, the cache starts anew.
-CACHE = 150_000
+#: Pieces kept by each Python worker, and where other work needs its memory; beyond, the cache starts anew.
+CACHE, SMALL_CACHE = 500_000, 150_000
 #: Longer pieces (in bytes) are not kept.
 LONG_PIECE = 64
 #: The pre-tokenizer's pattern that is known here: a fixed value.
@@ -66,7 +66,7 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         own = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
         ids = np.array([t.id for t in self.model.tokenize(own)], dtype="<u4").tobytes()
-        if len(self) >= CACHE:
+        if len(self) >= SMALL_CACHE:
             self.clear()
         if len(word) <= LONG_PIECE:
             self[word] = ids
@@ -76,8 +76,9 @@ class Words(dict):
 class Encoder(dict):
     """Encodes UTF-8 texts to little-endian unsigned 32-bit ids; the dictionary holds the ids of pieces."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, cache: int = CACHE):
         super().__init__()
+        self.most = cache
         path = name if os.path.sep in name else public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
         self.words = Words(self.tokenizer.model)
@@ -98,7 +99,7 @@ class Encoder(dict):
 
     def pieces(self, data: bytes) -> list[bytes]:
         """The ids of each piece between spaces and line feeds, in order."""
-        if len(self) > CACHE:
+        if len(self) > self.most:
             self.clear()
         return list(map(self.__getitem__, data.replace(b"\n", b" ").split(b" ")))
 
@@ -107,7 +108,7 @@ class Encoder(dict):
 
 
 @functools.cache
-def encoder(name: str = TOKENIZER) -> Encoder:
+def encoder(name: str = TOKENIZER, cache: int = CACHE) -> Encoder:
     """One encoder for each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return Encoder(name)
+    return Encoder(name, cache)
