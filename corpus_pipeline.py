@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import decontaminate, lines, packing, quality, simhash
+from helixlake.llm import decontaminate, lines, packing, quality, simhash, tokens
 from helixlake.llm.tables import table, written
 
 
@@ -39,7 +39,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of 4096."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache=tokens.SMALL_CACHE)
 
 
 STAGES = [
