@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, frames, html_text, lines, packing, pii, quality, simhash, substrings, token_counts
+from . import conversations, decontaminate, frames, html_text, lines, packing, pii, quality, simhash, substrings, token_counts, whitening
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_frames": frames.op10_frames,
+    "op11_conversations": conversations.op11_conversations,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
