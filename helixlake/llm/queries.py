@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, decontaminate, frames, html_text, lines, packing, pii, quality, simhash, substrings, token_counts, whitening
+from . import conversations, decontaminate, frames, html_text, jaccard, lines, packing, pii, quality, simhash, substrings, token_counts, whitening
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_frames": frames.op10_frames,
     "op11_conversations": conversations.op11_conversations,
+    "op12_similar_sets": jaccard.op12_similar_sets,
     "op13_whitening": whitening.op13_whitening,
 }
 
