@@ -44,21 +44,42 @@ def _packed(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return two[0][:n] << np.uint64(2) | last, (np.uint64(3) - last) << np.uint64(2 * (k - 1)) | two[1][:n]
 
 
-def _windows(seqs: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, position, packed canonical k-mer) of every valid window."""
+def _codes(seqs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all sequences' letters, one after the other, and where each begins, and the end."""
     seqs = seqs.cast(pa.large_string()).fill_null("")
     _, at, data = seqs.buffers()
     at = np.frombuffer(at, np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
     codes = _CODES[np.frombuffer(data, np.uint8)[at[0] : at[-1]]] if data is not None else np.zeros(0, np.uint8)
-    at = at - at[0]
+    return codes, at - at[0]
+
+
+def _both_windows(seqs: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, position, packed k-mer, its reverse complement) of every valid window."""
+    codes, at = _codes(seqs)
     if len(codes) < k:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, none
     bad = np.append(0, np.cumsum(codes == 4))
     forward, reverse = _packed(np.where(codes == 4, 0, codes).astype(np.uint64), k)
     owner = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(forward)]
     ok = np.flatnonzero((bad[k:] == bad[:-k]) & (np.arange(len(forward)) + k <= at[owner + 1]))
-    return owner[ok], ok - at[owner[ok]], np.minimum(forward[ok], reverse[ok]).astype(np.int64)
+    return owner[ok], ok - at[owner[ok]], forward[ok], reverse[ok]
+
+
+def forward_windows(seqs: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, position, packed k-mer as it stands) of every valid window."""
+    owner, pos, forward, _ = _both_windows(seqs, k)
+    return owner, pos, forward.astype(np.int64)
+
+
+def _windows(seqs: pa.Array, k: int, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, position, packed canonical k-mer) of every valid window, or of those at multiples of `step`."""
+    owner, pos, forward, reverse = _both_windows(seqs, k)
+    kmer = np.minimum(forward, reverse).astype(np.int64)
+    if step > 1:
+        keep = pos % step == 0
+        owner, pos, kmer = owner[keep], pos[keep], kmer[keep]
+    return owner, pos, kmer
 
 
 def _pieces(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -71,22 +92,22 @@ def _pieces(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Recor
             i = j
 
 
-def kmers_ordered(seqs: DataFrame, k: int, id_col: str = "strand_id", engine: str = "arrow") -> DataFrame:
-    """(id_col, pos, kmer): the packed canonical k-mer at every valid position, from 0, repeats included.  seqs: id_col, seq."""
+def kmers_ordered(seqs: DataFrame, k: int, id_col: str = "strand_id", engine: str = "arrow", step: int = 1) -> DataFrame:
+    """(id_col, pos, kmer): the packed canonical k-mer at every valid position, from 0, or at multiples of `step`; repeats included.  seqs: id_col, seq."""
     checked_k(k)
     if engine == "sql":
         n = F.length("seq") - k + 1
         chunks = F.explode(F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(CHUNK)), lambda s: F.struct(s.alias("at"), F.substring(F.col("seq"), s + 1, F.lit(CHUNK + k - 1)).alias("part")))))
         parts = seqs.select(id_col, normalize_base(F.col("seq")).alias("seq")).select(id_col, chunks.alias("c"))
         windows = F.transform(F.sequence(F.lit(0), F.length("c.part") - k), lambda i: F.substring(F.col("c.part"), i + 1, F.lit(k)))
-        rows = parts.select(id_col, F.col("c.at").alias("at"), F.posexplode(windows).alias("i", "kmer")).where(~F.rlike("kmer", F.lit("[^ACGT]")))
+        rows = parts.select(id_col, F.col("c.at").alias("at"), F.posexplode(windows).alias("i", "kmer")).where(~F.rlike("kmer", F.lit("[^ACGT]")) & ((F.col("at") + F.col("i")) % step == 0))
         return rows.select(id_col, (F.col("at") + F.col("i")).alias("pos"), pack(canonical(F.col("kmer"))).alias("kmer"))
     if engine != "arrow":
         raise ValueError(f"no engine {engine}")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _pieces(batches, "seq"):
-            owner, pos, kmer = _windows(batch.column("seq"), k)
+            owner, pos, kmer = _windows(batch.column("seq"), k, step)
             yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(owner)), pa.array(pos.astype(np.int32)), pa.array(kmer)], names=[id_col, "pos", "kmer"])
 
     kind = seqs.schema[id_col].dataType.simpleString()

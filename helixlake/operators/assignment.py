@@ -6,22 +6,35 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.kmers import kmers_distinct
+from ..functions.kmers import forward_windows, kmers_distinct, kmers_ordered
+from ..sources.scratch import beside, settled, written
 from .alignment import majority_vote
 
 MATCH, MISMATCH, GAP = 2, -1, -2
 MIN_IDENTITY, AMBIGUITY = 0.75, 2
 
 
-#: The k-mers that reads and strands must share to be aligned, and pairs up to which all may be aligned instead.
-CANDIDATE_K, ALL_PAIRS = 12, 1 << 22
+#: Pairs up to which all may be aligned without a k.
+ALL_PAIRS = 1 << 22
+#: Strands that a seed may be in before it tells nothing.
+FREQUENT = 64
+#: Reads, strands and bases of a block; strands of a block that are aligned to a read first; pairs that are aligned at once; bases of the grams that bound scores.
+READS_A_BLOCK, STRANDS_A_BLOCK, BLOCK_BASES, FIRST, PAIRS_AT_ONCE, GRAM = 256, 2048, 1 << 20, 4, 1 << 15, 5
+#: Blocks of strands (of some 2 MB) up to which they are broadcast, and tasks that blocks are dealt out to.
+FEW_BLOCKS, MOST_TASKS = 16, 4096
 #: Cells of the tables that are filled in at once.
 CELLS = 1 << 23
 
 
+def _letters(texts: list[str], own: list[int], size: int) -> np.ndarray:
+    """Texts of one length as rows of letters; all letters beyond Latin-1 are one."""
+    return np.frombuffer("".join(texts[k] for k in own).encode("latin-1", "replace"), np.uint8).reshape(len(own), size)
+
+
 def align_all(strands: list[str], reads: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Score, identity over aligned pairs, and what the read has at each base of the strand (- for a gap), of a global alignment of each pair.  A step on
     the diagonal is preferred to one in the strand, and that to one in the read.  Pairs of the same lengths are aligned together."""
@@ -33,10 +46,9 @@ def align_all(strands: list[str], reads: list[str]) -> tuple[np.ndarray, np.ndar
         step = max(1, CELLS // ((n + 1) * (m + 1)))
         for low in range(0, len(members), step):
             own = members[low : low + step]
-            letters = lambda texts, size: np.frombuffer("".join(texts[k] for k in own).encode(), np.uint8).reshape(len(own), size)
-            score[own], identity[own], found = _aligned(letters(strands, n), letters(reads, m))
+            score[own], identity[own], found = _aligned(_letters(strands, own, n), _letters(reads, own, m))
             for k, row in zip(own, found):
-                bases[k] = row.tobytes().decode()
+                bases[k] = row.tobytes().decode("latin-1")
     return score, identity, bases
 
 
@@ -85,25 +97,198 @@ def candidates(reads: DataFrame, strands: DataFrame, k: int | None) -> DataFrame
     return kmers_distinct(reads, k, "read_id").select("read_id", "kmer").join(kmers_distinct(strands, k).select("strand_id", "kmer"), "kmer").select("read_id", "strand_id").distinct()
 
 
-def assigned(reads: DataFrame, strands: DataFrame, k: int | None = CANDIDATE_K, min_identity: float = MIN_IDENTITY, ambiguity: int = AMBIGUITY) -> DataFrame:
+def scores(strands: list[str], reads: list[str]) -> np.ndarray:
+    """The score of a global alignment of each pair, without the alignment.  Tables are filled by their diagonals, those of all pairs of the same lengths at once."""
+    out = np.zeros(len(reads), np.int64)
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, (s, r) in enumerate(zip(strands, reads)):
+        groups.setdefault((len(s), len(r)), []).append(k)
+    for (n, m), members in groups.items():
+        step = max(1, CELLS // (4 * (n + 1)))
+        for low in range(0, len(members), step):
+            own = members[low : low + step]
+            out[own] = _diagonals(*(np.ascontiguousarray(x.T) for x in (_letters(strands, own, n), _letters(reads, own, m))))
+    return out
+
+
+def _diagonals(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Last cells of the tables.  a, b: a column for each pair.  Row i of a diagonal d is the cell (i, d - i)."""
+    (n, pairs), m = a.shape, len(b)
+    turned = np.ascontiguousarray(b[::-1])
+    kind = np.int16 if 2 * (n + m) < 1 << 15 else np.int32
+    two, one, now = (np.zeros((n + 1, pairs), kind) for _ in range(3))
+    for d in range(1, n + m + 1):
+        low, high = max(0, d - m), min(n, d)
+        first, last = max(low, 1), min(high, d - 1)
+        if low == 0:
+            now[0] = GAP * d
+        if high == d:
+            now[d] = GAP * d
+        if first <= last:
+            best = np.where(a[first - 1 : last] == turned[m - d + first : m - d + last + 1], kind(MATCH), kind(MISMATCH))
+            best += two[first - 1 : last]
+            gap = np.maximum(one[first - 1 : last], one[first : last + 1])
+            gap += kind(GAP)
+            np.maximum(best, gap, out=now[first : last + 1])
+        two, one, now = one, now, two
+    return one[n].astype(np.int64)
+
+
+def most_scored(strand: np.ndarray, read: np.ndarray, changes: np.ndarray) -> np.ndarray:
+    """The greatest score that sequences of these lengths can have if at least so many bases are mismatched or beside a gap: 3 is lost for each beyond those that the
+    difference of lengths brings with it."""
+    apart = np.abs(strand - read)
+    return 2 * np.minimum(strand, read) - 2 * apart - 3 * np.maximum(changes - apart, 0)
+
+
+def _most_scored_of_any(shortest: int, longest: int) -> Column:
+    """most_scored() over all lengths of strands, for reads with columns size and changes: greatest where the difference of lengths accounts for all changes."""
+    at = F.least(F.greatest(F.col("size") + F.col("changes"), F.lit(shortest)), F.lit(longest))
+    apart = F.abs(at - F.col("size"))
+    return 2 * F.least(at, F.col("size")) - 2 * apart - 3 * F.greatest(F.col("changes") - apart, F.lit(0))
+
+
+def seed_length(bases: int) -> int:
+    """The length from which a seed is by chance in a strand or less, for strands of that many bases in all."""
+    return min(max(-(-max(bases, 1).bit_length() // 2) + 1, 6), 31)
+
+
+def seeded(reads: DataFrame, strands: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(read_id, changes), (read_id, strand_id): pairs that share one of the read's seeds, which are its windows of k bases side by side; and how many of its seeds tell
+    something, those that more than `FREQUENT` strands have left out.  A strand that is not paired with the read has none of those, so that each spans a change."""
+    of_strands = written(kmers_distinct(strands, k).select("kmer", "strand_id"))
+    frequent = written(of_strands.groupBy("kmer").count().where(F.col("count") > FREQUENT).select("kmer"))
+    seeds = written(kmers_ordered(reads, k, "read_id", step=k).select("read_id", "kmer").join(beside(frequent), "kmer", "left_anti"))
+    pairs = seeds.join(of_strands, "kmer").select("read_id", "strand_id").distinct()
+    return seeds.groupBy("read_id").agg(F.count("*").cast("int").alias("changes")), pairs
+
+
+def scored(pairs: DataFrame, reads: DataFrame, strands: DataFrame) -> DataFrame:
+    """(read_id, strand_id, score), written."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = scores(batch.column("strand").to_pylist(), batch.column("read").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("read_id"), batch.column("strand_id"), pa.array(score)], names=["read_id", "strand_id", "score"])
+
+    kinds = {c: d.schema[c].dataType.simpleString() for c, d in (("read_id", reads), ("strand_id", strands))}
+    texts = pairs.join(reads.select("read_id", F.col("seq").alias("read")), "read_id").join(strands.select("strand_id", F.col("seq").alias("strand")), "strand_id")
+    return written(texts.select("read_id", "strand_id", "read", "strand").mapInArrow(run, f"read_id {kinds['read_id']}, strand_id {kinds['strand_id']}, score long"))
+
+
+def _grams(seqs: list[str], size: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """How often each gram of `size` bases is in each sequence, and how many it has."""
+    owner, _, gram = forward_windows(pa.array(seqs, pa.string()), size)
+    counts = np.bincount(owner * 4**size + gram, minlength=len(seqs) * 4**size).reshape(len(seqs), -1)
+    return counts.astype(np.float32), counts.sum(axis=1)
+
+
+class Block:
+    """A block of strands that blocks of reads are held against, with every pair whose score can matter."""
+
+    def __init__(self, ids: list, seqs: list[str]):
+        self.ids, self.seqs = ids, seqs
+        self.has = np.minimum(_grams(seqs)[0], 1)
+        self.size = np.array([len(s) for s in seqs])
+
+    def best(self, reads: list[str], least: list[int | None], ambiguity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(read, strand, score) of all pairs within `ambiguity` of each read's best one here, or of its `least` score where that is greater.
+
+        A change spoils `GRAM` of a read's grams at most, so those that a strand has none of bound its score.  Strands that promise most are aligned first, and
+        give a score that the rest must come near."""
+        counts, total = _grams(reads)
+        common = counts @ self.has.T
+        changes = np.ceil((total[:, None] - common) / GRAM).astype(np.int64)
+        size = np.array([len(r) for r in reads])
+        most = most_scored(self.size[None, :], size[:, None], changes)
+        need = np.array([-(1 << 40) if x is None else x for x in least]) - ambiguity
+        first = np.argsort(-most, axis=1, kind="stable")[:, :FIRST]
+        done = np.full(most.shape, -(1 << 41), np.int64)
+
+        def align(r: np.ndarray, s: np.ndarray) -> None:
+            done[r, s] = scores([self.seqs[x] for x in s], [reads[x] for x in r])
+
+        align(np.repeat(np.arange(len(reads)), first.shape[1]), first.ravel())
+        need = np.maximum(need, done.max(axis=1) - ambiguity)
+        r, s = np.nonzero((most >= need[:, None]) & (done < -(1 << 40)))
+        for low in range(0, len(r), PAIRS_AT_ONCE):
+            align(r[low : low + PAIRS_AT_ONCE], s[low : low + PAIRS_AT_ONCE])
+        need = np.maximum(need, done.max(axis=1) - ambiguity)
+        r, s = np.nonzero(done >= need[:, None])
+        return r, s, done[r, s]
+
+
+def _in_blocks(rows: DataFrame, id_col: str, most: int, name: str, columns: list[str]) -> tuple[DataFrame, int]:
+    """(name, list): rows in blocks of about `most` of them or `BLOCK_BASES` bases, and the number of blocks."""
+    n, bases = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()
+    blocks = max(1, -(-n // most), -(-bases // BLOCK_BASES))
+    block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias(name)
+    return written(rows.select(block, F.struct(*columns).alias("row")).groupBy(name).agg(F.collect_list("row").alias(f"{name}_rows"))), blocks
+
+
+def exhausted(reads: DataFrame, strands: DataFrame, ambiguity: int) -> DataFrame:
+    """(read_id, strand_id, score): reads (read_id, seq, best) against all strands, in blocks of both: every pair that comes within `ambiguity` of the read's best in its block.
+    A block of strands is sent to each block of reads, no pair is made a row before its score is known to matter."""
+    kinds = {c: d.schema[c].dataType for c, d in (("read_id", reads), ("strand_id", strands))}
+    of_reads, n_reads = _in_blocks(reads, "read_id", READS_A_BLOCK, "r", ["read_id", "seq", "best"])
+    of_strands, n_strands = _in_blocks(strands, "strand_id", STRANDS_A_BLOCK, "s", ["strand_id", "seq"])
+    types = {c: to_arrow_type(kind) for c, kind in kinds.items()}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = None, None
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if (s := batch.column("s")[k].as_py()) != held:
+                    rows = batch.column("s_rows")[k].as_py()
+                    held, block = s, Block([x["strand_id"] for x in rows], [x["seq"] for x in rows])
+                rows = batch.column("r_rows")[k].as_py()
+                r, s, score = block.best([x["seq"] for x in rows], [x["best"] for x in rows], ambiguity)
+                yield pa.RecordBatch.from_arrays([pa.array([rows[x]["read_id"] for x in r], types["read_id"]), pa.array([block.ids[x] for x in s], types["strand_id"]), pa.array(score)], names=["read_id", "strand_id", "score"])
+
+    tasks = of_reads.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_strands - 1)))).repartition(max(1, min(n_reads * n_strands, MOST_TASKS)), "r", "s")
+    both = tasks.join(of_strands.hint("broadcast" if n_strands <= FEW_BLOCKS else "merge"), "s").sortWithinPartitions("s").select("s", "s_rows", "r_rows")
+    return written(both.mapInArrow(run, f"read_id {kinds['read_id'].simpleString()}, strand_id {kinds['strand_id'].simpleString()}, score long"))
+
+
+@settled
+def assigned(reads: DataFrame, strands: DataFrame, k: int | None = None, min_identity: float = MIN_IDENTITY, ambiguity: int = AMBIGUITY) -> DataFrame:
     """(read_id, strand_id, score, identity, bases, ambiguous): each read's best strand by score, then identity, then strand_id; without reads whose best identity
-    is too low.  ambiguous: the second best score is within `ambiguity`."""
+    is too low.  ambiguous: the second best score is within `ambiguity`.  As if all pairs were aligned, whatever k is.
+
+    Pairs that share a seed of k bases are scored first.  A read's seeds lie side by side, so a strand that has none of them differs from the read at each, which bounds its
+    score; where the best score found is not above that bound by more than `ambiguity`, the read is held against all strands in blocks.  k: by the size of the strands if not given."""
+    reads, strands = written(reads.select("read_id", "seq").where("seq IS NOT NULL")), written(strands.select("strand_id", "seq").where("seq IS NOT NULL"))
+    bases, shortest, longest = strands.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)), F.coalesce(F.min(F.length("seq")), F.lit(0)), F.coalesce(F.max(F.length("seq")), F.lit(0))).first()
+    changes, pairs = seeded(reads, strands, k or seed_length(bases))
+    near = scored(pairs, reads, strands)
+    state = reads.join(changes, "read_id", "left").join(near.groupBy("read_id").agg(F.max("score").alias("best")), "read_id", "left")
+    state = state.select("read_id", "seq", "best", F.length("seq").alias("size"), F.coalesce("changes", F.lit(0)).alias("changes"))
+    sure = F.coalesce(F.col("best") - ambiguity > _most_scored_of_any(shortest, longest), F.lit(False))
+    unsure = written(state.where(~sure).select("read_id", "seq", "best"))
+    rest = exhausted(unsure, strands, ambiguity)
+    every = near.join(unsure.select("read_id"), "read_id", "left_anti").unionByName(rest)
+    close = F.count_if(F.col("score") >= F.col("top") - ambiguity).over(Window.partitionBy("read_id"))
+    top = every.withColumn("top", F.max("score").over(Window.partitionBy("read_id"))).withColumn("close", close).where(F.col("score") == F.col("top"))
+    return _chosen(top, reads, strands, min_identity)
+
+
+def _chosen(top: DataFrame, reads: DataFrame, strands: DataFrame, min_identity: float) -> DataFrame:
+    """Of strands with the read's best score, the one of the best identity, then the least."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             score, identity, bases = align_all(batch.column("strand").to_pylist(), batch.column("read").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("read_id"), batch.column("strand_id"), pa.array(score, pa.int32()), pa.array(identity, pa.float64()), pa.array(bases, pa.string())], names=["read_id", "strand_id", "score", "identity", "bases"])
+            yield pa.RecordBatch.from_arrays([batch.column("read_id"), batch.column("strand_id"), pa.array(score, pa.int32()), pa.array(identity, pa.float64()), pa.array(bases, pa.string()), batch.column("close")], names=["read_id", "strand_id", "score", "identity", "bases", "close"])
 
     kinds = {c: d.schema[c].dataType.simpleString() for c, d in (("read_id", reads), ("strand_id", strands))}
-    pairs = candidates(reads, strands, k).join(reads.select("read_id", F.col("seq").alias("read")), "read_id").join(strands.select("strand_id", F.col("seq").alias("strand")), "strand_id")
-    scored = pairs.select("read_id", "strand_id", "read", "strand").mapInArrow(run, f"read_id {kinds['read_id']}, strand_id {kinds['strand_id']}, score int, identity double, bases string")
-    order = Window.partitionBy("read_id").orderBy(F.desc("score"), F.desc("identity"), "strand_id")
-    ranked = scored.select("*", F.row_number().over(order).alias("rank"), F.lead("score").over(order).alias("second"))
-    close = F.coalesce(F.col("score") - F.col("second") <= ambiguity, F.lit(False))
-    return ranked.where((F.col("rank") == 1) & (F.col("identity") >= min_identity)).select("read_id", "strand_id", "score", "identity", "bases", close.alias("ambiguous"))
+    texts = top.join(reads.select("read_id", F.col("seq").alias("read")), "read_id").join(strands.select("strand_id", F.col("seq").alias("strand")), "strand_id")
+    aligned = texts.select("read_id", "strand_id", "read", "strand", "close").mapInArrow(run, f"read_id {kinds['read_id']}, strand_id {kinds['strand_id']}, score int, identity double, bases string, close long")
+    rank = F.row_number().over(Window.partitionBy("read_id").orderBy(F.desc("identity"), "strand_id"))
+    best = aligned.withColumn("rank", rank).where((F.col("rank") == 1) & (F.col("identity") >= min_identity))
+    return best.select("read_id", "strand_id", "score", "identity", "bases", (F.col("close") > 1).alias("ambiguous"))
 
 
-def read_consensus(reads: DataFrame, strands: DataFrame, k: int | None = CANDIDATE_K, min_identity: float = MIN_IDENTITY, ambiguity: int = AMBIGUITY, min_depth: int = 1, min_majority: float = 0.6) -> DataFrame:
+def read_consensus(reads: DataFrame, strands: DataFrame, k: int | None = None, min_identity: float = MIN_IDENTITY, ambiguity: int = AMBIGUITY, min_depth: int = 1, min_majority: float = 0.6) -> DataFrame:
     """(name, read_count, mean_depth, covered_bases, n_count, distance, exact_match, consensus, ambiguous, best_identity) of every strand; name is its strand_id.
     distance: edit distance."""
     best = assigned(reads, strands, k, min_identity, ambiguity)

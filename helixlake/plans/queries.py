@@ -516,7 +516,33 @@ def j8_p6_read_consensus(spark, sf_dir):
     """Each part's strand with one changed base as its read; the SQL relies on that alignments with no gap are best here, and no other strand is close."""
     own = targets(spark, sf_dir).select(F.col("name").alias("strand_id"), "seq")
     changed = own.select(F.col("strand_id").alias("read_id"), F.concat(F.substring("seq", 1, 20), F.translate(F.substring("seq", 21, 1), "ACGT", "CGTA"), F.substring("seq", 22, 39)).alias("seq"))
-    return assignment.read_consensus(changed, own, 12)
+    return assignment.read_consensus(changed, own)
+
+
+#: Reads with up to eight changed bases, and some that are no read of a strand; strands with a twin that differs in one base, which is a third one in the read.
+_NOISY = f"""WITH {SQL_TARGETS}, numbered AS (SELECT p_partkey AS key, t.* FROM part JOIN targets t ON t.name = 'part' || p_partkey),
+own AS (SELECT name AS strand_id, seq FROM numbered UNION ALL SELECT name || 'twin', substr(seq, 1, 30) || translate(substr(seq, 31, 1), 'ACGT', 'CGTA') || substr(seq, 32) FROM numbered WHERE key % 50 = 3),
+places AS (SELECT key, name, seq, unnest(generate_series(1, 60)) AS p FROM numbered),
+noisy AS (SELECT name AS read_id, string_agg(CASE WHEN key % 40 = 7 THEN 'A' WHEN key % 50 = 3 AND p = 31 THEN translate(substr(seq, 31, 1), 'ACGT', 'GTAC') WHEN list_contains([(key + 7 * i) % 60 + 1 for i in range(key % 9)], p) THEN translate(substr(seq, p, 1), 'ACGT', 'CGTA') ELSE substr(seq, p, 1) END, '' ORDER BY p) AS seq FROM places GROUP BY name),
+pairs AS (SELECT read_id, strand_id, hamming(own.seq, noisy.seq) AS h FROM noisy, own),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY h, strand_id) AS place, lead(h) OVER (PARTITION BY read_id ORDER BY h, strand_id) AS second FROM pairs)"""
+
+
+def _noisy_reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    parts = targets(spark, sf_dir).withColumn("key", F.substring("name", 5, 20).cast("long"))
+    twin = F.concat(F.substring("seq", 1, 30), F.translate(F.substring("seq", 31, 1), "ACGT", "CGTA"), F.substring("seq", 32, 29))
+    own = parts.select(F.col("name").alias("strand_id"), "seq").unionByName(parts.where("key % 50 = 3").select(F.concat("name", F.lit("twin")).alias("strand_id"), twin.alias("seq")))
+    changed = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i < F.col("key") % 9, (F.col("key") + 7 * i) % 60 + 1))
+    base = lambda p: F.substr("seq", p.cast("int"), F.lit(1))
+    letter = lambda p: F.when((F.col("key") % 50 == 3) & (p == 31), F.translate(base(p), "ACGT", "GTAC")).when(F.coalesce(F.array_contains(F.array_compact(changed), p), F.lit(False)), F.translate(base(p), "ACGT", "CGTA")).otherwise(base(p))
+    seq = F.when(F.col("key") % 40 == 7, F.repeat(F.lit("A"), 60)).otherwise(F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), F.lit(60).cast("long")), letter), ""))
+    return parts.select(F.col("name").alias("read_id"), seq.alias("seq")), own
+
+
+@query(f"{_NOISY} SELECT read_id, strand_id, CAST(120 - 3 * h AS INTEGER) AS score, (60 - h) / 60 AS identity, coalesce(3 * (second - h) <= 2, FALSE) AS ambiguous FROM ranked WHERE place = 1 AND (60 - h) / 60 >= 0.75")
+def j8_noisy_reads(spark, sf_dir):
+    """The SQL scores all pairs.  Where bases are changed and none is lost, the best alignment has no gap."""
+    return assignment.assigned(*_noisy_reads(spark, sf_dir)).select("read_id", "strand_id", "score", "identity", "ambiguous")
 
 
 # --- report, streams, sources and sinks
