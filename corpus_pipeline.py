@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet to the shared folder and reads again
 for the next.  Every stage but the last returns the columns of its input.  A stage writes short tables of keys first and drops rows by these:
-texts stay where they lie while the keys are few, and what a stage wrote besides is deleted before it returns.  Rows are judged by their
+texts stay where they lie while the keys are few.  run() writes each stage's rows, deletes whatever else the stage wrote, and the rows of the stage before: only its result stays.  Rows are judged by their
 text, so a null id is treated like any other; of rows with one id and one text, one stays; a null text
 fails the base quality rules; empty tables give empty results.
 """
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm import decontaminate, lines, packing, quality, simhash, tokens
-from helixlake.llm.tables import table, written
+from helixlake.llm.tables import dropped, settled, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        before, docs = docs, settled(stage)(spark, docs, sf_dir)
+        dropped(before)
     return docs

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .tables import table, written
 from .words import chunks
@@ -356,7 +357,7 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             yield packed(out)
 
     kind = pages.schema[id_col].dataType.simpleString()
-    id_type = pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32()
+    id_type = to_arrow_type(pages.schema[id_col].dataType)
     ordered = dealt.select("id", "url", "host", "key", "page", "html", "own", "range").repartition("range").sortWithinPartitions("range", "key")
     out = ordered.mapInArrow(run, f"id {kind}, url string, text string, n_blocks long, n_shared long")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})

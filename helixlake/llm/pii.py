@@ -38,13 +38,15 @@ _TOKEN = "A-Za-z0-9._%+@-"
 CANDIDATE = rf"(?<![{_TOKEN}])(?:[+(]?+[0-9]++(?:[\x20().\-/]{{1,2}}[0-9]++)++(?![{_TOKEN}])|(?=[{_TOKEN}]*?[0-9])[{_TOKEN}]++)"
 CANDIDATE_DIGITS = 5
 CANDIDATE_SIGN = rf"[0-9](?:[\x20()/{_TOKEN}]*?[0-9]){{{CANDIDATE_DIGITS - 1}}}"
-#: The last two words of what stands in front, and the first word behind.
-CONTEXT, BEHIND = r"(?:(\p{L}++)\P{L}++)?(\p{L}++)\P{L}*+$", r"^\P{L}*+(\p{L}++)"
+#: The last two words of a text that is turned round, and the first word of one as it is.  Both begin at the start, so a long word is read once.
+CONTEXT, BEHIND = r"^\P{L}*+(\p{L}++)(?:\P{L}++(\p{L}++))?", r"^\P{L}*+(\p{L}++)"
 SUPPORT, CONFIDENCE = 3, 0.5
+#: Rounds after which bootstrapping ends, if what is known still changes then; decimals of a score that count.
+MOST_ROUNDS, DECIMALS = 64, 9
 #: Lengths that are summed at once: sums of longer runs are built of those of blocks.
 SUM_BLOCK = 64
 
-_SPAN = "struct<start:int,end:int,value:string,left:string,right:string>"
+_SPAN = "struct<start:int,end:int,value:string,one:string,two:string,behind:string>"
 
 
 def _let(value: Column, use) -> Column:
@@ -69,23 +71,34 @@ def prefix_sums(values: Column) -> Column:
     return _let(values, lambda x: F.when(F.size(x) > 0, of(x)).otherwise(F.array().cast("array<int>")))
 
 
+def _words_at_ends(gap: Column) -> Column:
+    """The last word of a text, the last but one, and the first, empty where it has none."""
+    word = lambda turned, k: F.reverse(F.regexp_extract(turned, CONTEXT, k))
+    return _let(F.reverse(gap), lambda t: F.struct(word(t, 1).alias("one"), word(t, 2).alias("two"), F.regexp_extract(gap, BEHIND, 1).alias("first")))
+
+
 def _matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern, as an array of spans with what stands in front of and behind each."""
+    """All matches of a pattern, as an array of spans with the last two words in front of each (of the two gaps before it) and the first one behind."""
     found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
 
     def spans(m: Column) -> Column:
         n = F.size(m["hits"])
-        pairs = F.arrays_zip(m["hits"].alias("hit"), F.slice(m["gaps"], 1, n).alias("gap"), F.slice(m["gaps"], 2, n).alias("next"))
+        pairs = F.arrays_zip(m["hits"].alias("hit"), F.slice(m["gaps"], 1, n).alias("gap"))
         starts = prefix_sums(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["hit"])))
-        earlier = F.concat(F.array(F.lit("")), m["gaps"])
+        placed = F.zip_with(pairs, starts, lambda p, at: F.struct(p["hit"], (at + F.length(p["gap"])).alias("start")))
+
+        def span(p: Column, w: Column) -> Column:
+            own, earlier = w["own"], w["earlier"]
+            one = F.when(own["one"] != "", own["one"]).otherwise(earlier["one"])
+            two = F.when(own["one"] == "", earlier["two"]).when(own["two"] == "", earlier["one"]).otherwise(own["two"])
+            return F.struct(p["start"].alias("start"), (p["start"] + F.length(p["hit"])).alias("end"), p["hit"].alias("value"), one.alias("one"), two.alias("two"), w["next"]["first"].alias("behind"))
 
-        def span(p: Column) -> Column:
-            start = p["at"] + F.length(p["gap"])
-            left = F.concat(F.substring(p["earlier"], -64, 64), F.lit(" "), F.substring(p["gap"], -64, 64))
-            return F.struct(start.alias("start"), (start + F.length(p["hit"])).alias("end"), p["hit"].alias("value"), left.alias("left"), F.substring(p["next"], 1, 64).alias("right"))
+        def with_words(words: Column) -> Column:
+            none = F.struct(F.lit("").alias("one"), F.lit("").alias("two"), F.lit("").alias("first"))
+            around = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(words[i - 1].alias("own"), F.when(i > 1, words[F.greatest(i - 2, F.lit(0))]).otherwise(none).alias("earlier"), words[i].alias("next")))
+            return F.zip_with(placed, around, span)
 
-        whole = F.zip_with(F.zip_with(pairs, starts, lambda p, at: F.struct(p["hit"], p["gap"], p["next"], at.alias("at"))), F.slice(earlier, 1, n), lambda p, e: F.struct(p["hit"], p["gap"], p["next"], p["at"], e.alias("earlier")))
-        return F.transform(whole, span)
+        return F.when(n > 0, _let(F.transform(m["gaps"], _words_at_ends), with_words)).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
     return _let(found, spans)
 
@@ -127,7 +140,7 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     filled = {k: F.coalesce(k, none) for k in KINDS}
     found = F.when(F.rlike("text", F.lit(CANDIDATE_SIGN)), _matches(F.col("text"), CANDIDATE))
     shorter = lambda s: F.regexp_replace(s["value"], "[._%+-]+$", "")  # noqa: E731  a full stop ends a sentence
-    found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(shorter(s))).alias("end"), shorter(s).alias("value"), s["left"].alias("left"), s["right"].alias("right")))
+    found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(shorter(s))).alias("end"), shorter(s).alias("value"), s["one"].alias("one"), s["two"].alias("two"), s["behind"].alias("behind")))
     enough = F.filter(found, lambda s: F.length(_digits(s["value"])) >= CANDIDATE_DIGITS)
     taken = F.transform(F.concat(*filled.values()), lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end")))
     free = _let(taken, lambda t: F.filter(enough, lambda s: ~F.exists(t, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
@@ -140,10 +153,10 @@ def contexts(found: DataFrame) -> DataFrame:
     base span; words: the pattern's.  found: what mentions() returns."""
 
     def under(seed: Column, column: str) -> Column:
-        return F.transform(column, lambda s: F.struct(seed.alias("seed"), s["value"].alias("value"), s["left"].alias("left"), s["right"].alias("right")))
+        return F.transform(column, lambda s: F.struct(seed.alias("seed"), s["value"].alias("value"), s["one"].alias("one"), s["two"].alias("two"), s["behind"].alias("behind")))
 
     spans = F.concat(*(under(F.lit(k), k) for k in KINDS), under(F.lit(None).cast("string"), "other"))
-    rows = found.select(F.explode(spans).alias("s")).select("s.seed", F.lower("s.value").alias("value"), F.lower(F.regexp_extract("s.left", CONTEXT, 1)).alias("two"), F.lower(F.regexp_extract("s.left", CONTEXT, 2)).alias("one"), F.lower(F.regexp_extract("s.right", BEHIND, 1)).alias("behind")).where("one <> ''")
+    rows = found.select(F.explode(spans).alias("s")).select("s.seed", F.lower("s.value").alias("value"), *(F.lower(f"s.{c}").alias(c) for c in ("two", "one", "behind"))).where("one <> ''")
     make = F.when(F.contains("value", F.lit("@")), "address").when(F.rlike("value", F.lit("[a-z]")), "mixed").otherwise("digits")
     of = lambda name, pattern, *words: F.struct(F.concat_ws(" ", F.lit(name), *pattern).alias("pattern"), F.array(*words).alias("words"))
     one, two, behind = F.col("one"), F.col("two"), F.col("behind")
@@ -154,8 +167,8 @@ def contexts(found: DataFrame) -> DataFrame:
 
 def word_counts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """(word, total): occurrences in all texts of each of the lower-cased words that are wanted (word), a written table."""
-    words = F.explode(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"\p{L}+"), F.lit(0)))
-    return docs.select(words.alias("word")).join(beside(wanted), "word", "left_semi").groupBy("word").agg(F.count("*").alias("total"))
+    words = F.explode(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(r"\p{L}+"), F.lit(0)))
+    return docs.select(words.alias("word")).select(F.lower("word").alias("word")).join(beside(wanted), "word", "left_semi").groupBy("word").agg(F.count("*").alias("total"))
 
 
 def bootstrapped(graph: DataFrame, totals: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, list[int]]:
@@ -171,15 +184,15 @@ def bootstrapped(graph: DataFrame, totals: DataFrame, support: int = SUPPORT, co
         both = seeds.unionByName(known)
         by_kind = edges.select("value", "pattern", "n", "total").join(beside(written(both)), "value").groupBy("pattern", "kind").agg(F.count_distinct("value").alias("values"), F.sum(F.col("n") * F.col("score")).alias("weight"), F.max("total").alias("total"))
         trusted = by_kind.groupBy("pattern").agg(F.sum("values").alias("values"), F.least(F.lit(1.0), F.sum("weight") / F.max("total")).alias("score"), F.max_by("kind", F.struct("values", "kind")).alias("kind"))
-        trusted = written(trusted.where((F.col("values") >= support) & (F.col("score") >= confidence)).select("pattern", "kind", F.col("score").alias("by")))
+        trusted = written(trusted.where((F.col("values") >= support) & (F.round("score", DECIMALS) >= confidence)).select("pattern", "kind", F.col("score").alias("by")))
         wrong = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("by")))))
         scored = open_.select("value", "pattern").distinct().join(beside(trusted), "pattern").groupBy("value").agg(F.max_by("kind", F.struct("by", "kind")).alias("kind"), (1 - wrong).alias("score"))
-        now = written(scored.where(F.col("score") >= confidence))
+        now = written(scored.where(F.round("score", DECIMALS) >= confidence))
         sizes.append(now.count())
-        grown = len(sizes) < 2 or sizes[-1] > sizes[-2]
+        same = sizes[-2:] == sizes[-1:] * 2 and now.join(known.select("value", "kind"), ["value", "kind"], "left_anti").isEmpty()
         dropped(known, trusted)
         known = now
-        if not grown or not sizes[-1]:
+        if same or not sizes[-1] or len(sizes) == MOST_ROUNDS:
             return known, sizes
 
 

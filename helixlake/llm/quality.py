@@ -104,12 +104,17 @@ def counted(docs: DataFrame, text_col: str, name: str) -> DataFrame:
     blanks; word_chars, code points in words; n_symbols, signs of #*$%&|<>; n_dup_lines, lines with a word that equal an earlier one;
     n_repeat_words, words in 8-word windows found twice or more; n_marks, ASCII punctuation."""
 
+    # columns go by their places: a name may hold a dot, or be there twice
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text = plain.columns[docs.columns.index(text_col)]
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, text_col):
-            counts = _counted(batch.column(text_col).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=[*batch.schema.names, name])
+        for batch in chunks(batches, text):
+            counts = _counted(batch.column(text).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts], names=[*batch.schema.names, "counts"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StructType([StructField(c, LongType()) for c in COUNTS]))]))
+    schema = StructType([*plain.schema.fields, StructField("counts", StructType([StructField(c, LongType()) for c in COUNTS]))])
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, name)
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

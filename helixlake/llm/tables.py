@@ -1,17 +1,13 @@
-"""Reading the given tables, and joins whose small side is broadcast where its rows are few."""
+"""Reading the given tables, and dropping rows by tables of keys."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import dropped, settled, shared_dir, unused, written
-
-__all__ = ["beside", "dropped", "settled", "shared_dir", "table", "text_key", "unused", "without", "written"]
-
-#: Rows of a written table up to which it is broadcast; larger ones are joined by a shuffle.
-FEW_ROWS = 1 << 20
+from ..sources.scratch import FEW_ROWS, beside, dropped, settled, shared_dir, unused, written
 
+__all__ = ["FEW_ROWS", "beside", "dropped", "settled", "shared_dir", "table", "text_key", "unused", "without", "written"]
 
 #: Rows of an Arrow batch where the session names no other number than Spark's own, 10,000: texts are long, and the JVM and its workers hold whole batches.
 BATCH_ROWS, _ROWS_KEY = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -27,11 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def beside(small: DataFrame, most: int = FEW_ROWS) -> DataFrame:
-    """A written table of short rows, with the hint that suits its size: rows are counted before they are broadcast."""
-    return F.broadcast(small) if small.count() <= most else small.hint("merge")
-
-
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text, as two longs; a null text has a key of its own."""
     return [F.xxhash64(text), F.xxhash64(text, F.lit("2"))]

@@ -461,3 +461,28 @@ def test_hostile_markup_is_linear():
 
 def test_hashes_of_queries_are_hex(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.createDataFrame([("",)], "t string").select(F.sha2("t", 256)).first()[0]
+
+
+def test_contexts_of_long_words_and_whole_gaps(spark):
+    """A word of any length is a pattern's, as is one far in front of the match."""
+    long = "k" * 70_000
+    for word, gap in (("mailword", " "), ("x" * 70, " "), (long, " "), ("İzmirword", " "), ("farword", " -" * 400 + " ")):
+        texts = [f"{word}{gap}+49 30 {1000000 + i * 7919} {word}"[: -len(word) - 1] for i in range(6)] + [f"a {word}{gap}98765{i} b" for i in range(2)]
+        got = pii.personal_data(docs(spark, texts)).where("size(added) > 0").collect()
+        assert sorted(s.value for r in got for s in r.added) == ["987650", "987651"], word[:10]
+
+
+def test_columns_of_any_name_and_ids_of_any_type(spark):
+    texts = [" ".join(f"w{i}" for i in range(100)), "few", None]
+    df = docs(spark, texts).withColumn("a.b", F.lit(1)).withColumn("c d", F.lit("x"))
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    kept = quality.of_quality(df, none)
+    assert kept.columns == df.columns
+    assert [tuple(r) for r in kept.collect()] == [(0, texts[0], "s", "own", 1, "x")]
+    page = "<html><body><article><p>One two.</p></article></body></html>"
+    for kind in ("smallint", "decimal(12,2)", "double", "date", "string"):
+        pages = spark.createDataFrame([("1", "http://a.b/c", page), (None, None, None)], "page_id string, url string, html string")
+        pages = pages.withColumn("page_id", F.lit("2020-01-01").cast(kind) if kind == "date" else F.col("page_id").cast(kind))
+        got = html_text.page_texts(pages)
+        assert got.schema["page_id"].dataType == pages.schema["page_id"].dataType
+        assert sorted(r.text for r in got.collect()) == ["", "One two."]

@@ -1,5 +1,6 @@
 """Near duplicates, tokens, packing, frames and the pipeline, against brute force and round trips."""
 
+import os
 import random
 import zlib
 
@@ -472,11 +473,18 @@ def test_stages_in_order(spark, tmp_path):
     assert left["quality_rules"] == left["line_dedup"] == set(range(63))
     assert left["near_duplicates"] == set(range(60)) | {62}
     assert left["decontamination"] == set(range(60))
+    before = set(folders(spark))
     packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(set(folders(spark)) - before) == 1  # the result alone
     assert {r.doc_id for r in packed.collect()} == set(range(60))
     assert packed.agg(F.sum("length")).first()[0] == sum(len(ids_of(t, 1)) for t in texts[:60])
 
 
+def folders(spark):
+    """What is in the folder that jobs write to."""
+    return os.listdir(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+
+
 def test_stages_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
