@@ -14,8 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
+from ..sources.scratch import beside, written
 from .dna import canonical, checked_k, normalize_base, pack
 
 #: Windows of a chunk: substring() walks from the start of its string, so strings are kept short.
@@ -72,6 +72,25 @@ def forward_windows(seqs: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.
     return owner, pos, forward.astype(np.int64)
 
 
+def _canonical(seqs: pa.Array, k: int) -> np.ndarray:
+    """The packed canonical k-mer of every valid window, where no one asks whose it is."""
+    codes, at = _codes(seqs)
+    if len(codes) < k:
+        return np.zeros(0, np.uint64)
+    valid = np.ones(len(codes) - k + 1, dtype=bool)
+    ends = at[1:-1]
+    # windows that reach into the next sequence, or hold a break
+    for back in range(1, min(k, len(codes))):
+        over = ends - back
+        valid[over[(over >= 0) & (over < len(valid))]] = False
+    if (codes == 4).any():
+        bad = np.append(0, np.cumsum(codes == 4))
+        valid &= bad[k:] == bad[:-k]
+        codes = np.where(codes == 4, 0, codes)
+    forward, reverse = _packed(codes.astype(np.uint64), k)
+    return np.minimum(forward, reverse)[valid]
+
+
 def _windows(seqs: pa.Array, k: int, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sequence, position, packed canonical k-mer) of every valid window, or of those at multiples of `step`."""
     owner, pos, forward, reverse = _both_windows(seqs, k)
@@ -143,68 +162,104 @@ def kmers_distinct(seqs: DataFrame, k: int, id_col: str = "strand_id", engine: s
 #: K-mers are dealt out by an odd multiple of themselves: its upper bits are even for any input, and it can be undone.
 ODD = 0x9E3779B97F4A7C15
 _ODD, _UNDO = np.uint64(ODD), np.uint64(pow(ODD, -1, 1 << 64))
-#: Buckets for each of Spark's shuffle partitions, and k-mers that a task holds before it adds up equal ones.
-BUCKETS, HELD = 4, 4 << 20
+#: Buckets for each of Spark's shuffle partitions at least, different k-mers of a bucket at most (there are more buckets where that asks for it), and k-mers that a
+#: task which makes lists holds before it adds up equal ones.  A task that reads buckets holds one: 16 bytes for each of its k-mers, twice as much of lists that are not added
+#: up yet, and their copy: some 200 MB.
+BUCKETS, BUDGET, HELD = 4, 1 << 21, 4 << 20
 _LISTS = "bucket int, asks int, keys binary, counts binary"
 
 
+def _binary(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Runs of values as binary cells; starts: of each run, and the end."""
+    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _cell(batch: pa.RecordBatch, column: str, i: int, kind: type) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[i].as_buffer(), kind)
+
+
 class Deal:
-    """Lists of scattered k-mers, cut into buckets."""
+    """Lists of scattered k-mers, cut into buckets: so many that none has more than `budget` k-mers, of those that are counted first."""
 
-    def __init__(self, seqs: DataFrame):
-        self.bits = max(1, (BUCKETS * int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    def __init__(self, source: DataFrame, bits: int | None = None, budget: int | None = None):
+        """source: reads (seq), whose bases are summed, or a table of counts (kmer), whose rows are."""
+        if bits is None:
+            most = F.coalesce(F.sum(F.length("seq")), F.lit(0)) if "seq" in source.columns else F.count("*")
+            least = BUCKETS * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            # buckets are even, so twice as many as are needed leave room for their differences
+            bits = max(1, (max(least, -(-2 * source.agg(most).first()[0] // (budget or BUDGET))) - 1).bit_length())
+        self.bits = bits
 
     def cuts(self, keys: np.ndarray) -> np.ndarray:
         """Where each bucket begins in sorted keys, and the end."""
+        if self.bits > 16 and len(keys) < 1 << self.bits:
+            own = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+            return np.append(0, np.cumsum(np.bincount(own, minlength=1 << self.bits)))
         inner = np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
         return np.concatenate([[0], np.searchsorted(keys, inner), [len(keys)]])
 
-    def counted(self, seqs: DataFrame, k: int, once: bool = False) -> DataFrame:
-        """_LISTS: different k-mers with their occurrences, or with the number of sequences that have them.  seqs: seq."""
+    def lists(self, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """_LISTS of sorted different keys and their counts."""
+        at = self.cuts(keys)
+        full = np.flatnonzero(np.diff(at))
+        starts = np.append(at[full], at[-1])
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.zeros(len(full), np.int32)), _binary(keys, starts), _binary(n.astype(np.int64), starts)], names=["bucket", "asks", "keys", "counts"])
 
-        def lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            keys, n = added(parts)
-            at = self.cuts(keys)
-            full = np.flatnonzero(np.diff(at))
-            starts = np.append(at[full], at[-1])
-            binary = lambda values, size: pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((starts * size).astype(np.int32)), pa.py_buffer(values)])
-            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.zeros(len(full), np.int32)), binary(keys, 8), binary(n.astype(np.int64), 8)], names=["bucket", "asks", "keys", "counts"])
+    def counted(self, source: DataFrame, k: int, once: bool = False) -> DataFrame:
+        """_LISTS: different k-mers with their occurrences, or with the number of sequences that have them.  source: seq; or a table (kmer, n or cov), whose
+        counts are taken as they are."""
+        if "seq" not in source.columns:
+            return self._listed(source)
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts, size = [], 0
             for batch in _pieces(batches, "seq"):
-                owner, _, kmer = _windows(batch.column("seq"), k)
-                kmer = kmer[_first_in_each(owner, kmer)] if once else kmer
-                parts.append(np.unique(kmer.view(np.uint64) * _ODD, return_counts=True))
+                if once:
+                    owner, _, kmer = _windows(batch.column("seq"), k)
+                    kmer = kmer[_first_in_each(owner, kmer)].view(np.uint64)
+                else:
+                    kmer = _canonical(batch.column("seq"), k)
+                kmer *= _ODD
+                parts.append(np.unique(kmer, return_counts=True))
                 size += len(parts[-1][0])
                 if size > HELD:
-                    yield lists(parts)
+                    yield self.lists(*added(parts))
                     parts, size = [], 0
             if size:
-                yield lists(parts)
+                yield self.lists(*added(parts))
 
-        return seqs.select("seq").mapInArrow(run, _LISTS)
+        return source.select("seq").mapInArrow(run, _LISTS)
 
-    def asking(self, seqs: DataFrame, k: int, id_col: str) -> DataFrame:
-        """_LISTS, ids, pos: the different k-mers of each sequence, where each comes first, and the sequence."""
-        kind = seqs.schema[id_col].dataType.simpleString()
+    def _listed(self, counts: DataFrame) -> DataFrame:
+        n = "cov" if "cov" in counts.columns else "n"
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = batch.column("kmer").to_numpy().view(np.uint64) * _ODD
+                order = np.argsort(keys, kind="stable")
+                yield self.lists(keys[order], batch.column("n").to_numpy()[order])
+
+        return counts.select("kmer", F.col(n).cast("long").alias("n")).mapInArrow(run, _LISTS)
+
+    def asking(self, seqs: DataFrame, k: int, every: bool = False) -> DataFrame:
+        """_LISTS, s, pos: the different k-mers of each sequence, where each comes first, and the sequence's number; or those at every position.  seqs: s, seq."""
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in _pieces(batches, "seq"):
                 owner, pos, kmer = _windows(batch.column("seq"), k)
-                first = _first_in_each(owner, kmer)
-                keys = kmer[first].view(np.uint64) * _ODD
+                if not every:
+                    first = _first_in_each(owner, kmer)
+                    owner, pos, kmer = owner[first], pos[first], kmer[first]
+                keys = kmer.view(np.uint64) * _ODD
                 order = np.argsort(keys, kind="stable")
-                keys, first = keys[order], first[order]
+                keys = keys[order]
                 at = self.cuts(keys)
                 full = np.flatnonzero(np.diff(at))
-                starts = np.append(at[full], at[-1]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(starts), batch.column(id_col).take(pa.array(owner[first])))
-                places = pa.ListArray.from_arrays(pa.array(starts), pa.array(pos[first].astype(np.int32)))
-                asked = pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer(starts * 8), pa.py_buffer(keys)])
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.ones(len(full), np.int32)), asked, pa.nulls(len(full), pa.binary()), ids, places], names=["bucket", "asks", "keys", "counts", "ids", "pos"])
+                starts = np.append(at[full], at[-1])
+                number = batch.column("s").to_numpy()[owner[order]]
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.ones(len(full), np.int32)), _binary(keys, starts), pa.nulls(len(full), pa.binary()), _binary(number, starts), _binary(pos[order].astype(np.int32), starts)], names=["bucket", "asks", "keys", "counts", "s", "pos"])
 
-        return seqs.select(id_col, "seq").mapInArrow(run, f"{_LISTS}, ids array<{kind}>, pos array<int>")
+        return seqs.select("s", "seq").mapInArrow(run, f"{_LISTS}, s binary, pos binary")
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -214,44 +269,43 @@ def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     keys, n = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(keys, kind="stable")  # runs are sorted already
     keys = keys[order]
-    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[start], np.add.reduceat(n[order], start)
+    start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[start], np.add.reduceat(n[order], start) if len(keys) else n
 
 
 def undone(keys: np.ndarray) -> np.ndarray:
     return (keys * _UNDO).view(np.int64)
 
 
-def buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, pa.Array | None, np.ndarray]]]]:
-    """(keys, counts, questions) of each bucket, of rows of _LISTS that are sorted by bucket and asks.  Questions (keys, ids, pos) come one
-    list at a time, and are to be read before the next bucket."""
+def buckets(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, Iterator[tuple[np.ndarray, pa.RecordBatch, int]]]]:
+    """(bucket, keys, counts, questions) of each bucket, of rows of _LISTS that are sorted by bucket and asks.  Questions (keys, batch, row) come one list at a
+    time, and are to be read before the next bucket."""
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
             if batch.num_rows:
-                asks = "ids" in batch.schema.names
                 for i, (bucket, kind) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("asks").to_pylist())):
-                    yield bucket, kind, batch, i, asks
+                    yield bucket, kind, batch, i
 
-    for _, own in groupby(rows(), key=lambda r: r[0]):
+    for bucket, own in groupby(rows(), key=lambda r: r[0]):
         parts, size, held = [], 0, None
         for row in own:
             if row[1]:
                 held = row
                 break
-            one = tuple(np.frombuffer(row[2].column(c)[row[3]].as_buffer(), t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
+            one = tuple(_cell(row[2], c, row[3], t) for c, t in (("keys", np.uint64), ("counts", np.int64)))
             parts.append(one)
             size += len(one[0])
-            if size > 2 * HELD and len(parts) > 1:
+            if size > 2 * BUDGET and len(parts) > 1:
                 parts = [added(parts)]
                 size = len(parts[0][0]) // 2  # of what is different, at least as much again comes before it is added up
         keys, n = added(parts) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
         def questions(first: tuple | None, rest: Iterator[tuple]) -> Iterator[tuple]:
-            for _, _, batch, i, _ in chain([first] if first else [], rest):
-                yield np.frombuffer(batch.column("keys")[i].as_buffer(), np.uint64), batch.column("ids")[i].values, batch.column("pos")[i].values.to_numpy()
+            for _, _, batch, i in chain([first] if first else [], rest):
+                yield _cell(batch, "keys", i, np.uint64), batch, i
 
-        yield keys, n, questions(held, own)
+        yield bucket, keys, n, questions(held, own)
 
 
 def found(keys: np.ndarray, n: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -268,16 +322,33 @@ def dealt(lists: DataFrame) -> DataFrame:
     return lists.repartition(n, "bucket").sortWithinPartitions("bucket", "asks")
 
 
-def kmer_occurrences(seqs: DataFrame, k: int, once: bool = False) -> DataFrame:
+_LETTERS = np.frombuffer(b"ACGT", np.uint8)
+
+
+def as_text(kmers: np.ndarray, k: int) -> pa.Array:
+    """Packed k-mers as text."""
+    out = np.empty((len(kmers), k), np.uint8)
+    for i in range(k):
+        out[:, i] = _LETTERS[kmers >> 2 * (k - 1 - i) & 3]
+    return pa.LargeStringArray.from_buffers(len(kmers), pa.py_buffer(np.arange(len(kmers) + 1, dtype=np.int64) * k), pa.py_buffer(out)).cast(pa.string())
+
+
+def kmer_occurrences(seqs: DataFrame, k: int, once: bool = False, text: bool = False, budget: int | None = None) -> DataFrame:
     """(kmer, n): how often each k-mer occurs, or in how many sequences.  seqs: seq.  Tasks exchange lists of k-mers and counts, not a row
-    for each k-mer; a frequent k-mer is one entry of a list."""
+    for each k-mer; a frequent k-mer is one entry of a list.  text: k-mers as text, not packed.  budget: k-mers of a bucket, see BUDGET."""
     checked_k(k)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, n, _ in buckets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(undone(keys)), pa.array(n)], names=["kmer", "n"])
+        for _, keys, n, _ in buckets(batches):
+            for low in range(0, len(keys), ROWS_AT_ONCE):
+                kmer = undone(keys[low : low + ROWS_AT_ONCE])
+                yield pa.RecordBatch.from_arrays([as_text(kmer, k) if text else pa.array(kmer), pa.array(n[low : low + ROWS_AT_ONCE])], names=["kmer", "n"])
+
+    return dealt(Deal(seqs, budget=budget).counted(seqs, k, once)).mapInArrow(run, f"kmer {'string' if text else 'long'}, n long")
 
-    return dealt(Deal(seqs).counted(seqs, k, once)).mapInArrow(run, "kmer long, n long")
+
+#: Rows of k-mers that a task hands out at once.
+ROWS_AT_ONCE = 1 << 16
 
 
 def count_histogram(seqs: DataFrame, k: int, cap: int, once: bool = False) -> DataFrame:
@@ -285,48 +356,139 @@ def count_histogram(seqs: DataFrame, k: int, cap: int, once: bool = False) -> Da
     checked_k(k)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, n, _ in buckets(batches):
+        for _, _, n, _ in buckets(batches):
             count, kmers = np.unique(np.minimum(n, cap), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(count), pa.array(kmers.astype(np.int64))], names=["n", "kmers"])
 
     return dealt(Deal(seqs).counted(seqs, k, once)).mapInArrow(run, "n long, kmers long")
 
 
-def covered_kmers(strands: DataFrame, reads: DataFrame, k: int, cap: int, id_col: str = "strand_id") -> DataFrame:
-    """(id_col, kmer, pos, cov, kmers): the different k-mers of each strand with their capped counts over the reads; and rows without id, the
-    number of read k-mers of each count.  strands: id_col, seq; reads: seq."""
+def most_shared(strands: DataFrame, k: int, cap: int, id_col: str = "strand_id") -> DataFrame:
+    """(id_col, n): for each strand and bucket the greatest number of strands, capped, that one of its k-mers there is in."""
     checked_k(k)
-    kind = strands.schema[id_col].dataType.simpleString()
-    deal, names = Deal(reads), [id_col, "kmer", "pos", "cov", "kmers"]
+    own = written(strands.select(id_col, "seq", F.monotonically_increasing_id().alias("s")))
+    deal = Deal(own)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, n, questions in buckets(batches):
+        for _, keys, n, questions in buckets(batches):
             n = np.minimum(n, cap)
-            for asked, ids, pos in questions:
-                yield pa.RecordBatch.from_arrays([ids, pa.array(undone(asked)), pa.array(pos), pa.array(found(keys, n, asked).astype(np.int32)), pa.nulls(len(asked), pa.int64())], names=names)
-            count, kmers = np.unique(n, return_counts=True)
-            none = [pa.nulls(len(count), t) for t in (id_type, pa.int64(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(count.astype(np.int32)), pa.array(kmers.astype(np.int64))], names=names)
+            for asked, batch, i in questions:
+                numbers, at = np.unique(_cell(batch, "s", i, np.int64), return_inverse=True)
+                most = np.zeros(len(numbers), np.int64)
+                np.maximum.at(most, at, found(keys, n, asked))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(most)], names=["s", "n"])
 
-    id_type = to_arrow_type(strands.schema[id_col].dataType)
-    lists = deal.counted(reads, k).unionByName(deal.asking(strands, k, id_col), allowMissingColumns=True)
-    return dealt(lists).mapInArrow(run, f"{id_col} {kind}, kmer long, pos int, cov int, kmers long")
+    lists = deal.counted(own, k, True).unionByName(deal.asking(own, k), allowMissingColumns=True)
+    most = dealt(lists).mapInArrow(run, "s long, n long").groupBy("s").agg(F.max("n").alias("n"))
+    return own.select(id_col, "s").join(most, "s").drop("s")
 
 
-def most_shared(strands: DataFrame, k: int, cap: int, id_col: str = "strand_id") -> DataFrame:
-    """(id_col, n): for each strand and bucket the greatest number of strands, capped, that one of its k-mers there is in."""
-    checked_k(k)
-    kind = strands.schema[id_col].dataType.simpleString()
-    deal = Deal(strands)
+#: What tasks that look up send to those that gather a strand's k-mers: parts are groups of strands, or a histogram of counts.
+_ANSWERS = "part int, s binary, pos binary, keys binary, cov binary"
+READ_HISTOGRAM, TARGET_HISTOGRAM = -1, -2
+ANSWERS_AT_ONCE = 1 << 20
+
+
+def _answered(lists: DataFrame, cap: int, parts: int, histograms: bool) -> DataFrame:
+    """_ANSWERS: the capped count of each k-mer that is asked for, in lists by group of strands."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, n, questions in buckets(batches):
+        waiting: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            s, pos, keys, cov = (np.concatenate(x) for x in zip(*waiting))
+            waiting.clear()
+            part = s % parts
+            order = np.argsort(part, kind="stable")
+            full, first = np.unique(part[order], return_index=True)
+            starts = np.append(first, len(order))
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(_binary(x[order], starts) for x in (s, pos, keys, cov))], names=["part", "s", "pos", "keys", "cov"])
+
+        def histogram(kind: int, counts: np.ndarray) -> pa.RecordBatch:
+            value, n = np.unique(counts, return_counts=True)
+            one = np.array([0, len(value)])
+            none = pa.array([b""], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), none, none, _binary(n.astype(np.int64), one), _binary(value.astype(np.int32), one)], names=["part", "s", "pos", "keys", "cov"])
+
+        size = 0
+        for _, keys, n, questions in buckets(batches):
             n = np.minimum(n, cap)
-            for asked, ids, _ in questions:
-                coded = ids.dictionary_encode()
-                most = np.zeros(len(coded.dictionary), np.int64)
-                np.maximum.at(most, coded.indices.to_numpy(), found(keys, n, asked))
-                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(most)], names=[id_col, "n"])
-
-    lists = deal.counted(strands, k, True).unionByName(deal.asking(strands, k, id_col), allowMissingColumns=True)
-    return dealt(lists).mapInArrow(run, f"{id_col} {kind}, n long")
+            asked_here = []
+            for asked, batch, i in questions:
+                waiting.append((_cell(batch, "s", i, np.int64), _cell(batch, "pos", i, np.int32), asked, found(keys, n, asked).astype(np.int32)))
+                size += len(asked)
+                if histograms:
+                    asked_here.append(np.unique(asked))
+                if size > ANSWERS_AT_ONCE:
+                    yield flush()
+                    size = 0
+            if histograms:
+                yield histogram(READ_HISTOGRAM, n)
+                if asked_here:
+                    yield histogram(TARGET_HISTOGRAM, found(keys, n, np.unique(np.concatenate(asked_here))))
+        if waiting:
+            yield flush()
+
+    return dealt(lists).mapInArrow(run, _ANSWERS)
+
+
+def _gathered(answers: DataFrame) -> DataFrame:
+    """(s, pos, kmer, cov): a row for each strand, with arrays in the order of positions."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def strands(own: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            s, pos, keys, cov = (np.concatenate(x) for x in zip(*own))
+            order = np.lexsort((pos, s))
+            number, first = np.unique(s[order], return_index=True)
+            at = pa.array(np.append(first, len(order)).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(at, pa.array(x[order])) for x in (pos, undone(keys), cov))
+            yield pa.RecordBatch.from_arrays([pa.array(number), *lists], names=["s", "pos", "kmer", "cov"])
+
+        now, own = None, []
+        for batch in batches:
+            for i, part in enumerate(batch.column("part").to_pylist()):
+                if part != now and own:
+                    yield from strands(own)
+                    own = []
+                now = part
+                own.append(tuple(_cell(batch, c, i, t) for c, t in (("s", np.int64), ("pos", np.int32), ("keys", np.uint64), ("cov", np.int32))))
+        if own:
+            yield from strands(own)
+
+    n = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return answers.repartition(n, "part").sortWithinPartitions("part").mapInArrow(run, "s long, pos array<int>, kmer array<long>, cov array<int>")
+
+
+class Paths:
+    """Strands' k-mers with their counts, looked up where the counts are.
+
+    Questions go to the buckets of their k-mers as lists, answers come back as lists for groups of strands, of about `BUDGET` k-mers each; there each strand becomes one row of arrays.
+    source: reads (seq), which are counted on the way; a table of counts (kmer, n or cov); or a stored table (its `bits`, and lists)."""
+
+    def __init__(self, strands: DataFrame, source, k: int, cap: int, id_col: str = "strand_id", every: bool = False, histograms: bool = False):
+        checked_k(k)
+        self.id_col = id_col
+        self.own = written(strands.select(F.col(id_col).alias("id"), "seq", F.monotonically_increasing_id().alias("s")))
+        bases = self.own.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
+        deal = Deal(source) if isinstance(source, DataFrame) else source.deal
+        counted = deal.counted(source, k) if isinstance(source, DataFrame) else source.lists
+        lists = counted.unionByName(deal.asking(self.own, k, every), allowMissingColumns=True)
+        self.answers = _answered(lists, cap, max(1, -(-2 * bases // BUDGET)), histograms)
+        if histograms:
+            self.answers = written(self.answers)
+
+    def rows(self) -> DataFrame:
+        """(id_col, pos, kmer, cov) of each strand that has k-mers: arrays, in the order of positions."""
+        names = self.own.select(F.col("id").alias(self.id_col), F.col("s").alias("number"))
+        packed = _gathered(self.answers.where("part >= 0"))
+        return packed.join(beside(names), F.col("s") == F.col("number")).select(self.id_col, "pos", "kmer", "cov")
+
+    def histogram(self, kind: int) -> DataFrame:
+        """(cov, kmers): how many different k-mers of the reads, or of the strands, have each count."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(_cell(batch, "cov", i, np.int32)), pa.array(_cell(batch, "keys", i, np.int64))], names=["cov", "kmers"])
+
+        return self.answers.where(F.col("part") == kind).select("cov", "keys").mapInArrow(run, "cov int, kmers long").groupBy("cov").agg(F.sum("kmers").alias("kmers"))

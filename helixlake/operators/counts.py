@@ -29,9 +29,9 @@ def capped(raw: DataFrame, cap: int = READ_CAP) -> DataFrame:
     return raw.select("kmer", F.least("n", F.lit(cap)).cast("int").alias("cov"))
 
 
-def kmer_counts(reads: DataFrame, k: int, length: int = 0) -> DataFrame:
-    """(kmer, cov): occurrences over all reads, repeats within a read included, up to READ_CAP."""
-    return capped(raw_counts(reads, k, length))
+def kmer_counts(reads: DataFrame, k: int, length: int = 0, text: bool = False) -> DataFrame:
+    """(kmer, cov): occurrences over all reads, repeats within a read included, up to READ_CAP.  text: k-mers as text, not packed."""
+    return capped(kmer_occurrences(countable(reads, k, length), k, text=text))
 
 
 def merged_counts(tables: list[DataFrame]) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dna import coverage_ratio
 from ..functions import kmers
-from ..functions.kmers import kmers_distinct
-from ..sources.scratch import settled, written
+from ..sources.scratch import settled
 from .counts import READ_CAP, countable
 
 
@@ -33,37 +35,101 @@ def target_sets(targets: DataFrame, counts: DataFrame, cutoff: int = 0) -> DataF
     return own.join(above, "kmer", "full").select("kmer", kind.alias("set"))
 
 
-def covered_kmers(strands: DataFrame, counts: DataFrame, k: int) -> DataFrame:
-    """(strand_id, kmer, pos, cov): each strand's different k-mers with coverage."""
-    return coverage_lookup(kmers_distinct(strands, k), counts)
+def strand_paths(strands: DataFrame, counts, k: int) -> DataFrame:
+    """(strand_id, pos, kmer, cov): a row for each strand that has k-mers; arrays of its different k-mers in the order of their first positions.  counts: a table
+    (kmer, cov), a stored one, or the reads (seq) themselves, which are then counted where they are looked up."""
+    return kmers.Paths(strands, counts, k, READ_CAP).rows()
 
 
-def distinct_ratios(covered: DataFrame) -> DataFrame:
-    """(strand_id, i, ratio, cov): the ratio of each different k-mer, in order of first occurrence, to the one before; i from 1,
-    null for the first of a strand."""
-    order = Window.partitionBy("strand_id").orderBy("pos")
-    before = F.lag("cov").over(order)
-    return covered.select("strand_id", F.row_number().over(order).alias("n"), "cov", before.alias("before")).select(
-        "strand_id", (F.col("n") - 1).alias("i"), F.when(F.col("before").isNotNull(), coverage_ratio(F.col("before"), F.col("cov"))).alias("ratio"), "cov"
-    )
+def covered_kmers(strands: DataFrame, counts, k: int) -> DataFrame:
+    """(strand_id, kmer, pos, cov): a row for each of a strand's different k-mers."""
+    return strand_paths(strands, counts, k).select("strand_id", F.explode(F.arrays_zip("kmer", "pos", "cov")).alias("x")).select("strand_id", "x.kmer", "x.pos", "x.cov")
+
+
+def packed(covered: DataFrame) -> DataFrame:
+    """strand_paths() of a table that has a row for each k-mer; others as they are."""
+    if covered.schema["cov"].dataType.typeName() == "array":
+        return covered
+    rows = covered.groupBy("strand_id").agg(F.array_sort(F.collect_list(F.struct("pos", "kmer", "cov"))).alias("x"))
+    return rows.select("strand_id", "x.pos", "x.kmer", "x.cov")
+
+
+def ratios_of(cov: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each entry of runs the ratio of the greater to the lesser of it and the one before; nan at the start of a run."""
+    out = np.full(len(cov), np.nan)
+    low, high = np.minimum(cov[1:], cov[:-1]), np.maximum(cov[1:], cov[:-1])
+    out[1:] = np.where(low > 0, high / np.maximum(low, 1), np.where(high == 0, 1.0, 0.0))
+    out[at[:-1]] = np.nan
+    return out
+
+
+def reduced(paths: DataFrame, fields: str, of: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """(strand_id, *fields): what `of` makes of the coverages of whole batches of strands, and of where each begins, and the end."""
+    kind = paths.schema["strand_id"].dataType.simpleString()
+    names = ["strand_id", *(f.split()[0] for f in fields.split(", "))]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lists = batch.column("cov")
+                at = np.append(0, np.cumsum(lists.value_lengths().to_numpy())).astype(np.int64)
+                columns = of(lists.flatten().to_numpy().astype(np.int64), at)
+                yield pa.RecordBatch.from_arrays([batch.column("strand_id"), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns)], names=names)
+
+    return paths.select("strand_id", "cov").mapInArrow(run, f"strand_id {kind}, {fields}")
+
+
+def listed_ratios(covered: DataFrame) -> DataFrame:
+    """(strand_id, ratios, cov): arrays; the ratio of each different k-mer, in order of first occurrence, to the one before, one less than k-mers."""
+
+    def of(cov: np.ndarray, at: np.ndarray) -> list:
+        ratios = ratios_of(cov, at)
+        kept = np.delete(ratios, at[:-1])
+        return [pa.ListArray.from_arrays(pa.array((at - np.arange(len(at))).astype(np.int32)), pa.array(kept)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(cov.astype(np.int32)))]
+
+    return reduced(packed(covered), "ratios array<double>, cov array<int>", of)
 
 
 def strand_stats(strands: DataFrame, covered: DataFrame, skip: int = 0) -> DataFrame:
     """(strand_id, min_cov, max_ratio) of every strand: null without k-mers.  max_ratio leaves out the first `skip` ratios, and is 0 where a
     coverage is."""
-    per = distinct_ratios(covered).groupBy("strand_id").agg(F.min("cov").alias("min_cov"), F.max(F.when(F.col("i") > skip, F.col("ratio"))).alias("r"))
-    per = per.select("strand_id", "min_cov", F.when(F.col("min_cov") == 0, 0.0).otherwise(F.coalesce("r", F.lit(0.0))).alias("max_ratio"))
-    return strands.select("strand_id").join(per, "strand_id", "left")
+
+    def of(cov: np.ndarray, at: np.ndarray) -> list:
+        ratios = ratios_of(cov, at)
+        place = np.arange(len(cov)) - np.repeat(at[:-1], np.diff(at))
+        ratios[(place <= skip) | np.isnan(ratios)] = 0.0
+        least = np.minimum.reduceat(cov, at[:-1])
+        return [least.astype(np.int32), np.where(least == 0, 0.0, np.maximum.reduceat(ratios, at[:-1]))]
+
+    return strands.select("strand_id").join(reduced(packed(covered), "min_cov int, max_ratio double", of), "strand_id", "left")
 
 
 def ratio_ranges(covered: DataFrame) -> DataFrame:
-    """(i, min_ratio, max_ratio): over strands, at each place."""
-    return distinct_ratios(covered).where("ratio IS NOT NULL").groupBy("i").agg(F.min("ratio").alias("min_ratio"), F.max("ratio").alias("max_ratio"))
+    """(i, min_ratio, max_ratio): over strands, at each place.  A task sends a row for each place of its longest strands."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, high = np.zeros(0), np.zeros(0)
+        for batch in batches:
+            lists = batch.column("cov")
+            size = lists.value_lengths().to_numpy().astype(np.int64)
+            at = np.append(0, np.cumsum(size))
+            ratios = ratios_of(lists.flatten().to_numpy().astype(np.int64), at) if len(size) else np.zeros(0)
+            place = np.arange(at[-1]) - np.repeat(at[:-1], size)
+            more = max(0, int(size.max(initial=0)) - len(low))
+            low, high = np.append(low, np.full(more, np.inf)), np.append(high, np.full(more, -np.inf))
+            keep = place > 0
+            np.minimum.at(low, place[keep], ratios[keep])
+            np.maximum.at(high, place[keep], ratios[keep])
+        there = np.flatnonzero(low < np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(low[there]), pa.array(high[there])], names=["i", "low", "high"])
+
+    return packed(covered).select("cov").mapInArrow(run, "i int, low double, high double").groupBy("i").agg(F.min("low").alias("min_ratio"), F.max("high").alias("max_ratio"))
 
 
 def target_histogram(covered: DataFrame) -> DataFrame:
     """(cov, kmers): different target k-mers of each coverage, zero included."""
-    return covered.select("kmer", "cov").distinct().groupBy("cov").agg(F.count("*").alias("kmers"))
+    rows = packed(covered).select(F.explode(F.arrays_zip("kmer", "cov")).alias("x")).select("x.kmer", "x.cov")
+    return rows.distinct().groupBy("cov").agg(F.count("*").alias("kmers"))
 
 
 def grid_ratios(low: float, high: float, step: float) -> list[float]:
@@ -126,7 +192,6 @@ def metric_grid(stats: DataFrame, targets: DataFrame, reads: DataFrame, ratios:
 def strand_recovery(strands: DataFrame, reads: DataFrame, k: int, cutoffs: range | list[int] = (0,), ratios: tuple[float, float, float] = (0.0, 0.0, 0.2), skip: int = 0, length: int = 0) -> DataFrame:
     """The whole job: count the reads' k-mers, look up the strands' where they are counted, and evaluate the grid.  cutoffs: of coverage; ratios: low, high,
     step.  Of the reads' k-mers only the numbers by coverage leave the tasks that count them."""
-    found = written(kmers.covered_kmers(strands, countable(reads, k, length), k, READ_CAP))
-    covered = found.where("strand_id IS NOT NULL").select("strand_id", "kmer", "pos", "cov")
-    seen = found.where("kmers IS NOT NULL").groupBy("cov").agg(F.sum("kmers").alias("kmers"))
-    return metric_grid(strand_stats(strands, covered, skip), target_histogram(covered), seen, grid_ratios(*ratios), list(cutoffs))
+    found = kmers.Paths(strands, countable(reads, k, length), k, READ_CAP, histograms=True)
+    stats = strand_stats(strands, found.rows(), skip)
+    return metric_grid(stats, found.histogram(kmers.TARGET_HISTOGRAM), found.histogram(kmers.READ_HISTOGRAM), grid_ratios(*ratios), list(cutoffs))

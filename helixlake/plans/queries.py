@@ -187,7 +187,7 @@ def f23_prefix_match(spark, sf_dir):
 
 @query(f"WITH {sql_counts(K)} SELECT kmer, cov FROM counts")
 def a1_kmer_count(spark, sf_dir):
-    return _text(counts.kmer_counts(reads(spark, sf_dir), K), K)
+    return counts.kmer_counts(reads(spark, sf_dir), K, text=True)
 
 
 @query(f"WITH {sql_counts(K_SHORT)} SELECT kmer, cov FROM counts")
@@ -213,7 +213,7 @@ stats AS (SELECT strand_id, min_cov, max_ratio FROM strands LEFT JOIN (SELECT st
 
 
 def _covered(spark, sf_dir):
-    return recovery.covered_kmers(strands(spark, sf_dir), counts.kmer_counts(reads(spark, sf_dir), K), K)
+    return recovery.strand_paths(strands(spark, sf_dir), counts.countable(reads(spark, sf_dir), K), K)
 
 
 @query(f"WITH {_COVERED} SELECT * FROM stats")
@@ -312,7 +312,8 @@ summary AS (SELECT strand_id, count(*) AS kmer_count, count(*) FILTER (cov > 0)
 
 
 def _counts(spark, sf_dir):
-    return counts.kmer_counts(reads(spark, sf_dir), K)
+    """What the strands' k-mers are looked up in: the reads, which are counted on the way."""
+    return counts.countable(reads(spark, sf_dir), K)
 
 
 @query(f"WITH {_PATHS} SELECT * FROM summary")
@@ -478,7 +479,7 @@ def a16_a17_paf_consensus(spark, sf_dir):
 def _part_qc(spark, sf_dir):
     """K-mer quality control of the parts' strands, over the reads that the line items stand for."""
     own = targets(spark, sf_dir).withColumn("strand_id", F.substring("name", 5, 20).cast("long"))
-    return batchqc.batch_qc(own, counts.kmer_counts(simulated_reads(spark, sf_dir), K), K).withColumn("name", F.concat(F.lit("part"), F.col("strand_id").cast("string")))
+    return batchqc.batch_qc(own, counts.countable(simulated_reads(spark, sf_dir), K), K).withColumn("name", F.concat(F.lit("part"), F.col("strand_id").cast("string")))
 
 
 _COMPARED = f"""{_PILE}, {SQL_SIMULATED}, {sql_kmers('simulated', 'name', K, 'seen_kmers')}, counts AS (SELECT kmer, count(*) AS cov FROM seen_kmers GROUP BY kmer),
@@ -630,7 +631,7 @@ def src10_snk1_metric_grid(spark, sf_dir):
 @query(f"WITH {_COVERED} SELECT name, string_agg(cov, ' ' ORDER BY pos) AS list FROM covered JOIN strands USING (strand_id) GROUP BY strand_id, name")
 def snk2_cov_details(spark, sf_dir):
     at = shared_dir(spark, "details")
-    sinks.write_lines(sinks.coverage_lines(_covered(spark, sf_dir), strands(spark, sf_dir)), at)
+    sinks.write_coverages(_covered(spark, sf_dir), strands(spark, sf_dir), at)
     f = F.split("value", "\t")
     return spark.read.text(at).select(f[0].alias("name"), f[1].alias("list"))
 
@@ -646,7 +647,7 @@ def snk5_snk6_screen(spark, sf_dir):
 @query(f"WITH {_COVERED} SELECT name, CAST(i AS INTEGER) AS i, round(ratio, 3) AS ratio FROM ratios JOIN strands USING (strand_id) WHERE ratio IS NOT NULL")
 def snk3_cov_ratios(spark, sf_dir):
     at = shared_dir(spark, "ratios")
-    sinks.write_lines(sinks.ratio_lines(_covered(spark, sf_dir), strands(spark, sf_dir)), at)
+    sinks.write_ratios(_covered(spark, sf_dir), strands(spark, sf_dir), at)
     f = F.split("value", "\t")
     back = spark.read.text(at).select(f[0].alias("name"), F.posexplode(F.split(f[1], " ")).alias("i", "ratio"))
     return back.select("name", (F.col("i") + 1).alias("i"), F.col("ratio").cast("double").alias("ratio"))

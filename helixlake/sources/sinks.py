@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.recovery import distinct_ratios
+from ..operators.recovery import listed_ratios, packed
 
 BATCH_COLUMNS = {
     "name": "name", "raw_length": "raw_length", "analyzed_length": "analyzed_length", "status": "status", "observed": "observed_kmers", "kmer_count": "total_kmers",
@@ -42,17 +42,35 @@ def _listed(rows: DataFrame, order: str, value: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value.alias("v")))), lambda x: x["v"]), " ")
 
 
+def _named(lists: DataFrame, strands: DataFrame, value: Column) -> DataFrame:
+    """(strand_id, value): name, tab, and the values with blanks between them."""
+    return strands.select("strand_id", "name").join(lists, "strand_id").select("strand_id", F.concat_ws("\t", "name", F.array_join(value, " ")).alias("value"))
+
+
+def _coverage_rows(covered: DataFrame, strands: DataFrame) -> DataFrame:
+    return _named(packed(covered), strands, F.transform("cov", lambda c: c.cast("string")))
+
+
+def _ratio_rows(covered: DataFrame, strands: DataFrame) -> DataFrame:
+    return _named(listed_ratios(covered).where(F.size("ratios") > 0), strands, F.transform("ratios", lambda r: F.format_string("%.3f", r)))
+
+
 def coverage_lines(covered: DataFrame, strands: DataFrame) -> DataFrame:
     """(value): name, tab, the coverages of the strand's different k-mers in order; strands without k-mers are left out."""
-    rows = covered.groupBy("strand_id").agg(_listed(covered, "pos", F.col("cov").cast("string")).alias("list"))
-    return strands.select("strand_id", "name").join(rows, "strand_id").select(F.concat_ws("\t", "name", "list").alias("value"))
+    return _coverage_rows(covered, strands).select("value")
 
 
 def ratio_lines(covered: DataFrame, strands: DataFrame) -> DataFrame:
     """(value): name, tab, the ratios between those, for strands of two k-mers or more."""
-    ratios = distinct_ratios(covered).where("ratio IS NOT NULL")
-    rows = ratios.groupBy("strand_id").agg(_listed(ratios, "i", F.format_string("%.3f", F.col("ratio"))).alias("list"))
-    return strands.select("strand_id", "name").join(rows, "strand_id").select(F.concat_ws("\t", "name", "list").alias("value"))
+    return _ratio_rows(covered, strands).select("value")
+
+
+def write_coverages(covered: DataFrame, strands: DataFrame, path: str) -> None:
+    write_lines(_coverage_rows(covered, strands), path)
+
+
+def write_ratios(covered: DataFrame, strands: DataFrame, path: str) -> None:
+    write_lines(_ratio_rows(covered, strands), path)
 
 
 def range_lines(ranges: DataFrame) -> DataFrame:
@@ -68,10 +86,13 @@ def write_ranges(ranges: DataFrame, path: str) -> None:
 
 
 def fasta_lines(strands: DataFrame) -> DataFrame:
-    return strands.select(F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value"))
+    return strands.select(*(c for c in ["strand_id"] if c in strands.columns), F.concat(F.lit(">"), "name", F.lit("\n"), "seq").alias("value"))
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
+    """Text files, in the strands' order where there is a strand_id: strands are dealt out by ranges of it, so files follow each other."""
+    if "strand_id" in lines.columns:
+        lines = lines.repartitionByRange("strand_id").sortWithinPartitions("strand_id")
     lines.select("value").write.text(path)
 
 
@@ -80,7 +101,7 @@ def write_fasta(strands: DataFrame, path: str) -> None:
 
 
 def write_names(strands: DataFrame, path: str) -> None:
-    write_lines(strands.select(F.col("name").alias("value")), path)
+    write_lines(strands.select(*(c for c in ["strand_id"] if c in strands.columns), F.col("name").alias("value")), path)
 
 
 def write_screen(screened: DataFrame, strands_path: str, names_path: str) -> None:
@@ -101,8 +122,11 @@ def write_batch_csv(qc: DataFrame, path: str) -> None:
 
 
 def write_consensus(consensus: DataFrame, table_path: str, fasta_path: str) -> None:
-    consensus.drop("consensus").write.csv(table_path, header=True)
-    write_fasta(consensus.select("name", F.col("consensus").alias("seq")), fasta_path)
+    """The table as CSV and the sequences as FASTA, both in the order of strand_id where there is one, else of the names."""
+    order = "strand_id" if "strand_id" in consensus.columns else "name"
+    rows = consensus.repartitionByRange(order).sortWithinPartitions(order)
+    rows.drop("consensus", "strand_id").write.csv(table_path, header=True)
+    write_fasta(consensus.select(F.col(order).alias("strand_id"), "name", F.col("consensus").alias("seq")), fasta_path)
 
 
 def write_json(rows: DataFrame, path: str) -> None:
