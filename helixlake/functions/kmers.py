@@ -181,8 +181,8 @@ def _cell(batch: pa.RecordBatch, column: str, i: int, kind: type) -> np.ndarray:
 class Deal:
     """Lists of scattered k-mers, cut into buckets: so many that none has more than `budget` k-mers, of those that are counted first."""
 
-    def __init__(self, source: DataFrame, bits: int | None = None, budget: int | None = None):
-        """source: reads (seq), whose bases are summed, or a table of counts (kmer), whose rows are."""
+    def __init__(self, source: DataFrame | None, bits: int | None = None, budget: int | None = None):
+        """source: reads (seq), whose bases are summed, or a table of counts (kmer), whose rows are; not needed where the bits are given."""
         if bits is None:
             most = F.coalesce(F.sum(F.length("seq")), F.lit(0)) if "seq" in source.columns else F.count("*")
             least = BUCKETS * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -236,8 +236,7 @@ class Deal:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys = batch.column("kmer").to_numpy().view(np.uint64) * _ODD
-                order = np.argsort(keys, kind="stable")
-                yield self.lists(keys[order], batch.column("n").to_numpy()[order])
+                yield self.lists(*added([(keys, batch.column("n").to_numpy()), (keys[:0], batch.column("n").to_numpy()[:0])]))
 
         return counts.select("kmer", F.col(n).cast("long").alias("n")).mapInArrow(run, _LISTS)
 
@@ -347,6 +346,16 @@ def kmer_occurrences(seqs: DataFrame, k: int, once: bool = False, text: bool = F
     return dealt(Deal(seqs, budget=budget).counted(seqs, k, once)).mapInArrow(run, f"kmer {'string' if text else 'long'}, n long")
 
 
+def merged(counts: DataFrame) -> DataFrame:
+    """(kmer, n): the sums of a table that has k-mers more than once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, keys, n, _ in buckets(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(undone(keys)), pa.array(n)], names=["kmer", "n"])
+
+    return dealt(Deal(counts).counted(counts, 0)).mapInArrow(run, "kmer long, n long")
+
+
 #: Rows of k-mers that a task hands out at once.
 ROWS_AT_ONCE = 1 << 16
 

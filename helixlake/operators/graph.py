@@ -1,7 +1,7 @@
 """Queries on the graph of observed k-mers, for whole tables of queries at once.
 
-A node is a k-mer with its coverage; neighbours are made by moving one base and looked up in the count table by a join, so
-no table of edges is needed.  Nodes are followed in the orientation of the query; coverage is that of the canonical
+A node is a k-mer with its coverage; neighbours are made by moving one base and looked up in a stored count table, of which only the buckets of those
+k-mers are read, so no table of edges is needed.  A plain table of counts, or reads, are stored first.  Nodes are followed in the orientation of the query; coverage is that of the canonical
 k-mer.  Walks are loops of at most six joins; each level is written to the shared folder, which keeps plans short and costs a
 lost executor one level at most."""
 
@@ -10,18 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dna import canonical, checked_k, index_to_dna, left_pad_a, pack, starts_with_prefix, unpack
+from ..functions.dna import canonical, checked_k, index_to_dna, left_pad_a, pack
 from ..sources.scratch import unused, written
+from .store import KmerTable, stored
 
 MAX_DEPTH, MAX_STARTS, MAX_BASE_LENGTH = 6, 32, 300
 UP, DOWN = "up", "down"
 
 
-def _looked_up(nodes: DataFrame, counts: DataFrame, column: str, cov: str) -> DataFrame:
+def _looked_up(nodes: DataFrame, counts: KmerTable, column: str, cov: str) -> DataFrame:
     """nodes with the coverage of a k-mer column, 0 where it is not counted."""
     key = unused(nodes.columns, "key")
     keyed = nodes.withColumn(key, pack(canonical(F.col(column))))
-    return keyed.join(counts.select(F.col("kmer").alias(key), F.col("cov").alias(cov)), key, "left").drop(key).withColumn(cov, F.coalesce(cov, F.lit(0)))
+    found = counts.counts_of(keyed.select(key)).select(F.col("kmer").alias(key), F.col("cov").alias(cov))
+    return keyed.join(found, key, "left").drop(key).withColumn(cov, F.coalesce(cov, F.lit(0)))
 
 
 def _moved(kmer: Column, base: Column, k: int, direction: Column) -> Column:
@@ -37,11 +39,11 @@ def query_status(query: Column, k: int) -> Column:
     return F.when(F.length(query) < k, "shorter than k").when(F.rlike(query, F.lit("[^ACGT]")), "invalid base")
 
 
-def neighbors(nodes: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+def neighbors(nodes: DataFrame, counts: DataFrame | KmerTable, k: int) -> DataFrame:
     """nodes (with kmer and direction) with (base, neighbor, cov): all four on that side, absent ones with coverage 0."""
     four = F.explode(F.array(*(F.lit(b) for b in "ACGT")))
     made = nodes.withColumn("base", four).withColumn("neighbor", _moved(F.col("kmer"), F.col("base"), k, F.col("direction")))
-    return _looked_up(made, counts, "neighbor", "cov")
+    return _looked_up(made, stored(counts, k), "neighbor", "cov")
 
 
 def anchors(queries: DataFrame, k: int) -> DataFrame:
@@ -52,16 +54,17 @@ def anchors(queries: DataFrame, k: int) -> DataFrame:
     return own.select("query_id", two.alias("a")).select("query_id", "a.direction", "a.kmer")
 
 
-def kmer_neighbors(queries: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+def kmer_neighbors(queries: DataFrame, counts: DataFrame | KmerTable, k: int) -> DataFrame:
     """(query_id, direction, base, neighbor, cov)."""
     return neighbors(anchors(queries, k), counts, k).select("query_id", "direction", "base", "neighbor", "cov")
 
 
-def kmer_query(queries: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+def kmer_query(queries: DataFrame, counts: DataFrame | KmerTable, k: int) -> DataFrame:
     """A row for each query: anchors, their canonical forms, coverage (the lesser of the two where they differ), degrees, whether the query is longer
     than k, and an error for those too short or invalid."""
     own = queries.select("query_id", clean_query(F.col("query")).alias("query")).withColumn("error", query_status(F.col("query"), k))
     valid = own.where("error IS NULL").select("query_id", F.substring("query", 1, k).alias("left"), F.expr(f"right(query, {k})").alias("right"), (F.length("query") > k).alias("truncated"))
+    counts = stored(counts, k)
     covered = _looked_up(_looked_up(valid, counts, "left", "left_cov"), counts, "right", "right_cov")
     degree = kmer_neighbors(queries, counts, k).groupBy("query_id").agg(F.count_if((F.col("direction") == UP) & (F.col("cov") > 0)).alias("in_degree"), F.count_if((F.col("direction") == DOWN) & (F.col("cov") > 0)).alias("out_degree"))
     found = covered.join(degree, "query_id").select("query_id", "left", "right", canonical(F.col("left")).alias("left_canonical"), canonical(F.col("right")).alias("right_canonical"), F.least("left_cov", "right_cov").alias("coverage"), "truncated", "in_degree", "out_degree")
@@ -73,9 +76,9 @@ def ranked_branches(found: DataFrame, by: list[str]) -> DataFrame:
     return found.where("cov > 0").withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("cov"), "base")))
 
 
-def _walk(start: DataFrame, counts: DataFrame, k: int, depths: dict[str, int], first_step: int, best_only: bool) -> DataFrame:
+def _walk(start: DataFrame, counts: DataFrame | KmerTable, k: int, depths: dict[str, int], first_step: int, best_only: bool) -> DataFrame:
     """Levels of covered neighbours.  start: query_id, direction, kmer; the path holds the bases taken so far."""
-    depths = {side: max(0, min(MAX_DEPTH, depth)) for side, depth in depths.items()}
+    depths, counts = {side: max(0, min(MAX_DEPTH, depth)) for side, depth in depths.items()}, stored(counts, k)
     level = start.withColumn("path", F.lit(""))
     out = None
     for step in range(1, max(depths.values()) + 1):
@@ -94,41 +97,37 @@ def _walk(start: DataFrame, counts: DataFrame, k: int, depths: dict[str, int], f
     return out
 
 
-def branch_tree(queries: DataFrame, counts: DataFrame, k: int, up: int = 1, down: int | None = None) -> DataFrame:
+def branch_tree(queries: DataFrame, counts: DataFrame | KmerTable, k: int, up: int = 1, down: int | None = None) -> DataFrame:
     """(query_id, direction, step, path, base, kmer, cov, rank): covered neighbours of covered neighbours, up to six levels; a k-mer may come again."""
     return _walk(anchors(queries, k), counts, k, {UP: up, DOWN: up if down is None else down}, 0, False)
 
 
-def expand_nodes(nodes: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+def expand_nodes(nodes: DataFrame, counts: DataFrame | KmerTable, k: int) -> DataFrame:
     """One more level of a tree's nodes (query_id, direction, step, path, kmer)."""
     found = ranked_branches(neighbors(nodes.select("query_id", "direction", "step", "path", "kmer"), counts, k), ["query_id", "direction", "path"])
     return found.select("query_id", "direction", (F.col("step") + 1).alias("step"), F.concat("path", "base").alias("path"), "base", F.col("neighbor").alias("kmer"), "cov", "rank")
 
 
-def greedy_path(queries: DataFrame, counts: DataFrame, k: int, up: int = 6, down: int | None = None) -> DataFrame:
+def greedy_path(queries: DataFrame, counts: DataFrame | KmerTable, k: int, up: int = 6, down: int | None = None) -> DataFrame:
     """As branch_tree, with the best neighbour of each step only; a path ends where none is covered."""
     return _walk(anchors(queries, k), counts, k, {UP: up, DOWN: up if down is None else down}, 0, True)
 
 
-def prefix_starts(prefixes: DataFrame, counts: DataFrame, k: int) -> DataFrame:
+def prefix_starts(prefixes: DataFrame, counts: DataFrame | KmerTable, k: int) -> DataFrame:
     """(query_id, kmer, cov, rank, limit_reached): covered k-mers that start with the query's prefix, in one of both orientations; the first 32
-    by text.  Joined by the prefix itself, for each length of prefix there is."""
-    both = counts.where("cov > 0").select(unpack(F.col("kmer"), k).alias("kmer"), "cov")
-    turned = both.withColumn("other", F.translate(F.reverse("kmer"), "ACGT", "TGCA"))
-    sides = both.unionByName(turned.where("other <> kmer").select(F.col("other").alias("kmer"), "cov"))
-    lengths = F.broadcast(prefixes.select(F.length("prefix").alias("n")).distinct().where(F.col("n") < k))  # at most k rows
-    keyed = sides.join(lengths).withColumn("prefix", F.substring(F.col("kmer"), F.lit(1), F.col("n"))).drop("n")
-    # the first of each prefix are picked before they are exchanged, and before queries of the same prefix get them
-    asked = keyed.join(prefixes.select("prefix").distinct(), "prefix", "left_semi")
-    ranked = asked.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy("kmer"))).where(F.col("rank") <= MAX_STARTS)
+    by text.  The prefixes are searched for as ranges of packed k-mers, and the first of each are picked where the table is scanned."""
+    short = prefixes.where(F.length("prefix") < k)
+    found = stored(counts, k).starting_with(short.select("prefix"), MAX_STARTS)
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy("kmer"))).where(F.col("rank") <= MAX_STARTS)
     ranked = ranked.withColumn("limit_reached", F.count("*").over(Window.partitionBy("prefix")) >= MAX_STARTS)
-    return prefixes.select("query_id", "prefix").join(ranked, "prefix").select("query_id", "kmer", "cov", "rank", "limit_reached")
+    return short.select("query_id", "prefix").join(ranked, "prefix").select("query_id", "kmer", "cov", "rank", "limit_reached")
 
 
-def prefix_matches(counts: DataFrame, prefix: str, k: int) -> DataFrame:
-    """(kmer, cov): counted k-mers that start with one prefix, themselves or turned."""
-    text = counts.select(unpack(F.col("kmer"), k).alias("kmer"), "cov")
-    return text.where(starts_with_prefix(F.col("kmer"), F.lit(prefix)))
+def prefix_matches(counts: DataFrame | KmerTable, prefix: str, k: int) -> DataFrame:
+    """(kmer, cov): counted k-mers, in their canonical form, that start with one prefix, themselves or turned."""
+    table = stored(counts, k)
+    found = table.starting_with(table.spark.createDataFrame([(prefix,)], "prefix string"), None)
+    return found.select(canonical(F.col("kmer")).alias("kmer"), "cov").distinct()
 
 
 def index_decoded(queries: DataFrame, k: int, base_length: int | None = None) -> DataFrame:
@@ -141,10 +140,10 @@ def index_decoded(queries: DataFrame, k: int, base_length: int | None = None) ->
     return raw.select("query_id", dna.alias("dna"), F.length("raw").alias("encoded_length"), (F.length("raw") < length).alias("padded"), (F.length(dna) < k).alias("completed"), (F.length(dna) > k).alias("truncated"))
 
 
-def index_query(queries: DataFrame, counts: DataFrame, k: int, base_length: int | None = None, depth: int = 1) -> DataFrame:
+def index_query(queries: DataFrame, counts: DataFrame | KmerTable, k: int, base_length: int | None = None, depth: int = 1) -> DataFrame:
     """(query_id, start, direction, step, path, base, kmer, cov): greedy paths from the start k-mers of decimal indexes.  A decoded index of k bases or more is one
     start, with its first k-mer upwards and its last one downwards; a shorter one is completed by the covered k-mers that it begins."""
-    own = index_decoded(queries, k, base_length).where("dna IS NOT NULL")
+    own, counts = index_decoded(queries, k, base_length).where("dna IS NOT NULL"), stored(counts, k)
     whole = own.where(~F.col("completed")).select("query_id", F.lit(1).alias("start"), F.col("dna").alias("query"))
     begun = prefix_starts(own.where("completed").select("query_id", F.col("dna").alias("prefix")), counts, k).select("query_id", F.col("rank").alias("start"), F.col("kmer").alias("query"))
     starts = whole.unionByName(begun).select(F.struct("query_id", "start").alias("query_id"), "query")

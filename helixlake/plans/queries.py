@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, kmers
 from ..operators import alignment, assignment, batchqc, counts, graph, links, recovery, report
+from ..operators.store import stored
 from ..sources import sequences, sinks, tables
 from ..sources.scratch import settled, shared_dir, written
 from ..streaming import counts as streaming
@@ -179,7 +180,7 @@ def f20_levenshtein(spark, sf_dir):
 
 @query(f"WITH {sql_counts(K_SHORT)} SELECT kmer, cov FROM counts WHERE starts_with(kmer, 'ACG') OR starts_with(translate(reverse(kmer), 'ACGT', 'TGCA'), 'ACG')")
 def f23_prefix_match(spark, sf_dir):
-    return graph.prefix_matches(counts.kmer_counts(reads(spark, sf_dir), K_SHORT), "ACG", K_SHORT)
+    return graph.prefix_matches(counts.countable(reads(spark, sf_dir), K_SHORT), "ACG", K_SHORT)
 
 
 # --- counting
@@ -361,26 +362,28 @@ def w7_record_at_index(spark, sf_dir):
 
 # --- the graph; queries are the strands
 
-_NODES = f"""{sql_counts(K)}, {sql_strands()},
+_SIDES = f"""{sql_strands()},
 q AS (SELECT strand_id AS query_id, substr(seq, 1, 31) AS l, right(seq, 31) AS r, length(seq) > 31 AS truncated FROM strands WHERE length(seq) >= 31),
 side AS (SELECT query_id, 'up' AS direction, l AS kmer FROM q UNION ALL SELECT query_id, 'down', r FROM q),
-near AS (SELECT query_id, direction, base, CASE direction WHEN 'up' THEN base || substr(kmer, 1, 30) ELSE substr(kmer, 2) || base END AS neighbor FROM side, (SELECT unnest(['A', 'C', 'G', 'T']) AS base)),
-found AS (SELECT near.*, coalesce(cov, 0) AS cov FROM near LEFT JOIN counts ON counts.kmer = least(neighbor, translate(reverse(neighbor), 'ACGT', 'TGCA')))"""
+near AS (SELECT query_id, direction, base, CASE direction WHEN 'up' THEN base || substr(kmer, 1, 30) ELSE substr(kmer, 2) || base END AS neighbor FROM side, (SELECT unnest(['A', 'C', 'G', 'T']) AS base))"""
+_FOUND = "found AS (SELECT near.*, coalesce(cov, 0) AS cov FROM near LEFT JOIN counts ON counts.kmer = least(neighbor, translate(reverse(neighbor), 'ACGT', 'TGCA')))"
+_NODES = f"{sql_counts(K)}, {_SIDES}, {_FOUND}"
+#: Counts of the k-mers that anchors and their neighbours name, and of no others.
+_WANTED = f"{_SIDES}, wanted AS (SELECT DISTINCT least(x, translate(reverse(x), 'ACGT', 'TGCA')) AS kmer FROM (SELECT neighbor AS x FROM near UNION ALL SELECT kmer FROM side)), {sql_counts(K).replace('FROM read_kmers GROUP', 'FROM read_kmers SEMI JOIN wanted USING (kmer) GROUP')}, {_FOUND}"
 
 
 def _graph(spark, sf_dir):
     own = strands(spark, sf_dir).select(F.col("strand_id").alias("query_id"), F.col("seq").alias("query"))
-    # looked up at each level
-    return own, written(counts.kmer_counts(reads(spark, sf_dir), K))
+    return own, stored(counts.countable(reads(spark, sf_dir), K), K)
 
 
-@query(f"WITH {_NODES} SELECT * FROM found")
+@query(f"WITH {_WANTED} SELECT * FROM found")
 @settled
 def g2_j4_kmer_neighbors(spark, sf_dir):
     return graph.kmer_neighbors(*_graph(spark, sf_dir), K)
 
 
-@query(f"""WITH {_NODES}, degree AS (SELECT query_id, count(*) FILTER (direction = 'up' AND cov > 0) AS in_degree, count(*) FILTER (direction = 'down' AND cov > 0) AS out_degree FROM found GROUP BY query_id),
+@query(f"""WITH {_WANTED}, degree AS (SELECT query_id, count(*) FILTER (direction = 'up' AND cov > 0) AS in_degree, count(*) FILTER (direction = 'down' AND cov > 0) AS out_degree FROM found GROUP BY query_id),
 a AS (SELECT query_id, l, r, least(l, translate(reverse(l), 'ACGT', 'TGCA')) AS lc, least(r, translate(reverse(r), 'ACGT', 'TGCA')) AS rc, truncated FROM q)
 SELECT strand_id AS query_id, CASE WHEN length(seq) < 31 THEN 'shorter than k' END AS error, l AS "left", r AS "right", lc AS left_canonical, rc AS right_canonical,
   CASE WHEN l IS NOT NULL THEN least(coalesce(c1.cov, 0), coalesce(c2.cov, 0)) END AS coverage, truncated, in_degree, out_degree
@@ -433,7 +436,7 @@ r AS (SELECT query_id, kmer, cov, row_number() OVER (PARTITION BY query_id ORDER
 @query(f"WITH {_starts_sql(12)} SELECT query_id, kmer, cov, CAST(rank AS INTEGER) AS rank, count(*) OVER (PARTITION BY query_id) >= 32 AS limit_reached FROM r WHERE rank <= 32")
 def j5_w4_index_starts(spark, sf_dir):
     own = graph.index_decoded(_indexes(spark, sf_dir), 12, 8).select("query_id", F.col("dna").alias("prefix"))
-    return graph.prefix_starts(own, counts.kmer_counts(reads(spark, sf_dir), 12), 12)
+    return graph.prefix_starts(own, counts.countable(reads(spark, sf_dir), 12), 12)
 
 
 @query(f"""WITH {_starts_sql(K)}, sided AS (SELECT query_id, rank AS start, kmer, unnest(['up', 'down']) AS direction FROM r WHERE rank <= 32),
@@ -441,7 +444,7 @@ next AS (SELECT query_id, start, direction, base, CASE direction WHEN 'up' THEN
 best AS (SELECT next.*, cov, row_number() OVER (PARTITION BY query_id, start, direction ORDER BY cov DESC, base) AS b FROM next JOIN counts ON counts.kmer = least(next.kmer, translate(reverse(next.kmer), 'ACGT', 'TGCA')))
 SELECT query_id, CAST(start AS INTEGER) AS start, direction, 1 AS step, base AS path, base, kmer, cov FROM best WHERE b = 1""")
 def g5_index_query(spark, sf_dir):
-    return graph.index_query(_indexes(spark, sf_dir), counts.kmer_counts(reads(spark, sf_dir), K), K, 8, 1)
+    return graph.index_query(_indexes(spark, sf_dir), counts.countable(reads(spark, sf_dir), K), K, 8, 1)
 
 
 # --- consensus

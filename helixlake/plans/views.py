@@ -94,10 +94,12 @@ SQL_ALIGNMENTS = """alignments AS (
 
 
 def sql_kmers(source: str, key: str, k: int, name: str, seq: str = "seq") -> str:
-    """A common table (key, pos, kmer): canonical k-mers as text, at each valid position."""
+    """A common table (key, pos, kmer): canonical k-mers as text, at each valid position.  Sequences are cut into pieces of 200 windows first, as substr() walks from the
+    start of its text."""
     return f"""{name} AS (
-  SELECT {key}, p - 1 AS pos, least(s, translate(reverse(s), 'ACGT', 'TGCA')) AS kmer
-  FROM (SELECT {key}, p, substr({seq}, p, {k}) AS s FROM (SELECT {key}, {seq}, unnest(generate_series(1, length({seq}) - {k} + 1)) AS p FROM {source} WHERE length({seq}) >= {k}))
+  SELECT {key}, first + p - 1 AS pos, least(s, translate(reverse(s), 'ACGT', 'TGCA')) AS kmer
+  FROM (SELECT {key}, first, p, substr(part, p, {k}) AS s FROM (SELECT {key}, first, part, unnest(generate_series(1, length(part) - {k} + 1)) AS p FROM (
+    SELECT {key}, q - 1 AS first, substr({seq}, q, {200 + k - 1}) AS part FROM (SELECT {key}, {seq}, unnest(generate_series(1, length({seq}) - {k} + 1, 200)) AS q FROM {source} WHERE length({seq}) >= {k}))))
   WHERE NOT regexp_matches(s, '[^ACGT]'))"""
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.kmers import kmer_occurrences, kmers_ordered
+from ..functions.kmers import kmers_ordered
 from ..operators.counts import READ_CAP, countable
+from ..operators.store import MOST_RUNS, KmerTable
 
 
 def stream_reads(spark: SparkSession, path: str, seq: str = "seq", files_at_once: int = 1) -> DataFrame:
@@ -22,16 +25,23 @@ def incremental_counts(reads: DataFrame, k: int, length: int = 0, cap: int = REA
     return found.groupBy("kmer").agg(F.least(F.count("*"), F.lit(cap)).cast("int").alias("cov"))
 
 
-def merge_into_store(reads: DataFrame, k: int, store: str, checkpoint: str, length: int = 0) -> StreamingQuery:
-    """Adds each batch's raw counts to a store: a folder for each batch, written under the batch's number, so that a batch that is run again
-    replaces its own.  read_store() sums them."""
+def merge_into_store(reads: DataFrame, k: int, store: str, checkpoint: str, length: int = 0, most_runs: int = MOST_RUNS, told: Callable[[int, Row], None] | None = None) -> StreamingQuery:
+    """Adds each batch's counts to a stored table as a run under the batch's number: a batch that is run again after its run was committed changes nothing, and one that
+    failed before is written again.  Runs are compacted as they become many.  told: is given each batch's number, and the table's summary after it."""
 
     def add(batch: DataFrame, number: int) -> None:
-        kmer_occurrences(countable(batch, k, length), k).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        spark, own = batch.sparkSession, countable(batch, k, length)
+        try:
+            table = KmerTable(spark, store)
+        except ValueError:
+            table = KmerTable.create(spark, store, k, own)
+        table.add(own, number, most_runs)
+        if told:
+            told(number, table.summary().first())
 
     return reads.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
     """(kmer, n): raw counts over all batches."""
-    return spark.read.parquet(store).groupBy("kmer").agg(F.sum("n").alias("n"))
+    return KmerTable(spark, store).rows()
