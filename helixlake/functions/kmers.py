@@ -166,6 +166,8 @@ _ODD, _UNDO = np.uint64(ODD), np.uint64(pow(ODD, -1, 1 << 64))
 #: task which makes lists holds before it adds up equal ones.  A task that reads buckets holds one: 16 bytes for each of its k-mers, twice as much of lists that are not added
 #: up yet, and their copy: some 200 MB.
 BUCKETS, BUDGET, HELD = 4, 1 << 21, 4 << 20
+#: Bases that a byte of a file may hold, and buckets up to which the size of files tells their number.
+EXPANSION, MOST_ESTIMATED = 8, 1 << 16
 _LISTS = "bucket int, asks int, keys binary, counts binary"
 
 
@@ -179,15 +181,22 @@ def _cell(batch: pa.RecordBatch, column: str, i: int, kind: type) -> np.ndarray:
 
 
 class Deal:
-    """Lists of scattered k-mers, cut into buckets: so many that none has more than `budget` k-mers, of those that are counted first."""
+    """Lists of scattered k-mers, cut into buckets: so many that none has more than `budget` k-mers."""
 
     def __init__(self, source: DataFrame | None, bits: int | None = None, budget: int | None = None):
-        """source: reads (seq), whose bases are summed, or a table of counts (kmer), whose rows are; not needed where the bits are given."""
+        """source: reads (seq) or a table of counts (kmer); not needed where the bits are given.
+
+        The buckets of reads follow the size of their files, of which each byte may hold `EXPANSION` bases; where no such size is known, or that would make too many
+        buckets, the bases are summed first.  Rows of tables are counted."""
         if bits is None:
-            most = F.coalesce(F.sum(F.length("seq")), F.lit(0)) if "seq" in source.columns else F.count("*")
-            least = BUCKETS * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            budget, least = budget or BUDGET, BUCKETS * int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             # buckets are even, so twice as many as are needed leave room for their differences
-            bits = max(1, (max(least, -(-2 * source.agg(most).first()[0] // (budget or BUDGET))) - 1).bit_length())
+            reads = "seq" in source.columns
+            needed = 2 * EXPANSION * int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // budget if reads else MOST_ESTIMATED + 1
+            if needed > MOST_ESTIMATED:
+                most = F.coalesce(F.sum(F.length("seq")), F.lit(0)) if reads else F.count("*")
+                needed = -(-2 * source.agg(most).first()[0] // budget)
+            bits = max(1, (max(least, needed) - 1).bit_length())
         self.bits = bits
 
     def cuts(self, keys: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -183,39 +183,49 @@ def _grams(seqs: list[str], size: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     return counts.astype(np.float32), counts.sum(axis=1)
 
 
+def _letter_counts(seqs: list[str]) -> list[np.ndarray]:
+    """How many of each letter every sequence has, and how many of all others."""
+    known = [np.array([s.count(c) for s in seqs], dtype=np.int64) for c in "ACGT"]
+    return [*known, np.array([len(s) for s in seqs], dtype=np.int64) - sum(known)]
+
+
 class Block:
     """A block of strands that blocks of reads are held against, with every pair whose score can matter."""
 
     def __init__(self, ids: list, seqs: list[str]):
         self.ids, self.seqs = ids, seqs
         self.has = np.minimum(_grams(seqs)[0], 1)
+        self.letters = _letter_counts(seqs)
         self.size = np.array([len(s) for s in seqs])
 
-    def best(self, reads: list[str], least: list[int | None], ambiguity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(read, strand, score) of all pairs within `ambiguity` of each read's best one here, or of its `least` score where that is greater.
-
-        A change spoils `GRAM` of a read's grams at most, so those that a strand has none of bound its score.  Strands that promise most are aligned first, and
-        give a score that the rest must come near."""
+    def bounds(self, reads: list[str]) -> np.ndarray:
+        """The greatest score that each pair can have.  A change spoils `GRAM` of a read's grams at most, so those that a strand has none of bound its score; so do the
+        letters that both have, of which no more can match."""
         counts, total = _grams(reads)
-        common = counts @ self.has.T
-        changes = np.ceil((total[:, None] - common) / GRAM).astype(np.int64)
+        changes = np.ceil((total[:, None] - counts @ self.has.T) / GRAM).astype(np.int64)
         size = np.array([len(r) for r in reads])
-        most = most_scored(self.size[None, :], size[:, None], changes)
-        need = np.array([-(1 << 40) if x is None else x for x in least]) - ambiguity
-        first = np.argsort(-most, axis=1, kind="stable")[:, :FIRST]
-        done = np.full(most.shape, -(1 << 41), np.int64)
-
-        def align(r: np.ndarray, s: np.ndarray) -> None:
-            done[r, s] = scores([self.seqs[x] for x in s], [reads[x] for x in r])
-
-        align(np.repeat(np.arange(len(reads)), first.shape[1]), first.ravel())
-        need = np.maximum(need, done.max(axis=1) - ambiguity)
-        r, s = np.nonzero((most >= need[:, None]) & (done < -(1 << 40)))
-        for low in range(0, len(r), PAIRS_AT_ONCE):
-            align(r[low : low + PAIRS_AT_ONCE], s[low : low + PAIRS_AT_ONCE])
-        need = np.maximum(need, done.max(axis=1) - ambiguity)
-        r, s = np.nonzero(done >= need[:, None])
-        return r, s, done[r, s]
+        matches = sum(np.minimum(a[:, None], b[None, :]) for a, b in zip(_letter_counts(reads), self.letters))
+        short, apart = np.minimum(self.size[None, :], size[:, None]), np.abs(self.size[None, :] - size[:, None])
+        return np.minimum(most_scored(self.size[None, :], size[:, None], changes), (MATCH - MISMATCH) * matches + MISMATCH * short + GAP * apart)
+
+    def _aligned(self, reads: list[str], r: np.ndarray, s: np.ndarray) -> np.ndarray:
+        parts = [scores([self.seqs[x] for x in s[low : low + PAIRS_AT_ONCE]], [reads[x] for x in r[low : low + PAIRS_AT_ONCE]]) for low in range(0, len(r), PAIRS_AT_ONCE)]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+    def first(self, reads: list[str]) -> np.ndarray:
+        """For each read the best score with the strands that promise most."""
+        most = self.bounds(reads)
+        few = min(FIRST, most.shape[1])
+        s = np.argpartition(-most, few - 1, axis=1)[:, :few]
+        return self._aligned(reads, np.repeat(np.arange(len(reads)), few), s.ravel()).reshape(-1, few).max(axis=1)
+
+    def best(self, reads: list[str], least: list[int], ambiguity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(read, strand, score) of all pairs within `ambiguity` of each read's `least` score, which it has with some strand: only those that can be are aligned."""
+        need = np.array(least) - ambiguity
+        r, s = np.nonzero(self.bounds(reads) >= need[:, None])
+        score = self._aligned(reads, r, s)
+        keep = score >= need[r]
+        return r[keep], s[keep], score[keep]
 
 
 def _in_blocks(rows: DataFrame, id_col: str, most: int, name: str, columns: list[str]) -> tuple[DataFrame, int]:
@@ -227,27 +237,39 @@ def _in_blocks(rows: DataFrame, id_col: str, most: int, name: str, columns: list
 
 
 def exhausted(reads: DataFrame, strands: DataFrame, ambiguity: int) -> DataFrame:
-    """(read_id, strand_id, score): reads (read_id, seq, best) against all strands, in blocks of both: every pair that comes within `ambiguity` of the read's best in its block.
-    A block of strands is sent to each block of reads, no pair is made a row before its score is known to matter."""
+    """(read_id, strand_id, score): reads (read_id, seq, best) against all strands, in blocks of both: every pair within `ambiguity` of the read's best score, and some others.
+    A block of strands is sent to each block of reads, and no pair is made a row before its score is known to matter.  First each read is aligned to the strands of each block
+    that promise most; the best score of those then excludes nearly all others."""
     kinds = {c: d.schema[c].dataType for c, d in (("read_id", reads), ("strand_id", strands))}
-    of_reads, n_reads = _in_blocks(reads, "read_id", READS_A_BLOCK, "r", ["read_id", "seq", "best"])
-    of_strands, n_strands = _in_blocks(strands, "strand_id", STRANDS_A_BLOCK, "s", ["strand_id", "seq"])
+    names = {c: kind.simpleString() for c, kind in kinds.items()}
     types = {c: to_arrow_type(kind) for c, kind in kinds.items()}
+    of_strands, n_strands = _in_blocks(strands, "strand_id", STRANDS_A_BLOCK, "s", ["strand_id", "seq"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, block = None, None
-        for batch in batches:
-            for k in range(batch.num_rows):
-                if (s := batch.column("s")[k].as_py()) != held:
-                    rows = batch.column("s_rows")[k].as_py()
-                    held, block = s, Block([x["strand_id"] for x in rows], [x["seq"] for x in rows])
-                rows = batch.column("r_rows")[k].as_py()
-                r, s, score = block.best([x["seq"] for x in rows], [x["best"] for x in rows], ambiguity)
-                yield pa.RecordBatch.from_arrays([pa.array([rows[x]["read_id"] for x in r], types["read_id"]), pa.array([block.ids[x] for x in s], types["strand_id"]), pa.array(score)], names=["read_id", "strand_id", "score"])
-
-    tasks = of_reads.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_strands - 1)))).repartition(max(1, min(n_reads * n_strands, MOST_TASKS)), "r", "s")
-    both = tasks.join(of_strands.hint("broadcast" if n_strands <= FEW_BLOCKS else "merge"), "s").sortWithinPartitions("s").select("s", "s_rows", "r_rows")
-    return written(both.mapInArrow(run, f"read_id {kinds['read_id'].simpleString()}, strand_id {kinds['strand_id'].simpleString()}, score long"))
+    def against(reads: DataFrame, of: Callable[[Block, list[dict]], pa.RecordBatch], schema: str) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, block = None, None
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    if (s := batch.column("s")[k].as_py()) != held:
+                        rows = batch.column("s_rows")[k].as_py()
+                        held, block = s, Block([x["strand_id"] for x in rows], [x["seq"] for x in rows])
+                    yield of(block, batch.column("r_rows")[k].as_py())
+
+        of_reads, n_reads = _in_blocks(reads, "read_id", READS_A_BLOCK, "r", ["read_id", "seq", "best"])
+        tasks = of_reads.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_strands - 1)))).repartition(max(1, min(n_reads * n_strands, MOST_TASKS)), "r", "s")
+        both = tasks.join(of_strands.hint("broadcast" if n_strands <= FEW_BLOCKS else "merge"), "s").sortWithinPartitions("s").select("s", "s_rows", "r_rows")
+        return both.mapInArrow(run, schema)
+
+    def first(block: Block, rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x["read_id"] for x in rows], types["read_id"]), pa.array(block.first([x["seq"] for x in rows]))], names=["read_id", "score"])
+
+    def every(block: Block, rows: list[dict]) -> pa.RecordBatch:
+        r, s, score = block.best([x["seq"] for x in rows], [x["best"] for x in rows], ambiguity)
+        return pa.RecordBatch.from_arrays([pa.array([rows[x]["read_id"] for x in r], types["read_id"]), pa.array([block.ids[x] for x in s], types["strand_id"]), pa.array(score)], names=["read_id", "strand_id", "score"])
+
+    found = against(reads, first, f"read_id {names['read_id']}, score long").groupBy("read_id").agg(F.max("score").alias("score"))
+    known = written(reads.join(found, "read_id").select("read_id", "seq", F.greatest("best", "score").alias("best")))
+    return written(against(known, every, f"read_id {names['read_id']}, strand_id {names['strand_id']}, score long"))
 
 
 @settled

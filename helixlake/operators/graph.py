@@ -21,7 +21,7 @@ UP, DOWN = "up", "down"
 def _looked_up(nodes: DataFrame, counts: KmerTable, column: str, cov: str) -> DataFrame:
     """nodes with the coverage of a k-mer column, 0 where it is not counted."""
     key = unused(nodes.columns, "key")
-    keyed = nodes.withColumn(key, pack(canonical(F.col(column))))
+    keyed = written(nodes.withColumn(key, pack(canonical(F.col(column)))))  # read twice: for its k-mers, and for their counts
     found = counts.counts_of(keyed.select(key)).select(F.col("kmer").alias(key), F.col("cov").alias(cov))
     return keyed.join(found, key, "left").drop(key).withColumn(cov, F.coalesce(cov, F.lit(0)))
 

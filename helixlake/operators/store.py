@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kmers import _ODD, BUDGET, Deal, _cell, as_text, buckets, undone
-from ..sources.scratch import shared_dir
+from ..sources.scratch import shared_dir, written
 from .counts import READ_CAP
 
 #: Bits of groups at most, and those of a bucket beyond those that lists are exchanged by.
@@ -156,17 +157,11 @@ class KmerTable:
         lists = self.lists.repartition(n, "bucket").sortWithinPartitions("bucket") if len(self.runs) > 1 else self.lists
         return lists.mapInArrow(run, f"kmer {'string' if text else 'long'}, n long")
 
-    def _asked(self, column: DataFrame) -> Iterator[list]:
-        """The different values of a column, some at a time."""
-        name = column.columns[0]
-        different = column.where(F.col(name).isNotNull()).distinct()
-        first = [r[0] for r in different.limit(ASKED_AT_ONCE + 1).collect()]
-        if len(first) <= ASKED_AT_ONCE:
-            yield first
-            return
-        times = -(-2 * different.count() // ASKED_AT_ONCE)
-        for i in range(times):
-            yield [r[0] for r in different.where(F.pmod(F.xxhash64(name), F.lit(times)) == i).collect()]
+    @staticmethod
+    def _few(different: DataFrame) -> list | None:
+        """The values of a column of different ones, or None if they are more than a scan looks for."""
+        values = different.limit(ASKED_AT_ONCE + 1).toArrow().column(0).to_pylist()
+        return values if len(values) <= ASKED_AT_ONCE else None
 
     def lists_for(self, keys: np.ndarray) -> DataFrame:
         """The lists that can hold hashed keys, by folders and row groups of their buckets."""
@@ -177,59 +172,76 @@ class KmerTable:
         return self._scan().where(F.col("group").isin(groups.tolist()) & F.col("bucket").isin(own.tolist())).select("keys", "counts")
 
     def counts_of(self, kmers: DataFrame, cap: int = READ_CAP) -> DataFrame:
-        """(kmer, cov) of those packed canonical k-mers (one column) that are in the table."""
-        out = None
-        for asked in self._asked(kmers):
-            keys = np.sort(np.array(asked, dtype=np.int64).view(np.uint64) * _ODD)
-
-            def run(batches: Iterable[pa.RecordBatch], keys: np.ndarray = keys) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    for i in range(batch.num_rows):
-                        own = _cell(batch, "keys", i, np.uint64)
-                        wanted = keys[np.searchsorted(keys, own[0]) : np.searchsorted(keys, own[-1], side="right")]
-                        at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
-                        hit = own[at] == wanted
-                        if hit.any():
-                            yield pa.RecordBatch.from_arrays([pa.array(undone(wanted[hit])), pa.array(_cell(batch, "counts", i, np.int64)[at[hit]])], names=["kmer", "n"])
-
-            found = self.lists_for(keys).mapInArrow(run, "kmer long, n long") if len(keys) and self.runs else self.spark.createDataFrame([], "kmer long, n long")
-            out = found if out is None else out.unionByName(found)
-        return out.groupBy("kmer").agg(F.least(F.sum("n"), F.lit(cap)).cast("int").alias("cov"))
+        """(kmer, cov) of those packed canonical k-mers (one column) that are in the table.  Where so many are asked for that most lists are read anyway, the whole table is
+        joined to them."""
+        name = kmers.columns[0]
+        different = kmers.where(F.col(name).isNotNull()).distinct()
+        asked = self._few(different)
+        if asked is None:
+            found = self.rows().join(different.withColumnRenamed(name, "kmer"), "kmer", "left_semi")
+            return found.select("kmer", F.least("n", F.lit(cap)).cast("int").alias("cov"))
+        keys = np.sort(np.array(asked, dtype=np.int64).view(np.uint64) * _ODD)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    own = _cell(batch, "keys", i, np.uint64)
+                    wanted = keys[np.searchsorted(keys, own[0]) : np.searchsorted(keys, own[-1], side="right")]
+                    at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+                    hit = own[at] == wanted
+                    if hit.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(undone(wanted[hit])), pa.array(_cell(batch, "counts", i, np.int64)[at[hit]])], names=["kmer", "n"])
+
+        if not len(keys) or not self.runs:
+            return self.spark.createDataFrame([], "kmer long, cov int")
+        found = self.lists_for(keys).mapInArrow(run, "kmer long, n long")
+        return found.groupBy("kmer").agg(F.least(F.sum("n"), F.lit(cap)).cast("int").alias("cov"))
 
     def starting_with(self, prefixes: DataFrame, most: int | None, cap: int = READ_CAP) -> DataFrame:
         """(prefix, kmer, cov): k-mers as text, in either orientation, that start with prefixes (one column) shorter than k; most: the first so many by text of each.
 
-        A prefix is a range of packed k-mers.  Tasks search both orientations of their lists in the prefixes' ranges, and keep the first of each; those are merged."""
-        k, out = self.k, None
-        for asked in self._asked(prefixes):
-            codes: dict[int, np.ndarray] = {}
-            for p in asked:
-                if 0 < len(p) <= k and not set(p) - set("ACGT"):
-                    codes.setdefault(len(p), []).append(int("".join(str("ACGT".index(c)) for c in p), 4))
-            codes = {size: np.sort(np.array(c, dtype=np.int64)) for size, c in codes.items()}
-
-            def run(batches: Iterable[pa.RecordBatch], codes: dict = codes) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    for i in range(batch.num_rows):
-                        kmer, n = undone(_cell(batch, "keys", i, np.uint64)), _cell(batch, "counts", i, np.int64)
-                        other = turned(kmer, k)
-                        both, counts = np.concatenate([kmer, other[other != kmer]]), np.concatenate([n, n[other != kmer]])
-                        for size, own in codes.items():
-                            code = both >> 2 * (k - size)
-                            at = np.minimum(np.searchsorted(own, code), len(own) - 1)
-                            hit = np.flatnonzero(own[at] == code)
-                            order = hit[np.lexsort((both[hit], code[hit]))]
-                            if most is not None and len(order):
-                                new = np.append(True, code[order][1:] != code[order][:-1])
-                                start = np.flatnonzero(new)
-                                order = order[np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order)))) < most]
-                            if len(order):
-                                yield pa.RecordBatch.from_arrays([as_text(code[order], size), as_text(both[order], k), pa.array(counts[order])], names=["prefix", "kmer", "n"])
-
-            found = self._scan().select("keys", "counts").mapInArrow(run, "prefix string, kmer string, n long") if codes else self.spark.createDataFrame([], "prefix string, kmer string, n long")
-            out = found if out is None else out.unionByName(found)
+        A prefix is a range of packed k-mers.  Tasks search both orientations of their lists in the prefixes' ranges, and keep the first of each; those are merged.  Many
+        prefixes are searched for in several scans."""
+        name = prefixes.columns[0]
+        different = prefixes.where(F.col(name).isNotNull()).distinct()
+        asked = self._few(different)
+        if asked is not None:
+            out = self._starting_with(asked, most)
+        else:
+            different = written(different)
+            times = -(-2 * different.count() // ASKED_AT_ONCE)
+            parts = (different.where(F.pmod(F.xxhash64(name), F.lit(times)) == i) for i in range(times))
+            out = reduce(DataFrame.unionByName, (self._starting_with(p.toArrow().column(0).to_pylist(), most) for p in parts))
         return out.groupBy("prefix", "kmer").agg(F.least(F.sum("n"), F.lit(cap)).cast("int").alias("cov"))
 
+    def _starting_with(self, asked: list[str], most: int | None) -> DataFrame:
+        k, codes = self.k, {}
+        for p in asked:
+            if 0 < len(p) <= k and not set(p) - set("ACGT"):
+                codes.setdefault(len(p), []).append(int("".join(str("ACGT".index(c)) for c in p), 4))
+        codes = {size: np.sort(np.array(c, dtype=np.int64)) for size, c in codes.items()}
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    kmer, n = undone(_cell(batch, "keys", i, np.uint64)), _cell(batch, "counts", i, np.int64)
+                    other = turned(kmer, k)
+                    both, counts = np.concatenate([kmer, other[other != kmer]]), np.concatenate([n, n[other != kmer]])
+                    for size, own in codes.items():
+                        code = both >> 2 * (k - size)
+                        at = np.minimum(np.searchsorted(own, code), len(own) - 1)
+                        hit = np.flatnonzero(own[at] == code)
+                        order = hit[np.lexsort((both[hit], code[hit]))]
+                        if most is not None and len(order):
+                            new = np.append(True, code[order][1:] != code[order][:-1])
+                            start = np.flatnonzero(new)
+                            order = order[np.arange(len(order)) - np.repeat(start, np.diff(np.append(start, len(order)))) < most]
+                        if len(order):
+                            yield pa.RecordBatch.from_arrays([as_text(code[order], size), as_text(both[order], k), pa.array(counts[order])], names=["prefix", "kmer", "n"])
+
+        schema = "prefix string, kmer string, n long"
+        return self._scan().select("keys", "counts").mapInArrow(run, schema) if codes else self.spark.createDataFrame([], schema)
+
     def summary(self) -> DataFrame:
         """One row: different k-mers, and their total coverage (of capped counts)."""
 
