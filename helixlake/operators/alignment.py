@@ -218,7 +218,7 @@ def pileup(alignments: DataFrame, strands: DataFrame, front: int = 0, back: int
 
 
 def _consensus(piles: DataFrame, min_depth: int, min_majority: float) -> DataFrame:
-    """consensus_stats() of _piles(), by the vote of majority_vote(), for all places of a batch of strands at once."""
+    """(name, read_count, mean_depth, covered_bases, n_count, distance, exact_match, consensus) of _piles(), by the vote of majority_vote(), for all places of a batch of strands at once."""
     kinds = {"name": pa.string(), "read_count": pa.int64(), "mean_depth": pa.float64(), "covered_bases": pa.int64(), "n_count": pa.int32(), "distance": pa.int32(), "exact_match": pa.bool_(), "consensus": pa.string()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,31 +247,6 @@ def majority_vote(piled: DataFrame, min_depth: int = 1, min_majority: float = 0.
     return ranked.where("rank = 1").select("name", "pos", "depth", F.when(sure, F.col("base")).otherwise("N").alias("base"))
 
 
-def consensus_stats(votes: DataFrame, strands: DataFrame, read_counts: DataFrame, front: int = 0, back: int = 0) -> DataFrame:
-    """(name, read_count, mean_depth, covered_bases, n_count, distance, exact_match, consensus) of every strand; all N without votes.
-    distance: differing places.  read_counts: name, read_count."""
-    target = F.substring(F.upper("seq"), F.lit(front + 1), F.greatest(F.length("seq") - front - back, F.lit(0)))
-    own = strands.select("name", target.alias("target"))
-    at = F.map_from_entries(F.collect_list(F.struct("pos", "base")))
-    found = votes.groupBy("name").agg(at.alias("bases"), F.sum("depth").alias("depth"), F.count_if(F.col("depth") > 0).alias("covered"))
-    joined = own.join(found, "name", "left").join(read_counts, "name", "left")
-    size = F.length("target")
-    letters = F.when(size > 0, F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0))), lambda i: F.coalesce(F.col("bases")[i], F.lit("N"))))
-    consensus = F.coalesce(F.array_join(letters, ""), F.lit(""))
-    out = joined.withColumn("consensus", consensus)
-    differing = F.aggregate(F.zip_with(F.split("consensus", ""), F.split("target", ""), lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x)
-    return out.select(
-        "name",
-        F.coalesce("read_count", F.lit(0)).cast("long").alias("read_count"),
-        F.when(size > 0, F.coalesce("depth", F.lit(0)) / size).otherwise(F.lit(0.0)).alias("mean_depth"),
-        F.coalesce("covered", F.lit(0)).cast("long").alias("covered_bases"),
-        F.length(F.regexp_replace("consensus", "[^N]", "")).alias("n_count"),
-        F.when(size > 0, differing).otherwise(0).alias("distance"),
-        (F.col("consensus") == F.col("target")).alias("exact_match"),
-        "consensus",
-    )
-
-
 def classify(exact: Column, complete: Column) -> Column:
     return F.when(exact & complete, "agreement_recovered").when(exact, "consensus_only").when(complete, "kmer_only").otherwise("agreement_missing_or_broken")
 
@@ -301,6 +276,6 @@ def disagreements(compared: DataFrame, limit: int = 200) -> DataFrame:
 
 
 def paf_consensus(alignments: DataFrame, strands: DataFrame, min_mapq: int = 0, min_identity: float = 0.0, front: int = 0, back: int = 0, min_depth: int = 1, min_majority: float = 0.6) -> DataFrame:
-    """Alignments to consensus_stats(): events of tokens are summed by place, then gathered by strand, and each strand's sequence is joined to them once."""
+    """Alignments to a consensus of every strand, all N without reads (distance: differing places): events of tokens are summed by place, then gathered by strand, and each strand's sequence is joined to them once."""
     used = quality_buckets(alignments, strands, min_mapq, min_identity).where(F.col("bucket") == USED)
     return _consensus(_piles(used, strands, front, back), min_depth, min_majority)

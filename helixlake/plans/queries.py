@@ -67,7 +67,7 @@ def f5_kmers_ordered(spark, sf_dir):
 
 @query(f"WITH {sql_strands()}, {sql_kmers('strands', 'strand_id', K_SHORT, 'k')} SELECT strand_id, kmer, CAST(min(pos) AS INTEGER) AS pos FROM k GROUP BY ALL")
 def f6_kmers_distinct(spark, sf_dir):
-    return _text(kmers.kmers_distinct(strands(spark, sf_dir), K_SHORT, engine="sql"), K_SHORT).select("strand_id", "kmer", "pos")
+    return _text(kmers.kmers_distinct(strands(spark, sf_dir), K_SHORT), K_SHORT).select("strand_id", "kmer", "pos")
 
 
 @query(f"WITH {sql_strands()}, cut AS (SELECT strand_id, substr(seq, 19, greatest(length(seq) - 36, 0)) AS seq FROM strands), {sql_kmers('cut', 'strand_id', K, 'k')} SELECT strand_id, kmer, CAST(min(pos) AS INTEGER) AS pos FROM k GROUP BY ALL")
@@ -203,7 +203,7 @@ _MEMBERSHIP = f"{sql_pool()}, {sql_kmers('strands', 'strand_id', K, 'k')}, membe
 
 @query(f"WITH {_MEMBERSHIP} SELECT n, count(*) AS kmers FROM member GROUP BY n")
 def a3_strand_membership_count(spark, sf_dir):
-    return counts.membership_histogram(pool(spark, sf_dir), K)
+    return counts.strand_membership(pool(spark, sf_dir), K).groupBy("n").agg(F.count("*").alias("kmers"))
 
 
 _COVERED = f"""{sql_counts(K)}, {sql_strands()}, {sql_kmers('strands', 'strand_id', K, 'strand_kmers')},

@@ -1,6 +1,7 @@
 """FASTA and FASTQ, plain or gzip, as a Spark data source.
 
-Plain files are read in byte ranges, each from the first record that begins in it; a gzip file is one range.  Files are reached by
+Plain files are read in byte ranges, each from the first record that begins in it.  So are files of block gzip, by the headers of their members: a record belongs to the range that
+the member with its first byte begins in, and its offset is that member's place times 2 ** 16, and the place in it.  Any other gzip file is one range.  Files are reached by
 Arrow's file systems, so any store that those know works.  A record whose quality is cut short or as long as no
 sequence is marked corrupt, and reading goes on with the next header.
 """
@@ -10,6 +11,8 @@ from __future__ import annotations
 import gzip
 import io
 import re
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +31,97 @@ BASES = re.compile(r"[A-Za-z.*-]*")
 
 
 class Range(InputPartition):
-    def __init__(self, uri: str, start: int, end: int | None):
-        self.uri, self.start, self.end = uri, start, end
+    def __init__(self, uri: str, start: int, end: int | None, blocks: bool = False):
+        self.uri, self.start, self.end, self.blocks = uri, start, end, blocks
+
+
+#: The fixed first bytes of a member of block gzip: magic, deflate, an extra field; and the extra field that has the member's size, at the 12th byte.
+MEMBER, MEMBER_SIZE, MEMBER_HEADER, MOST_MEMBER = b"\x1f\x8b\x08\x04", b"BC\x02\x00", 18, 1 << 16
+
+
+def _member(raw, at: int) -> int:
+    """The bytes of a member of block gzip that begins there, 0 if none does."""
+    raw.seek(at)
+    head = raw.read(MEMBER_HEADER)
+    ok = len(head) == MEMBER_HEADER and head[:4] == MEMBER and head[12:16] == MEMBER_SIZE
+    return int.from_bytes(head[16:18], "little") + 1 if ok else 0
+
+
+class Members(io.RawIOBase):
+    """The text of members of block gzip, from the last one before a byte of the file on."""
+
+    def __init__(self, raw, start: int, end: int, size: int):
+        self.raw, self.size, self.at = raw, size, 0
+        #: Where members begin in the file and in the text; the text's length is the next one's.
+        self.places, self.texts = [self._first(start)], [0]
+        while self.places[-1] < start and self._more():
+            pass
+        self.own = len(self.places) - 1 if self.places[-1] >= start else len(self.places)
+        if self.own:
+            # what precedes the member before isn't needed
+            self.places, self.texts = self.places[self.own - 1 :], [t - self.texts[self.own - 1] for t in self.texts[self.own - 1 :]]
+            self.own = min(1, len(self.places))
+        while self.places[-1] < end and self._more():
+            pass
+        self.start = self.texts[self.own] if self.own < len(self.texts) else self.texts[-1]
+        self.end = self.texts[next((i for i, p in enumerate(self.places) if p >= end), len(self.places) - 1)]
+        self.held, self.text = -1, b""
+
+    def _first(self, start: int) -> int:
+        """The first member that begins in the two greatest members' length before a byte: one that is followed by another, or by the end."""
+        low = max(0, start - 2 * MOST_MEMBER)
+        self.raw.seek(low)
+        near = self.raw.read(min(self.size, start + 2 * MOST_MEMBER) - low)
+        at = near.find(MEMBER)
+        while at >= 0:
+            n = _member(self.raw, low + at)
+            if n and (low + at + n == self.size or _member(self.raw, low + at + n)):
+                return low + at
+            at = near.find(MEMBER, at + 1)
+        return self.size
+
+    def _more(self) -> bool:
+        """Finds where the next member begins, or the end of the file."""
+        at = self.places[-1]
+        n = _member(self.raw, at) if at < self.size else 0
+        if not n:
+            return False
+        self.raw.seek(at + n - 4)
+        self.places.append(at + n)
+        self.texts.append(self.texts[-1] + int.from_bytes(self.raw.read(4), "little"))
+        return True
+
+    def offset(self, at: int) -> int:
+        """The virtual offset of a place in the text."""
+        k = bisect_right(self.texts, at) - 1
+        return (self.places[k] << 16) + at - self.texts[k]
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.at
+
+    def seek(self, to: int, whence: int = io.SEEK_SET) -> int:
+        self.at = to + (self.at if whence == io.SEEK_CUR else 0)
+        return self.at
+
+    def readinto(self, out) -> int:
+        while self.texts[-1] <= self.at and self._more():
+            pass
+        if self.texts[-1] <= self.at:
+            return 0
+        k = bisect_right(self.texts, self.at) - 1
+        if k != self.held:
+            self.raw.seek(self.places[k])
+            self.held, self.text = k, zlib.decompress(self.raw.read(self.places[k + 1] - self.places[k]), wbits=31)
+        part = self.text[self.at - self.texts[k] :][: len(out)]
+        out[: len(part)] = part
+        self.at += len(part)
+        return len(part)
 
 
 def _files(path: str) -> list[tuple[str, int]]:
@@ -148,7 +240,10 @@ class Reader(DataSourceReader):
         out = []
         for uri, size in _files(self.path):
             if uri.endswith(".gz"):
-                out.append(Range(uri, 0, None))
+                system, path = pa.fs.FileSystem.from_uri(uri)
+                with system.open_input_file(path) as raw:
+                    blocks = bool(_member(raw, 0))
+                out += [Range(uri, at, min(at + self.split, size), True) for at in range(0, size, self.split)] if blocks else [Range(uri, 0, None)]
             else:
                 out += [Range(uri, at, min(at + self.split, size)) for at in range(0, size, self.split)]
         return out or [Range("", 0, 0)]
@@ -158,17 +253,26 @@ class Reader(DataSourceReader):
             return
         system, path = pa.fs.FileSystem.from_uri(part.uri)
         with system.open_input_file(path) as raw:
-            stream = io.BufferedReader(raw, 1 << 20)
-            stream = gzip.open(stream) if part.end is None else stream
-            back = max(part.start - 1, 0)
-            kind = _kind(stream) if part.start else b""
-            if part.start:
+            start, end, offset = part.start, part.end, int
+            if part.blocks:
+                members = Members(raw, part.start, part.end, raw.size())
+                start, end, offset = members.start if part.start else 0, members.end, members.offset
+                if start >= end:
+                    return
+                kind = _kind(io.BufferedReader(Members(raw, 0, 1, raw.size()))) if start else b""
+                stream = io.BufferedReader(members, 1 << 16)
+            else:
+                stream = io.BufferedReader(raw, 1 << 20)
+                stream = gzip.open(stream) if part.end is None else stream
+                kind = _kind(stream) if start else b""
+            back = max(start - 1, 0)
+            if start:
                 stream.seek(back)
             lines = Lines(stream, back)
-            _synced(lines, part.start, part.end, kind)
+            _synced(lines, start, end, kind)
             rows = []
-            while (record := _record(lines)) is not None and (part.end is None or record[0] < part.end):
-                rows.append((part.uri, *record))
+            while (record := _record(lines)) is not None and (end is None or record[0] < end):
+                rows.append((part.uri, offset(record[0]), *record[1:]))
                 if len(rows) == ROWS:
                     yield self._batch(rows)
                     rows = []

@@ -81,10 +81,12 @@ def scan_paf(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_qc_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the last batch message among lines of JSON."""
-    lines = _lines(spark, path).where(F.startswith(F.ltrim("value"), F.lit("{")))
-    parsed = lines.select(F.struct("file", "block", "line").alias("line"), F.from_json("value", f"type string, rows array<struct<{', '.join(c.replace(' ', ':', 1) for c in QC_ROW.split(', ', 6))}>>").alias("m"))
-    last = parsed.where("m.type = 'batch'").agg(F.max_by("m", "line").alias("m"))
-    return last.select(F.explode("m.rows").alias("r")).select("r.*")
+    lines = _lines(spark, path).where(F.startswith(F.ltrim("value"), F.lit("{"))).withColumn("at", F.struct("file", "block", "line"))
+    # the message is chosen by its place alone, and only then parsed
+    last = lines.where(F.from_json("value", "type string")["type"] == "batch").agg(F.max("at").alias("last"))
+    kinds = ", ".join(c.replace(" ", ":", 1) for c in QC_ROW.split(", ", 6))
+    message = lines.join(F.broadcast(last), F.col("at") == F.col("last")).select(F.from_json("value", f"rows array<struct<{kinds}>>").alias("m"))
+    return message.select(F.explode("m.rows").alias("r")).select("r.*")
 
 
 def scan_metric_grid(spark: SparkSession, path: str) -> DataFrame:
