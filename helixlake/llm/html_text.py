@@ -4,8 +4,9 @@ A page is cut into blocks, the lines of its text.  Pages are sorted by host and
 the nearest one behind of the same host whose html is another, and the one with the longer common path comes first.  The blocks of both pages
 are aligned by a longest common subsequence, and those that both have are template and deleted.  A neighbour that has half of a page's
 article or more (`COPY`) is a copy of it, whose shared blocks tell nothing of what is template; then the other neighbour decides, and where that is one too, nothing
-is deleted.  Paragraphs, headings, entries and quotations of an element that is marked as the article are the author's, and stay where neighbours have them too:
-articles of one host share whole sentences.  Of what is left, blocks stay by what their containers say: menus, headers, footers, sidebars, notices, adverts, forms and comments
+is deleted.  Paragraphs, headings, entries and quotations of an element that is marked as the article are likely the author's, and articles of one host share whole
+sentences: where neighbours have them too they are in doubt, and the host settles that.  The pages on which differencing found a line are counted in each host, equal pages once, and
+lines found on many of the host's pages are notices, which go from its articles; all others stay, and so do headings and tables' labels, which articles may have in common.  Of what is left, blocks stay by what their containers say: menus, headers, footers, sidebars, notices, adverts, forms and comments
 go, as they may differ from page to page; on pages that mark an article or main element, so does all outside of it.  Names of
 content (as in `class="post"`) count only where no neighbour tells anything.
 
@@ -13,7 +14,7 @@ Pages are dealt out to ranges of (host, path, id), so that a large host is sprea
 pages of other ranges that are neighbours of its first and last ones, so that the result doesn't depend on the ranges.
 
 Cases: a null or empty page has an empty text; a null URL is a host and path of empty names; repeated rows are rows of their own (a copy is no
-neighbour); an element without an end ends with the element around it, a head with the first block, and inline ones such as buttons and frames
+neighbour, and counts once); hosts of few pages have no notices; an element without an end ends with the element around it, a head with the first block, and inline ones such as buttons and frames
 with the next block; empty tables give empty results; other columns of the input are not touched.
 """
 
@@ -31,16 +32,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .tables import table, written
+from .tables import FEW_ROWS, table, text_key, written
 from .words import chunks
 
-#: PART: in an article, but in no paragraph, heading, entry or quotation of it.
-ARTICLE, PART, LIKELY, UNKNOWN, OTHER = 3, 2, 1, 0, -1
+#: LABEL: a heading or a table's label of an article; PART: in an article, but in no paragraph, heading, entry or quotation of it.
+LABEL, ARTICLE, PART, LIKELY, UNKNOWN, OTHER = 4, 3, 2, 1, 0, -1
 #: Cells of a table of common subsequences that is held as a whole; larger ones are divided.
 CELLS = 1 << 26
 #: Share of a page's characters from which a neighbour that has them is a copy: of those in its article, or, where none is marked, of all, as template may
 #: be most of a page then; the second share holds if both neighbours have the first.
 COPY, COPY_OF_ALL = (0.5,), (0.9, 1.0)
+#: Lines of marked articles that differencing found on so many pages of a host, and on more than this share of its different pages, are notices.
+NOTICE_PAGES, NOTICE = 5, 0.3
 #: Ranges for each of Spark's shuffle partitions, which evens out how many a partition gets.
 RANGES = 4
 #: Keys for each range that are drawn to place the ranges' borders, by least hash: they balance tasks, and don't change results.
@@ -61,6 +64,7 @@ HIDDEN = INLINE_HIDDEN | frozenset("noscript template".split())
 NO_ARTICLE = frozenset("nav footer aside form menu dialog head title".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption caption".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LABELS = HEADINGS | frozenset("dt td th caption".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 #: Words of class and id names that mark what is no article.
@@ -69,6 +73,9 @@ NAMES = frozenset(
     "header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo promos promotion related replies reply respond search share sharing "
     "sidebar signup skip skyscraper social sponsor sponsored sponsors subscribe subscription tagcloud teaser toolbar topbar widget widgets".split()
 )
+#: Those that name sections of articles as well, as in `related-work`: there they count alone, or beside other names and these of lists and boxes.
+ORDINARY = frozenset("alert alerts form menu menus notice notices promotion related reply respond search share sharing social sponsor".split())
+BOXES = frozenset("area articles bar block box button buttons container content field group icon icons inner input items links list main module news outer pages panel posts section stories story topics wrap wrapper".split())
 #: Words of class and id names that mark what is likely the article, where no element says so.
 LIKELY_NAMES = frozenset("article articlebody content entry main maincontent post story".split())
 #: A layout's name for what it has or lacks is none of a part.
@@ -76,6 +83,14 @@ LAYOUT = re.compile(r"\b(?:has|with|without|no)[-_][a-z]+")
 WORD = re.compile(r"[a-z]+")
 
 
+def _names_other(names: set[str], within: int) -> bool:
+    """Whether the words of one class or id name mark what is no article."""
+    if within != ARTICLE:
+        return not NAMES.isdisjoint(names)
+    found = names & NAMES - {"header"}
+    return bool(found - ORDINARY) or bool(found) and names <= NAMES | BOXES
+
+
 def _says(tag: str, attributes: str, within: int) -> int:
     """What an element says of its content; within: what holds around it."""
     if tag in NO_ARTICLE:
@@ -87,10 +102,11 @@ def _says(tag: str, attributes: str, within: int) -> int:
             if name in ("class", "id"):
                 if tag in ("html", "body", "main", "article"):
                     continue
-                names = WORD.findall(LAYOUT.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower()))
-                if not (NAMES - {"header"} if within == ARTICLE else NAMES).isdisjoint(names):
-                    return OTHER
-                likely = likely or not LIKELY_NAMES.isdisjoint(names)
+                for one in "".join(values).split():
+                    names = set(WORD.findall(LAYOUT.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower())))
+                    if _names_other(names, within):
+                        return OTHER
+                    likely = likely or not LIKELY_NAMES.isdisjoint(names)
             elif name == "role":
                 if value in ROLES:
                     return OTHER
@@ -108,14 +124,14 @@ def blocks(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []  # open elements, and what holds in them
     parts: list[str] = []
-    here, hidden, prose = UNKNOWN, 0, False  # hidden: open elements up to the outermost hidden one, or none
+    here, hidden, prose = UNKNOWN, 0, PART  # hidden: open elements up to the outermost hidden one, or none; prose: what a block in an article is
 
     def flush() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append((text, PART if here == ARTICLE and not prose else here))
+                out.append((text, prose if here == ARTICLE else here))
 
     def close(k: int) -> None:
         nonlocal here, hidden
@@ -140,7 +156,7 @@ def blocks(page: str) -> list[tuple[str, int]]:
                     close(hidden - 1)
             if not hidden:
                 flush()
-                prose = tag in PROSE and not m[2]
+                prose = PART if m[2] or tag not in PROSE else LABEL if tag in LABELS else ARTICLE
         if tag in VOID or m[4].endswith("/"):
             continue
         if m[2]:
@@ -237,9 +253,9 @@ def common(a: list[str], b: list[str]) -> list[bool]:
     return [True] * start + inner + [True] * end
 
 
-def main_text(own: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -> tuple[str, int]:
-    """The text that stays of a page, and how many blocks are shared with the neighbour that told.  others: blocks of the neighbours, the
-    nearest first."""
+def main_text(own: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -> tuple[str, int, list[int], list[int]]:
+    """The text that stays of a page, how many blocks are shared with the neighbour that told, and which of the blocks that stay are an article's prose, and of these shared.
+    others: blocks of the neighbours, the nearest first."""
     best = max((says for _, says in own), default=UNKNOWN)
     marked = best >= PART
     able = [says >= PART if marked else says != OTHER for _, says in own]
@@ -250,8 +266,25 @@ def main_text(own: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -
     for most in COPY if marked else COPY_OF_ALL:
         for shared, n in zip(found, sizes):
             if n < most * size:
-                return "\n\n".join(t for (t, says), s, ok in zip(own, shared, able) if ok and (says == ARTICLE or not s)), sum(shared)
-    return "\n\n".join(t for (t, says), ok in zip(own, able) if ok and (marked or says == best)), 0
+                stay = [(t, says == ARTICLE, s) for (t, says), s, ok in zip(own, shared, able) if ok and (says >= ARTICLE or not s)]
+                return "\n\n".join(t for t, _, _ in stay), sum(shared), [i for i, x in enumerate(stay) if x[1]], [i for i, x in enumerate(stay) if x[1] and x[2]]
+    stay = [(t, says) for (t, says), ok in zip(own, able) if ok and (marked or says == best)]
+    return "\n\n".join(t for t, _ in stay), 0, [i for i, x in enumerate(stay) if x[1] == ARTICLE], []
+
+
+def without_notices(texts: DataFrame, pages: DataFrame) -> DataFrame:
+    """texts (id, url, host, page, text, n_blocks, n_shared, prose, shared), a written table, without the blocks of prose that differencing found on many of the host's pages.
+    pages: host and page, a row for each page or more.  A host has at most (shared blocks of its mean page / NOTICE) notices."""
+    found = texts.where(F.size("shared") > 0).select("host", "page", F.split("text", "\n\n", -1).alias("blocks"), "shared")
+    line = F.explode(F.array_distinct(F.transform("shared", lambda i: F.struct(*text_key(F.get("blocks", i))))))
+    on = found.select("host", "page", line.alias("line")).groupBy("host", "line").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= NOTICE_PAGES)
+    totals = pages.groupBy("host").agg(F.count_distinct("page").alias("pages"))
+    notices = written(on.join(totals, "host").where(F.col("n") / F.col("pages") > NOTICE).groupBy("host").agg(F.collect_list("line").alias("notices")))
+    few = notices.agg(F.coalesce(F.sum(F.size("notices")), F.lit(0))).first()[0] + notices.count() <= FEW_ROWS
+    joined = texts.join(F.broadcast(notices) if few else notices.hint("merge"), "host", "left")
+    blocks_ = F.split("text", "\n\n", -1)
+    kept = F.filter(blocks_, lambda x, i: ~(F.array_contains("prose", i) & F.array_contains("notices", F.struct(*text_key(x)))))
+    return joined.withColumn("text", F.when(F.col("notices").isNotNull(), F.array_join(kept, "\n\n")).otherwise(F.col("text")))
 
 
 def _prefix(a: str, b: str) -> int:
@@ -337,18 +370,18 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                     first = int(len(near) == 2 and _prefix(near[1][1], path) > _prefix(near[0][1], path))
                     if first not in told:
                         told[first] = main_text(run[3], [x[3] for x, _ in (near[::-1] if first else near)])
-                    yield id_, url, told[first][0], len(run[3]), told[first][1]
+                    yield id_, url, run[1], run[2], told[first][0], len(run[3]), *told[first][1:]
 
         def packed(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [id_type, pa.string(), pa.string(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["id", "url", "text", "n_blocks", "n_shared"])
+            kinds = [id_type, pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["id", "url", "host", "page", "text", "n_blocks", "n_shared", "prose", "shared"])
 
         before = now = None
         for after in chain(different(), [None]):
             if now is not None:
                 for row in results(before, now, after):
                     out.append(row)
-                    size += len(row[2])
+                    size += len(row[4])
                     if size > 4 << 20:
                         yield packed(out)
                         out, size = [], 0
@@ -359,8 +392,9 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     kind = pages.schema[id_col].dataType.simpleString()
     id_type = to_arrow_type(pages.schema[id_col].dataType)
     ordered = dealt.select("id", "url", "host", "key", "page", "html", "own", "range").repartition("range").sortWithinPartitions("range", "key")
-    out = ordered.mapInArrow(run, f"id {kind}, url string, text string, n_blocks long, n_shared long")
-    return out.withColumnsRenamed({"id": id_col, "url": url_col})
+    texts = written(ordered.mapInArrow(run, f"id {kind}, url string, host string, page long, text string, n_blocks long, n_shared long, prose array<int>, shared array<int>"))
+    out = without_notices(texts, marks)
+    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_blocks", "n_shared")
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -423,6 +423,44 @@ def test_template_in_an_article_and_copies():
     assert not html_text.main_text(own, [copy, other])[0].endswith("Subscribe now")
 
 
+@pytest.mark.parametrize("ranges", [1, 30])
+def test_notices_of_marked_articles_go_by_host(spark, monkeypatch, ranges):
+    """Notices in articles' paragraphs that many pages have go, sentences that few share stay; against the rule by brute force."""
+    rng = random.Random(21)
+    notice, late = "Subscribe to our letter", "All rights stay with us"
+    pages = []
+    for host in ("a.org", "b.org"):
+        for n in range(24):
+            own = [f"{host} article {n} part {i} " + f"w{n} " * 30 for i in range(rng.randint(2, 4))]
+            if n in (4, 5, 6):
+                own.insert(1, "A sentence of a few")
+            if host == "a.org":
+                own.insert(rng.randint(0, len(own)), notice)
+                own += [late] if n % 4 else []
+            pages += [(f"http://{host}/p{n:02}", own)] * (6 if n == 5 else 1)
+    pages += [(f"http://small.org/{n}", [f"small {n} " * 9, notice]) for n in range(4)]
+    pages += [("http://one.org/x", [notice])]
+    rows_ = [(i, u, "<article>" + "".join(f"<p>{x}</p>" for x in own[:-1]) + f"<h2>Summary</h2><p>{own[-1]}</p></article>") for i, (u, own) in enumerate(pages)]
+    df = spark.createDataFrame(rows_, "page_id int, url string, html string")
+    for few in (1 << 20, 0):
+        monkeypatch.setattr(html_text, "FEW_ROWS", few)
+        got = {r.page_id: r.text for r in html_text.page_texts(df, ranges=ranges).collect()}
+        assert len(got) == len(pages)
+        for i, (url, own) in enumerate(pages):
+            gone = (notice, late) if "a.org" in url else ()
+            left = [x.strip() for x in [*own[:-1], "Summary", own[-1]] if x not in gone]
+            assert got[i] == "\n\n".join(left), url
+    assert html_text.page_texts(df.limit(0)).count() == 0
+
+
+def test_names_of_sections_in_articles():
+    text = lambda name: [t for t, says in html_text.blocks(f'<article><p>Own</p><section {name}><p>Part</p></section></article>') if says >= html_text.ARTICLE]
+    for name in ('class="related-work"', 'id="search-methods"', 'id="sharing-of-data"', 'class="has-sidebar"'):
+        assert text(name) == ["Own", "Part"], name
+    for name in ('class="related-posts"', 'class="related"', 'id="searchForm"', 'class="box social-links"', 'class="newsletter-signup"', 'id="user-comments"', 'class="ad-slot"'):
+        assert text(name) == ["Own"], name
+
+
 @pytest.mark.parametrize("broken", ["<head><title>t</title>", "<iframe src=x />", "<iframe src=x>", "<svg/>", "<button>Go", "<select><option>1", "<object data=x>", "<noscript/>"])
 def test_unclosed_elements_keep_the_article(broken):
     own = html_text.blocks(f"<html>{broken}<body><article><p>One</p><div>{broken}</div><p>Two {broken}</p><p>Three</p></article><footer>f</footer>")
