@@ -22,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops each source's boilerplate lines from its texts; n_chars follows the text."""
-    found = lines.without_boilerplate(docs)
+    """Drops each source's boilerplate lines from its texts; n_chars follows the text.  Copies count once: near-duplicate removal comes after."""
+    found = lines.without_boilerplate(docs, copies_once=True)
     return found.select(*(F.length("text").cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes))
 
 

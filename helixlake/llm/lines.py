@@ -1,13 +1,13 @@
 """Line dedup by frequency within a site.
 
 Pages are grouped by host.  A line's ratio is the number of a host's pages that contain it, over the number of the host's
-pages; lines above the ratio that are on enough pages are boilerplate there, and dropped.  Pages with equal text count once, so that
-copies of one page don't make its lines boilerplate.  At most (mean distinct lines of a host's pages / ratio) lines of a host
+pages; lines above the ratio that are on enough pages are boilerplate there, and dropped.  A page is a row with a text.  With copies_once, pages of a host with
+equal text count as one, so that copies of one page don't make its lines boilerplate.  At most (mean distinct lines of a host's pages / ratio) lines of a host
 can be above the ratio, so each host has a short list.  The lists are written, counted and joined to the pages by host: broadcast where
 all of them together have few lines, else by a merge of two plain exchanges, whose pages of a large host adaptive execution splits among tasks.
 
 Cases: a null text stays null, and is no page; an empty text is a page of one empty line; empty lines are never dropped; null hosts
-are one host, that of the empty name; repeated rows are one page, each row treated alike; a text may lose all its lines and is then
+are one host, that of the empty name; repeated rows are pages of their own (one page with copies_once), each row treated alike; a text may lose all its lines and is then
 empty; empty tables give empty results; other columns of the input are kept as they are, whatever their names.
 """
 
@@ -30,20 +30,21 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line), F.xxhash64(line, F.lit("2")))
 
 
-def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """(host, drop): for each host that has any, the keys of its boilerplate lines."""
     text = F.col(text_col).cast("string")
     pages = docs.where(text.isNotNull()).select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text.alias("text"), _key(text).alias("page"))
-    totals = pages.groupBy("host").agg(F.count_distinct("page").alias("pages"))
+    n_pages = F.count_distinct("page") if copies_once else F.count("*")
+    totals = pages.groupBy("host").agg(n_pages.alias("pages"))
     lines = pages.select("host", "page", F.explode(F.array_distinct(_lines(F.col("text")))).alias("line")).where("line <> ''")
-    on = lines.select("host", "page", _key(F.col("line")).alias("line")).groupBy("host", "line").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= min_pages)
+    on = lines.select("host", "page", _key(F.col("line")).alias("line")).groupBy("host", "line").agg(n_pages.alias("n")).where(F.col("n") >= min_pages)
     return on.join(totals, "host").where(F.col("n") / F.col("pages") > ratio).groupBy("host").agg(F.collect_list("line").alias("drop"))
 
 
-def without_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def without_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies_once: bool = False) -> DataFrame:
     """docs with the boilerplate lines of each row's host dropped from its text, and one more column, an array of two counts (lines, dropped
     lines), named lines_dropped (with underscores in front where docs has that name)."""
-    found = written(boilerplate(docs, host_col, text_col, ratio, min_pages))
+    found = written(boilerplate(docs, host_col, text_col, ratio, min_pages, copies_once))
     host, drop, kept = (unused(docs.columns, n) for n in ("host", "drop", "kept"))
     # a list is shorter than its host's mean page, divided by the ratio
     few = found.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0))).first()[0] + found.count() <= FEW_ROWS
@@ -65,8 +66,8 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = f"""
 WITH doc AS (SELECT doc_id, source, text, coalesce(source, '') AS host, string_split(text, chr(10)) AS l FROM documents),
-total AS (SELECT host, count(DISTINCT text) AS pages FROM doc WHERE text IS NOT NULL GROUP BY host),
-line AS (SELECT DISTINCT host, text, unnest(l) AS x FROM doc WHERE text IS NOT NULL),
+total AS (SELECT host, count(*) AS pages FROM doc WHERE text IS NOT NULL GROUP BY host),
+line AS (SELECT host, unnest(list_distinct(l)) AS x FROM doc WHERE text IS NOT NULL),
 drops AS (SELECT host, list(x) AS d FROM (SELECT host, x, count(*) AS n FROM line WHERE x <> '' GROUP BY host, x) JOIN total USING (host) WHERE n >= {MIN_PAGES} AND n / pages > {RATIO} GROUP BY host),
 kept AS (SELECT doc_id, source, text, l, CASE WHEN d IS NULL THEN l ELSE [x FOR x IN l IF x = '' OR NOT list_contains(d, x)] END AS k FROM doc LEFT JOIN drops USING (host))
 SELECT doc_id, source, CASE WHEN text IS NULL THEN NULL ELSE coalesce(array_to_string(k, chr(10)), '') END AS text,

@@ -165,10 +165,24 @@ def test_lines_keep_columns_of_any_name(spark, monkeypatch):
         assert [tuple(r) for r in got] == [(i, f"own {i}", "h", i, "a", "b", "c", [2, 1]) for i in range(8)]
 
 
-def test_copies_do_not_make_boilerplate(spark):
+def test_copies_make_boilerplate_unless_they_count_once(spark):
     data = [(i, "the same\ntext again", "h") for i in range(50)] + [(100 + i, f"other {i}", "h") for i in range(3)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
-    assert lines.without_boilerplate(df, ratio=0.3, min_pages=2).where("text = 'the same\ntext again'").count() == 50
+    kept = lambda **options: lines.without_boilerplate(df, ratio=0.3, min_pages=2, **options).where("text = 'the same\ntext again'").count()
+    assert kept(copies_once=True) == 50 and kept() == 0
+
+
+def test_lines_match_brute_force(spark):
+    """The plain ratio: rows that have a line, over the host's rows."""
+    rng = random.Random(8)
+    data = [(i, "\n".join(rng.choices("abcdefghij", weights=range(1, 11), k=rng.randint(0, 5))), rng.choice(["h", "g", None])) for i in range(120)]
+    data += [(200 + i, None, "h") for i in range(9)] + data[:7]
+    got = lines.without_boilerplate(spark.createDataFrame(data, "doc_id long, text string, source string"), ratio=0.3, min_pages=5)
+    total = Counter(s or "" for _, t, s in data if t is not None)
+    on = Counter((s or "", x) for _, t, s in data if t is not None for x in set(t.split("\n")))
+    drop = {(s, x) for (s, x), n in on.items() if x and n >= 5 and n / total[s] > 0.3}
+    want = [(i, None if t is None else "\n".join(x for x in t.split("\n") if (s or "", x) not in drop), s) for i, t, s in data]
+    assert drop and Counter(tuple(r)[:3] for r in got.collect()) == Counter(want)
 
 
 # --- quality
