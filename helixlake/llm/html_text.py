@@ -5,8 +5,8 @@ the nearest one behind of the same host whose html is another, and the one with
 are aligned by a longest common subsequence, and those that both have are template and deleted.  A neighbour that has half of a page's
 article or more (`COPY`) is a copy of it, whose shared blocks tell nothing of what is template; then the other neighbour decides, and where that is one too, nothing
 is deleted.  Paragraphs, headings, entries and quotations of an element that is marked as the article are likely the author's, and articles of one host share whole
-sentences: where neighbours have them too they are in doubt, and the host settles that.  The pages on which differencing found a line are counted in each host, equal pages once, and
-lines found on many of the host's pages are notices, which go from its articles; all others stay, and so do headings and tables' labels, which articles may have in common.  Of what is left, blocks stay by what their containers say: menus, headers, footers, sidebars, notices, adverts, forms and comments
+sentences: where a neighbour that is no copy has them too they are in doubt, and the host settles that.  The pages with a line in their article are counted in each host, equal pages once,
+and lines of most of the host's pages are notices, which go where they are in doubt; all others stay, and so do headings and tables' labels, which articles may have in common.  Of what is left, blocks stay by what their containers say: menus, headers, footers, sidebars, notices, adverts, forms and comments
 go, as they may differ from page to page; on pages that mark an article or main element, so does all outside of it.  Names of
 content (as in `class="post"`) count only where no neighbour tells anything.
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .tables import FEW_ROWS, table, text_key, written
+from .tables import FEW_ROWS, table, written
 from .words import chunks
 
 #: LABEL: a heading or a table's label of an article; PART: in an article, but in no paragraph, heading, entry or quotation of it.
@@ -42,8 +42,8 @@ CELLS = 1 << 26
 #: Share of a page's characters from which a neighbour that has them is a copy: of those in its article, or, where none is marked, of all, as template may
 #: be most of a page then; the second share holds if both neighbours have the first.
 COPY, COPY_OF_ALL = (0.5,), (0.9, 1.0)
-#: Lines of marked articles that differencing found on so many pages of a host, and on more than this share of its different pages, are notices.
-NOTICE_PAGES, NOTICE = 5, 0.3
+#: Lines of marked articles that so many pages of a host have, and more than this share of its different pages, are notices.
+NOTICE_PAGES, NOTICE = 5, 0.5
 #: Ranges for each of Spark's shuffle partitions, which evens out how many a partition gets.
 RANGES = 4
 #: Keys for each range that are drawn to place the ranges' borders, by least hash: they balance tasks, and don't change results.
@@ -253,9 +253,9 @@ def common(a: list[str], b: list[str]) -> list[bool]:
     return [True] * start + inner + [True] * end
 
 
-def main_text(own: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -> tuple[str, int, list[int], list[int]]:
-    """The text that stays of a page, how many blocks are shared with the neighbour that told, and which of the blocks that stay are an article's prose, and of these shared.
-    others: blocks of the neighbours, the nearest first."""
+def main_text(own: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -> tuple[str, int, list[int]]:
+    """The text that stays of a page, how many blocks are shared with the neighbour that told, and which of the blocks that stay are prose of an article that a neighbour which is
+    no copy has too.  others: blocks of the neighbours, the nearest first."""
     best = max((says for _, says in own), default=UNKNOWN)
     marked = best >= PART
     able = [says >= PART if marked else says != OTHER for _, says in own]
@@ -266,25 +266,32 @@ def main_text(own: list[tuple[str, int]], others: list[list[tuple[str, int]]]) -
     for most in COPY if marked else COPY_OF_ALL:
         for shared, n in zip(found, sizes):
             if n < most * size:
-                stay = [(t, says == ARTICLE, s) for (t, says), s, ok in zip(own, shared, able) if ok and (says >= ARTICLE or not s)]
-                return "\n\n".join(t for t, _, _ in stay), sum(shared), [i for i, x in enumerate(stay) if x[1]], [i for i, x in enumerate(stay) if x[1] and x[2]]
-    stay = [(t, says) for (t, says), ok in zip(own, able) if ok and (marked or says == best)]
-    return "\n\n".join(t for t, _ in stay), 0, [i for i, x in enumerate(stay) if x[1] == ARTICLE], []
-
-
-def without_notices(texts: DataFrame, pages: DataFrame) -> DataFrame:
-    """texts (id, url, host, page, text, n_blocks, n_shared, prose, shared), a written table, without the blocks of prose that differencing found on many of the host's pages.
-    pages: host and page, a row for each page or more.  A host has at most (shared blocks of its mean page / NOTICE) notices."""
-    found = texts.where(F.size("shared") > 0).select("host", "page", F.split("text", "\n\n", -1).alias("blocks"), "shared")
-    line = F.explode(F.array_distinct(F.transform("shared", lambda i: F.struct(*text_key(F.get("blocks", i))))))
-    on = found.select("host", "page", line.alias("line")).groupBy("host", "line").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= NOTICE_PAGES)
-    totals = pages.groupBy("host").agg(F.count_distinct("page").alias("pages"))
-    notices = written(on.join(totals, "host").where(F.col("n") / F.col("pages") > NOTICE).groupBy("host").agg(F.collect_list("line").alias("notices")))
-    few = notices.agg(F.coalesce(F.sum(F.size("notices")), F.lit(0))).first()[0] + notices.count() <= FEW_ROWS
-    joined = texts.join(F.broadcast(notices) if few else notices.hint("merge"), "host", "left")
-    blocks_ = F.split("text", "\n\n", -1)
-    kept = F.filter(blocks_, lambda x, i: ~(F.array_contains("prose", i) & F.array_contains("notices", F.struct(*text_key(x)))))
-    return joined.withColumn("text", F.when(F.col("notices").isNotNull(), F.array_join(kept, "\n\n")).otherwise(F.col("text")))
+                stay = [(t, says) for (t, says), s, ok in zip(own, shared, able) if ok and (says >= ARTICLE or not s)]
+                theirs = {t for other, m in zip(others, sizes) if m < most * size for t, _ in other} if marked else ()
+                return "\n\n".join(t for t, _ in stay), sum(shared), [i for i, (t, says) in enumerate(stay) if says == ARTICLE and t in theirs]
+    return "\n\n".join(t for (t, says), ok in zip(own, able) if ok and (marked or says == best)), 0, []
+
+
+def notices(rows: DataFrame) -> DataFrame:
+    """(host, notices): for each host that has any, the keys of its notices.  rows: host, page, html.  Less than (paragraphs of a host's mean page / NOTICE) lines of a host are notices."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "html"):
+            prose = [list({t for t, says in blocks(x) if says == ARTICLE}) for x in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("page"), pa.array(prose, pa.list_(pa.string()))], names=["host", "page", "prose"])
+
+    prose = rows.select("host", "page", "html").mapInArrow(run, "host string, page long, prose array<string>")
+    on = prose.select("host", "page", F.explode(F.transform("prose", lambda x: F.xxhash64(x))).alias("line")).groupBy("host", "line").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= NOTICE_PAGES)
+    totals = rows.groupBy("host").agg(F.count_distinct("page").alias("pages"))
+    return on.join(totals, "host").where(F.col("n") / F.col("pages") > NOTICE).groupBy("host").agg(F.collect_list("line").alias("notices"))
+
+
+def without_notices(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """texts (host, text, doubts) without those of their doubtful blocks that are notices of the host; found: a written table of notices()."""
+    few = found.agg(F.coalesce(F.sum(F.size("notices")), F.lit(0))).first()[0] + found.count() <= FEW_ROWS
+    joined = texts.join(F.broadcast(found) if few else found.hint("merge"), "host", "left")
+    kept = F.filter(F.split("text", "\n\n", -1), lambda x, i: ~(F.array_contains("doubts", i) & F.array_contains("notices", F.xxhash64(x))))
+    return joined.withColumn("text", F.when(F.col("notices").isNotNull() & (F.size("doubts") > 0), F.array_join(kept, "\n\n")).otherwise(F.col("text")))
 
 
 def _prefix(a: str, b: str) -> int:
@@ -370,18 +377,18 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                     first = int(len(near) == 2 and _prefix(near[1][1], path) > _prefix(near[0][1], path))
                     if first not in told:
                         told[first] = main_text(run[3], [x[3] for x, _ in (near[::-1] if first else near)])
-                    yield id_, url, run[1], run[2], told[first][0], len(run[3]), *told[first][1:]
+                    yield id_, url, run[1], told[first][0], len(run[3]), *told[first][1:]
 
         def packed(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [id_type, pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["id", "url", "host", "page", "text", "n_blocks", "n_shared", "prose", "shared"])
+            kinds = [id_type, pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["id", "url", "host", "text", "n_blocks", "n_shared", "doubts"])
 
         before = now = None
         for after in chain(different(), [None]):
             if now is not None:
                 for row in results(before, now, after):
                     out.append(row)
-                    size += len(row[4])
+                    size += len(row[3])
                     if size > 4 << 20:
                         yield packed(out)
                         out, size = [], 0
@@ -392,8 +399,8 @@ def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     kind = pages.schema[id_col].dataType.simpleString()
     id_type = to_arrow_type(pages.schema[id_col].dataType)
     ordered = dealt.select("id", "url", "host", "key", "page", "html", "own", "range").repartition("range").sortWithinPartitions("range", "key")
-    texts = written(ordered.mapInArrow(run, f"id {kind}, url string, host string, page long, text string, n_blocks long, n_shared long, prose array<int>, shared array<int>"))
-    out = without_notices(texts, marks)
+    texts = ordered.mapInArrow(run, f"id {kind}, url string, host string, text string, n_blocks long, n_shared long, doubts array<int>")
+    out = without_notices(texts, written(notices(rows)))
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_blocks", "n_shared")
 
 
