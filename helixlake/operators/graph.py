@@ -18,12 +18,17 @@ MAX_DEPTH, MAX_STARTS, MAX_BASE_LENGTH = 6, 32, 300
 UP, DOWN = "up", "down"
 
 
-def _looked_up(nodes: DataFrame, counts: KmerTable, column: str, cov: str) -> DataFrame:
-    """nodes with the coverage of a k-mer column, 0 where it is not counted."""
-    key = unused(nodes.columns, "key")
-    keyed = written(nodes.withColumn(key, pack(canonical(F.col(column)))))  # read twice: for its k-mers, and for their counts
-    found = counts.counts_of(keyed.select(key)).select(F.col("kmer").alias(key), F.col("cov").alias(cov))
-    return keyed.join(found, key, "left").drop(key).withColumn(cov, F.coalesce(cov, F.lit(0)))
+def _looked_up(nodes: DataFrame, counts: KmerTable, columns: dict[str, str]) -> DataFrame:
+    """nodes with the coverage of k-mer columns, 0 where one is not counted.  columns: the name of each one's coverage.  All are looked up at once; nodes are read for their k-mers
+    first and then for the counts, so they had better be a written table."""
+    keys = {}
+    for c in columns:
+        keys[c] = unused([*nodes.columns, *columns.values(), *keys.values()], "key")
+    keyed = nodes.withColumns({key: pack(canonical(F.col(c))) for c, key in keys.items()})
+    found = counts.counts_of(keyed.select(F.explode(F.array(*keys.values())).alias("kmer")))
+    for c, cov in columns.items():
+        keyed = keyed.join(found.select(F.col("kmer").alias(keys[c]), F.col("cov").alias(cov)), keys[c], "left").withColumn(cov, F.coalesce(cov, F.lit(0)))
+    return keyed.drop(*keys.values())
 
 
 def _moved(kmer: Column, base: Column, k: int, direction: Column) -> Column:
@@ -43,7 +48,7 @@ def neighbors(nodes: DataFrame, counts: DataFrame | KmerTable, k: int) -> DataFr
     """nodes (with kmer and direction) with (base, neighbor, cov): all four on that side, absent ones with coverage 0."""
     four = F.explode(F.array(*(F.lit(b) for b in "ACGT")))
     made = nodes.withColumn("base", four).withColumn("neighbor", _moved(F.col("kmer"), F.col("base"), k, F.col("direction")))
-    return _looked_up(made, stored(counts, k), "neighbor", "cov")
+    return _looked_up(made, stored(counts, k), {"neighbor": "cov"})
 
 
 def anchors(queries: DataFrame, k: int) -> DataFrame:
@@ -56,7 +61,7 @@ def anchors(queries: DataFrame, k: int) -> DataFrame:
 
 def kmer_neighbors(queries: DataFrame, counts: DataFrame | KmerTable, k: int) -> DataFrame:
     """(query_id, direction, base, neighbor, cov)."""
-    return neighbors(anchors(queries, k), counts, k).select("query_id", "direction", "base", "neighbor", "cov")
+    return neighbors(written(anchors(queries, k)), counts, k).select("query_id", "direction", "base", "neighbor", "cov")
 
 
 def kmer_query(queries: DataFrame, counts: DataFrame | KmerTable, k: int) -> DataFrame:
@@ -65,7 +70,7 @@ def kmer_query(queries: DataFrame, counts: DataFrame | KmerTable, k: int) -> Dat
     own = queries.select("query_id", clean_query(F.col("query")).alias("query")).withColumn("error", query_status(F.col("query"), k))
     valid = own.where("error IS NULL").select("query_id", F.substring("query", 1, k).alias("left"), F.expr(f"right(query, {k})").alias("right"), (F.length("query") > k).alias("truncated"))
     counts = stored(counts, k)
-    covered = _looked_up(_looked_up(valid, counts, "left", "left_cov"), counts, "right", "right_cov")
+    covered = _looked_up(written(valid), counts, {"left": "left_cov", "right": "right_cov"})
     degree = kmer_neighbors(queries, counts, k).groupBy("query_id").agg(F.count_if((F.col("direction") == UP) & (F.col("cov") > 0)).alias("in_degree"), F.count_if((F.col("direction") == DOWN) & (F.col("cov") > 0)).alias("out_degree"))
     found = covered.join(degree, "query_id").select("query_id", "left", "right", canonical(F.col("left")).alias("left_canonical"), canonical(F.col("right")).alias("right_canonical"), F.least("left_cov", "right_cov").alias("coverage"), "truncated", "in_degree", "out_degree")
     return own.select("query_id", "error").join(found, "query_id", "left")
@@ -79,7 +84,7 @@ def ranked_branches(found: DataFrame, by: list[str]) -> DataFrame:
 def _walk(start: DataFrame, counts: DataFrame | KmerTable, k: int, depths: dict[str, int], first_step: int, best_only: bool) -> DataFrame:
     """Levels of covered neighbours.  start: query_id, direction, kmer; the path holds the bases taken so far."""
     depths, counts = {side: max(0, min(MAX_DEPTH, depth)) for side, depth in depths.items()}, stored(counts, k)
-    level = start.withColumn("path", F.lit(""))
+    level = written(start.withColumn("path", F.lit("")))
     out = None
     for step in range(1, max(depths.values()) + 1):
         open_ = [side for side, depth in depths.items() if depth >= step]

@@ -47,7 +47,7 @@ class KmerTable:
     """A stored table; `k`, `runs`, `batches` (numbers of batches that are in it), `coarse` and `fine` (bits of buckets, as exchanged and as stored)."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self._scanned = spark, path, None
         found = [int(n.removesuffix(".json")) for n in self._names("manifest") if n.endswith(".json")]
         if not found:
             raise ValueError(f"no table in {path}")
@@ -60,7 +60,7 @@ class KmerTable:
         """An empty table whose buckets suit the size of a source: reads (seq), or a table (kmer, n or cov)."""
         table = cls.__new__(cls)
         coarse = Deal(source).bits
-        table.spark, table.path, table.version = spark, path, -1
+        table.spark, table.path, table.version, table._scanned = spark, path, -1, None
         table.__dict__.update(k=k, runs=[], batches=[], coarse=coarse, fine=coarse + FINER_BITS)
         table._commit(table.runs, table.batches, table.coarse, table.fine)
         return table
@@ -82,7 +82,7 @@ class KmerTable:
         out.close()
         if not fs.rename(at(f"manifest/{number}.tmp"), at(f"manifest/{number}.json")):
             raise RuntimeError(f"another job has written version {number} of {self.path}")
-        self.version = number
+        self.version, self._scanned = number, None
         self.__dict__.update(state)
 
     @property
@@ -95,9 +95,13 @@ class KmerTable:
         return self._scan().select("bucket", F.lit(0).alias("asks"), "keys", "counts")
 
     def _scan(self) -> DataFrame:
+        """The lists of the runs.  Their files are listed once for each version of the table."""
         if not self.runs:
             return self.spark.createDataFrame([], _SCHEMA)
-        return self.spark.read.schema(_SCHEMA).parquet(f"{self.path}/data").where(F.col("run").isin(self.runs))
+        if self._scanned is None:
+            folders = [f"{self.path}/data/run={run}" for run in self.runs]
+            self._scanned = self.spark.read.schema(_SCHEMA).option("basePath", f"{self.path}/data").parquet(*folders)
+        return self._scanned
 
     def _write(self, lists: DataFrame, coarse: int, fine: int, run: str) -> None:
         """Merges lists by bucket and writes them as a run, cut to `fine` bits.  lists: by buckets of `coarse` bits."""
@@ -169,11 +173,14 @@ class KmerTable:
         groups = np.unique(own >> (self.fine - min(self.coarse, GROUP_BITS)))
         if int(self.spark.conf.get(_PUSHED, "10")) < MOST_PUSHED:
             self.spark.conf.set(_PUSHED, str(MOST_PUSHED))
-        return self._scan().where(F.col("group").isin(groups.tolist()) & F.col("bucket").isin(own.tolist())).select("keys", "counts")
+        if not len(own):
+            return self._scan().limit(0).select("keys", "counts")
+        listed = lambda column, values: f"{column} IN ({', '.join(map(str, values))})"  # noqa: E731  (as one text; a Column for each value takes a call to the JVM)
+        return self._scan().where(f"{listed('group', groups)} AND {listed('bucket', own)}").select("keys", "counts")
 
     def counts_of(self, kmers: DataFrame, cap: int = READ_CAP) -> DataFrame:
-        """(kmer, cov) of those packed canonical k-mers (one column) that are in the table.  Where so many are asked for that most lists are read anyway, the whole table is
-        joined to them."""
+        """(kmer, cov) of those packed canonical k-mers (one column) that are in the table, with a hint to broadcast them: they are ASKED_AT_ONCE rows at most.  Where more are
+        asked for, most lists are read anyway, and the whole table is joined to them, without a hint."""
         name = kmers.columns[0]
         different = kmers.where(F.col(name).isNotNull()).distinct()
         asked = self._few(different)
@@ -195,7 +202,7 @@ class KmerTable:
         if not len(keys) or not self.runs:
             return self.spark.createDataFrame([], "kmer long, cov int")
         found = self.lists_for(keys).mapInArrow(run, "kmer long, n long")
-        return found.groupBy("kmer").agg(F.least(F.sum("n"), F.lit(cap)).cast("int").alias("cov"))
+        return F.broadcast(found.groupBy("kmer").agg(F.least(F.sum("n"), F.lit(cap)).cast("int").alias("cov")))
 
     def starting_with(self, prefixes: DataFrame, most: int | None, cap: int = READ_CAP) -> DataFrame:
         """(prefix, kmer, cov): k-mers as text, in either orientation, that start with prefixes (one column) shorter than k; most: the first so many by text of each.
