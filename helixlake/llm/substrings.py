@@ -6,7 +6,7 @@ that it stands for, while neighbouring windows share one and only about one gram
 sketches are merged segment by segment; what is kept is one bit for each cell, set where the count is two or more.  Its size follows the size of the texts.  Up to
 `BROADCAST_BITS` (32 MB) it is broadcast; a larger one stays where it was merged, and the minimizers are sent to its segments instead.
 Second pass: windows whose minimizer is counted twice in both
-rows of the sketch are grouped exactly by 96 bits of hash, in buckets of even size: tasks exchange lists of different hashes with the least id of each, which buckets
+rows of the sketch are grouped exactly by 96 bits of hash, in buckets of even size, whose number follows the size of the texts: tasks exchange lists of different hashes with the least id of each, which buckets
 add up to the least ids of what is in more than one document; then lists of hashes, ids and places are held against those, one after the other,
 so that a passage that is everywhere takes no more memory than another.  The sketch loses no repeated window; where it is too full, more windows are grouped in vain, and the result
 stays the same.
@@ -37,9 +37,9 @@ GRAM = 16
 BROADCAST_BITS, MOST_BITS = 27, 40
 #: Cells for each minimizer that texts of so many bytes have, about.
 ROOM, BYTES_A_MINIMIZER = 4, 100
-#: Buckets for each of Spark's shuffle partitions, and stretches of repeated windows up to which they are broadcast.
+#: Buckets for each of Spark's shuffle partitions at least, and stretches of repeated windows up to which they are broadcast.
 BUCKETS, FEW_STRETCHES = 4, 1 << 21
-#: Windows of a bucket that are held before equal ones are added up.
+#: Windows of a bucket that are held before equal ones are added up, and different windows of a bucket at most.
 HELD = 1 << 21
 #: Cells of a segment of the sketch, as a power of two.
 SEGMENT_BITS = 17
@@ -95,11 +95,28 @@ def _cells(minimizers: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return minimizers & mask, mixed(minimizers) & mask
 
 
-def sketch_bits(texts: DataFrame) -> int:
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+def text_bytes(texts: DataFrame) -> int:
+    return texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+
+def sketch_bits(size: int) -> int:
+    """Bits of the sketch of texts of so many bytes."""
     return min(max((ROOM * size // BYTES_A_MINIMIZER).bit_length(), SEGMENT_BITS), MOST_BITS)
 
 
+def bucket_bits(size: int, least: int) -> int:
+    """Bits of buckets, `least` buckets or more: as many as leave none with more than HELD different windows of texts of so many bytes.  A window begins with a word and a
+    blank, two bytes at least; windows are dealt out by their hash, so that buckets are even."""
+    return max(1, (max(least, size // 2 // HELD) - 1).bit_length())
+
+
+def cuts(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted hashes fall into, and where each of those begins, with the end; the work follows the hashes, not the buckets."""
+    own = (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    return own[starts], np.append(starts, len(own))
+
+
 def _of_documents(texts: pa.Array, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, minimizer): the different minimizers of each text of a chunk."""
     doc, _, _, _, least = windows(split_words(texts, PLAIN), window, gram)
@@ -263,10 +280,10 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int =
     """(id, starts, ends): for each document that has any, the stretches of words in windows that start in a document with a smaller id too."""
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    bits = bits or sketch_bits(texts)
+    size = text_bytes(texts)
+    bits = bits or sketch_bits(size)
     kind = docs.schema[id_col].dataType.simpleString()
-    bucket_bits = max(1, (BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    inner = np.arange(1, 1 << bucket_bits, dtype=np.uint64) << np.uint64(64 - bucket_bits)
+    dealt_bits = bucket_bits(size, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")))
     merged = sketch(texts, window, gram, bits)
     if bits <= BROADCAST_BITS:
         shared = spark.sparkContext.broadcast(gathered(merged, bits))
@@ -296,9 +313,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int =
                 new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]]) | (doc[k[order[1:]]] != doc[k[order[:-1]]])
                 order = order[new]
                 one, two, ids, at = _least(one[order], two[order], ids.take(pa.array(order)), np.ones(len(order), np.int32))
-            cut = np.concatenate([[0], np.searchsorted(one, inner), [len(one)]])
-            full = np.flatnonzero(np.diff(cut))
-            starts = np.append(cut[full], len(one))
+            full, starts = cuts(one, dealt_bits)
             own = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), ids)
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), asks, np.int32)), _binaries(starts, one), _binaries(starts, two), own, _binaries(starts, at.astype(np.int32))], names=["bucket", "asks", "h1", "h2", "ids", "at"])
 

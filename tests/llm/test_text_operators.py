@@ -136,6 +136,16 @@ def test_substrings_match_brute_force(spark, monkeypatch, window, gram, bits, br
     assert sorted((tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "text").collect()), key=repr) == want
 
 
+def test_substring_buckets_follow_the_texts():
+    assert substrings.bucket_bits(0, 1) == 1 and substrings.bucket_bits(10_000, 32) == 5
+    for size in (10**9, 10**12, 10**14):
+        assert size / 2 / 2 ** substrings.bucket_bits(size, 32) <= substrings.HELD
+    hashes = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 500, dtype=np.uint64) << np.uint64(1))
+    for some, bits in ((hashes, 3), (hashes, 24), (hashes[:0], 3)):
+        own, starts = substrings.cuts(some, bits)
+        assert np.repeat(own, np.diff(starts)).tolist() == [int(h) >> 64 - bits for h in some] and len(set(own.tolist())) == len(own)
+
+
 def test_substrings_of_nothing(spark):
     assert substrings.without_repeats(docs(spark, [])).count() == 0
 
