@@ -1,3 +1,6 @@
+import sys
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -91,3 +94,14 @@ def test_coverage_ratio_and_class(spark):
 def test_hamming(spark):
     df = spark.createDataFrame([("ACGT", "ACGA"), ("", "A"), ("AAAA", "TT")], "a string, b string")
     assert [r[0] for r in df.select(dna.hamming(F.col("a"), F.col("b"))).collect()] == [1, 0, 2]
+
+
+def test_long_indexes_take_little_time(spark):
+    """Twenty digits to some thousand, 20,000 rows: seconds, not minutes."""
+    numbers = [10**20 + i**5 for i in range(20_000)] + [7**n for n in (500, 2000, 6000)]
+    sys.set_int_max_str_digits(0)
+    started = time.monotonic()
+    got = [r[0] for r in spark.createDataFrame([(str(n),) for n in numbers], "x string").select(dna.index_to_dna(F.col("x"))).collect()]
+    assert time.monotonic() - started < 20
+    values = [int(x.translate(str.maketrans("ACGT", "0123")), 4) for x in got]
+    assert values == numbers and all(x[0] != "A" for x in got)
