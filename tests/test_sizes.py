@@ -1,12 +1,18 @@
 """Queries against their SQL on tables that are larger in one respect than the given ones, and what they move."""
 
 import os
+import random
+import time
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows
 
 import __spark_entry__ as entry
+from helixlake.functions import kmers
+from helixlake.operators import counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +41,46 @@ def same_as_sql(spark, name, folder):
 @pytest.mark.parametrize("name", ["j5_w4_index_starts", "g5_index_query"])
 def test_indexes_of_more_than_eight_bases(spark, large_keys, name):
     same_as_sql(spark, name, large_keys)
+
+
+def moved(spark, df):
+    """Bytes that a query shuffles and spills."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def total():
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() + stages.apply(i).diskBytesSpilled() for i in range(stages.size()))
+
+    before = total()
+    df.write.format("noop").mode("overwrite").save()
+    time.sleep(1)
+    return total() - before
+
+
+@pytest.mark.parametrize("what", ["counts", "membership"])
+def test_kmers_are_moved_in_pieces(spark, what):
+    """Far less than the eight bytes of a k-mer."""
+    rng = random.Random(5)
+    df = spark.createDataFrame([(i, "".join(rng.choice("ACGT") for _ in range(2000))) for i in range(500)], "strand_id long, seq string").repartition(2)
+    df = df.localCheckpoint()
+    found = counts.kmer_counts(df, 31) if what == "counts" else counts.strand_membership(df, 31)
+    assert moved(spark, found) < 4 * 500 * 1970
+
+
+@pytest.mark.parametrize("k", [1, 4, 13, 17, 19, 20, 25, 31])
+def test_pieces_hold_every_window(k):
+    rng = random.Random(k)
+    seqs = ["".join(rng.choice("ACGTACGTN") for _ in range(rng.randint(0, 150))) for _ in range(40)] + ["A" * 9000, "", None, "ACGT" * 2500]
+    bucket, pieces = kmers.Pieces.cut(pa.array(seqs), k, 5, np.arange(len(seqs)))
+    owner, pos, kmer = kmers._windows(pa.array(seqs), k)
+    got = zip(np.repeat(pieces.s, pieces.sizes), np.repeat(pieces.pos, pieces.sizes) + kmers._within(pieces.sizes), pieces.kmers())
+    assert [tuple(map(int, x)) for x in got] == [tuple(map(int, x)) for x in zip(owner, pos, kmer)]
+    keys = pieces.kmers() * kmers._ODD
+    assert kmers.Deal(None, 5).of(keys, k).tolist() == np.repeat(bucket, pieces.sizes).tolist()
+    order = np.array(rng.sample(range(len(pieces.sizes)), len(pieces.sizes)))
+    assert sorted(pieces.taken(order).kmers()) == sorted(pieces.kmers())
+
+
+@pytest.mark.parametrize("name", ["j2_target_in_reads", "j2_noise_kmers", "u3_target_sets", "a7_target_histogram", "w6_entangled_topn", "a3_strand_membership_count", "f18_parse_cs"])
+def test_same_as_sql(spark, name):
+    same_as_sql(spark, name, SF)
