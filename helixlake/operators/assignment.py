@@ -238,7 +238,7 @@ def _in_blocks(rows: DataFrame, id_col: str, most: int, name: str, columns: list
 
 def exhausted(reads: DataFrame, strands: DataFrame, ambiguity: int) -> DataFrame:
     """(read_id, strand_id, score): reads (read_id, seq, best) against all strands, in blocks of both: every pair within `ambiguity` of the read's best score, and some others.
-    A block of strands is sent to each block of reads, and no pair is made a row before its score is known to matter.  First each read is aligned to the strands of each block
+    Blocks of strands meet each block of reads, by a broadcast where they are few and else by a product of partitions, and no pair is made a row before its score is known to matter.  First each read is aligned to the strands of each block
     that promise most; the best score of those then excludes nearly all others."""
     kinds = {c: d.schema[c].dataType for c, d in (("read_id", reads), ("strand_id", strands))}
     names = {c: kind.simpleString() for c, kind in kinds.items()}
@@ -256,8 +256,14 @@ def exhausted(reads: DataFrame, strands: DataFrame, ambiguity: int) -> DataFrame
                     yield of(block, batch.column("r_rows")[k].as_py())
 
         of_reads, n_reads = _in_blocks(reads, "read_id", READS_A_BLOCK, "r", ["read_id", "seq", "best"])
-        tasks = of_reads.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_strands - 1)))).repartition(max(1, min(n_reads * n_strands, MOST_TASKS)), "r", "s")
-        both = tasks.join(of_strands.hint("broadcast" if n_strands <= FEW_BLOCKS else "merge"), "s").sortWithinPartitions("s").select("s", "s_rows", "r_rows")
+        if n_strands <= FEW_BLOCKS:
+            tasks = of_reads.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_strands - 1)))).repartition(max(1, min(n_reads * n_strands, MOST_TASKS)), "r", "s")
+            both = tasks.join(F.broadcast(of_strands), "s").sortWithinPartitions("s").select("s", "s_rows", "r_rows")
+        else:
+            # each block is moved once, and read by each task that needs it; all blocks of reads that a task has follow each other for a block of strands
+            side = int(MOST_TASKS**0.5)
+            left, right = of_strands.repartition(min(n_strands, side), "s"), of_reads.select("r", "r_rows").repartition(min(n_reads, side), "r")
+            both = left.hint("shuffle_replicate_nl").crossJoin(right).select("s", "s_rows", "r_rows")
         return both.mapInArrow(run, schema)
 
     def first(block: Block, rows: list[dict]) -> pa.RecordBatch:

@@ -12,7 +12,7 @@ from conftest import rows
 
 import __spark_entry__ as entry
 from helixlake.functions import kmers
-from helixlake.operators import counts
+from helixlake.operators import assignment, counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,3 +84,25 @@ def test_pieces_hold_every_window(k):
 @pytest.mark.parametrize("name", ["j2_target_in_reads", "j2_noise_kmers", "u3_target_sets", "a7_target_histogram", "w6_entangled_topn", "a3_strand_membership_count", "f18_parse_cs"])
 def test_same_as_sql(spark, name):
     same_as_sql(spark, name, SF)
+
+
+def test_blocks_are_moved_once(spark, monkeypatch):
+    """Reads that all strands are held against: the blocks of both meet without a copy of each for each."""
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    strands = spark.createDataFrame([(f"s{i}", text(60)) for i in range(300)], "strand_id string, seq string").localCheckpoint()
+    reads = spark.createDataFrame([(f"r{i}", text(60), None) for i in range(200)], "read_id string, seq string, best long").localCheckpoint()
+    want = rows(assignment.exhausted(reads, strands, 2))
+    for name, value in (("FEW_BLOCKS", 2), ("STRANDS_A_BLOCK", 12), ("READS_A_BLOCK", 50)):
+        monkeypatch.setattr(assignment, name, value)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: sum(x.shuffleWriteBytes() for x in (lambda a: [a.apply(i) for i in range(a.size())])(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)))
+    before = written()
+    got = rows(assignment.exhausted(reads, strands, 2))
+    best = lambda found: {r: max(x[2] for x in found if x[0] == r) for r in {x[0] for x in found}}
+    close = lambda found: {x for x in found if x[2] >= best_of[x[0]] - 2}
+    best_of = best(want)
+    assert best(got) == best_of and close(got) == close(want)
+    time.sleep(1)
+    # 4 blocks of reads and 25 of strands; a copy of each block of reads for each of strands took 25 times their size, twice
+    assert written() - before < 16 * 500 * 70
