@@ -125,3 +125,21 @@ def test_reads_longer_than_what_is_packed_at_once(spark, tables, monkeypatch):
 def test_neighbors_move_what_is_asked_for(spark):
     reads, own = large(spark)
     assert moved(spark, lambda: graph.kmer_neighbors(own, reads, 31)) < 200_000
+
+
+@pytest.mark.parametrize("source", ["reads", "table", "many", "stored"])
+def test_trees(spark, tables, source, monkeypatch):
+    reads, own, asked = tables
+    if source == "many":
+        monkeypatch.setattr(store, "ASKED_AT_ONCE", 3)
+    made = {"table": lambda: counts.kmer_counts(reads, K), "stored": lambda: store.stored(reads, K)}.get(source, lambda: reads)()
+    want = tree(seen(reads), asked, 3, False)
+    got = rows(graph.branch_tree(own, made, K, 3))
+    assert set(got) == want and len(got) == len(want) > 50
+    top = graph.branch_tree(own, made, K, 1)
+    assert {(r[0], r[1], r[3]) for r in rows(graph.expand_nodes(top, made, K))} == {(w[0], w[1], w[3]) for w in want if w[2] == 2}
+
+
+def test_trees_move_what_is_asked_for(spark):
+    reads, own = large(spark)
+    assert moved(spark, lambda: graph.branch_tree(own, reads, 31, 3)) < 400_000
