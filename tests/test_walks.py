@@ -143,3 +143,20 @@ def test_trees(spark, tables, source, monkeypatch):
 def test_trees_move_what_is_asked_for(spark):
     reads, own = large(spark)
     assert moved(spark, lambda: graph.branch_tree(own, reads, 31, 3)) < 400_000
+
+
+@pytest.mark.parametrize("source", ["reads", "table", "many", "stored"])
+def test_greedy_paths(spark, tables, source, monkeypatch):
+    reads, own, asked = tables
+    if source == "many":
+        monkeypatch.setattr(store, "ASKED_AT_ONCE", 3)
+    made = {"table": lambda: counts.kmer_counts(reads, K), "stored": lambda: store.stored(reads, K)}.get(source, lambda: reads)()
+    for up, down in ((6, 6), (2, 5)):
+        want = {w for w in tree(seen(reads), asked, 6, True) if w[2] <= (up if w[1] == "up" else down)}
+        got = rows(graph.greedy_path(own, made, K, up, down))
+        assert set(got) == want and len(got) == len(want) > 20
+
+
+def test_greedy_paths_move_what_is_asked_for(spark):
+    reads, own = large(spark)
+    assert moved(spark, lambda: graph.greedy_path(own, reads, 31, 6)) < 600_000
