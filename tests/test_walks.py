@@ -160,3 +160,28 @@ def test_greedy_paths(spark, tables, source, monkeypatch):
 def test_greedy_paths_move_what_is_asked_for(spark):
     reads, own = large(spark)
     assert moved(spark, lambda: graph.greedy_path(own, reads, 31, 6)) < 600_000
+
+
+@pytest.mark.parametrize("source", ["reads", "table", "stored"])
+@pytest.mark.parametrize("k", [9, K])
+def test_first_of_prefixes(spark, tables, source, k, monkeypatch):
+    reads, _, _ = tables
+    monkeypatch.setattr(store, "HITS_AT_ONCE", 10)
+    monkeypatch.setattr(kmers, "BATCH_BASES", 50)
+    monkeypatch.setattr(graph, "MAX_STARTS", 4)
+    both: dict = {}
+    for kmer, cov in rows(counts.kmer_counts(reads, k, text=True)):
+        both[kmer] = both[turned(kmer)] = cov
+    prefixes = ["A", "ACG", "TT", "C", "AAAAAAA", "CGTACGT", "GGGGGGGG"]
+    want = {(p, x, both[x], i, sum(y.startswith(p) for y in both) >= 4) for p in prefixes for i, x in enumerate(sorted(y for y in both if y.startswith(p))[:4], 1)}
+    made = {"table": lambda: counts.kmer_counts(reads, k), "stored": lambda: store.stored(reads, k)}.get(source, lambda: reads)()
+    got = rows(graph.prefix_starts(spark.createDataFrame([(p, p) for p in prefixes], "query_id string, prefix string"), made, k))
+    assert set(got) == want and len(got) == len(want) > 20
+
+
+def test_indexes_move_no_table(spark, monkeypatch):
+    """Many walks of one step: the reads' pieces, and what is asked for."""
+    monkeypatch.setattr(store, "ASKED_AT_ONCE", 50)
+    reads, _ = large(spark)
+    own = spark.createDataFrame([(i, str(i * 50)) for i in range(40)], "query_id long, index string")
+    assert moved(spark, lambda: graph.index_query(own, reads, 31, 8)) < 5_000_000
