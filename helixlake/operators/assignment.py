@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.distances import Near, Planes, distances
 from ..functions.kmers import forward_windows, kmers_distinct, kmers_ordered
 from ..sources.scratch import beside, settled, written
 from .alignment import majority_vote
@@ -26,6 +27,8 @@ FREQUENT = 64
 READS_A_BLOCK, STRANDS_A_BLOCK, BLOCK_BASES, FIRST, PAIRS_AT_ONCE, GRAM = 256, 2048, 1 << 20, 4, 1 << 15, 5
 #: Blocks of strands (of some 2 MB) up to which they are broadcast, and tasks that blocks are dealt out to.
 FEW_BLOCKS, MOST_TASKS = 16, 4096
+#: Reads, strands and bases of a block of the search for near strands, and blocks of reads that a task holds.
+NEAR_READS, NEAR_STRANDS, NEAR_BASES, NEAR_HELD = 1 << 13, 1 << 17, 1 << 23, 32
 #: Cells of the tables that are filled in at once.
 CELLS = 1 << 23
 
@@ -97,12 +100,21 @@ def candidates(reads: DataFrame, strands: DataFrame, k: int | None) -> DataFrame
     return kmers_distinct(reads, k, "read_id").select("read_id", "kmer").join(kmers_distinct(strands, k).select("strand_id", "kmer"), "kmer").select("read_id", "strand_id").distinct()
 
 
+def score_of(strand: np.ndarray, read: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """The score of sequences of these lengths that are so many edits apart: a base costs half of MATCH less wherever it is matched, so that the best alignment is that of the fewest edits."""
+    return strand + read - 3 * edits
+
+
 def scores(strands: list[str], reads: list[str]) -> np.ndarray:
-    """The score of a global alignment of each pair, without the alignment.  Tables are filled by their diagonals, those of all pairs of the same lengths at once."""
+    """The score of a global alignment of each pair, without the alignment: by the edit distance where both are short and have no other letters than bases.  The tables of others are
+    filled by their diagonals, those of all pairs of the same lengths at once."""
     out = np.zeros(len(reads), np.int64)
+    a, b = Planes(strands), Planes(reads)
+    plain = np.flatnonzero(a.plain & b.plain)
+    out[plain] = score_of(a.size[plain], b.size[plain], distances(a, b, plain, plain))
     groups: dict[tuple[int, int], list[int]] = {}
-    for k, (s, r) in enumerate(zip(strands, reads)):
-        groups.setdefault((len(s), len(r)), []).append(k)
+    for k in np.flatnonzero(~(a.plain & b.plain)).tolist():
+        groups.setdefault((len(strands[k]), len(reads[k])), []).append(k)
     for (n, m), members in groups.items():
         step = max(1, CELLS // (4 * (n + 1)))
         for low in range(0, len(members), step):
@@ -228,10 +240,10 @@ class Block:
         return r[keep], s[keep], score[keep]
 
 
-def _in_blocks(rows: DataFrame, id_col: str, most: int, name: str, columns: list[str]) -> tuple[DataFrame, int]:
-    """(name, list): rows in blocks of about `most` of them or `BLOCK_BASES` bases, and the number of blocks."""
+def _in_blocks(rows: DataFrame, id_col: str, most: int, name: str, columns: list[str], most_bases: int | None = None) -> tuple[DataFrame, int]:
+    """(name, list): rows in blocks of about `most` of them or `most_bases` (`BLOCK_BASES`) bases, and the number of blocks."""
     n, bases = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()
-    blocks = max(1, -(-n // most), -(-bases // BLOCK_BASES))
+    blocks = max(1, -(-n // most), -(-bases // (most_bases or BLOCK_BASES)))
     block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias(name)
     return written(rows.select(block, F.struct(*columns).alias("row")).groupBy(name).agg(F.collect_list("row").alias(f"{name}_rows"))), blocks
 
@@ -278,26 +290,71 @@ def exhausted(reads: DataFrame, strands: DataFrame, ambiguity: int) -> DataFrame
     return written(against(known, every, f"read_id {names['read_id']}, strand_id {names['strand_id']}, score long"))
 
 
+def near_strands(reads: DataFrame, strands: DataFrame, ambiguity: int) -> tuple[DataFrame, DataFrame]:
+    """(read_id, strand_id, score), (read_id, changes): reads (read_id, seq) with strands few edits away, which have a part of the read with one edit at most, within `ambiguity` of the read's best such
+    strand of the block; and for each read the changes that all strands at least have that were not compared with it.  A block of strands meets all blocks of reads of a task, one after the other."""
+    kinds = {c: d.schema[c].dataType for c, d in (("read_id", reads), ("strand_id", strands))}
+    names = {c: kind.simpleString() for c, kind in kinds.items()}
+    types = {c: to_arrow_type(kind) for c, kind in kinds.items()}
+    of_strands, n_strands = _in_blocks(strands, "strand_id", NEAR_STRANDS, "s", ["strand_id", "seq"], NEAR_BASES)
+    of_reads, n_reads = _in_blocks(reads, "read_id", NEAR_READS, "r", ["read_id", "seq"], NEAR_BASES)
+    side = max(-(-3 * reads.sparkSession.sparkContext.defaultParallelism // n_strands), -(-n_reads // NEAR_HELD))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block, ids = None, None, []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if (number := batch.column("s")[k].as_py()) != held:
+                    rows = batch.column("s_rows")[k].values
+                    held, block, ids = number, Near(rows.field("seq").to_pylist()), rows.field("strand_id").to_pylist()
+                rows = batch.column("r_rows")[k].values
+                seqs, own = rows.field("seq").to_pylist(), rows.field("read_id").to_pylist()
+                r, s, edits, told = block.search(seqs)
+                score = score_of(block.own.size[s], np.array([len(x) for x in seqs], np.int64)[r], edits)
+                if len(odd := np.flatnonzero(edits < 0)):
+                    score[odd] = scores([block.seqs[x] for x in s[odd]], [seqs[x] for x in r[odd]])
+                top = np.full(len(seqs), np.iinfo(np.int64).min)
+                np.maximum.at(top, r, score)
+                keep = np.flatnonzero(score >= top[r] - ambiguity)
+                yield pa.RecordBatch.from_arrays([pa.array([own[x] for x in r[keep]], types["read_id"]), pa.array([ids[x] for x in s[keep]], types["strand_id"]), pa.array(score[keep]), pa.nulls(len(keep), pa.int32())], names=["read_id", "strand_id", "score", "changes"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, types["read_id"]), pa.nulls(len(own), types["strand_id"]), pa.nulls(len(own), pa.int64()), pa.array(told.astype(np.int32))], names=["read_id", "strand_id", "score", "changes"])
+
+    left, right = of_strands.repartition(n_strands, "s"), of_reads.select("r", "r_rows").repartition(min(n_reads, side), "r")
+    both = left.hint("shuffle_replicate_nl").crossJoin(right).select("s", "s_rows", "r_rows")
+    found = written(both.mapInArrow(run, f"read_id {names['read_id']}, strand_id {names['strand_id']}, score long, changes int"))
+    return found.where("changes IS NULL").drop("changes"), found.where("changes IS NOT NULL").groupBy("read_id").agg(F.min("changes").alias("changes"))
+
+
 @settled
 def assigned(reads: DataFrame, strands: DataFrame, k: int | None = None, min_identity: float = MIN_IDENTITY, ambiguity: int = AMBIGUITY) -> DataFrame:
     """(read_id, strand_id, score, identity, bases, ambiguous): each read's best strand by score, then identity, then strand_id; without reads whose best identity
     is too low.  ambiguous: the second best score is within `ambiguity`.  As if all pairs were aligned, whatever k is.
 
-    Pairs that share a seed of k bases are scored first.  A read's seeds lie side by side, so a strand that has none of them differs from the read at each, which bounds its
-    score; where the best score found is not above that bound by more than `ambiguity`, the read is held against all strands in blocks.  k: by the size of the strands if not given."""
-    reads, strands = written(reads.select("read_id", "seq").where("seq IS NOT NULL")), written(strands.select("strand_id", "seq").where("seq IS NOT NULL"))
+    Equal reads are one.  Pairs that share a seed of k bases are scored first.  A read's seeds lie side by side, so a strand that has none of them differs from the read at each, which bounds its
+    score; where the best score found is not above that bound by more than `ambiguity`, all strands few edits away are searched for.  Reads whose best score is not above the bound of what
+    that search leaves out are held against all strands in blocks.  k: by the size of the strands if not given."""
+    every_read, strands = written(reads.select("read_id", "seq").where("seq IS NOT NULL")), written(strands.select("strand_id", "seq").where("seq IS NOT NULL"))
+    reads = written(every_read.select("seq").distinct().select(F.monotonically_increasing_id().alias("read_id"), "seq"))
     bases, shortest, longest = strands.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)), F.coalesce(F.min(F.length("seq")), F.lit(0)), F.coalesce(F.max(F.length("seq")), F.lit(0))).first()
+
+    def unsure(reads: DataFrame, changes: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(read_id, seq, best), written: reads that strands which are not among the pairs may resemble as much; those have so many changes at least."""
+        state = reads.join(changes, "read_id", "left").join(pairs.groupBy("read_id").agg(F.max("score").alias("best")), "read_id", "left")
+        state = state.select("read_id", "seq", "best", F.length("seq").alias("size"), F.coalesce("changes", F.lit(0)).alias("changes"))
+        sure = F.coalesce(F.col("best") - ambiguity > _most_scored_of_any(shortest, longest), F.lit(False))
+        return written(state.where(~sure).select("read_id", "seq", "best"))
+
     changes, pairs = seeded(reads, strands, k or seed_length(bases))
-    near = scored(pairs, reads, strands)
-    state = reads.join(changes, "read_id", "left").join(near.groupBy("read_id").agg(F.max("score").alias("best")), "read_id", "left")
-    state = state.select("read_id", "seq", "best", F.length("seq").alias("size"), F.coalesce("changes", F.lit(0)).alias("changes"))
-    sure = F.coalesce(F.col("best") - ambiguity > _most_scored_of_any(shortest, longest), F.lit(False))
-    unsure = written(state.where(~sure).select("read_id", "seq", "best"))
-    rest = exhausted(unsure, strands, ambiguity)
-    every = near.join(unsure.select("read_id"), "read_id", "left_anti").unionByName(rest)
+    seen = scored(pairs, reads, strands)
+    asked = unsure(reads, changes, seen)
+    near, changes = near_strands(asked.select("read_id", "seq"), strands, ambiguity)
+    seen = written(seen.unionByName(near).dropDuplicates(["read_id", "strand_id"]))
+    rest = unsure(asked.select("read_id", "seq"), changes, seen)
+    every = seen.join(rest.select("read_id"), "read_id", "left_anti").unionByName(exhausted(rest, strands, ambiguity))
     close = F.count_if(F.col("score") >= F.col("top") - ambiguity).over(Window.partitionBy("read_id"))
     top = every.withColumn("top", F.max("score").over(Window.partitionBy("read_id"))).withColumn("close", close).where(F.col("score") == F.col("top"))
-    return _chosen(top, reads, strands, min_identity)
+    best = _chosen(top, reads, strands, min_identity).withColumnRenamed("read_id", "number")
+    return best.join(reads.select(F.col("read_id").alias("number"), "seq"), "number").join(every_read, "seq").select("read_id", *(c for c in best.columns if c != "number"))
 
 
 def _chosen(top: DataFrame, reads: DataFrame, strands: DataFrame, min_identity: float) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from helixlake.functions import distances
 from helixlake.operators import assignment
 
 
@@ -87,3 +88,41 @@ def test_bound_of_scores():
 
 def test_seed_lengths():
     assert [assignment.seed_length(n) for n in (0, 1, 120_000, 42_000_000)] == [6, 6, 10, 14]
+
+
+def test_near_strands_are_all_found():
+    """All pairs with fewer edits than the search tells of are found, with their distance; letters that are no bases and long sequences are found too."""
+    rng = random.Random(4)
+    strands = [dna(rng, rng.choice([0, 10, 11, 20, 58, 60, 60, 60, 63, 66])) for _ in range(400)] + ["ACGTN" * 12, "acgt" * 15, "é一" * 20 + dna(rng, 20)]
+    strands += [worn(rng, rng.choice(strands), 0.06) for _ in range(80)]
+    reads = [worn(rng, rng.choice(strands), rng.choice([0, 0.05, 0.1, 0.15])) for _ in range(200)] + ["A" * 60, "", "ACG", dna(rng, 200), "ACGTN" * 12, "é一" * 20 + strands[402][-20:]]
+    r, s, edits, told = distances.Near(strands).search(reads)
+    found = {(int(a), int(b)): int(c) for a, b, c in zip(r, s, edits)}
+    assert len(found) == len(r) and told[:200].max() >= 10
+    for i, read in enumerate(reads):
+        apart = (len(read) + np.array([len(x) for x in strands]) - assignment.align_all(strands, [read] * len(strands))[0]) // 3
+        assert {(i, k) for k in np.flatnonzero(apart < told[i]).tolist()} <= found.keys()
+        assert all(c in (-1, apart[k]) for (a, k), c in found.items() if a == i)
+
+
+def test_a_frequent_part_tells_nothing(monkeypatch):
+    monkeypatch.setattr(distances, "FREQUENT", 30)
+    rng = random.Random(6)
+    primer = dna(rng, 12)
+    strands = [primer + dna(rng, 48) for _ in range(100)]
+    told = distances.Near(strands).search(strands)[3]
+    assert set(told.tolist()) == {8}
+
+
+def test_few_reads_are_held_against_all_strands(spark, monkeypatch):
+    """Reads with eight changes of sixty bases, and copies of one that resembles nothing: that one alone, and once."""
+    rng = random.Random(12)
+    strands = [(f"s{k}", dna(rng, 60)) for k in range(150)]
+    changed = lambda seq, k: "".join(c if (p - k) % 7 or p >= 56 else rng.choice("ACGT".replace(c, "")) for p, c in enumerate(seq))
+    reads = [(k, changed(strands[k][1], k)) for k in range(150)] + [(1000 + k, "A" * 60) for k in range(50)]
+    held = []
+    exhausted = assignment.exhausted
+    monkeypatch.setattr(assignment, "exhausted", lambda rest, *others: held.append(rest.count()) or exhausted(rest, *others))
+    got = assignment.assigned(spark.createDataFrame(reads, "read_id long, seq string"), spark.createDataFrame(strands, "strand_id string, seq string")).collect()
+    assert {r.read_id: tuple(r) for r in got} == expected(reads, strands)
+    assert held == [1]
