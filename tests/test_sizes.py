@@ -12,7 +12,7 @@ from conftest import rows
 
 import __spark_entry__ as entry
 from helixlake.functions import kmers
-from helixlake.operators import assignment, counts
+from helixlake.operators import assignment, counts, links, recovery, report
 
 SF = "/root/testdata/sf0.001"
 
@@ -106,3 +106,50 @@ def test_blocks_are_moved_once(spark, monkeypatch):
     time.sleep(1)
     # 4 blocks of reads and 25 of strands; a copy of each block of reads for each of strands took 25 times their size, twice
     assert written() - before < 16 * 500 * 70
+
+
+@pytest.mark.parametrize("name", ["p4_qc_report", "f24_verdicts"])
+def test_reports_same_as_sql(spark, name):
+    same_as_sql(spark, name, SF)
+
+
+def test_buckets_of_large_files_follow_their_bases(spark, monkeypatch, tmp_path):
+    """Not their bytes: rows of tasks that hand out to very many buckets are mostly overhead."""
+    rng = random.Random(2)
+    spark.createDataFrame([("".join(rng.choice("ACGT") for _ in range(3000)),) for _ in range(100)], "seq string").write.parquet(f"{tmp_path}/reads")
+    monkeypatch.setattr(kmers, "EXPANSION", 1 << 18)
+    assert kmers.Deal(spark.read.parquet(f"{tmp_path}/reads")).bits == 4
+
+
+def test_report_moves_each_side_once(spark):
+    """Fewer bytes than the reads' and strands' pieces took before, when both were sent twice."""
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, "".join(rng.choice("ACGT") for _ in range(2000))) for i in range(500)], "strand_id long, seq string").repartition(2).localCheckpoint()
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def total():
+        time.sleep(1)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    found = report.qc_report(df, df, 31, primer=0).first()
+    assert (found.strands, found.passed, found.paths, found.exist, found.lost, found.noise) == (500, 500, 500, 985000, 0, 0)
+    assert total() - before < 4.5 * 500 * 1970
+
+
+def test_report_of_odd_strands(spark):
+    """Breaks, lower case, repeats, strands without k-mers, and primers: as by the single operators."""
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("ACGTacgtUN" if rng.random() < 0.2 else "ACGT") for _ in range(n))
+    seqs = [text(rng.randint(0, 60)) for _ in range(40)]
+    seqs += [seqs[3], seqs[4][:20] + seqs[5], "A" * 40, "N" * 30, "", None]
+    strands = spark.createDataFrame(list(enumerate(seqs)), "strand_id long, seq string")
+    reads = spark.createDataFrame([(i, s) for i, s in enumerate([*seqs[:30], *seqs[:9], text(50)])], "read_id long, seq string")
+    for primer, m, cutoff in ((0, 0, 0), (0, 1, 1), (3, 0, 1)):
+        got = report.qc_report(strands, reads, 9, screen_m=m, primer=primer, cutoff=cutoff).first()
+        grid = recovery.strand_recovery(strands, reads, 9, [cutoff]).first()
+        screen = links.screen_totals(links.entanglement(strands, 9, m, primer)).first()
+        assert got.cross_links == links.cross_link_count(strands, 9, 1).first()[0] and got.reads == 40
+        assert (got.strands, got.passed, got.entangled, got.skipped) == tuple(screen)
+        assert all(got[c] == grid[c] for c in ("paths", "exist", "lost", "noise", "sm", "kd", "kn"))
